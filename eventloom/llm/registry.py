@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact
+from eventloom.llm import exact, quality
 from eventloom.llm.common import documents
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir)).drop("clean_text")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
 def queries():
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql():
     return {
+        "op1_quality_rules": quality.oracle(),
         "op10_exact_dedup": exact.ORACLE,
     }
