@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact, quality
+from eventloom.llm import exact, langid, quality, secrets
 from eventloom.llm.common import documents
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op5_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op7_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken")))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -17,6 +32,8 @@ def op10_exact_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op5_language_id": op5_language_id,
+        "op7_secret_scan": op7_secret_scan,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
