@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import exact, langid, quality, secrets
+from eventloom.llm import bpe, exact, langid, quality, secrets
 from eventloom.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op2_bpe(spark, sf_dir):
+    path = vocabulary("word_bpe_49k.json")
+    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
@@ -32,6 +37,7 @@ def op10_exact_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_bpe": op2_bpe,
         "op5_language_id": op5_language_id,
         "op7_secret_scan": op7_secret_scan,
         "op10_exact_dedup": op10_exact_dedup,
