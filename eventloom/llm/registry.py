@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, exact, langid, quality, secrets
+from eventloom.llm import bpe, exact, jaccard, langid, quality, secrets
 from eventloom.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken")))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.similar(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def queries():
         "op2_bpe": op2_bpe,
         "op5_language_id": op5_language_id,
         "op7_secret_scan": op7_secret_scan,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
