@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Characters whose chunks are held at once, and chunks cached by a worker (in each of two generations).
 PIECE = 1 << 20
@@ -258,7 +259,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """The columns of ``encoded`` and the decoded text; null ids decode to an empty text."""
-    schema = encoded.schema.add(into, "string")
+    schema = StructType([*encoded.schema.fields, StructField(into, StringType())])
 
     def run(batches):
         tokens = load(path).tokens
