@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, exact, jaccard, langid, quality, secrets
+from eventloom.llm import bpe, chat, exact, jaccard, langid, mixing, quality, secrets
 from eventloom.llm.common import documents
 
 
@@ -22,10 +22,18 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
 
 
+def op4_temperature_mix(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_chat_format(spark, sf_dir):
+    return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken")))
 
@@ -42,7 +50,9 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
+        "op4_temperature_mix": op4_temperature_mix,
         "op5_language_id": op5_language_id,
+        "op6_chat_format": op6_chat_format,
         "op7_secret_scan": op7_secret_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
@@ -52,5 +62,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_quality_rules": quality.oracle(),
+        "op4_temperature_mix": mixing.oracle(),
+        "op6_chat_format": chat.ORACLE,
         "op10_exact_dedup": exact.ORACLE,
     }
