@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, chat, exact, jaccard, langid, mixing, quality, secrets
+from eventloom.llm import bpe, chat, exact, jaccard, langid, licenses, linededup, mixing, quality, secrets
 from eventloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return linededup.repeated(documents(spark, sf_dir))
+
+
 def op4_temperature_mix(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
@@ -38,6 +42,10 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken")))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.similar(documents(spark, sf_dir))
 
@@ -50,10 +58,12 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
+        "op3_line_dedup": op3_line_dedup,
         "op4_temperature_mix": op4_temperature_mix,
         "op5_language_id": op5_language_id,
         "op6_chat_format": op6_chat_format,
         "op7_secret_scan": op7_secret_scan,
+        "op8_license_scan": op8_license_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
     }
