@@ -71,6 +71,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents in their own columns, one of each group of equal texts."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__of"), F.col("text_sha256").alias("__kept"))
+    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
+    joined = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__of")) & (F.col("__sha") == F.col("__kept")))
+    # Of rows repeated with one identifier and text a single one stays.
+    nth = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(F.lit(1)))
+    return joined.withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
+
+
 #: The same result in DuckDB.
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)

@@ -141,8 +141,8 @@ def _order(seed: int, kind: str, epoch: str) -> Column:
 
 def mixed_documents(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents in the columns of ``docs``, each as often as the mix has it."""
-    uses = mix(docs, target, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(id_col)).agg(F.countDistinct("epoch").alias("__uses"))
-    joined = docs.join(uses, id_col)
+    uses = mix(docs, target, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__of")).agg(F.countDistinct("epoch").alias("__uses"))
+    joined = docs.join(uses, F.col(id_col).eqNullSafe(F.col("__of")))
     return joined.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), "__uses"))).select(docs.columns)
 
 
