@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words dropped from the end of an investor's name.
 NAME_TAIL = ("ventures", "capital", "partners", "fund", "llc", "lp", "inc", "group", "advisors", "holdings", "investments", "management", "corp", "co", "corporation", "company")
@@ -90,7 +91,7 @@ def dedup_key(raw: Column) -> Column:
     return F.lower(squeeze(raw))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC, case-folded, single spaces; empty is null. For text that isn't ASCII."""
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) or None)
@@ -101,7 +102,7 @@ def identity(raw: Column) -> Column:
     return F.nullif(F.lower(squeeze(raw)), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(name: pd.Series) -> pd.Series:
     """Lower-case words of any script joined by hyphens, Latin marks taken off, 50 characters at most."""
 

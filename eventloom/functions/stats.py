@@ -7,19 +7,20 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ALPHA, DELTA = 0.05, 0.05
 #: The quantiles that the p-values are compared through (chi-square with one degree of freedom at 0.95; normal at 0.95), and Wilson's z.
 CHI2_CUT, Z_CUT, WILSON_Z = 3.841458820694124, 1.6448536269514722, 1.96
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(chi2: pd.Series) -> pd.Series:
     """The p-value of a chi-square with one degree of freedom."""
     return chi2.map(lambda x: math.erfc(math.sqrt(x / 2)) if x is not None and x == x else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))) if x is not None and x == x else None)
 
