@@ -119,8 +119,9 @@ def build_chains(outcomes: DataFrame, exposure: DataFrame, interface: DataFrame)
     by_chain = inside.groupBy("company_id", "chain_sequence").agg(F.array_sort(F.collect_list(F.struct("day", "event_id", "event_type", "family"))).alias("middle"))
     joined = chains.join(by_chain, ["company_id", "chain_sequence"], "left")
     out = joined.withColumn("middle", F.coalesce("middle", F.array().cast("array<struct<day:date,event_id:string,event_type:string,family:string>>")))
+    of_family = lambda name: F.filter("middle", lambda e: e["family"] == name)
     for name in ("exposure", "interface"):
-        mine = F.filter("middle", lambda e, name=name: e["family"] == name)
+        mine = of_family(name)
         out = out.withColumns({f"n_{name}": F.size(mine).cast("long"), f"{name}_event_ids": F.transform(mine, lambda e: e["event_id"]), f"{name}_types": F.array_distinct(F.transform(mine, lambda e: e["event_type"]))})
     return out.withColumns(
         {

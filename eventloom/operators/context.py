@@ -121,8 +121,9 @@ def build(chains: DataFrame, members: DataFrame, with_history: bool = True) -> D
         "events_per_chain_year": F.when(duration > 0, middle * YEAR / duration),
         "batches_per_chain_year": F.when(duration > 0, n_batches * YEAR / duration),
     }
+    of_family = lambda family: F.filter("events", lambda e: e["family"] == family)
     for family in ("any", "exposure", "interface"):
-        mine = F.col("events") if family == "any" else F.filter("events", lambda e, family=family: e["family"] == family)
+        mine = F.col("events") if family == "any" else of_family(family)
         for bound in ("min", "max"):
             derived[f"first_{family}_after_start_{bound}"] = timing(mine, "days_after_chain_start", "first", bound)
             derived[f"last_{family}_before_end_{bound}"] = timing(mine, "days_before_chain_end", "last", bound)

@@ -1,13 +1,20 @@
-"""Queries over the driver's tables, one per operator, with their SQL twins."""
+"""Queries over the driver's tables, one per operator, each with its SQL twin where SQL can say it."""
+
+from __future__ import annotations
+
+from eventloom.plans import catalog_chains, catalog_entities, catalog_patterns
+
+PARTS = (catalog_chains, catalog_patterns, catalog_entities)
 
 
 def flagship(spark, sf_dir):
-    return queries()["chain_windows"](spark, sf_dir)
+    """Chains per user with the signature of their middle events."""
+    return queries()["chain_signatures"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: made[0] for part in PARTS for name, made in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: made[1] for part in PARTS for name, made in part.QUERIES.items() if made[1]}
