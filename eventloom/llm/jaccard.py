@@ -193,33 +193,66 @@ def _blocks(postings: DataFrame) -> DataFrame:
 def _propose(members: DataFrame, most: int | None, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of each group, and a row (block) where a group held pairs back.
 
-    members: block, part_a, part_b, part, class, n, bits, component.
+    members: block, part_a, part_b, part, class, n, bits, component. Groups that fit a
+    single node are compared together, larger ones get trees of their own.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        cls = table.column("class").to_numpy()
-        n = table.column("n").to_numpy()
-        component = table.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, signature_tree.WORDS)
-        part = table.column("part").to_numpy()
-        part_a, part_b = table.column("part_a")[0].as_py(), table.column("part_b")[0].as_py()
-        in_a, in_b = np.flatnonzero(part == part_a), np.flatnonzero(part == part_b)
-        tree_a = signature_tree.Tree(n[in_a], bits[in_a], component[in_a])
-        if part_a == part_b:
-            i, j, bound = signature_tree.candidates(tree_a, None, percent)
-            i, j = in_a[i], in_a[j]
-        else:
-            i, j, bound = signature_tree.candidates(tree_a, signature_tree.Tree(n[in_b], bits[in_b], component[in_b]), percent)
-            i, j = in_a[i], in_b[j]
-        # Rows in the order of their classes, so that all groups prefer the same partners.
+    key = ["block", "part_a", "part_b"]
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        block, part_a, part_b, part, cls, n, component = (table.column(c).to_numpy() for c in (*key, "part", "class", "n", "component"))
+        sets = signature_tree.Widths(table.column("bits").to_pylist())
+        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part_a[1:] != part_a[:-1]) | (part_b[1:] != part_b[:-1])])
+        length = np.diff(np.r_[starts, len(block)])
+        left, right = [], []
+        for size in range(2, signature_tree.FAN_OUT + 1):
+            x, y = np.triu_indices(size, 1)
+            at = starts[(length == size)]
+            left.append((at[:, None] + x).ravel())
+            right.append((at[:, None] + y).ravel())
+        i, j = np.concatenate(left), np.concatenate(right)
+        fits = (component[i] != component[j]) & ((part_a[i] == part_b[i]) | (part[i] != part[j]))
+        i, j = i[fits], j[fits]
+        near, bound = signature_tree.bounded(sets, n, i, j, percent)
+        found = [(i[near], j[near], bound[near])]
+        for start, size in zip(starts[length > signature_tree.FAN_OUT].tolist(), length[length > signature_tree.FAN_OUT].tolist()):
+            rows = np.arange(start, start + size)
+            if part_a[start] == part_b[start]:
+                found.append(signature_tree.join(sets, n, component, rows, None, percent))
+            else:
+                in_a, in_b = rows[part[rows] == part_a[start]], rows[part[rows] == part_b[start]]
+                if len(in_a) and len(in_b):
+                    found.append(signature_tree.join(sets, n, component, in_a, in_b, percent))
+        i, j, bound = (np.concatenate(x) for x in zip(*[f for f in found if len(f)]))
+        # Partners of equal bounds are taken in the order of their classes, the same one in all groups.
         order = np.argsort(np.argsort(cls))
         kept = np.arange(len(i)) if most is None else signature_tree.best(order[i], order[j], bound, most)
+        back = np.ones(len(i), bool)
+        back[kept] = False
+        held = np.unique(block[i[back]])
         a, b = np.minimum(cls[i[kept]], cls[j[kept]]), np.maximum(cls[i[kept]], cls[j[kept]])
-        held = [table.column("block")[0].as_py()] if len(kept) < len(i) else []
-        nothing = [None] * len(held)
-        return pa.table({"a": pa.array([*a.tolist(), *nothing], pa.int64()), "b": pa.array([*b.tolist(), *nothing], pa.int64()), "block": pa.array([None] * len(a) + held, pa.int64())})
+        nothing = pa.nulls(len(held), pa.int64())
+        columns = [pa.chunked_array([a, nothing]), pa.chunked_array([b, nothing]), pa.chunked_array([pa.nulls(len(a), pa.int64()), held])]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], ["a", "b", "block"])
 
-    return members.groupBy("block", "part_a", "part_b").applyInArrow(run, "a long, b long, block long")
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            # The last group may go on in the next batch.
+            last = [table.column(c)[len(table) - 1] for c in key]
+            at = len(table)
+            values = [table.column(c).to_numpy() for c in key]
+            same = np.logical_and.reduce([v == x.as_py() for v, x in zip(values, last)])
+            at = len(table) - (len(same) if same.all() else int(np.argmin(same[::-1])))
+            if at:
+                yield pairs_of(table.slice(0, at).combine_chunks())
+            waiting = table.slice(at)
+        if waiting is not None and len(waiting):
+            yield pairs_of(waiting.combine_chunks())
+
+    sorted_members = members.repartition(*key).sortWithinPartitions(*key)
+    return sorted_members.mapInArrow(run, "a long, b long, block long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,23 +274,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component): the smallest vertex that edges (a, b) reach.
+def components(edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """(vertex, component): the smallest vertex that edges (a, b) reach, on top of the components of ``label``.
 
-    Labels take the least of the neighbours' labels, then the label of their label, until
-    none changes; each step is written to the shared folder.
+    In each round every vertex points to its smallest neighbour, then to where that one
+    points; edges take the labels of their ends, and those within a component go. Edges and
+    vertices shrink by half or more; each step is written to the shared folder.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("vertex", "next").distinct(), "edges")
-    label = both.groupBy("vertex").agg(F.least(F.col("vertex"), F.min("next")).alias("component"))
-    label = materialize(label, "labels")
-    while True:
-        near = both.join(label.withColumnRenamed("vertex", "next"), "next").groupBy("vertex").agg(F.min("component").alias("near"))
-        step = label.join(near, "vertex").select("vertex", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
-        jump = label.select(F.col("vertex").alias("mid"), F.col("component").alias("far"))
-        after = materialize(step.join(jump, "mid", "left").select("vertex", "was", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
-        label = after.select("vertex", "component")
-        if after.filter(F.col("was") != F.col("component")).isEmpty():
-            return label
+    if label is not None:
+        edges = _relabelled(edges, label)
+    edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a")).toDF("vertex", "next")
+        point = materialize(both.groupBy("vertex").agg(F.least("vertex", F.min("next")).alias("component")), "points")
+        jump = point.select(F.col("vertex").alias("component"), F.col("component").alias("far"))
+        step = materialize(point.join(jump, "component").select("vertex", F.col("far").alias("component")), "labels")
+        if label is None:
+            label = step
+        else:
+            moved = step.select(F.col("vertex").alias("component"), F.col("component").alias("to"))
+            old = label.join(moved, "component", "left").select("vertex", F.coalesce("to", "component").alias("component"))
+            label = materialize(old.union(step.join(label.select("vertex"), "vertex", "left_anti")), "labels")
+        edges = materialize(_relabelled(edges, step).filter("a <> b").distinct(), "edges")
+    return label if label is not None else edges.toDF("vertex", "component")
+
+
+def _relabelled(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Edges between the components of their ends; a vertex without a label is its own component."""
+    for end in ("a", "b"):
+        named = label.select(F.col("vertex").alias(end), F.col("component").alias("to"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.select("a", "b")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -280,30 +327,35 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
     large = sizes.filter(F.col("parts") > 1)
-    label = links = sets = None
+    label = sets = tested = None
     for turn, most in enumerate(PROPOSALS):
-        members = blocks.join(classes.drop("doc_id"), "class").join(large, "block", "left")
+        # Bitmaps are wide, so they are joined last and shuffled once.
+        members = blocks.join(large, "block", "left")
         members = members.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("parts"))).cast("long"))
         # The first round stays within the chunks of large blocks; later ones join all pairs of them.
         other = F.array(F.col("part")) if turn == 0 else F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
         members = members.withColumn("other", F.explode(other))
-        members = members.withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")})
+        members = members.select("class", "block", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part")
         if label is None:
             members = members.withColumn("component", F.col("class"))
         else:
             members = members.join(label.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        members = members.select("block", "part_a", "part_b", "part", "class", "n", "bits", "component")
+        members = members.join(classes.drop("doc_id"), "class")
         proposed = materialize(_propose(members, most, percent), "proposed")
         pairs = proposed.filter(F.col("block").isNull()).select("a", "b").distinct()
         if sets is None:
             active = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(blocks.join(large, "block", "left_semi").select("class")).distinct()
             sets = materialize(_sets(rows, classes.select("class", F.col("doc_id").alias("of")).join(active, "class"), ngram), "sets")
-        verified = _verify(pairs, sets, percent)
-        links = materialize(verified if links is None else verified.union(links), "links")
-        label = components(links)
+        else:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if label is None or not pairs.isEmpty():
+            label = components(_verify(pairs, sets, percent), label)
+            tested = pairs if tested is None else tested.union(pairs)
         held = proposed.select("block").filter(F.col("block").isNotNull())
         blocks = blocks.join((held.union(large.select("block")) if turn == 0 else held).distinct(), "block", "left_semi")
-        mixed = blocks.join(label.withColumnRenamed("vertex", "class"), "class", "left").groupBy("block").agg(F.min(F.coalesce("component", "class")).alias("x"), F.max(F.coalesce("component", "class")).alias("y"))
+        component = F.coalesce("component", "class")
+        mixed = blocks.join(label.withColumnRenamed("vertex", "class"), "class", "left").groupBy("block").agg(F.min(component).alias("x"), F.max(component).alias("y"))
         blocks = materialize(blocks.join(mixed.filter("x <> y"), "block", "left_semi"), "blocks")
         if blocks.isEmpty():
             break
@@ -331,7 +383,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                     found.append((cls, tokens.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], ["class", "tokens"])
 
-    return joined.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
+    return joined.mapInArrow(run, "class long, tokens binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,20 +14,77 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bits of a bitmap, as 64-bit words.
-WORDS = 16
+#: Fewest and most bits of a bitmap; between them it is the power of 2 next to the set's size.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 18
 FAN_OUT = 8
 #: Node pairs whose bitmaps are compared at once.
 SLICE = 1 << 16
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n tokens. Sets within the threshold differ by a factor of 2 at most."""
+    return min(max(1 << max(n - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """The bitmap of a set of 64-bit token hashes."""
-    bits = np.zeros(WORDS * 64, np.uint8)
-    bits[(tokens >> np.uint64(7)) % np.uint64(WORDS * 64)] = 1
+    size = width(len(tokens))
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the width, for a comparison with sets that have such."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+def popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+
+class Widths:
+    """The bitmaps of many sets, by their width in words."""
+
+    def __init__(self, packed: list[bytes]):
+        self.words = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+        self.at = np.zeros(len(packed), np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        for words in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == words)
+            self.at[rows] = np.arange(len(rows))
+            self.bits[words] = np.frombuffer(b"".join([packed[k] for k in rows]), np.uint64).reshape(-1, words)
+
+    def of(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of rows of one width, which is ``words`` or twice that."""
+        own = int(self.words[rows[0]])
+        found = self.bits[own][self.at[rows]]
+        return found if own == words else folded(found)
+
+
+def bounded(sets: Widths, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For row pairs: whether they may reach the threshold, and the bound of their overlap."""
+    bound = np.zeros(len(i), np.int64)
+    near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+    low = np.minimum(sets.words[i], sets.words[j])
+    high = np.maximum(sets.words[i], sets.words[j])
+    for words in np.unique(low[near]).tolist():
+        for wider in (words, 2 * words):
+            rows = np.flatnonzero(near & (low == words) & (high == wider))
+            for at in range(0, len(rows), SLICE):
+                part = rows[at : at + SLICE]
+                if not len(part):
+                    continue
+                swap = sets.words[i[part]] > words
+                x, y = np.where(swap, j[part], i[part]), np.where(swap, i[part], j[part])
+                bx, by = sets.of(x, words), sets.of(y, words)
+                excess = np.minimum(n[x] - popcount(bx), n[y] - popcount(by))
+                bound[part] = popcount(bx & by) + excess
+    near &= (100 + percent) * bound >= percent * (n[i] + n[j])
+    return near, bound
+
+
 class Tree:
     """Levels from the leaves (level 0) to a root level of FAN_OUT nodes or fewer."""
 
@@ -37,7 +94,7 @@ class Tree:
         np.minimum.at(least, first, sizes)
         self.order = np.lexsort((sizes, first, least[first]))
         sizes, bits, component = sizes[self.order], bits[self.order], component[self.order]
-        excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        excess = sizes - popcount(bits)
         self.levels = [(sizes, sizes, bits, excess, component, np.ones(len(sizes), bool))]
         while len(self.levels[-1][0]) > FAN_OUT:
             low, high, bits, excess, component, one = self.levels[-1]
@@ -54,8 +111,7 @@ def _keep(a: Tree, b: Tree, level_a: int, level_b: int, i: np.ndarray, j: np.nda
     near &= ~(one_a[i] & one_b[j] & (component_a[i] == component_b[j]))
     bound = np.zeros(len(i), np.int64)
     at = np.flatnonzero(near)
-    common = np.bitwise_count(bits_a[i[at]] & bits_b[j[at]]).sum(axis=1, dtype=np.int64)
-    bound[at] = common + np.minimum(excess_a[i[at]], excess_b[j[at]])
+    bound[at] = popcount(bits_a[i[at]] & bits_b[j[at]]) + np.minimum(excess_a[i[at]], excess_b[j[at]])
     near &= (100 + percent) * bound >= percent * (low_a[i] + low_b[j])
     return near, bound
 
@@ -70,8 +126,9 @@ def candidates(a: Tree, b: Tree | None, percent: int) -> tuple[np.ndarray, np.nd
     found = []
     while stack:
         la, lb, i, j = stack.pop()
-        if len(i) > SLICE:
-            stack += [(la, lb, i[at : at + SLICE], j[at : at + SLICE]) for at in range(0, len(i), SLICE)]
+        most = max(SLICE * 16 // a.levels[0][2].shape[1], FAN_OUT**2)
+        if len(i) > most:
+            stack += [(la, lb, i[at : at + most], j[at : at + most]) for at in range(0, len(i), most)]
             continue
         if within:
             half = (i < j) if la == 0 else (i <= j)
@@ -102,6 +159,38 @@ def candidates(a: Tree, b: Tree | None, percent: int) -> tuple[np.ndarray, np.nd
     return a.order[i], b.order[j], bound
 
 
+def join(sets: Widths, n: np.ndarray, component: np.ndarray, in_a: np.ndarray, in_b: np.ndarray | None, percent: int):
+    """Candidate row pairs within in_a, or between in_a and in_b, and their bounds.
+
+    There is a tree for each width; trees of one width, or of neighbouring ones, are joined.
+    """
+    found = []
+
+    def tree(rows, words):
+        return Tree(n[rows], sets.of(rows, words), component[rows])
+
+    def by_width(rows):
+        return {w: rows[sets.words[rows] == w] for w in np.unique(sets.words[rows]).tolist()}
+
+    def cross(x, y, words):
+        i, j, bound = candidates(tree(x, words), tree(y, words), percent)
+        found.append((x[i], y[j], bound))
+
+    of_a = by_width(in_a)
+    of_b = of_a if in_b is None else by_width(in_b)
+    for words, rows in of_a.items():
+        if in_b is None:
+            i, j, bound = candidates(tree(rows, words), None, percent)
+            found.append((rows[i], rows[j], bound))
+        elif words in of_b:
+            cross(rows, of_b[words], words)
+        if 2 * words in of_b:
+            cross(rows, of_b[2 * words], words)
+        if in_b is not None and words // 2 in of_b:
+            cross(of_b[words // 2], rows, words // 2)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def best(i: np.ndarray, j: np.ndarray, bound: np.ndarray, most: int) -> np.ndarray:
     """Positions of the pairs that are among the ``most`` best of one of their ends."""
     end = np.concatenate([i, j])
