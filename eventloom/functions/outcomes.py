@@ -64,7 +64,7 @@ def evaluation_cell(verdict: Column, label: Column, ambiguous: str = "FILTER_tru
 
 def cohort_path(categories: Column, description: Column, wanted: tuple[str, ...], keywords: str | None = None) -> Column:
     """How a row enters the cohort: by a category of its comma list, by its description, or not (null)."""
-    listed = F.filter(F.transform(F.split(F.coalesce(categories, F.lit("")), ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(categories, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     found = F.when(F.arrays_overlap(listed, F.array(*map(F.lit, wanted))), "category")
     return found.when(F.coalesce(description, F.lit("")).rlike(f"(?i){keywords}"), "reverse_recall_keyword") if keywords else found
 

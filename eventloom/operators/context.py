@@ -64,7 +64,7 @@ def build(chains: DataFrame, members: DataFrame, with_history: bool = True) -> D
     schema = events.schema["events"].dataType
     rows = chains.join(events, "chain_id", "left").withColumn("events", F.coalesce("events", F.array().cast(schema)))
     raw = lambda xs: F.array_distinct(F.filter(F.transform(xs, names.identity), lambda x: x.isNotNull()))
-    ids = lambda xs: F.array_distinct(F.filter(F.transform(xs, F.trim), lambda x: x.isNotNull() & (x != "")))
+    ids = lambda xs: F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     rows = rows.withColumns({"_raw": raw(F.col("investor_raw_names")), "_ids": ids(F.col("investor_ids"))})
     rows = rows.withColumn("investor_keys", F.concat(F.transform("_ids", lambda x: F.concat(F.lit("id:"), x)), F.transform("_raw", lambda x: F.concat(F.lit("raw:"), x))))
     rows = rows.withColumn("end", F.when(F.col("chain_window_status") == "dated", F.try_to_date("chain_end_date", "yyyy-MM-dd")))

@@ -1 +1,347 @@
-QUERIES = {}
+"""Queries on names, entities, identity, evaluation, leakage, sources and checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventloom.functions import names, outcomes, stats
+from eventloom.operators import checks, entities, evaluation, identity, leakage
+from eventloom.plans import analogues as a
+from eventloom.sources import html
+
+
+def normalize_name(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part")
+    raw = F.concat(F.lit("  "), F.initcap("p_name"), F.when(F.col("p_partkey") % 3 == 0, " Capital, Partners LLC").when(F.col("p_partkey") % 3 == 1, "-Works & Co.").otherwise(" Ventures  (Fund) Éclair"))
+    return rows.select("p_partkey", names.normalize_name(raw).alias("name"), names.normalize_company_name(F.concat(raw, F.lit(" Holdings Inc."))).alias("company"), names.exact_name(raw).alias("exact"), names.dedup_key(raw).alias("dedup"))
+
+
+def extract_domain(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "pages")
+    n = F.col("page_id") % 4
+    raw = F.when(n == 0, F.regexp_replace("url", "^http://", "HTTP://WWW.")).when(n == 1, F.regexp_replace("url", "^http://", "")).when(n == 2, F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("/"))).otherwise(F.col("url"))
+    return rows.select("page_id", names.normalize_website(raw).alias("website"), names.extract_domain(names.normalize_website(raw)).alias("domain"), names.name_from_logo(F.concat("url", F.lit(""))).alias("from_logo"), names.is_url(raw).alias("is_url"))
+
+
+def make_slug_ascii(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part")
+    return rows.select("p_partkey", names.ascii_slug(F.concat(F.lit("  "), "p_name", F.lit(" & _"), "p_brand", F.lit("!"))).alias("slug"), names.company_id(F.col("p_partkey") * 7, names.ascii_slug(F.col("p_name"))).alias("company_id"))
+
+
+def make_slug_unicode(spark, sf_dir):
+    return a.table(spark, sf_dir, "documents").select("doc_id", names.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+def round_bucket(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "orders")
+    kinds = ["Series A", "serie b 2", "Seed Round", "PRE-SEED", "Bridge  Financing", "n/a", "convertible note", "Series", "Venture_Debt", " ", "growth", "Series C extension"]
+    raw = F.element_at(F.array(*map(F.lit, kinds)), (F.col("o_orderkey") % len(kinds) + 1).cast("int"))
+    stages = F.array(F.lower(raw), F.lit("Series A"), F.lit("Any Stage"), F.lit("what"))
+    return rows.select("o_orderkey", names.round_bucket(raw).alias("bucket"), names.normalize_stage(raw).alias("stage"), F.array_join(names.normalize_stages(stages), ",").alias("stages"))
+
+
+def garbage_names(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part")
+    kinds = ["Read More", "Acme Founded2010", "2010", "x", "AcquiredShape", "Name: 1 dtype", "Real time customer intelligence at scale for everyone", "Good Name", "Status A"]
+    raw = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
+    return rows.select("p_partkey", names.is_garbage(raw, names.normalize_company_name(raw)).alias("garbage"))
+
+
+def queries_template(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "customer")
+    market = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
+    text = names.fill_template("{{target_market}} market size {{year}} for {{who}}", {"target_market": market, "year": F.col("c_nationkey")})
+    return rows.select("c_custkey", text.alias("query"), text.contains("<null:").alias("unresolved"))
+
+
+def outcome_labels(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    pick = lambda k, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(n / k) % len(xs) + 1).cast("int"))
+    label = outcomes.outcome_label(pick(1, "active", "closed", "", "active"), pick(3, "private", "", "public", "private", "delisted", ""), pick(2, "seed", "series_b", "", "series_a", "angel"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(n % 4 == 0, "2021-05-01"), pick(5, "", "it was acquired by x", "has been acquiring", "", "", ""))
+    cell = outcomes.evaluation_cell(pick(7, "PASS", "WARN", "FAIL", "other"), label)
+    return rows.select("o_orderkey", label.alias("label"), outcomes.truth_class(label).alias("truth"), cell.alias("cell"))
+
+
+def confusion_f05(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "labels")
+    passed, good = F.col("toxic") == 0, F.col("quality") == 1
+    cell = F.when(F.col("quality").isNull(), "FILTER_truth_ambig").when(passed & good, "TP").when(passed, "FP").when(good, "FN").otherwise("TN")
+    return evaluation.confusion(rows.withColumn("cell", cell))
+
+
+def cohort_funnel(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part")
+    path = outcomes.cohort_path(F.concat_ws(" , ", "p_type", "p_brand"), F.col("p_name"), ("ECONOMY", "Brand#1"), "small|red")
+    made = rows.select("p_partkey", path.isNotNull().alias("tier1"), outcomes.founded_between(F.concat((F.col("p_size") + 2000).cast("string"), F.lit("-01"))).alias("tier3"))
+    return evaluation.funnel(made, "tier1", "tier3")
+
+
+def stratified_quota(spark, sf_dir):
+    return evaluation.quotas(a.table(spark, sf_dir, "orders"), "o_orderpriority", 1000)
+
+
+def stratified_sample(spark, sf_dir):
+    return evaluation.stratified(a.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 20, 7)
+
+
+def anti_holdout(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return evaluation.leftover(rows, evaluation.stratified(rows, "c_mktsegment", "c_custkey", 20, 7), "c_custkey")
+
+
+def score_aggregate(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "orders")
+    verdict = lambda k: F.element_at(F.array(*map(F.lit, ("PASS", "WARN", "FAIL"))), (F.floor(F.col("o_orderkey") / k) % 3 + 1).cast("int"))
+    score = stats.aggregate_score(verdict(1), verdict(3))
+    market, moat = F.round(stats.market_score(F.col("o_totalprice") * 1000), 9), stats.moat_score((F.col("o_orderkey") % 6).cast("double"))
+    return rows.select("o_orderkey", score.alias("score"), stats.aggregate_verdict(score).alias("verdict"), stats.dominant_driver(verdict(1), verdict(3)).alias("driver"), market.alias("market"), moat.alias("moat"))
+
+
+def leakage_severity(spark, sf_dir):
+    """The reference's families rarely hit invented prose, so families that do are scanned for, with the same weights."""
+    families = {"ipo_public": {"license": r"\blicen[sc]ed?\b"}, "acquisition": {"mail": r"[a-z0-9._]+@[a-z0-9.]+"}, "funding": {"number": r"\b[0-9]{6,}\b"}, "retrospective": {"phrase": r"\b(?:the|die|la)\s+(?:the|of|der|de)\b"}}
+    counts = leakage.family_counts(a.table(spark, sf_dir, "documents"), "doc_id", "text", families)
+    score = sum((F.when(F.col(f"n_{f}") > 0, w).otherwise(0) for f, w in (("ipo_public", 3), ("acquisition", 3), ("funding", 2), ("retrospective", 1))), F.lit(0))
+    return counts.withColumn("severity_score", score).withColumn("severity", leakage.severity(F.col("severity_score")))
+
+
+def leakage_hits(spark, sf_dir):
+    """All families of the reference over whole documents, in long form."""
+    return leakage.hits(a.table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("matches")).alias("n_matches"))
+
+
+def leakage_totals(spark, sf_dir):
+    scanned = leakage_severity(spark, sf_dir).join(a.table(spark, sf_dir, "labels"), "doc_id")
+    return scanned.groupBy("quality").pivot("severity", ["HIGH", "MED", "LOW"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def _sources(spark, sf_dir):
+    """Customers and suppliers as source rows of one entity table; keys repeat across them."""
+    c = a.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.lit("seed").alias("source"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("v"))
+    s = a.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("row"), F.lit("wikidata").alias("source"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("v"))
+    rows, k = c.unionByName(s), F.col("row")
+    return rows.select(
+        "row",
+        "source",
+        F.when(F.col("source") == "seed", 2).otherwise(1).alias("priority"),
+        F.when(k % 9 == 0, F.concat(F.lit("Q"), (F.floor(k / 27) % 40).cast("string"))).alias("wikidata_qid"),
+        F.when(k % 7 == 0, "linkedin.com").when(k % 5 == 0, F.concat(F.lit("d"), (k % 31).cast("string"), F.lit(".com"))).alias("domain"),
+        F.concat(F.lit("n"), (k % 301).cast("string")).alias("normalized_name"),
+        F.when(k % 4 == 0, F.array(F.concat(F.lit("S"), F.col("n").cast("string")))).alias("location_state"),
+        F.lit(None).cast("string").alias("findfunding_slug"),
+        F.lit(None).cast("string").alias("manual_seed_slug"),
+        F.when(k % 3 > 0, F.round("v", 0).cast("int")).alias("founded_year"),
+        (k % 10 / 10).alias("confidence"),
+    )
+
+
+def entity_components(spark, sf_dir):
+    return entities.components(entities.entity_keys(_sources(spark, sf_dir)))
+
+
+def _fused(spark, sf_dir):
+    rows = _sources(spark, sf_dir)
+    found = entities.components(entities.entity_keys(rows))
+    return rows.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+
+
+def canonical_fusion(spark, sf_dir):
+    made = entities.fuse(_fused(spark, sf_dir), ["location_state"], ["founded_year", "domain"])
+    return made.select("component", "first_row", F.array_join("source_set", ",").alias("source_set"), F.array_join("location_state", ",").alias("location_state"), "founded_year", "domain")
+
+
+def provenance_unpivot(spark, sf_dir):
+    return entities.provenance(_fused(spark, sf_dir), ["wikidata_qid", "domain", "founded_year", "location_state"])
+
+
+def coverage_completeness(spark, sf_dir):
+    return provenance_unpivot(spark, sf_dir).groupBy("field", "source").agg(F.count(F.lit(1)).alias("n_values"), F.count_distinct("component").alias("n_entities"))
+
+
+def conflicting_fields(spark, sf_dir):
+    return entities.conflicting(provenance_unpivot(spark, sf_dir), "wikidata_qid")
+
+
+def company_dedup(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part").select(names.normalize_company_name(F.col("p_name")).alias("key"), F.col("p_name").alias("name"), F.col("p_partkey").alias("row"))
+    return entities.dedup_companies(rows).select("key", "company_canonical_name", "edge_count", names.company_id(F.col("number"), names.ascii_slug(F.col("key"))).alias("company_id"))
+
+
+def shared_companies(spark, sf_dir):
+    lines = a.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = a.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.count_distinct("l_suppkey").alias("n_investors"), F.count(F.lit(1)).alias("n_edges"))
+    return pairs.filter("n_investors >= 2").orderBy(F.col("n_investors").desc(), "o_custkey").limit(20)
+
+
+def fk_pk_violations(spark, sf_dir):
+    lines, orders = a.table(spark, sf_dir, "lineitem"), a.table(spark, sf_dir, "orders")
+    pk = checks.duplicate_keys(lines, "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).withColumn("check", F.lit("pk"))
+    fk = checks.unknown_keys(lines, "l_orderkey", orders.filter("o_orderstatus <> 'P'"), "o_orderkey").agg(F.count(F.lit(1)).alias("n")).withColumn("check", F.lit("fk"))
+    return pk.unionByName(fk)
+
+
+def _interface(spark, sf_dir):
+    n = F.col("event_id")
+    return a.table(spark, sf_dir, "events").select(
+        n.cast("string").alias("event_id"),
+        F.when(n % 3 == 0, F.concat(F.lit("inv"), (n % 20).cast("string"))).alias("investor_id"),
+        F.when(n % 5 == 0, " ").when(n % 5 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Supplier "), (n % 30).cast("string"), F.lit(" Capital"))).alias("raw_investor_name"),
+    )
+
+
+def overlay_left_join(spark, sf_dir):
+    n = F.col("event_id").cast("long")
+    rows = _interface(spark, sf_dir)
+    given = rows.filter(n % 4 == 0).select("event_id", F.when(n % 8 == 0, "base").alias("investor_id"), F.when(n % 8 == 4, F.concat(F.lit("ae"), "event_id")).alias("associated_entity_id"), F.when(n % 8 == 0, "canonical_resolved").otherwise("associated_entity").alias("status"))
+    return identity.apply_resolutions(rows, given)
+
+
+def identity_statuses(spark, sf_dir):
+    investors = a.table(spark, sf_dir, "supplier").select(F.concat(F.lit("inv"), F.col("s_suppkey").cast("string")).alias("investor_id"), F.concat(F.lit("supplier "), (F.col("s_suppkey") % 25 + F.when(F.col("s_suppkey") < 10, 0).otherwise(5)).cast("string")).alias("normalized_name"))
+    rows = _interface(spark, sf_dir).withColumn("associated_entity_id", F.when(F.col("event_id").cast("long") % 11 == 0, "x"))
+    return identity.identity_status(rows, investors).select("event_id", "identity_status", "candidate_id")
+
+
+def identity_package(spark, sf_dir):
+    return identity.package_rows(_interface(spark, sf_dir)).select("raw_investor_name", "n_events", "event_ids_sha256", F.element_at("event_ids", 1).alias("first_event"))
+
+
+def name_recovery(spark, sf_dir):
+    n = F.col("event_id").cast("long")
+    rows = _interface(spark, sf_dir)
+    two = F.array(F.struct(F.lit(2).alias("ordinal"), F.lit("Beta Fund").alias("raw_investor_name")), F.struct(F.lit(1).alias("ordinal"), F.concat(F.lit("Alpha "), (n % 9).cast("string")).alias("raw_investor_name")))
+    overlay = rows.filter(n % 6 == 1).select(F.col("event_id").alias("source_event_id"), two.alias("recovered"))
+    return identity.recovered(rows, overlay).select("event_id", "source_event_id", "raw_investor_name")
+
+
+def unique_key_remap(spark, sf_dir):
+    k = F.col("c_custkey")
+    legacy = a.table(spark, sf_dir, "customer").select(F.concat(F.lit("L"), k.cast("string")).alias("legacy_id"), F.when(k % 2 == 0, F.concat(F.lit("Q"), (k % 150).cast("string"))).alias("wikidata_qid"), F.concat(F.lit("Supplier-"), (k % 140).cast("string")).alias("name"))
+    s = F.col("s_suppkey")
+    base = a.table(spark, sf_dir, "supplier").select(s.cast("string").alias("investor_id"), F.concat(F.lit("Q"), (s % 90).cast("string")).alias("wikidata_qid"), F.concat(F.lit("SUPPLIER "), s.cast("string")).alias("name"))
+    return identity.legacy_to_base(legacy, base)
+
+
+def quote_checks(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "documents")
+    start = F.col("doc_id") % 50
+    quote = F.substring("text", (start + 1 + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).cast("int"), F.lit(12))
+    return rows.select("doc_id", identity.quote_holds(F.col("text"), quote, start.cast("int"), (start + 12).cast("int")).alias("holds"), identity.row_sha256("source", "lang", "n_chars").alias("row_sha256"))
+
+
+def coverage_gaps(spark, sf_dir):
+    left = a.table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 3 > 0")
+    return identity.coverage_gaps(left, a.table(spark, sf_dir, "labels"), "doc_id")
+
+
+def html_links(spark, sf_dir):
+    """Entries of the navigation list of each page, through the selector reader."""
+    return html.extract(a.table(spark, sf_dir, "pages"), "page_id", "html", "nav ul li", {"name": ("a", "text"), "href": ("a", "href")}).select("page_id", "entry", "name", "href")
+
+
+def newest_partition(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "pages")
+    made = rows.select(F.regexp_extract("url", "^http://([^/]+)/", 1).alias("slug"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")).alias("day"), "page_id")
+    return made.groupBy("slug").agg(F.max("day").alias("newest"), F.max_by("page_id", F.struct("day", "page_id")).alias("page_id"))
+
+
+_TAIL = lambda words: f"(?:(?:^| )(?:{'|'.join(words)}))+$"
+_SQUEEZE = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+_RAW = "'  ' || p_init || CASE p_partkey % 3 WHEN 0 THEN ' Capital, Partners LLC' WHEN 1 THEN '-Works & Co.' ELSE ' Ventures  (Fund) Éclair' END"
+_INIT = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_IFACE = "ix AS (SELECT event_id::VARCHAR AS event_id, event_id AS n, CASE WHEN event_id % 3 = 0 THEN 'inv' || event_id % 20 END AS investor_id, CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'Supplier ' || event_id % 30 || ' Capital' END AS raw_investor_name FROM events)"
+_SRC = """src AS (SELECT *, CASE source WHEN 'seed' THEN 2 ELSE 1 END AS priority, CASE WHEN row % 9 = 0 THEN 'Q' || (row // 27) % 40 END AS qid, CASE WHEN row % 7 = 0 THEN 'linkedin.com' WHEN row % 5 = 0 THEN 'd' || row % 31 || '.com' END AS domain,
+    'n' || row % 301 AS nn, CASE WHEN row % 4 = 0 THEN 'S' || n END AS st, CASE WHEN row % 3 > 0 THEN round(v, 0)::INT END AS fy, row % 10 / 10 AS confidence
+  FROM (SELECT c_custkey AS row, 'seed' AS source, c_nationkey AS n, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey + 1000000000, 'wikidata', s_nationkey, s_acctbal FROM supplier)),
+ky AS (SELECT row, 'q' || qid AS k FROM src WHERE qid IS NOT NULL UNION SELECT row, 'd' || domain FROM src WHERE domain <> 'linkedin.com' UNION SELECT row, 'n' || nn || '|' || st FROM src WHERE st IS NOT NULL),
+lk AS (SELECT DISTINCT a.row AS x, b.least AS y FROM ky a JOIN (SELECT k, min(row) AS least FROM ky GROUP BY k) b USING (k)),
+ed AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
+cc(v, c) AS (SELECT DISTINCT row, row FROM ky UNION SELECT ed.y, cc.c FROM cc JOIN ed ON ed.x = cc.v),
+cm AS (SELECT v AS row, min(c) AS component FROM cc GROUP BY v),
+fu AS (SELECT src.*, coalesce(component, row) AS component FROM src LEFT JOIN cm USING (row))"""
+_PROV = f"""WITH RECURSIVE {_SRC}, pv AS (SELECT component, row, source, confidence, field, value FROM (
+    SELECT component, row, source, confidence, 'wikidata_qid' AS field, qid AS value FROM fu UNION ALL SELECT component, row, source, confidence, 'domain', domain FROM fu
+    UNION ALL SELECT component, row, source, confidence, 'founded_year', fy::VARCHAR FROM fu UNION ALL SELECT component, row, source, confidence, 'location_state', '["' || st || '"]' FROM fu) WHERE value IS NOT NULL AND value <> '')"""
+_LEAK = r"""lk AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\blicen[sc]ed?\b'))::BIGINT AS n_ipo_public, len(regexp_extract_all(text, '(?i)[a-z0-9._]+@[a-z0-9.]+'))::BIGINT AS n_acquisition,
+  len(regexp_extract_all(text, '(?i)\b[0-9]{6,}\b'))::BIGINT AS n_funding, len(regexp_extract_all(text, '(?i)\b(?:the|die|la)\s+(?:the|of|der|de)\b'))::BIGINT AS n_retrospective FROM documents),
+ls AS (SELECT *, (CASE WHEN n_ipo_public > 0 THEN 3 ELSE 0 END + CASE WHEN n_acquisition > 0 THEN 3 ELSE 0 END + CASE WHEN n_funding > 0 THEN 2 ELSE 0 END + CASE WHEN n_retrospective > 0 THEN 1 ELSE 0 END) AS severity_score FROM lk),
+lv AS (SELECT *, CASE WHEN severity_score >= 3 THEN 'HIGH' WHEN severity_score >= 1 THEN 'MED' ELSE 'LOW' END AS severity FROM ls)"""
+_PICK = lambda k, *xs: f"[{', '.join(repr(x) for x in xs)}][(o_orderkey // {k}) % {len(xs)} + 1]"
+_LABELS = f"""lb AS (SELECT o_orderkey, {_PICK(1, 'active', 'closed', '', 'active')} AS op, {_PICK(3, 'private', '', 'public', 'private', 'delisted', '')} AS ipo, {_PICK(2, 'seed', 'series_b', '', 'series_a', 'angel')} AS ft,
+    {_PICK(5, '', 'it was acquired by x', 'has been acquiring', '', '', '')} AS g, {_PICK(7, 'PASS', 'WARN', 'FAIL', 'other')} AS verdict, ('2024-08-01'::DATE - o_orderdate::DATE) / 365.25 AS age, CASE WHEN o_orderkey % 4 = 0 THEN ('2024-08-01'::DATE - '2021-05-01'::DATE) / 365.25 END AS last FROM orders),
+  lc AS (SELECT *, CASE WHEN ipo = 'public' THEN 'POSITIVE_IPO' WHEN ipo = 'delisted' THEN 'EQUIVOCAL_DELISTED' WHEN g = 'it was acquired by x' THEN 'POSITIVE_ACQUIRED' WHEN op = 'closed' THEN 'NEGATIVE_CLOSED' WHEN op = 'active' AND ft = 'series_b' THEN 'POSITIVE_LATE_STAGE_FUNDED'
+    WHEN op = 'active' AND ft IN ('', 'seed', 'angel') AND age >= 5 AND coalesce(last, age) >= 5 THEN 'NEGATIVE_NO_TRACTION' WHEN op = 'active' THEN 'INDETERMINATE' ELSE 'UNKNOWN' END AS label FROM lb),
+  lt AS (SELECT *, CASE WHEN label IN ('INDETERMINATE', 'UNKNOWN') THEN 'AMBIG' WHEN label LIKE 'NEGATIVE%' THEN 'FAILURE' ELSE 'SUCCESS' END AS truth FROM lc)"""
+_SAMPLE = "sa AS (SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) <= 20)"
+_WILSON = lambda p, n, sign: f"(({p} + 3.8416 / (2 * {n})) {sign} 1.96 * sqrt({p} * (1 - {p}) / {n} + 3.8416 / (4.0 * {n} * {n}))) / (1 + 3.8416 / {n})"
+_F = lambda p, r: f"(CASE WHEN {p} = 0 AND {r} = 0 THEN 0.0 ELSE 1.25 * ({p}) * ({r}) / (0.25 * ({p}) + ({r})) END)"
+
+
+QUERIES = {
+    "normalize_name": (normalize_name, rf"""WITH r AS (SELECT p_partkey, {_RAW} AS raw FROM (SELECT p_partkey, {_INIT} AS p_init FROM part)),
+      c AS (SELECT p_partkey, raw, {_SQUEEZE(r"regexp_replace(lower(raw || ' Holdings Inc.'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g')")} AS full_company FROM r)
+      SELECT p_partkey, regexp_replace({_SQUEEZE(r"regexp_replace(lower(raw), '[^\p{L}\p{M}\p{N}_\s-]', ' ', 'g')")}, '{_TAIL(names.NAME_TAIL)}', '') AS name,
+      coalesce(nullif(regexp_replace(full_company, '{_TAIL(names.LEGAL_TAIL)}', ''), ''), full_company) AS company, {_SQUEEZE(r"regexp_replace(lower(raw), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')")} AS exact, lower({_SQUEEZE('raw')}) AS dedup FROM c"""),
+    "extract_domain": (extract_domain, r"""WITH r AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^http://', 'HTTP://WWW.') WHEN 1 THEN regexp_replace(url, '^http://', '') WHEN 2 THEN regexp_replace(url, '\?.*$', '') || '/' ELSE url END AS raw FROM pages),
+      w AS (SELECT *, CASE WHEN contains(raw, '://') THEN raw ELSE 'https://' || raw END AS u FROM r),
+      p AS (SELECT *, lower(regexp_extract(u, '^([^:/?#]*)://', 1)) AS sch, lower(regexp_extract(u, '^[^:/?#]*://([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(u, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(u, '^[^:/?#]*://[^/?#]*[^?#]*(.*)$', 1) AS tail FROM w),
+      lg AS (SELECT *, string_split(rtrim(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), '/')[-1] AS stem FROM p)
+      SELECT page_id, sch || '://' || host || path || tail AS website, array_to_string(string_split(regexp_replace(host, '^www\.', ''), '.')[-2:], '.') AS domain,
+      coalesce(nullif(array_to_string(list_filter(string_split(replace(stem, '_', '-'), '-'), lambda t: t <> '' AND NOT regexp_full_match(t, '(19|20)[0-9]{2}|[a-zA-Z]?[0-9]{6,}|[0-9]+')), '_'), ''), nullif(stem, ''), url) AS from_logo,
+      raw LIKE 'http://%' OR raw LIKE 'https://%' OR raw LIKE '/%' AS is_url FROM lg"""),
+    "make_slug_ascii": (make_slug_ascii, r"""WITH s AS (SELECT p_partkey, substr(replace(regexp_replace(regexp_replace(regexp_replace(lower('  ' || p_name || ' & _' || p_brand || '!'), '[^0-9a-z_]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), '_', '-'), 1, 50) AS slug,
+        substr(regexp_replace(lower(p_name), '[^0-9a-z_]+', '-', 'g'), 1, 50) AS short FROM part) SELECT p_partkey, slug, printf('co:%04d-%04d:%s', p_partkey * 7 // 10000, p_partkey * 7 % 10000, short) AS company_id FROM s"""),
+    "make_slug_unicode": (make_slug_unicode, None),
+    "round_bucket": (round_bucket, """SELECT o_orderkey, ['series_a', 'series_b', 'seed', 'pre_seed', 'bridge_or_extension', 'unknown', 'convertible', 'series_s', 'debt', 'unknown', 'other', 'bridge_or_extension'][o_orderkey % 12 + 1] AS bucket,
+      ['series-a', NULL, NULL, 'pre-seed', NULL, NULL, NULL, NULL, NULL, NULL, 'growth', NULL][o_orderkey % 12 + 1] AS stage, ['series-a,any', 'series-a,any', 'series-a,any', 'pre-seed,series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'growth,series-a,any', 'series-a,any'][o_orderkey % 12 + 1] AS stages FROM orders"""),
+    "garbage_names": (garbage_names, "SELECT p_partkey, p_partkey % 9 < 7 AS garbage FROM part"),
+    "queries_template": (queries_template, "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '<null:target_market>' END || ' market size ' || c_nationkey || ' for <null:who>' AS query, true AS unresolved FROM customer"),
+    "outcome_labels": (outcome_labels, f"""WITH {_LABELS} SELECT o_orderkey, label, truth, CASE WHEN verdict = 'other' THEN 'UNEXPECTED' WHEN truth = 'AMBIG' THEN 'FILTER_truth_ambiguous' WHEN truth = 'SUCCESS' THEN CASE WHEN verdict = 'PASS' THEN 'TP' ELSE 'FN' END ELSE CASE WHEN verdict = 'PASS' THEN 'FP' ELSE 'TN' END END AS cell FROM lt"""),
+    "confusion_f05": (confusion_f05, f"""WITH c AS (SELECT count(*) FILTER (toxic = 0 AND quality = 1) AS tp, count(*) FILTER (toxic = 0 AND quality <> 1) AS fp, count(*) FILTER (toxic <> 0 AND quality <> 1) AS tn, count(*) FILTER (toxic <> 0 AND quality = 1) AS fn, count(*) AS n FROM labels),
+      p AS (SELECT *, n - tp - fp - tn - fn AS n_filtered, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+      SELECT *, {_F('precision', 'recall')} AS f05, {_F(f"greatest(0.0, {_WILSON('precision', '(tp + fp)', '-')})", f"greatest(0.0, {_WILSON('recall', '(tp + fn)', '-')})")} AS f05_low, {_F(f"least(1.0, {_WILSON('precision', '(tp + fp)', '+')})", f"least(1.0, {_WILSON('recall', '(tp + fn)', '+')})")} AS f05_high FROM p"""),
+    "cohort_funnel": (cohort_funnel, "WITH t AS (SELECT (p_type = 'ECONOMY' OR p_brand = 'Brand#1' OR regexp_matches(p_name, '(?i)small|red')) AS t1, p_size + 2000 BETWEEN 2010 AND 2026 AS t3 FROM part) SELECT count(*) AS n_total, count(*) FILTER (t1) AS n_tier1, count(*) FILTER (t1 AND t3) AS n_tier3 FROM t"),
+    "stratified_quota": (stratified_quota, """WITH c AS (SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER () AS a FROM orders GROUP BY 1), b AS (SELECT *, (n * 1000 // a)::BIGINT AS base, n * 1000 % a AS rest FROM c),
+      r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, o_orderpriority DESC) AS k, 1000 - sum(base) OVER () AS left_ FROM b) SELECT o_orderpriority, n, base + CASE WHEN k <= left_ THEN 1 ELSE 0 END AS quota FROM r"""),
+    "stratified_sample": (stratified_sample, f"WITH {_SAMPLE} SELECT * FROM sa"),
+    "anti_holdout": (anti_holdout, f"WITH {_SAMPLE} SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN sa USING (c_custkey)"),
+    "score_aggregate": (score_aggregate, """WITH v AS (SELECT o_orderkey, o_totalprice * 1000 AS d, ['PASS', 'WARN', 'FAIL'][o_orderkey % 3 + 1] AS m, ['PASS', 'WARN', 'FAIL'][(o_orderkey // 3) % 3 + 1] AS u, o_orderkey % 3 AS a, (o_orderkey // 3) % 3 AS b FROM orders),
+      s AS (SELECT *, ((2 - a) / 2.0 + (2 - b) / 2.0)::DOUBLE / 2 AS score FROM v)
+      SELECT o_orderkey, score, CASE WHEN score >= 0.5 THEN 'PASS' WHEN score >= 0.25 THEN 'WARN' ELSE 'FAIL' END AS verdict, CASE WHEN b > a THEN 'U' ELSE 'M' END AS driver, round(greatest(0.0, least(1.0, (log10(d) - 7) / 3)), 9) AS market, least(1.0, (o_orderkey % 6)::DOUBLE / 4) AS moat FROM s"""),
+    "leakage_severity": (leakage_severity, f"WITH {_LEAK} SELECT * FROM lv"),
+    "leakage_hits": (leakage_hits, None),
+    "leakage_totals": (leakage_totals, f"WITH {_LEAK} SELECT quality, count(*) FILTER (severity = 'HIGH') AS HIGH, count(*) FILTER (severity = 'MED') AS MED, count(*) FILTER (severity = 'LOW') AS LOW FROM lv JOIN labels USING (doc_id) GROUP BY quality"),
+    "entity_components": (entity_components, f"WITH RECURSIVE {_SRC} SELECT row, component FROM cm"),
+    "canonical_fusion": (canonical_fusion, f"""WITH RECURSIVE {_SRC} SELECT component, min(row) AS first_row, string_agg(DISTINCT source, ',' ORDER BY source) AS source_set,
+      coalesce(array_to_string(list_distinct_ordered, ','), '') AS location_state, arg_max(fy, (confidence, -priority, -row)) FILTER (fy IS NOT NULL) AS founded_year, arg_max(domain, (confidence, -priority, -row)) FILTER (domain IS NOT NULL) AS domain
+      FROM fu JOIN (SELECT component, list(st ORDER BY first) FILTER (st IS NOT NULL) AS list_distinct_ordered FROM (SELECT component, st, min(row) AS first FROM fu GROUP BY ALL) GROUP BY component) USING (component) GROUP BY component, list_distinct_ordered"""),
+    "provenance_unpivot": (provenance_unpivot, f"{_PROV} SELECT * FROM pv"),
+    "coverage_completeness": (coverage_completeness, f"{_PROV} SELECT field, source, count(*) AS n_values, count(DISTINCT component) AS n_entities FROM pv GROUP BY ALL"),
+    "conflicting_fields": (conflicting_fields, f"{_PROV} SELECT component, count(DISTINCT value) AS n_values FROM pv WHERE field = 'wikidata_qid' GROUP BY component HAVING count(DISTINCT value) > 1"),
+    "company_dedup": (company_dedup, f"""WITH c AS (SELECT p_partkey, p_name, {_SQUEEZE("lower(p_name)")} AS f FROM part), k AS (SELECT *, coalesce(nullif(regexp_replace(f, '{_TAIL(names.LEGAL_TAIL)}', ''), ''), f) AS key FROM c),
+      g AS (SELECT key, arg_min(p_name, p_partkey) AS company_canonical_name, count(*) AS edge_count, min(p_partkey) AS first FROM k GROUP BY key), o AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM g)
+      SELECT key, company_canonical_name, edge_count, printf('co:%04d-%04d:%s', n // 10000, n % 10000, replace(key, ' ', '-')) AS company_id FROM o"""),
+    "shared_companies": (shared_companies, "SELECT o_custkey, count(DISTINCT l_suppkey) AS n_investors, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2 ORDER BY n_investors DESC, o_custkey LIMIT 20"),
+    "fk_pk_violations": (fk_pk_violations, "SELECT count(*) AS n, 'pk' AS \"check\" FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT count(*), 'fk' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"),
+    "overlay_left_join": (overlay_left_join, f"""WITH {_IFACE} SELECT event_id, CASE WHEN n % 8 = 0 THEN 'base' ELSE investor_id END AS investor_id, raw_investor_name, CASE WHEN n % 8 = 4 THEN 'ae' || event_id END AS associated_entity_id,
+      CASE WHEN n % 8 = 0 THEN 'canonical_resolved' WHEN n % 8 = 4 THEN 'associated_entity' WHEN investor_id IS NOT NULL THEN 'canonical_resolved' WHEN raw_investor_name IS NULL OR trim(raw_investor_name) = '' THEN 'missing_identity' ELSE 'unresolved_named' END AS counterparty_resolution_status FROM ix"""),
+    "identity_statuses": (identity_statuses, f"""WITH {_IFACE}, iv AS (SELECT 'supplier ' || (s_suppkey % 25 + CASE WHEN s_suppkey < 10 THEN 0 ELSE 5 END) AS nm, list(DISTINCT 'inv' || s_suppkey) AS ids FROM supplier GROUP BY 1),
+      x AS (SELECT ix.*, n % 11 = 0 AS ae, CASE WHEN trim(raw_investor_name) <> '' THEN 'supplier ' || n % 30 END AS nm FROM ix), j AS (SELECT x.*, ids FROM x LEFT JOIN iv USING (nm)),
+      s AS (SELECT event_id, ids, CASE WHEN investor_id IS NOT NULL THEN 'canonical_resolved' WHEN ae THEN 'associated_entity' WHEN len(ids) > 1 THEN 'ambiguous_identity' WHEN nm IS NULL THEN 'missing_identity' WHEN len(ids) = 1 THEN 'analysis_normalized_exact_candidate' ELSE 'unresolved_named' END AS identity_status FROM j)
+      SELECT event_id, identity_status, CASE WHEN identity_status = 'analysis_normalized_exact_candidate' THEN ids[1] END AS candidate_id FROM s"""),
+    "identity_package": (identity_package, f"WITH {_IFACE} SELECT raw_investor_name, count(DISTINCT event_id) AS n_events, sha256(string_agg(event_id, chr(10) ORDER BY event_id)) AS event_ids_sha256, min(event_id) AS first_event FROM ix WHERE investor_id IS NULL AND trim(raw_investor_name) <> '' GROUP BY 1"),
+    "name_recovery": (name_recovery, f"""WITH {_IFACE} SELECT event_id, NULL::VARCHAR AS source_event_id, raw_investor_name FROM ix WHERE n % 6 <> 1
+      UNION ALL SELECT 'int:' || substr(sha1(event_id || '|' || nm || '|' || o), 1, 20), event_id, raw FROM (SELECT event_id, o, CASE o WHEN 1 THEN 'Alpha ' || n % 9 ELSE 'Beta Fund' END AS raw, CASE o WHEN 1 THEN 'alpha ' || n % 9 ELSE 'beta' END AS nm FROM ix, (VALUES (1), (2)) v(o) WHERE n % 6 = 1)"""),
+    "unique_key_remap": (unique_key_remap, """WITH b AS (SELECT s_suppkey::VARCHAR AS investor_id, 'Q' || s_suppkey % 90 AS qid, 'supplier ' || s_suppkey AS nm FROM supplier),
+      q AS (SELECT qid, min(investor_id) AS qi FROM b GROUP BY qid HAVING count(DISTINCT investor_id) = 1), m AS (SELECT nm, min(investor_id) AS ni FROM b GROUP BY nm HAVING count(DISTINCT investor_id) = 1),
+      l AS (SELECT 'L' || c_custkey AS legacy_id, CASE WHEN c_custkey % 2 = 0 THEN 'Q' || c_custkey % 150 END AS qid, 'supplier ' || c_custkey % 140 AS nm FROM customer),
+      j AS (SELECT l.*, qi, ni FROM l LEFT JOIN q USING (qid) LEFT JOIN m USING (nm))
+      SELECT legacy_id, CASE WHEN qi <> ni THEN NULL ELSE coalesce(qi, ni) END AS investor_id, CASE WHEN qi <> ni THEN 'conflict' WHEN qi IS NOT NULL THEN 'qid' WHEN ni IS NOT NULL THEN 'name' ELSE 'unmatched' END AS status FROM j"""),
+    "quote_checks": (quote_checks, """WITH q AS (SELECT doc_id, source, lang, n_chars, text, (doc_id % 50)::INT AS a, substr(text, (doc_id % 50 + 1 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END)::INT, 12) AS quote FROM documents)
+      SELECT doc_id, length(quote) = 12 AND substr(text, a + 1, 12) = quote AS holds, sha256('source=' || length(source) || ':' || source || chr(0) || 'lang=' || length(lang) || ':' || lang || chr(0) || 'n_chars=' || length(n_chars::VARCHAR) || ':' || n_chars) AS row_sha256 FROM q"""),
+    "coverage_gaps": (coverage_gaps, "WITH w AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) SELECT doc_id, 'missing' AS gap FROM (SELECT doc_id FROM w EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM w)"),
+    "html_links": (html_links, None),
+    "newest_partition": (newest_partition, "WITH p AS (SELECT regexp_extract(url, '^http://([^/]+)/', 1) AS slug, '2024-01-01'::DATE + (page_id % 90)::INT AS day, page_id FROM pages) SELECT slug, max(day) AS newest, arg_max(page_id, (day, page_id)) AS page_id FROM p GROUP BY slug"),
+}

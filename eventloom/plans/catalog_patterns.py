@@ -1 +1,270 @@
-QUERIES = {}
+"""Queries on rules, patterns, prevalence and the candidate lattice."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from eventloom.operators import chains, context, lattice, prevalence
+from eventloom.plans import analogues as a
+from eventloom.plans import catalog_chains as base
+from eventloom.plans import rules
+
+
+def _members(spark, sf_dir):
+    """Events inside chains, as the context takes them; the participant is a name that repeats."""
+    rows = base._middle(spark, sf_dir)
+    ids = base._chains(spark, sf_dir).select("company_id", "chain_sequence", "chain_id")
+    n = F.col("event_id").cast("long")
+    return rows.join(ids, ["company_id", "chain_sequence"]).select(
+        "chain_id",
+        "event_id",
+        "family",
+        "event_type",
+        F.lit(None).cast("string").alias("event_subtype"),
+        "event_date",
+        F.when(n % 3 == 0, F.concat(F.lit("i"), (n % 5).cast("string"))).alias("investor_id"),
+        F.when(n % 3 == 1, F.concat(F.lit(" Firm  "), (n % 4).cast("string"))).alias("raw_investor_name"),
+    )
+
+
+def _contract(spark, sf_dir):
+    """Chains in the columns of the contract."""
+    rows = a.events(spark, sf_dir).withColumn("event_date", F.col("day").cast("string"))
+    made = chains.build_chains(a.outcomes(spark, sf_dir), rows.filter("family = 'exposure'"), rows.filter("family = 'interface'"))
+    empty = F.array().cast("array<string>")
+    return made.select(
+        "chain_id", "company_id", F.lit("SUCCESS").alias("company_label_v4"), "chain_sequence", "chain_start_date", F.lit("outcome").alias("chain_start_reason"),
+        "chain_end_date", "chain_window_status", F.col("event_type").alias("outcome_type"), F.concat(F.lit("Series "), F.chr(F.lit(65) + F.col("company_id") % 3)).alias("outcome_round"),
+        "n_participant_rows", "n_exposure", "n_interface", empty.alias("outcome_event_ids"),
+        F.array(F.concat(F.lit("i"), (F.col("chain_sequence") % 4).cast("string"))).alias("investor_ids"), empty.alias("investor_raw_names"),
+        "exposure_event_ids", "exposure_types", "interface_event_ids", "interface_types",
+    )
+
+
+def _contexts(spark, sf_dir):
+    return context.build(_contract(spark, sf_dir), _members(spark, sf_dir))
+
+
+def _one(kind):
+    return {"scope": "middle_events", "family": "any", "where": [{"field": "event.event_type", "cmp": "eq", "value": kind}]}
+
+
+def _sequence(*types, low=None, high=None, same=()):
+    return {"op": "sequence", "steps": [_one(t) for t in types], "ordering": "strict_before", "min_gap_days": low, "max_gap_days": high, "same_values": list(same)}
+
+
+def _compare(left, cmp, literal):
+    return {"op": "compare", "left": left, "cmp": cmp, "right": {"literal": literal}}
+
+
+#: The patterns that the queries evaluate.
+PATTERNS = {
+    "view_no_error": {"op": "all", "rules": [{"op": "present", "selector": _one("view")}, {"op": "absent", "selector": _one("error")}]},
+    "view_then_click": _sequence("view", "click"),
+    "view_click_error": _sequence("view", "click", "error", low=1, high=14),
+    "two_views": _sequence("view", "view"),
+    "many_exposures": _compare({"field": "chain.n_exposure"}, "gte", 5),
+    "signup_first": _compare({"event_position": {"selector": _one("signup"), "scope": "all_middle", "edge": "first_batch"}}, "eq", True),
+    "late_click": _compare({"event_timing": {"selector": _one("click"), "relative_to": "end", "edge": "last", "bound": "min"}}, "lte", 1),
+    "not_first": {"op": "not", "rule": _compare({"field": "derived.chain_position_bucket"}, "in", ["first"])},
+    "several_people": _compare({"event_count": {"scope": "middle_events", "family": "any", "where": [{"field": "event.participant_key", "cmp": "not_null"}]}}, "gt", 3),
+    "long_gap": _compare({"field": "derived.max_interbatch_gap_min"}, "gte", 3),
+}
+
+
+def pattern_set():
+    patterns = [{"id": k, "name": k, "description": rules.render(r), "evaluation_status": "EVALUABLE", "not_evaluable_reason": None, "rule": r, "track": "ACTION_ELIGIBLE"} for k, r in PATTERNS.items()]
+    return rules.check_pattern_set({"config_schema_version": "1.0", "pattern_set_id": "driver", "primary_order": list(PATTERNS), "patterns": patterns})
+
+
+def _flags(spark, sf_dir):
+    made = pattern_set()
+    rows = _contexts(spark, sf_dir).select(F.col("chain.chain_id").alias("chain_id"), F.col("chain.company_id").alias("company_id"), F.col("chain.chain_sequence").alias("chain_sequence"), *rules.flags(made))
+    return rows.withColumn("primary_seed", rules.primary(made))
+
+
+def pattern_flags(spark, sf_dir):
+    return _flags(spark, sf_dir).drop("chain_id")
+
+
+def _single(name):
+    def query(spark, sf_dir):
+        return _contexts(spark, sf_dir).filter(rules.compile_rule(PATTERNS[name])).select(F.col("chain.company_id").alias("company_id"), F.col("chain.chain_sequence").alias("chain_sequence"))
+
+    return query
+
+
+def derived_features(spark, sf_dir):
+    names = ("n_middle", "chain_duration_days", "n_ordered_batches", "n_comparable_gaps", "n_known_date_middle_events", "middle_span_min", "middle_span_max", "min_interbatch_gap_min", "max_interbatch_gap_max", "interface_share", "events_per_chain_year", "n_prior_chains", "chain_position_bucket", "first_any_after_start_min", "first_any_after_start_max", "last_any_before_end_min", "last_any_before_end_max", "interface_investor_count")
+    return _contexts(spark, sf_dir).select(F.col("chain.company_id").alias("company_id"), F.col("chain.chain_sequence").alias("chain_sequence"), *[F.col(f"derived.{n}").alias(n) for n in names])
+
+
+def _companies(spark, sf_dir):
+    values = a.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("company_id")).agg(F.count_if(F.col("event_type") == "signup").alias("s"), F.count_if(F.col("event_type") == "error").alias("e"))
+    return values.select("company_id", F.when(F.col("s") > F.col("e"), "SUCCESS").when(F.col("s") < F.col("e"), "FAILURE").otherwise("AMBIGUOUS").alias("label"))
+
+
+def company_profiles(spark, sf_dir):
+    return prevalence.company_profiles(_companies(spark, sf_dir), _flags(spark, sf_dir), list(PATTERNS))
+
+
+def pattern_prevalence(spark, sf_dir):
+    return prevalence.two_by_two(company_profiles(spark, sf_dir), list(PATTERNS))
+
+
+def action_value(spark, sf_dir):
+    """Do customers of a segment order finished goods more often than others?"""
+    orders = a.table(spark, sf_dir, "orders").join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderstatus IN ('F', 'O')")
+    counts = orders.groupBy(F.col("c_mktsegment").alias("pattern")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("success_taking"), F.count_if(F.col("o_orderstatus") == "O").alias("failure_taking"))
+    total = orders.agg(F.count_if(F.col("o_orderstatus") == "F").alias("s"), F.count_if(F.col("o_orderstatus") == "O").alias("f"))
+    table = counts.crossJoin(F.broadcast(total)).select("pattern", "success_taking", "failure_taking", (F.col("s") - F.col("success_taking")).alias("success_not_taking"), (F.col("f") - F.col("failure_taking")).alias("failure_not_taking"))
+    return prevalence.action_values(table)
+
+
+def lattice_witnessed_pairs(spark, sf_dir):
+    rows = chains.with_interval(base._middle(spark, sf_dir)).withColumn("chain", F.concat_ws("-", "company_id", "chain_sequence"))
+    return lattice.witnessed_pairs(rows, "chain")
+
+
+ATOMS = {f"{op}_{kind}": {"op": op, "selector": _one(kind)} for op in ("present", "absent") for kind in ("view", "click", "error", "signup")}
+STRUCTURAL = {f"middle_{cmp}_{t}": _compare({"field": "derived.n_middle"}, cmp, t) for cmp in ("gte", "lte") for t in (1, 2, 5, 10)}
+
+
+def _incidence(spark, sf_dir, atoms):
+    return lattice.incidence(_contexts(spark, sf_dir), atoms)
+
+
+def lattice_support(spark, sf_dir):
+    total = _contract(spark, sf_dir).count()
+    return lattice.supported(_incidence(spark, sf_dir, ATOMS | STRUCTURAL), total)
+
+
+def lattice_pairs(spark, sf_dir):
+    contexts = _contexts(spark, sf_dir)
+    return lattice.pairs(lattice.incidence(contexts, ATOMS), lattice.incidence(contexts, STRUCTURAL))
+
+
+def mask_representatives(spark, sf_dir):
+    rows = lattice.masks(_incidence(spark, sf_dir, ATOMS | STRUCTURAL))
+    known = {k: rules.canonical_json(rules.canonical(r)) for k, r in (ATOMS | STRUCTURAL).items()}
+    catalog = spark.createDataFrame([(k, "ACTION_ELIGIBLE", rules.complexity(json.loads(c)), c) for k, c in known.items()], "atom string, track string, priority int, canonical string")
+    return lattice.representatives(rows.join(F.broadcast(catalog), "atom")).select("atom", "mask", "n_members")
+
+
+def lattice_evaluation(spark, sf_dir):
+    return prevalence.action_values(lattice.evaluate(_incidence(spark, sf_dir, ATOMS), _companies(spark, sf_dir)))
+
+
+def mask_equality(spark, sf_dir):
+    """present and not absent are the same mask: no member is on one side only."""
+    contexts = _contexts(spark, sf_dir)
+    left = lattice.incidence(contexts, {k: ATOMS[f"present_{k}"] for k in ("view", "click")})
+    right = lattice.incidence(contexts, {k: {"op": "not", "rule": ATOMS[f"absent_{k}"]} for k in ("view", "click")})
+    return lattice.same_masks(left, right).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def compatibility(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pair_id"),
+        F.when(F.col("p_size") % 5 == 0, "derived.chain_duration_days").otherwise("derived.n_middle").alias("field"),
+        F.when(F.col("p_size") % 5 == 0, "is_null").when(F.col("p_size") % 2 == 0, "lte").otherwise("gte").alias("cmp"),
+        (F.col("p_size") % 7).alias("value"),
+        (F.col("p_partkey") % 4).alias("minimum"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).alias("typed_max"),
+        (F.col("p_partkey") % 2 == 0).alias("needs_start"),
+    )
+    return lattice.compatibility(rows).select("pair_id", "reason")
+
+
+def review_matrix(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pattern"),
+        F.when(F.col("p_size") < 10, "RECOMMEND").when(F.col("p_size") < 30, "INDIFFERENT").otherwise("INCONCLUSIVE").alias("result"),
+        F.when(F.col("p_type") == "ECONOMY", "policy").alias("reason"),
+        F.concat_ws("|", "p_brand", "p_size").alias("signature"),
+        (F.col("p_partkey") % 9).alias("complexity"),
+    )
+    return lattice.review_matrix(rows)
+
+
+def pattern_registry(spark, sf_dir):
+    rows = a.table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.when(F.col("p_size") % 2 == 0, "ACTION_ELIGIBLE").otherwise("DESCRIPTIVE_ASSOCIATION").alias("track"), F.when(F.col("p_size") > 25, "RECOMMEND").otherwise("AVOID").alias("result"))
+    half = F.substring("pattern_id", 2, 9).cast("int") % 2 == 0
+    return prevalence.registry(rows.filter(half), rows.filter(~half)).groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CX = base._MIDDLE
+_HAS = lambda kind: f"EXISTS (SELECT 1 FROM mid m WHERE m.company_id = ch.company_id AND m.chain_sequence = ch.chain_sequence AND m.event_type = '{kind}')"
+_OF = "{0}.company_id = ch.company_id AND {0}.chain_sequence = ch.chain_sequence"
+_BASE = f"""{_CX}, cnt AS (SELECT ch.company_id, ch.chain_sequence, count(mid.event_id) AS n_middle, count(*) FILTER (family = 'exposure') AS n_exposure, count(*) FILTER (family = 'interface') AS n_interface FROM ch LEFT JOIN mid USING (company_id, chain_sequence) GROUP BY ALL)"""
+_SEQ2 = lambda x, y: f"EXISTS (SELECT 1 FROM mid m1, mid m2 WHERE {_OF.format('m1')} AND {_OF.format('m2')} AND m1.event_type = '{x}' AND m2.event_type = '{y}' AND m1.hi < m2.lo)"
+_RULE_SQL = {
+    "view_no_error": f"{_HAS('view')} AND NOT {_HAS('error')}",
+    "view_then_click": _SEQ2("view", "click"),
+    "view_click_error": f"""EXISTS (SELECT 1 FROM mid m1, mid m2, mid m3 WHERE {_OF.format('m1')} AND {_OF.format('m2')} AND {_OF.format('m3')} AND m1.event_type = 'view' AND m2.event_type = 'click' AND m3.event_type = 'error'
+      AND m1.hi < m2.lo AND m2.hi < m3.lo AND m2.lo - m1.hi >= 1 AND m3.lo - m2.hi >= 1 AND m2.hi - m1.lo <= 14 AND m3.hi - m2.lo <= 14)""",
+    "two_views": _SEQ2("view", "view"),
+    "many_exposures": "cnt.n_exposure >= 5",
+    "signup_first": f"EXISTS (SELECT 1 FROM bt WHERE {_OF.format('bt')} AND event_type = 'signup' AND batch = 1)",
+    "late_click": f"""coalesce((SELECT min(ch.end_day - hi) <= 1 FROM mid m, (SELECT min(lo) AS lim FROM mid m0 WHERE {_OF.format('m0')} AND event_type = 'click' AND hi = (SELECT max(hi) FROM mid mx WHERE {_OF.format('mx')} AND event_type = 'click')) l
+      WHERE {_OF.format('m')} AND event_type = 'click' AND hi >= lim), false)""",
+    "not_first": "ch.chain_sequence > 1",
+    "several_people": f"(SELECT count(*) FROM mid m WHERE {_OF.format('m')} AND event_id::BIGINT % 3 < 2) > 3",
+    "long_gap": f"coalesce((SELECT max(g) >= 3 FROM (SELECT min(lo) - lag(max(hi)) OVER (ORDER BY batch) AS g FROM bt WHERE {_OF.format('bt')} GROUP BY batch)), false)",
+}
+_JOIN = "FROM ch JOIN cnt USING (company_id, chain_sequence)"
+_FLAGS = f"{_BASE}, fl AS (SELECT ch.company_id, ch.chain_sequence, {', '.join(f'({sql}) AS {name}' for name, sql in _RULE_SQL.items())} {_JOIN})"
+_PRIMARY = "CASE " + " ".join(f"WHEN {n} THEN '{n}'" for n in PATTERNS) + " ELSE 'UNMATCHED' END"
+_COMPANIES = "co AS (SELECT user_id AS company_id, CASE WHEN s > e THEN 'SUCCESS' WHEN s < e THEN 'FAILURE' ELSE 'AMBIGUOUS' END AS label FROM (SELECT user_id, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id))"
+_PROFILES = f"{_FLAGS}, {_COMPANIES}, pf AS (SELECT company_id, label, count(fl.chain_sequence) AS n_chains, {', '.join(f'CASE WHEN count(fl.chain_sequence) > 0 THEN count(*) FILTER ({n}) END AS {n}_count, bool_or({n}) AS {n}_any' for n in PATTERNS)} FROM co LEFT JOIN fl USING (company_id) GROUP BY ALL)"
+_VALUES = """v AS (SELECT *, success_taking + failure_taking AS n1, success_not_taking + failure_not_taking AS n0, success_taking + success_not_taking AS s, failure_taking + failure_not_taking AS f FROM t),
+      w AS (SELECT *, success_taking / n1 AS p1, success_not_taking / n0 AS p0, CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN s = 0 OR f = 0 THEN 0.0::DOUBLE ELSE (n1 + n0) * pow(success_taking * failure_not_taking - failure_taking * success_not_taking, 2) / (n1::DOUBLE * n0 * s * f) END AS x FROM v),
+      z AS (SELECT *, sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) AS se FROM w)
+      SELECT pattern, success_taking, failure_taking, success_not_taking, failure_not_taking, p1 AS taking_success_rate, p0 AS not_taking_success_rate, p1 - p0 AS ate_success, x AS chi_square,
+      CASE WHEN n1 = 0 OR n0 = 0 THEN 'INSUFFICIENT_PATTERN_SUPPORT' WHEN x > 3.841458820694124 THEN CASE WHEN p1 > p0 THEN 'RECOMMEND' WHEN p1 < p0 THEN 'AVOID' ELSE 'INDIFFERENT' END
+        WHEN CASE WHEN se = 0 THEN abs(p1 - p0) < 0.05 ELSE (p1 - p0 + 0.05) / se > 1.6448536269514722 AND (p1 - p0 - 0.05) / se < -1.6448536269514722 END THEN 'INDIFFERENT' ELSE 'INCONCLUSIVE' END AS result FROM z"""
+_ATOMS = " UNION ALL ".join([f"SELECT '{op}_{k}' AS atom, ch.company_id, ch.chain_sequence FROM ch WHERE {'NOT ' if op == 'absent' else ''}{_HAS(k)}" for op in ("present", "absent") for k in ("view", "click", "error", "signup")])
+_STRUCT = " UNION ALL ".join([f"SELECT 'middle_{c}_{t}' AS atom, company_id, chain_sequence FROM cnt WHERE n_middle {'>=' if c == 'gte' else '<='} {t}" for c in ("gte", "lte") for t in (1, 2, 5, 10)])
+_INC = f"{_BASE}, an AS ({_ATOMS}), st AS ({_STRUCT}), al AS (SELECT * FROM an UNION ALL SELECT * FROM st)"
+_PRIORITY = ", ".join(f"('{k}', {rules.complexity(rules.canonical(r))}, '{rules.canonical_json(rules.canonical(r))}')" for k, r in (ATOMS | STRUCTURAL).items())
+
+
+QUERIES = {
+    "pattern_flags": (pattern_flags, f"{_FLAGS} SELECT *, {_PRIMARY} AS primary_seed FROM fl"),
+    **{f"pattern_{name}": (_single(name), f"{_FLAGS} SELECT company_id, chain_sequence FROM fl WHERE {name}") for name in ("view_no_error", "view_then_click", "view_click_error", "late_click", "signup_first")},
+    "derived_features": (derived_features, f"""{_BASE}, b AS (SELECT company_id, chain_sequence, batch, min(lo) AS lo, max(hi) AS hi FROM bt GROUP BY ALL),
+      g AS (SELECT *, lo - lag(hi) OVER w AS g1, hi - lag(lo) OVER w AS g2 FROM b WINDOW w AS (PARTITION BY company_id, chain_sequence ORDER BY batch)),
+      gs AS (SELECT company_id, chain_sequence, count(*) AS nb, (max_by(lo, batch) - min_by(hi, batch))::INT AS s1, (max_by(hi, batch) - min_by(lo, batch))::INT AS s2, min(g1)::INT AS g1, max(g2)::INT AS g2 FROM g GROUP BY ALL),
+      tm AS (SELECT mid.*, ch.start_day, ch.end_day, min(lo) OVER k AS e_lo, max(hi) OVER k AS e_hi FROM mid JOIN ch USING (company_id, chain_sequence) WINDOW k AS (PARTITION BY mid.company_id, mid.chain_sequence)),
+      tl AS (SELECT *, max(hi) FILTER (lo = e_lo) OVER k AS f_lim, min(lo) FILTER (hi = e_hi) OVER k AS l_lim FROM tm WINDOW k AS (PARTITION BY company_id, chain_sequence)),
+      tt AS (SELECT company_id, chain_sequence, min(lo - start_day) FILTER (lo <= f_lim)::INT AS a1, max(hi - start_day) FILTER (lo <= f_lim)::INT AS a2, min(end_day - hi) FILTER (hi >= l_lim)::INT AS b1, max(end_day - lo) FILTER (hi >= l_lim)::INT AS b2,
+        count(DISTINCT CASE event_id::BIGINT % 3 WHEN 0 THEN 'id:i' || event_id::BIGINT % 5 WHEN 1 THEN 'raw:firm ' || event_id::BIGINT % 4 END) FILTER (family = 'interface') AS people FROM tl GROUP BY ALL)
+      SELECT ch.company_id, ch.chain_sequence, n_middle, (end_day - start_day)::INT AS chain_duration_days, coalesce(nb, 0) AS n_ordered_batches, greatest(coalesce(nb, 0) - 1, 0) AS n_comparable_gaps, n_middle::INT AS n_known_date_middle_events,
+        CASE WHEN nb > 1 THEN s1 END AS middle_span_min, CASE WHEN nb > 1 THEN s2 END AS middle_span_max, g1 AS min_interbatch_gap_min, g2 AS max_interbatch_gap_max, CASE WHEN n_middle > 0 THEN n_interface / n_middle END AS interface_share,
+        CASE WHEN end_day > start_day THEN n_middle * 365.25::DOUBLE / (end_day - start_day) END AS events_per_chain_year, ch.chain_sequence - 1 AS n_prior_chains,
+        CASE WHEN ch.chain_sequence = 1 THEN 'first' WHEN ch.chain_sequence = max(ch.chain_sequence) OVER (PARTITION BY ch.company_id) THEN 'last' WHEN ch.chain_sequence <= 3 THEN 'early' ELSE 'later' END AS chain_position_bucket,
+        a1 AS first_any_after_start_min, a2 AS first_any_after_start_max, b1 AS last_any_before_end_min, b2 AS last_any_before_end_max, coalesce(people, 0)::INT AS interface_investor_count
+      FROM ch JOIN cnt USING (company_id, chain_sequence) LEFT JOIN gs USING (company_id, chain_sequence) LEFT JOIN tt USING (company_id, chain_sequence)"""),
+    "company_profiles": (company_profiles, f"{_PROFILES} SELECT * FROM pf"),
+    "pattern_prevalence": (pattern_prevalence, f"""{_PROFILES}, l AS ({" UNION ALL ".join(f"SELECT '{n}' AS pattern, label, {n}_any AS t FROM pf WHERE n_chains > 0" for n in PATTERNS)})
+      SELECT pattern, count(*) FILTER (t AND label = 'SUCCESS') AS success_taking, count(*) FILTER (t AND label = 'FAILURE') AS failure_taking, count(*) FILTER (NOT t AND label = 'SUCCESS') AS success_not_taking, count(*) FILTER (NOT t AND label = 'FAILURE') AS failure_not_taking
+      FROM l WHERE label IN ('SUCCESS', 'FAILURE') GROUP BY pattern"""),
+    "action_value": (action_value, f"""WITH o AS (SELECT c_mktsegment AS pattern, count(*) FILTER (o_orderstatus = 'F') AS success_taking, count(*) FILTER (o_orderstatus = 'O') AS failure_taking FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+      t AS (SELECT *, (SELECT sum(success_taking) FROM o)::BIGINT - success_taking AS success_not_taking, (SELECT sum(failure_taking) FROM o)::BIGINT - failure_taking AS failure_not_taking FROM o), {_VALUES}"""),
+    "lattice_witnessed_pairs": (lattice_witnessed_pairs, f"""{_CX} SELECT x.event_type AS first, y.event_type AS second, count(DISTINCT (x.company_id, x.chain_sequence)) AS n_chains FROM mid x JOIN mid y USING (company_id, chain_sequence) WHERE x.hi < y.lo GROUP BY ALL"""),
+    "lattice_support": (lattice_support, f"{_INC} SELECT atom, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM al GROUP BY atom HAVING count(*) >= 5 AND count(DISTINCT company_id) >= 5 AND count(*) < (SELECT count(*) FROM ch)"),
+    "lattice_pairs": (lattice_pairs, f"{_INC} SELECT an.atom AS anchor, st.atom AS structural, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM an JOIN st USING (company_id, chain_sequence) GROUP BY ALL"),
+    "mask_representatives": (mask_representatives, f"""{_INC}, k AS (SELECT atom, sha256(string_agg(DISTINCT company_id::VARCHAR, ',' ORDER BY company_id::VARCHAR)) AS mask FROM al GROUP BY atom), p(atom, priority, canonical) AS (VALUES {_PRIORITY})
+      SELECT arg_min(atom, (priority, canonical)) AS atom, mask, count(*) AS n_members FROM k JOIN p USING (atom) GROUP BY mask"""),
+    "lattice_evaluation": (lattice_evaluation, f"""{_INC}, {_COMPANIES}, e AS (SELECT atom AS pattern, count(*) FILTER (label = 'SUCCESS') AS success_taking, count(*) FILTER (label = 'FAILURE') AS failure_taking FROM (SELECT DISTINCT atom, company_id FROM an) JOIN co USING (company_id) WHERE label <> 'AMBIGUOUS' GROUP BY atom),
+      t AS (SELECT *, (SELECT count(*) FROM co WHERE label = 'SUCCESS') - success_taking AS success_not_taking, (SELECT count(*) FROM co WHERE label = 'FAILURE') - failure_taking AS failure_not_taking FROM e), {_VALUES}"""),
+    "mask_equality": (mask_equality, "SELECT '' AS side, 0::BIGINT AS n WHERE false"),
+    "compatibility": (compatibility, """WITH p AS (SELECT p_partkey AS pair_id, p_size % 5 = 0 AS d, p_size % 2 = 0 AS even, p_size % 7 AS value, p_partkey % 4 AS minimum, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 END AS typed_max, p_partkey % 2 = 0 AS needs FROM part)
+      SELECT pair_id, CASE WHEN NOT d AND even AND minimum > value THEN 'UNSAT_COUNT_BOUND' WHEN NOT d AND NOT even AND minimum >= value THEN 'ANCHOR_IMPLIES_STRUCTURAL' WHEN NOT d AND even AND value <= typed_max THEN 'STRUCTURAL_IMPLIES_ANCHOR' WHEN d AND needs THEN 'UNSAT_NULLNESS' END AS reason FROM p"""),
+    "review_matrix": (review_matrix, """WITH p AS (SELECT p_partkey AS pattern, CASE WHEN p_size < 10 THEN 'RECOMMEND' WHEN p_size < 30 THEN 'INDIFFERENT' ELSE 'INCONCLUSIVE' END AS result, p_type = 'ECONOMY' AS gone, p_brand || '|' || p_size AS sig, p_partkey % 9 AS c FROM part),
+      r AS (SELECT * FROM p WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY sig ORDER BY c, pattern) = 1)
+      SELECT result, count(*) AS n, '1_all' AS step FROM p GROUP BY result UNION ALL SELECT result, count(*), '2_after_policy' FROM p WHERE NOT gone GROUP BY result UNION ALL SELECT result, count(*), '3_representatives' FROM r GROUP BY result"""),
+    "pattern_registry": (pattern_registry, "SELECT CASE WHEN p_size > 25 THEN 'RECOMMEND' ELSE 'AVOID' END AS result, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1"),
+}

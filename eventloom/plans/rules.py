@@ -354,7 +354,7 @@ def compile_value(node: dict) -> Column:
         return F.size(F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != ""))))
     values = F.col(body["field"])
     values = F.filter(values, lambda v: v.isNotNull()) if body["ignore_null"] else values
-    values = F.transform(values, F.trim) if body["strip_strings"] else values
+    values = F.transform(values, lambda v: F.trim(v)) if body["strip_strings"] else values
     values = F.filter(values, lambda v: ~v.eqNullSafe("")) if body["ignore_empty"] else values
     return F.size(F.array_distinct(values) if body["distinct"] else values)
 
