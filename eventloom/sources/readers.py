@@ -67,7 +67,7 @@ def jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def csv(spark: SparkSession, pattern: str) -> DataFrame:
     """All columns as text, quoted fields over several lines; empty fields are empty text."""
-    return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(pattern)
+    return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(pattern).na.fill("")
 
 
 def documents(spark: SparkSession, pattern: str) -> DataFrame:
