@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import strict_partial_date
+from eventloom.operators.storage import global_rank
 
 #: The event types that make a case, and the gates (episodes or rows, companies).
 CORE = ("activist_action", "board_change", "exit", "major_holder_change", "secondary_transaction", "strategic_investment")
@@ -142,10 +143,8 @@ def support(events: DataFrame) -> DataFrame:
             "passes_legacy_episode_gate_5_3": (episodes >= LEGACY_GATE[0]) & (companies >= LEGACY_GATE[1]),
         }
     )
-    # One row per investor: the ranks order them all.
-    breadth = Window.orderBy(companies.desc(), episodes.desc(), "investor_name", "investor_id")
-    depth = Window.orderBy(episodes.desc(), companies.desc(), "investor_name", "investor_id")
-    return out.withColumns({"breadth_rank_by_all_interface_companies": F.row_number().over(breadth), "core_episode_count_rank": F.row_number().over(depth)})
+    out = global_rank(out, "breadth_rank_by_all_interface_companies", -companies, -episodes, F.col("investor_name"), F.col("investor_id"))
+    return global_rank(out, "core_episode_count_rank", -episodes, -companies, F.col("investor_name"), F.col("investor_id"))
 
 
 def threshold_grid(metrics: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.storage import global_rank, written
+
 #: Hosts that many firms share, so that their domain says nothing.
 AGGREGATORS = ("angellist.com", "angel.co", "linkedin.com", "crunchbase.com", "medium.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "swfinstitute.org", "pitchbook.com")
 
@@ -23,37 +23,20 @@ def entity_keys(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.explode(F.array_compact(F.concat(single, named))).alias("key")).distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The rows again, from a table in the folder that the cluster shares (checkpoint() where none is set)."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
-        shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(keys: DataFrame) -> DataFrame:
     """(row, component): the smallest row that shared keys reach.
 
     Each round takes the least label of a key's rows, then the label of the label; rounds
     are written to the shared folder. A key of very many rows costs one sum per task.
     """
-    keys = _written(keys)
-    label = _written(keys.select("row", F.col("row").alias("component")).distinct())
+    keys = written(keys)
+    label = written(keys.select("row", F.col("row").alias("component")).distinct())
     while True:
         of_key = keys.join(label, "row").groupBy("key").agg(F.min("component").alias("least"))
         near = keys.join(of_key, "key").groupBy("row").agg(F.min("least").alias("near"))
         step = label.join(near, "row").select("row", F.col("component").alias("was"), F.least("component", "near").alias("mid"))
         jump = label.select(F.col("row").alias("mid"), F.col("component").alias("far"))
-        after = _written(step.join(jump, "mid", "left").select("row", "was", F.least("mid", F.coalesce("far", "mid")).alias("component")))
+        after = written(step.join(jump, "mid", "left").select("row", "was", F.least("mid", F.coalesce("far", "mid")).alias("component")))
         label = after.select("row", "component")
         if after.filter("was <> component").isEmpty():
             return label
@@ -86,10 +69,10 @@ def provenance(rows: DataFrame, fields: list[str], by: str = "component") -> Dat
 def dedup_companies(edges: DataFrame) -> DataFrame:
     """Companies of the portfolio edges: by key the first spelling, how many edges, and a number in the order of first sight.
 
-    edges: key, name, row. The numbering orders all companies, which is small next to the edges.
+    edges: key, name, row.
     """
     grouped = edges.groupBy("key").agg(F.min_by("name", "row").alias("company_canonical_name"), F.count(F.lit(1)).alias("edge_count"), F.min("row").alias("first_row"))
-    return grouped.withColumn("number", F.row_number().over(Window.orderBy("first_row")).cast("long"))
+    return global_rank(grouped, "number", F.col("first_row"))
 
 
 def conflicting(provenance_rows: DataFrame, field: str, by: str = "component") -> DataFrame:

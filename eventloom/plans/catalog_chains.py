@@ -190,8 +190,8 @@ sm AS (SELECT m.*, fe.n_funding_to_exit_companies, n_core_event_rows - n_core_ep
   n_core_episode_count >= 3 AND n_all_interface_companies >= 3 AS passes_primary_episode_gate_3_3,
   n_core_event_rows >= 5 AND n_all_interface_companies >= 3 AS passes_legacy_raw_gate_5_3,
   n_core_episode_count >= 5 AND n_all_interface_companies >= 3 AS passes_legacy_episode_gate_5_3,
-  row_number() OVER (ORDER BY n_all_interface_companies DESC, n_core_episode_count DESC, investor_name, investor_id)::INT AS breadth_rank_by_all_interface_companies,
-  row_number() OVER (ORDER BY n_core_episode_count DESC, n_all_interface_companies DESC, investor_name, investor_id)::INT AS core_episode_count_rank FROM m JOIN fe USING (investor_id))"""
+  row_number() OVER (ORDER BY n_all_interface_companies DESC, n_core_episode_count DESC, investor_name, investor_id) AS breadth_rank_by_all_interface_companies,
+  row_number() OVER (ORDER BY n_core_episode_count DESC, n_all_interface_companies DESC, investor_name, investor_id) AS core_episode_count_rank FROM m JOIN fe USING (investor_id))"""
 
 
 def _json_counts(name, value, where="true"):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import names, outcomes, stats
-from eventloom.operators import checks, entities, evaluation, identity, leakage
+from eventloom.operators import checks, edges, entities, evaluation, identity, leakage
 from eventloom.plans import analogues as a
+from eventloom.plans.catalog_chains import _MIDDLE
 from eventloom.sources import html
 
 
@@ -247,10 +248,58 @@ def newest_partition(spark, sf_dir):
     return made.groupBy("slug").agg(F.max("day").alias("newest"), F.max_by("page_id", F.struct("day", "page_id")).alias("page_id"))
 
 
+def _edges(spark, sf_dir):
+    """Supplier-part pairs as portfolio edges; a pair that was shipped often is listed often."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    row = (k * 100_000 + F.col("l_partkey")) * 10 + n
+    return a.table(spark, sf_dir, "lineitem").filter("l_suppkey < 40").select(
+        F.col("l_suppkey").alias("investor_id"),
+        F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("company_normalized_name"),
+        F.when(k % 3 == 0, "Read More").when(k % 3 == 1, "/path").otherwise("Name").alias("company_name_raw"),
+        row.alias("row"),
+        F.when(n == 1, F.array(F.lit("seed"))).when(n == 2, F.array(F.lit("growth"), F.lit("seed"))).alias("stage_at_investment"),
+        F.when(k % 5 == 0, F.array(F.concat(F.lit("i"), (k % 3).cast("string")))).otherwise(F.array().cast("array<string>")).alias("industry"),
+        F.when(k % 7 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("company_url"),
+        F.when(k % 4 == 0, "active").alias("position"),
+    )
+
+
+def edge_upsert(spark, sf_dir):
+    made = edges.upsert(_edges(spark, sf_dir))
+    return made.select("investor_id", "company_normalized_name", "row", F.array_join("stage_at_investment", ",").alias("stages"), F.array_join(F.array_sort("industry"), ",").alias("industries"), "company_url", "position")
+
+
+def edge_coverage(spark, sf_dir):
+    return edges.coverage(_edges(spark, sf_dir))
+
+
+def edge_spot_check(spark, sf_dir):
+    return edges.spot_check(_edges(spark, sf_dir))
+
+
+def selector_self_test(spark, sf_dir):
+    return edges.page_checks(html_links(spark, sf_dir), 1, 6)
+
+
+def chain_contract(spark, sf_dir):
+    """Violations of chains that are broken on purpose: a seventh names a company that isn't there, an eleventh counts wrong."""
+    from eventloom.plans.catalog_patterns import _contract
+
+    chains_ = _contract(spark, sf_dir)
+    k = F.col("chain_sequence")
+    broken = chains_.withColumns({"company_id": F.when(k % 7 == 0, -F.col("company_id") - 1).otherwise(F.col("company_id")), "n_exposure": F.when(k % 11 == 0, F.col("n_exposure") + 1).otherwise(F.col("n_exposure"))})
+    rows = a.events(spark, sf_dir).filter("family <> 'outcome'")
+    companies = a.table(spark, sf_dir, "events").select(F.col("user_id").alias("company_id"), F.lit("SUCCESS").alias("label")).distinct()
+    found = checks.chain_violations(broken.withColumn("company_id", F.col("company_id").cast("long")), rows, companies)
+    return found.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
 _TAIL = lambda words: f"(?:(?:^| )(?:{'|'.join(words)}))+$"
 _SQUEEZE = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 _RAW = "'  ' || p_init || CASE p_partkey % 3 WHEN 0 THEN ' Capital, Partners LLC' WHEN 1 THEN '-Works & Co.' ELSE ' Ventures  (Fund) Éclair' END"
 _INIT = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_EDGES = """ed AS (SELECT l_suppkey AS investor_id, 'c' || l_partkey % 50 AS c, l_orderkey AS k, l_linenumber AS n, (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS row,
+  CASE WHEN l_orderkey % 5 = 0 THEN 'i' || l_orderkey % 3 END AS ind, CASE WHEN l_orderkey % 7 = 0 THEN 'u' || l_orderkey END AS url, CASE WHEN l_orderkey % 4 = 0 THEN 'active' END AS pos FROM lineitem WHERE l_suppkey < 40)"""
 _IFACE = "ix AS (SELECT event_id::VARCHAR AS event_id, event_id AS n, CASE WHEN event_id % 3 = 0 THEN 'inv' || event_id % 20 END AS investor_id, CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'Supplier ' || event_id % 30 || ' Capital' END AS raw_investor_name FROM events)"
 _SRC = """src AS (SELECT *, CASE source WHEN 'seed' THEN 2 ELSE 1 END AS priority, CASE WHEN row % 9 = 0 THEN 'Q' || (row // 27) % 40 END AS qid, CASE WHEN row % 7 = 0 THEN 'linkedin.com' WHEN row % 5 = 0 THEN 'd' || row % 31 || '.com' END AS domain,
     'n' || row % 301 AS nn, CASE WHEN row % 4 = 0 THEN 'S' || n END AS st, CASE WHEN row % 3 > 0 THEN round(v, 0)::INT END AS fy, row % 10 / 10 AS confidence
@@ -343,5 +392,14 @@ QUERIES = {
       SELECT doc_id, length(quote) = 12 AND substr(text, a + 1, 12) = quote AS holds, sha256('source=' || length(source) || ':' || source || chr(0) || 'lang=' || length(lang) || ':' || lang || chr(0) || 'n_chars=' || length(n_chars::VARCHAR) || ':' || n_chars) AS row_sha256 FROM q"""),
     "coverage_gaps": (coverage_gaps, "WITH w AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) SELECT doc_id, 'missing' AS gap FROM (SELECT doc_id FROM w EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM w)"),
     "html_links": (html_links, None),
+    "edge_upsert": (edge_upsert, f"""WITH {_EDGES}, st AS (SELECT investor_id, c, x, min(row * 10 + o) AS first FROM ed, (VALUES (1), (2)) v(o), LATERAL (SELECT CASE WHEN n = 1 AND o = 1 THEN 'seed' WHEN n = 2 AND o = 1 THEN 'growth' WHEN n = 2 AND o = 2 THEN 'seed' END AS x) WHERE x IS NOT NULL GROUP BY ALL)
+      SELECT investor_id, c AS company_normalized_name, min(row) AS row, coalesce(any_value(s.stages), '') AS stages, coalesce(string_agg(DISTINCT ind, ',' ORDER BY ind), '') AS industries, arg_min(url, row) FILTER (url IS NOT NULL) AS company_url, arg_min(pos, row) FILTER (pos IS NOT NULL) AS position
+      FROM ed LEFT JOIN (SELECT investor_id, c, string_agg(x, ',' ORDER BY first) AS stages FROM st GROUP BY ALL) s USING (investor_id, c) GROUP BY ALL"""),
+    "edge_coverage": (edge_coverage, f"WITH {_EDGES} SELECT investor_id, count(*) AS n_edges, count(DISTINCT c) AS n_companies, count(url) AS n_company_url, count(pos) AS n_position, count(*) FILTER (n IN (1, 2)) AS n_stage_at_investment, count(ind) AS n_industry FROM ed GROUP BY investor_id"),
+    "edge_spot_check": (edge_spot_check, f"""WITH {_EDGES}, h AS (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY investor_id ORDER BY row) <= 20)
+      SELECT investor_id, avg((k % 3 = 0)::INT) >= 0.3 AS boilerplate_names, avg((k % 3 = 1)::INT) >= 0.5 AS url_names, bool_and(url IS NULL) AS no_url, bool_and(n NOT IN (1, 2)) AS no_stage, bool_and(ind IS NULL) AS no_industry, bool_and(pos IS NULL) AS no_position FROM h GROUP BY investor_id"""),
+    "selector_self_test": (selector_self_test, None),
+    "chain_contract": (chain_contract, f"""{_MIDDLE}, x AS (SELECT ch.company_id, ch.chain_sequence, count(mid.event_id) AS n FROM ch LEFT JOIN mid USING (company_id, chain_sequence) GROUP BY ALL)
+      SELECT 'unknown company' AS violation, count(*) AS n FROM x WHERE chain_sequence % 7 = 0 UNION ALL SELECT 'counts differ', count(*) FROM x WHERE chain_sequence % 11 = 0 UNION ALL SELECT 'event of another company', count(*) FROM x WHERE chain_sequence % 7 = 0 AND n > 0"""),
     "newest_partition": (newest_partition, "WITH p AS (SELECT regexp_extract(url, '^http://([^/]+)/', 1) AS slug, '2024-01-01'::DATE + (page_id % 90)::INT AS day, page_id FROM pages) SELECT slug, max(day) AS newest, arg_max(page_id, (day, page_id)) AS page_id FROM p GROUP BY slug"),
 }
