@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import strict_partial_date
-from eventloom.operators.storage import global_rank
+from eventloom.operators.storage import global_rank, written
 
 #: The event types that make a case, and the gates (episodes or rows, companies).
 CORE = ("activist_action", "board_change", "exit", "major_holder_change", "secondary_transaction", "strategic_investment")
@@ -74,6 +74,8 @@ def profiles(related: DataFrame) -> DataFrame:
 
     related: investor_id, company_id, company_label, event_id, event_type, event_date, temporal_relation_status.
     """
+    # Several aggregates read these rows; the join behind them is made once.
+    related = written(related.select("investor_id", "company_id", "company_label", "event_id", "event_type", "event_date", "temporal_relation_status"))
     status = F.col("temporal_relation_status")
     confirmed = status == CONFIRMED
     dated = F.when(strict_partial_date(F.col("event_date")).isNotNull(), F.col("event_date"))

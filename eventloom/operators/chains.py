@@ -55,12 +55,14 @@ def resolve_claims(claims: DataFrame, order: str, fields: list[str], id_col: str
     whether the highest is tied, and the fields in which claims disagree. Null confidence counts 0.
     """
     confidence = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))
-    picked = F.min_by(F.struct(*[c for c in claims.columns if c != id_col]), F.struct((-confidence).alias("c"), F.col(order).alias("o")))
-    tied = F.max_by(F.col("_n"), F.col("_confidence"))
+    picked = F.min_by(F.struct(*[c for c in claims.columns if c != id_col]), F.struct((-F.col("_confidence")).alias("c"), F.col(order).alias("o")))
+    # The window and the aggregate share one exchange; a field differs if its least and greatest value do.
     per = claims.withColumn("_confidence", confidence)
-    per = per.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(id_col, "_confidence")))
-    differ = [F.when(F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit("\0"))) > 1, F.lit(f)) for f in fields]
-    found = per.groupBy(id_col).agg(picked.alias("claim"), F.count(F.lit(1)).alias("n_claims"), (tied > 1).alias("confidence_tied"), F.array_compact(F.array(*differ)).alias("conflict_fields"))
+    per = per.withColumn("_top", F.max("_confidence").over(Window.partitionBy(id_col)))
+    text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("\0"))
+    differ = [F.when(F.min(text(f)) != F.max(text(f)), F.lit(f)) for f in fields]
+    tied = F.count_if(F.col("_confidence") == F.col("_top")) > 1
+    found = per.groupBy(id_col).agg(picked.alias("claim"), F.count(F.lit(1)).alias("n_claims"), tied.alias("confidence_tied"), F.array_compact(F.array(*differ)).alias("conflict_fields"))
     return found.select(id_col, "claim.*", "n_claims", "confidence_tied", "conflict_fields")
 
 
