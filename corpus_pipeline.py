@@ -38,9 +38,8 @@ def temperature_mix(spark, docs, sf_dir):
 
 def tokenize(spark, docs, sf_dir):
     """doc_id, source, n_tokens, ids, and the digest of the decoded text."""
-    path = vocabulary("word_bpe_49k.json")
     keyed = docs.select(F.struct("doc_id", "source").alias("key"), "text")
-    decoded = bpe.decode(bpe.encode(keyed, path, id_col="key"), path)
+    decoded = bpe.encode_decode(keyed, vocabulary("word_bpe_49k.json"), id_col="key")
     return decoded.select("doc_id.doc_id", "doc_id.source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from eventloom.llm.common import map_arrow
+
 #: Characters whose chunks are held at once, and chunks cached by a worker (in each of two generations).
 PIECE = 1 << 20
-CACHED = 300_000
+CACHED = 200_000
 NONE = np.iinfo(np.int32).max
 
 #: White space as Unicode has it; str.split() also splits at 1C to 1F, which are no white space there.
@@ -96,6 +98,7 @@ class Bpe:
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.size = max(names) + 1
         self.tokens = [names.get(i, "") for i in range(self.size)]
+        self.pieces = None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -231,6 +234,30 @@ class Bpe:
         return found
 
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.young, self.old = {}, {}
+
+    def encode_array(self, texts: list) -> pa.ListArray:
+        """The ids of the texts of a batch; null is an empty text."""
+        found = self.encode([t or "" for t in texts])
+        offsets = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), np.int32))
+
+    def decode_array(self, ids: pa.ListArray) -> pa.StringArray:
+        """The decoded texts of a batch: the tokens joined by spaces; null ids are an empty text."""
+        if self.pieces is None:
+            # Each token is there twice: with a space before it, and as the first of a text.
+            self.pieces = pa.array([" " + t for t in self.tokens] + self.tokens, pa.string())
+        values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = np.array(ids.value_lengths().fill_null(0))
+        bounds = np.r_[0, np.cumsum(lengths)]
+        values[bounds[:-1][lengths > 0]] += len(self.tokens)
+        flat = self.pieces.take(pa.array(values))
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[: len(values) + 1] if len(values) else np.zeros(1, np.int32)
+        return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends[bounds].tobytes()), flat.buffers()[2])
+
+
 _loaded: dict[str, Bpe] = {}
 
 
@@ -249,12 +276,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            found = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
-            offsets = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bpe.encode_array(batch.column("text").to_pylist())], ["doc_id", "ids"])
+        bpe.forget()  # the worker lives on
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
+    return map_arrow(rows, run, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -262,22 +287,26 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "dec
     schema = StructType([*encoded.schema.fields, StructField(into, StringType())])
 
     def run(batches):
-        tokens = load(path).tokens
-        # Each token is there twice: with a space before it, and as the first of a text.
-        pieces = pa.array([" " + t for t in tokens] + tokens, pa.string())
+        bpe = load(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_array(batch.column(ids_col))], [*batch.schema.names, into])
+
+    return map_arrow(encoded, run, schema)
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in a single pass: doc_id, ids, decoded."""
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        bpe = load(path)
         for batch in batches:
-            ids = batch.column(ids_col)
-            values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths = np.array(ids.value_lengths().fill_null(0))
-            bounds = np.r_[0, np.cumsum(lengths)]
-            values[bounds[:-1][lengths > 0]] += len(tokens)
-            flat = pieces.take(pa.array(values))
-            offsets, data = np.frombuffer(flat.buffers()[1], np.int32), flat.buffers()[2]
-            cut = pa.py_buffer(offsets[: len(values) + 1][bounds].astype(np.int32).tobytes()) if len(values) else pa.py_buffer(np.zeros(len(lengths) + 1, np.int32).tobytes())
-            text = pa.StringArray.from_buffers(len(lengths), cut, data)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, into])
-
-    return encoded.mapInArrow(run, schema)
+            ids = bpe.encode_array(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, bpe.decode_array(ids)], ["doc_id", "ids", "decoded"])
+        bpe.forget()
+
+    return map_arrow(rows, run, f"doc_id {id_type}, ids array<int>, decoded string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize
+from eventloom.llm.common import map_arrow, materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -59,7 +59,7 @@ def _conversations(logged: DataFrame, id_col: str, turn_col: str, role_col: str,
             columns = [pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(shorter, pa.list_(pa.binary())), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], ["conv_id", "n_turns", "whole", "shorter", "rendered"])
 
-    return grouped.mapInArrow(run, f"conv_id {id_type}, n_turns long, whole binary, shorter array<binary>, rendered string")
+    return map_arrow(grouped, run, f"conv_id {id_type}, n_turns long, whole binary, shorter array<binary>, rendered string")
 
 
 def collapse(logged: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

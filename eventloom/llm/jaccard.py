@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import signature_tree
-from eventloom.llm.common import materialize
+from eventloom.llm.common import map_arrow, materialize
 
 NGRAM = 5
 PERCENT = 75
@@ -114,7 +114,7 @@ def _survey(rows: DataFrame, id_type: str, ngram: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n long, class long, bits binary, token long, df long")
+    return map_arrow(rows, run, f"doc_id {id_type}, n long, class long, bits binary, token long, df long")
 
 
 def _postings(rows: DataFrame, hot, ranges: int, ngram: int, percent: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _postings(rows: DataFrame, hot, ranges: int, ngram: int, percent: int) -> Da
         if size:
             yield from packed()
 
-    return rows.mapInArrow(run, "range int, tokens binary, classes binary")
+    return map_arrow(rows, run, "range int, tokens binary, classes binary")
 
 
 def _blocks(postings: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _propose(members: DataFrame, most: int | None, percent: int) -> DataFrame:
             yield pairs_of(waiting.combine_chunks())
 
     sorted_members = members.repartition(*key).sortWithinPartitions(*key)
-    return sorted_members.mapInArrow(run, "a long, b long, block long")
+    return map_arrow(sorted_members, run, "a long, b long, block long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +271,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_arrow(both, run, "a long, b long")
 
 
 def components(edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
@@ -383,7 +383,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                     found.append((cls, tokens.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], ["class", "tokens"])
 
-    return joined.mapInArrow(run, "class long, tokens binary")
+    return map_arrow(joined, run, "class long, tokens binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

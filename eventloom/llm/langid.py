@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import map_arrow
+
 N_BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 1000
@@ -142,7 +144,7 @@ def fit(rows: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.nd
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": counts[at]})
 
-    counted = rows.select(text_col, lang_col).mapInArrow(count, "lang string, bucket int, n long")
+    counted = map_arrow(rows.select(text_col, lang_col), count, "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted({x for x in table.column("lang").unique().to_pylist()})
     counts = np.zeros((len(langs), N_BUCKETS))
@@ -177,7 +179,7 @@ def predict(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
                 score = np.where(count > 0, post, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return map_arrow(rows, run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize
+from eventloom.llm.common import map_arrow, materialize
 
 WINDOW = 3
 #: One in so many places between short lines ends a chunk.
@@ -81,7 +81,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(zip(*made), types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *columns], ["doc_id", "chunk", "first", "after", "words", "hash", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, chunk long, first long, after long, words long, hash long, text string")
+    return map_arrow(rows, run, f"doc_id {id_type}, chunk long, first long, after long, words long, hash long, text string")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,6 +31,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventloom.llm.common import map_arrow
+
 #: Thresholds of the base rules, in words and per cent of words.
 LEAST_WORDS = 50
 REPEAT_MOST_PERCENT = 50
@@ -133,7 +135,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [pa.array(x, t) for x, t in zip(found, types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(x.split()[0] for x in _SCHEMA.split(", "))])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, {_SCHEMA}")
+    return map_arrow(rows, run, f"doc_id {id_type}, {_SCHEMA}")
 
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -157,7 +159,7 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -
             made = pa.RecordBatch.from_arrays(columns, batch.schema.names)
             yield made.filter(pa.array([v[8] for v in verdicts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def oracle() -> str:

@@ -18,8 +18,7 @@ def op1_quality_rules(spark, sf_dir):
 
 
 def op2_bpe(spark, sf_dir):
-    path = vocabulary("word_bpe_49k.json")
-    return bpe.digest(bpe.decode(bpe.encode(documents(spark, sf_dir), path), path))
+    return bpe.digest(bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 def op3_line_dedup(spark, sf_dir):

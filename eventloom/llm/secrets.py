@@ -22,6 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from eventloom.llm.common import map_arrow
+
 #: The base patterns, with the least length of what counts.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -78,9 +80,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, base: list, encoding) -> list[tuple[int, int, str]]:
-    found = []
+    found, at, reach = [], 0, 0  # reach: the furthest end of the base spans that begin before the candidate ends
     for m in _candidate.finditer(text):
-        if not any(start < m.end() and m.start() < end for start, _, end in base) and is_random(m[0].rstrip("="), encoding):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and is_random(m[0].rstrip("="), encoding):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -105,7 +110,7 @@ def scan(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
                 spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, base, encoding))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind_type)], ["doc_id", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return map_arrow(rows, run, f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

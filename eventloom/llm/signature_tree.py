@@ -188,6 +188,8 @@ def join(sets: Widths, n: np.ndarray, component: np.ndarray, in_a: np.ndarray, i
             cross(rows, of_b[2 * words], words)
         if in_b is not None and words // 2 in of_b:
             cross(of_b[words // 2], rows, words // 2)
+            j, i, bound = found.pop()
+            found.append((i, j, bound))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
