@@ -220,7 +220,7 @@ _PRIMARY = "CASE " + " ".join(f"WHEN {n} THEN '{n}'" for n in PATTERNS) + " ELSE
 _COMPANIES = "co AS (SELECT user_id AS company_id, CASE WHEN s > e THEN 'SUCCESS' WHEN s < e THEN 'FAILURE' ELSE 'AMBIGUOUS' END AS label FROM (SELECT user_id, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id))"
 _PROFILES = f"{_FLAGS}, {_COMPANIES}, pf AS (SELECT company_id, label, count(fl.chain_sequence) AS n_chains, {', '.join(f'CASE WHEN count(fl.chain_sequence) > 0 THEN count(*) FILTER ({n}) END AS {n}_count, bool_or({n}) AS {n}_any' for n in PATTERNS)} FROM co LEFT JOIN fl USING (company_id) GROUP BY ALL)"
 _VALUES = """v AS (SELECT *, success_taking + failure_taking AS n1, success_not_taking + failure_not_taking AS n0, success_taking + success_not_taking AS s, failure_taking + failure_not_taking AS f FROM t),
-      w AS (SELECT *, success_taking / n1 AS p1, success_not_taking / n0 AS p0, CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN s = 0 OR f = 0 THEN 0.0::DOUBLE ELSE (n1 + n0) * pow(success_taking * failure_not_taking - failure_taking * success_not_taking, 2) / (n1::DOUBLE * n0 * s * f) END AS x FROM v),
+      w AS (SELECT *, success_taking / nullif(n1, 0) AS p1, success_not_taking / nullif(n0, 0) AS p0, CASE WHEN n1 = 0 OR n0 = 0 THEN NULL WHEN s = 0 OR f = 0 THEN 0.0::DOUBLE ELSE (n1 + n0) * pow(success_taking * failure_not_taking - failure_taking * success_not_taking, 2) / (n1::DOUBLE * n0 * s * f) END AS x FROM v),
       z AS (SELECT *, sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) AS se FROM w)
       SELECT pattern, success_taking, failure_taking, success_not_taking, failure_not_taking, p1 AS taking_success_rate, p0 AS not_taking_success_rate, p1 - p0 AS ate_success, x AS chi_square,
       CASE WHEN n1 = 0 OR n0 = 0 THEN 'INSUFFICIENT_PATTERN_SUPPORT' WHEN x > 3.841458820694124 THEN CASE WHEN p1 > p0 THEN 'RECOMMEND' WHEN p1 < p0 THEN 'AVOID' ELSE 'INDIFFERENT' END
