@@ -115,8 +115,8 @@ def profiles(related: DataFrame) -> DataFrame:
     return out
 
 
-def support(events: DataFrame) -> DataFrame:
-    """One row per investor: core rows and episodes by type, companies, funding-to-exit companies, gates and two ranks.
+def support(events: DataFrame, ranked: bool = True) -> DataFrame:
+    """One row per investor: core rows and episodes by type, companies, funding-to-exit companies, gates and, if asked for, two ranks.
 
     events: investor_id, investor_name, company_id, event_id, event_type, event_date.
     """
@@ -145,6 +145,8 @@ def support(events: DataFrame) -> DataFrame:
             "passes_legacy_episode_gate_5_3": (episodes >= LEGACY_GATE[0]) & (companies >= LEGACY_GATE[1]),
         }
     )
+    if not ranked:
+        return out
     out = global_rank(out, "breadth_rank_by_all_interface_companies", -companies, -episodes, F.col("investor_name"), F.col("investor_id"))
     return global_rank(out, "core_episode_count_rank", -episodes, -companies, F.col("investor_name"), F.col("investor_id"))
 

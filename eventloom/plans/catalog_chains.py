@@ -141,13 +141,13 @@ def investor_profiles(spark, sf_dir):
     return behavior.profiles(_related(spark, sf_dir))
 
 
-def _support(spark, sf_dir):
+def _support(spark, sf_dir, ranked=False):
     _, moves = a.deals(spark, sf_dir)
-    return behavior.support(moves.withColumn("investor_name", F.concat(F.lit("S"), F.col("investor_id").cast("string"))))
+    return behavior.support(moves.withColumn("investor_name", F.concat(F.lit("S"), F.col("investor_id").cast("string"))), ranked)
 
 
 def investor_support(spark, sf_dir):
-    return _support(spark, sf_dir)
+    return _support(spark, sf_dir, ranked=True)
 
 
 def support_grid(spark, sf_dir):
@@ -157,7 +157,7 @@ def support_grid(spark, sf_dir):
 def duplicate_sensitive(spark, sf_dir):
     rows = a.table(spark, sf_dir, "events")
     made = rows.select(F.col("user_id").alias("investor_id"), F.col("user_id").cast("string").alias("investor_name"), (F.col("event_id") % 5).alias("company_id"), "event_id", F.when(F.col("event_type") == "purchase", "exit").otherwise("other").alias("event_type"), F.date_format("ts", "yyyy").alias("event_date"))
-    return behavior.duplicate_sensitive(behavior.support(made))
+    return behavior.duplicate_sensitive(behavior.support(made, ranked=False))
 
 
 def behavior_combinations(spark, sf_dir):
