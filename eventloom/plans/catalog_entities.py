@@ -100,7 +100,7 @@ def score_aggregate(spark, sf_dir):
 
 
 def leakage_severity(spark, sf_dir):
-    """The reference's families rarely hit invented prose, so families that do are scanned for, with the same weights."""
+    """The built-in families rarely hit invented prose, so families that do are scanned for, with the same weights."""
     families = {"ipo_public": {"license": r"\blicen[sc]ed?\b"}, "acquisition": {"mail": r"[a-z0-9._]+@[a-z0-9.]+"}, "funding": {"number": r"\b[0-9]{6,}\b"}, "retrospective": {"phrase": r"\b(?:the|die|la)\s+(?:the|of|der|de)\b"}}
     counts = leakage.family_counts(a.table(spark, sf_dir, "documents"), "doc_id", "text", families)
     score = sum((F.when(F.col(f"n_{f}") > 0, w).otherwise(0) for f, w in (("ipo_public", 3), ("acquisition", 3), ("funding", 2), ("retrospective", 1))), F.lit(0))
@@ -108,7 +108,7 @@ def leakage_severity(spark, sf_dir):
 
 
 def leakage_hits(spark, sf_dir):
-    """All families of the reference over whole documents, in long form."""
+    """All built-in families over whole documents, in long form."""
     return leakage.hits(a.table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("matches")).alias("n_matches"))
 
 

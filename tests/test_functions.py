@@ -58,7 +58,7 @@ def test_normalize_company_name(spark, raw, name):
         ("databricks-horizontal.webp", "databricks"),
         ("OpenAI-Logo-2022.png", "OpenAI"),
         ("Wiz.png", "Wiz"),
-        ("Anthropic_logo.png", "Anthropic"),
+        ("Northwind_logo.png", "Northwind"),
         ("Flank_Logotype_Black.png", "Flank"),
         ("writer-KO.png", "writer"),
         ("Calm-e1568058016375.png", "Calm"),
