@@ -57,6 +57,8 @@ def normalised(text: Column) -> Column:
 
 #: Rows and bytes of the Arrow batches that go to Python; texts are long, so Spark's own defaults would hold too much.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: A task that took so many bytes gives memory back at its end.
+RELEASE_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -75,7 +77,17 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     small_batches(df.sparkSession)
 
     def released(batches):
-        yield from run(batches)
+        taken = 0
+
+        def counted():
+            nonlocal taken
+            for batch in batches:
+                taken += batch.nbytes
+                yield batch
+
+        yield from run(counted())
+        if taken < RELEASE_BYTES:
+            return
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

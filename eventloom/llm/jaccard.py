@@ -326,11 +326,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
     blocks = materialize(_blocks(_postings(rows, hot, ranges, ngram, percent)), "blocks")
 
     sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    large = sizes.filter(F.col("parts") > 1)
+    large = materialize(sizes.filter(F.col("parts") > 1), "large")
+    some_large = not large.isEmpty()
     label = sets = tested = None
     for turn, most in enumerate(PROPOSALS):
         # Bitmaps are wide, so they are joined last and shuffled once.
-        members = blocks.join(large, "block", "left")
+        members = blocks.join(large, "block", "left") if some_large else blocks.withColumn("parts", F.lit(None).cast("long"))
         members = members.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("parts"))).cast("long"))
         # The first round stays within the chunks of large blocks; later ones join all pairs of them.
         other = F.array(F.col("part")) if turn == 0 else F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
@@ -344,7 +345,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
         proposed = materialize(_propose(members, most, percent), "proposed")
         pairs = proposed.filter(F.col("block").isNull()).select("a", "b").distinct()
         if sets is None:
-            active = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(blocks.join(large, "block", "left_semi").select("class")).distinct()
+            active = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+            if some_large:
+                active = active.union(blocks.join(large, "block", "left_semi").select("class"))
+            active = active.distinct()
             sets = materialize(_sets(rows, classes.select("class", F.col("doc_id").alias("of")).join(active, "class"), ngram), "sets")
         else:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -353,12 +357,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
             label = components(_verify(pairs, sets, percent), label)
             tested = pairs if tested is None else tested.union(pairs)
         held = proposed.select("block").filter(F.col("block").isNotNull())
-        blocks = blocks.join((held.union(large.select("block")) if turn == 0 else held).distinct(), "block", "left_semi")
-        component = F.coalesce("component", "class")
-        mixed = blocks.join(label.withColumnRenamed("vertex", "class"), "class", "left").groupBy("block").agg(F.min(component).alias("x"), F.max(component).alias("y"))
-        blocks = materialize(blocks.join(mixed.filter("x <> y"), "block", "left_semi"), "blocks")
-        if blocks.isEmpty():
+        held = held.union(large.select("block")) if turn == 0 and some_large else held
+        if held.isEmpty():
             break
+        blocks = materialize(blocks.join(held.distinct(), "block", "left_semi"), "blocks")
 
     labelled = classes.select("class", "doc_id").join(label.withColumnRenamed("vertex", "class"), "class")
     least_of = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
