@@ -194,7 +194,14 @@ def join(sets: Widths, n: np.ndarray, component: np.ndarray, in_a: np.ndarray, i
 
 
 def best(i: np.ndarray, j: np.ndarray, bound: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the pairs that are among the ``most`` best of one of their ends."""
+    """Positions of the pairs that are among the ``most`` best of one of their ends: the largest bound, then the smallest other end."""
+    if most == 1 and len(i):
+        size = int(max(i.max(), j.max())) + 1
+        top = np.full(size, -1, np.int64)
+        keys = bound * size + (size - 1 - j), bound * size + (size - 1 - i)
+        np.maximum.at(top, i, keys[0])
+        np.maximum.at(top, j, keys[1])
+        return np.flatnonzero((keys[0] == top[i]) | (keys[1] == top[j]))
     end = np.concatenate([i, j])
     other = np.concatenate([j, i])
     pair = np.concatenate([np.arange(len(i))] * 2)

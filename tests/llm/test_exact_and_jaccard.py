@@ -172,3 +172,18 @@ def test_tree_loses_no_pair():
     assert {(a, b) for a, b in want if a < 150 <= b} <= set(zip(i.tolist(), j.tolist()))
     same = np.zeros(300, int)
     assert not len(signature_tree.join(widths, n, same, np.arange(300), None, 75)[0])
+
+
+def test_best_partners():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    pairs = np.array(sorted({(a, b) for a, b in rnd.integers(0, 40, (300, 2)).tolist() if a < b}))
+    i, j, bound = pairs[:, 0], pairs[:, 1], rnd.integers(0, 4, len(pairs))
+    for most in (1, 2, 5):
+        want = set()
+        for v in range(40):
+            mine = [k for k in range(len(pairs)) if v in pairs[k]]
+            mine.sort(key=lambda k: (-bound[k], pairs[k].sum() - v))
+            want |= set(mine[:most])
+        assert set(signature_tree.best(i, j, bound, most).tolist()) == want
