@@ -95,11 +95,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = materialize(texts.filter("n > 1").select("hash", F.sha2("text", 256).alias("sha"), "keep_doc"), "texts")
     narrow = chunks.select("doc_id", "chunk", "first", "after", "words", "hash", F.sha2("text", 256).alias("sha"))
     narrow = materialize(narrow, "chunks")
-    # Written, so that nothing but the join stands above its exchange and Spark may split a chunk that is everywhere.
+    # Written step by step, so that nothing but a join stands above its exchanges and Spark may split a chunk that is everywhere.
     places = materialize(narrow.filter("chunk >= 0").join(texts, ["hash", "sha"]), "places")
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc"))
-    first = places.filter(own).groupBy("hash", "sha").agg(F.min("chunk").alias("keep_chunk"))
-    gone = places.join(first, ["hash", "sha"]).filter(~(own & (F.col("chunk") == F.col("keep_chunk"))))
+    first = materialize(places.filter(own).groupBy("hash", "sha").agg(F.min("chunk").alias("keep_chunk")), "first")
+    gone = materialize(places.join(first, ["hash", "sha"]).filter(~(own & (F.col("chunk") == F.col("keep_chunk")))), "gone")
     whole = narrow.filter("chunk = -1").select("doc_id", F.col("first").alias("n_lines"), F.col("after").alias("n_chunks"))
     spans = F.array_sort(F.collect_set(F.struct("first", "after")))
     by_doc = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.sum("words").alias("removed_words"), spans.alias("removed"))
