@@ -1,23 +1,35 @@
-"""Line deduplication with content-defined chunks of lines.
+"""Line deduplication with content-defined chunks of lines, and windows of LONG_WORDS words.
 
 A document's lines are hashed; a rolling hash over the hashes of the last WINDOW lines
 chooses where a chunk ends, so the same run of lines is cut alike wherever it stands. A
 line of LONG_WORDS words or more is a chunk of its own: the lines around it differ from
 document to document. Chunks of two lines with words or more, or with LONG_WORDS words,
-count. Of a chunk that occurs again anywhere, the first occurrence (smallest document, then
-place) stays, all others are removed.
+count.
 
-Occurrences meet by hash and whole text, so they are compared byte by byte; they are summed
-up on the map side first, so a chunk that is everywhere costs a row for each task.
+Chunks alone miss a passage in which no two places end a chunk. So from each line with words
+the shortest run of lines that has LONG_WORDS words counts as well, and so does the shortest
+one that ends with the line. Each shared run of whole lines with LONG_WORDS words or more is
+covered by such windows in full, wherever it stands.
+
+Of a chunk or window that occurs again anywhere, the first occurrence (smallest document,
+then place) stays, all others are removed, but for those that overlap the first one in its
+own document. Windows overlap: a first occurrence can lose lines to a passage that occurs
+still earlier, so each removed line, not each passage, stays at an earlier place.
+
+Occurrences meet by the SHA-256 of their lines' SHA-256s; they are summed up on the map side
+first, so a chunk that is everywhere costs a row for each task.
 
 Defined cases: null text has no lines; a text of any length is cut whole, a chunk has
-MOST_LINES lines at most; rows that share an identifier count as one document, in which the
-first place stays in each; rows without an identifier are never the first unless there is
-no other; an empty table gives an empty result; other columns play no part.
+MOST_LINES lines at most (a window has no such limit); rows that share an identifier count
+as one document, in which the first place stays in each; rows without an identifier are
+never the first unless there is no other; an empty table gives an empty result; other
+columns play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,15 +47,43 @@ _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 
 
+def n_words(line: str) -> int:
+    return len(line.encode("utf-8", "surrogatepass").split())
+
+
+def windows(counts: list[int]) -> set[tuple[int, int, int]]:
+    """(first line, line after the last, words) of the shortest runs of LONG_WORDS words from each line with words, and up to each."""
+    found = set()
+    after = words = 0
+    for first, n in enumerate(counts):  # words: of the lines from first up to after
+        while words < LONG_WORDS and after < len(counts):
+            words += counts[after]
+            after += 1
+        if words < LONG_WORDS:
+            break
+        if n:
+            found.add((first, after, words))
+        words -= n
+    first = words = 0
+    for last, n in enumerate(counts):
+        words += n
+        while words - counts[first] >= LONG_WORDS or first < last and not counts[first]:
+            words -= counts[first]
+            first += 1
+        if n and words >= LONG_WORDS:
+            found.add((first, last + 1, words))
+    return found
+
+
 def cut(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of each chunk."""
-    found, start, words, recent = [], 0, 0, []
-    for i, line in enumerate(lines):
-        n = len(line.encode("utf-8", "surrogatepass").split())
+    """(first line, line after the last, words) of each chunk and window, in the order of their places."""
+    counts = [n_words(line) for line in lines]
+    found, start, words, recent = windows(counts), 0, 0, []
+    for i, (line, n) in enumerate(zip(lines, counts)):
         if n >= LONG_WORDS:
             if start < i:
-                found.append((start, i, words))
-            found.append((i, i + 1, n))
+                found.add((start, i, words))
+            found.add((i, i + 1, n))
             start, words, recent = i + 1, 0, []
             continue
         words += n
@@ -52,65 +92,74 @@ def cut(lines: list[str]) -> list[tuple[int, int, int]]:
         for h in recent:
             rolling = (rolling * _FACTOR + h) & _MASK
         if (rolling >> 32) % DIVISOR == 0 or i + 1 - start >= MOST_LINES:
-            found.append((start, i + 1, words))
+            found.add((start, i + 1, words))
             start, words = i + 1, 0
     if start < len(lines):
-        found.append((start, len(lines), words))
-    return found
+        found.add((start, len(lines), words))
+    return sorted(found)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Chunks that count: doc_id, chunk (its number), first, after, words, hash, text; and a row (chunk -1) for each document."""
+    """Chunks and windows that count: doc_id, chunk (its number), first, after, words, sha; and a row (chunk -1) for each document, with the words of its lines."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    types = [pa.int64()] * 4 + [pa.int64(), pa.string()]
+    types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
             at, made = [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 lines = text.split("\n") if text is not None else []
+                counts = [n_words(line) for line in lines]
+                shas = [hashlib.sha256(line.encode("utf-8", "surrogatepass")).digest() for line in lines]
                 cuts = cut(lines)
                 at.append(row)
-                made.append((-1, len(lines), len(cuts), 0, 0, None))
+                made.append((-1, len(lines), len(cuts), 0, None, counts))
                 for k, (first, after, words) in enumerate(cuts):
-                    if words >= LONG_WORDS or words and sum(bool(x.strip(" \t\n\v\f\r")) for x in lines[first:after]) >= 2:
-                        chunk = "\n".join(lines[first:after])
+                    if words >= LONG_WORDS or words and sum(map(bool, counts[first:after])) >= 2:
                         at.append(row)
-                        made.append((k, first, after, words, xxhash.xxh3_64_intdigest(chunk) - (1 << 63), chunk))
+                        made.append((k, first, after, words, hashlib.sha256(b"".join(shas[first:after])).digest(), None))
             columns = [pa.array(x, t) for x, t in zip(zip(*made), types)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *columns], ["doc_id", "chunk", "first", "after", "words", "hash", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *columns], ["doc_id", "chunk", "first", "after", "words", "sha", "line_words"])
+
+    return map_arrow(rows, run, f"doc_id {id_type}, chunk long, first long, after long, words long, sha binary, line_words array<long>")
+
 
-    return map_arrow(rows, run, f"doc_id {id_type}, chunk long, first long, after long, words long, hash long, text string")
+#: Overlapping and touching spans of a sorted array, as one each.
+_MERGED = """aggregate({0}, CAST(array() AS array<struct<first:bigint,after:bigint>>), (m, s) -> CASE
+  WHEN size(m) > 0 AND element_at(m, -1).after >= s.first
+  THEN concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'after', greatest(element_at(m, -1).after, s.after))))
+  ELSE concat(m, array(named_struct('first', s.first, 'after', s.after))) END)"""
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_chunks, n_removed, removed_words, removed.
 
+    n_chunks and n_removed count chunks and windows, which overlap; removed_words counts each removed line once.
     removed: the removed line ranges as an array of (first, after) structs, lines counted from 0.
     """
-    chunks = _chunks(docs, id_col, text_col)
-    # A text's number keeps apart texts of equal hashes: the hash with the text's SHA-256.
-    texts = chunks.filter("chunk >= 0").groupBy("hash", "text").agg(F.min("doc_id").alias("keep_doc"), F.count(F.lit(1)).alias("n"))
-    texts = materialize(texts.filter("n > 1").select("hash", F.sha2("text", 256).alias("sha"), "keep_doc"), "texts")
-    narrow = chunks.select("doc_id", "chunk", "first", "after", "words", "hash", F.sha2("text", 256).alias("sha"))
-    narrow = materialize(narrow, "chunks")
+    chunks = materialize(_chunks(docs, id_col, text_col), "chunks")
+    narrow = chunks.filter("chunk >= 0").drop("chunk", "words", "line_words")
+    texts = narrow.groupBy("sha").agg(F.min("doc_id").alias("keep_doc"), F.count(F.lit(1)).alias("n"))
+    texts = materialize(texts.filter("n > 1").drop("n"), "texts")
     # Written step by step, so that nothing but a join stands above its exchanges and Spark may split a chunk that is everywhere.
-    places = materialize(narrow.filter("chunk >= 0").join(texts, ["hash", "sha"]), "places")
+    places = materialize(narrow.join(texts, "sha"), "places")
     own = F.col("doc_id").eqNullSafe(F.col("keep_doc"))
-    first = materialize(places.filter(own).groupBy("hash", "sha").agg(F.min("chunk").alias("keep_chunk")), "first")
-    gone = materialize(places.join(first, ["hash", "sha"]).filter(~(own & (F.col("chunk") == F.col("keep_chunk")))), "gone")
-    whole = narrow.filter("chunk = -1").select("doc_id", F.col("first").alias("n_lines"), F.col("after").alias("n_chunks"))
+    first = materialize(places.filter(own).groupBy("sha").agg(F.min("first").alias("keep_first")), "first")
+    kept = own & (F.col("first") < F.col("keep_first") + F.col("after") - F.col("first"))
+    gone = materialize(places.join(first, "sha").filter(~kept), "gone")
+    whole = chunks.filter("chunk = -1").select("doc_id", F.col("first").alias("n_lines"), F.col("after").alias("n_chunks"), "line_words")
     spans = F.array_sort(F.collect_set(F.struct("first", "after")))
-    by_doc = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.sum("words").alias("removed_words"), spans.alias("removed"))
+    by_doc = gone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), spans.alias("removed"))
     joined = whole.join(by_doc.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    words = F.expr(f"aggregate({_MERGED.format('removed')}, 0L, (n, s) -> n + aggregate(slice(line_words, int(s.first) + 1, int(s.after - s.first)), 0L, (a, b) -> a + b))")
     none = F.expr("CAST(array() AS array<struct<first:bigint,after:bigint>>)")
-    return joined.select("doc_id", "n_lines", "n_chunks", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"), F.coalesce("removed", none).alias("removed"))
+    return joined.select("doc_id", "n_lines", "n_chunks", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(words, F.lit(0)).alias("removed_words"), F.coalesce("removed", none).alias("removed"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in their own columns, without the removed lines."""
-    spans = repeated(docs, id_col, text_col).filter("n_removed > 0").select(F.col("doc_id").alias("__of"), F.col("removed").alias("__removed"))
+    spans = repeated(docs, id_col, text_col).filter("n_removed > 0").select(F.col("doc_id").alias("__of"), F.expr(_MERGED.format("removed")).alias("__removed"))
     joined = docs.join(spans.dropDuplicates(["__of"]), F.col(id_col).eqNullSafe(F.col("__of")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.exists(F.col("__removed"), lambda r: (i >= r["first"]) & (i < r["after"])))

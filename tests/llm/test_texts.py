@@ -1,6 +1,7 @@
 """Quality rules, BPE, languages, secrets, licenses and lines."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -222,3 +223,32 @@ def test_line_dedup(spark):
     assert cleaned[0] == data[0][1] and long not in cleaned[5] and cleaned[101] is None
     assert linededup.repeated(helpers.empty(spark)).count() == 0
     assert linededup.repeated(helpers.documents(spark)).count() == len(helpers.records())
+
+
+@pytest.mark.parametrize("shape", [[30, 30], [20, 20, 20], [15, 15, 15, 15], [10, 0, 45, 3], [12, 70, 5], [5] * 11])
+def test_line_dedup_finds_every_shared_run(spark, shape):
+    """Runs of 50 words or more, between lines that differ from document to document."""
+    rnd = random.Random(sum(shape))
+    passages = ["\n".join(" ".join(f"p{p}l{k}w{w}" for w in range(n)) for k, n in enumerate(shape)) for p in range(20)]
+    data, places = [], {}
+    for doc in range(60):
+        before = [" ".join(f"b{doc}n{k}w{w}" for w in range(15)) for k in range(rnd.randint(0, 6))]
+        after = [" ".join(f"a{doc}n{k}w{w}" for w in range(15)) for k in range(rnd.randint(0, 6))]
+        data.append((doc, "\n".join([*before, passages[doc % 20], *after])))
+        places[doc] = set(range(len(before), len(before) + len(shape)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: r for r in linededup.repeated(df).collect()}
+    for doc, want in places.items():
+        removed = {k for a, b in found[doc].removed for k in range(a, b)}
+        assert removed == (want if doc >= 20 else set())
+        assert found[doc].removed_words == (sum(shape) if doc >= 20 else 0)
+    cleaned = {r.doc_id: r.text for r in linededup.clean(df).collect()}
+    for doc, text in data:
+        assert cleaned[doc] == ("\n".join(line for k, line in enumerate(text.split("\n")) if doc < 20 or k not in places[doc]))
+
+
+def test_line_dedup_keeps_the_first_of_runs_that_repeat_themselves(spark):
+    verse = "\n".join(["ten words that stand here again and again and again"] * 20)
+    found = linededup.repeated(spark.createDataFrame([(1, verse)], "doc_id long, text string")).first()
+    removed = {k for a, b in found.removed for k in range(a, b)}
+    assert set(range(5, 20)) <= removed <= set(range(1, 20)) and found.removed_words == 10 * len(removed)
