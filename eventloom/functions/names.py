@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -102,19 +103,29 @@ def identity(raw: Column) -> Column:
     return F.nullif(F.lower(squeeze(raw)), F.lit(""))
 
 
+#: Runs without wide characters, which keep their form in a slug; and the words of a slug.
+_NOT_WIDE = re.compile("[^぀-ヿ㐀-鿿가-힯＀-￯]+")
+_SLUG_WORD = re.compile(r"\w+")
+
+
 @F.pandas_udf(StringType())
 def slug(name: pd.Series) -> pd.Series:
     """Lower-case words of any script joined by hyphens, Latin marks taken off, 50 characters at most."""
 
+    def bare(run):
+        return "".join(x for x in unicodedata.normalize("NFKD", run[0]) if not unicodedata.combining(x))
+
     def one(text):
         if text is None:
             return None
-        kept = []
-        for c in text:
-            wide = "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "가" <= c <= "힯" or "＀" <= c <= "￯"
-            kept.append(c if wide else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
-        words = "".join(c if c.isalnum() or c == "_" else " " for c in "".join(kept).lower()).split()
-        return "-".join(words).strip("-").replace("_", "-")[:50]
+        # Words stand in the lower case of the whole text, but those past the first 50 characters are not looked for.
+        words, n = [], 0
+        for word in _SLUG_WORD.finditer((text if text.isascii() else _NOT_WIDE.sub(bare, text)).lower()):
+            words.append(word[0])
+            n += len(word[0]) + 1
+            if n > 50:
+                break
+        return "-".join(words).replace("_", "-")[:50]
 
     return name.map(one)
 

@@ -30,7 +30,7 @@ def make_slug_ascii(spark, sf_dir):
 
 
 def make_slug_unicode(spark, sf_dir):
-    return a.table(spark, sf_dir, "documents").select("doc_id", names.slug(F.substring("text", 1, 60)).alias("slug"))
+    return a.table(spark, sf_dir, "documents").select("doc_id", names.slug("text").alias("slug"))
 
 
 def round_bucket(spark, sf_dir):

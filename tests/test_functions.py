@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import dates, names, outcomes, stats
+from eventloom.plans import catalog_entities
 
 
 def one(spark, column, **values):
@@ -82,6 +83,13 @@ def test_slug(spark, raw, found):
     assert one(spark, names.slug(F.col("t")), t=raw).strip("-") == found
 
 
+def test_slug_query_reads_the_whole_text(spark, tmp_path):
+    texts = ["... " * 40 + "Late Wörds", "a " * 60, "é" * 70, "...  \u0301" * 20 + "東京 x", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.slug for r in catalog_entities.make_slug_unicode(spark, str(tmp_path)).collect()}
+    assert found == {0: "late-words", 1: "a-" * 25, 2: "e" * 50, 3: "東京-x", 4: None, 5: ""}
+
+
 @pytest.mark.parametrize("raw, bucket", [("Series A", "series_a"), ("Serie B 2", "series_b"), ("Seed Round", "seed"), ("bridge loan", "bridge_or_extension"), ("N/A", "unknown"), ("", "unknown"), ("growth", "other"), ("Pre-Seed", "pre_seed")])
 def test_round_bucket(spark, raw, bucket):
     assert one(spark, names.round_bucket(F.col("t")), t=raw) == bucket
