@@ -8,11 +8,18 @@ them the temperature of the softmax and the least probability are calibrated, un
 paragraph is ``unknown``. A prediction counts only if a template of the family shares
 CONFIRM_PERCENT of its words with the paragraph; else it is ``unknown`` too.
 
-Scoring uses DataFrame operations only. A paragraph (a line) is scored if it has one of the
-cue words; without any the classifier has no ground for a family. The weights that are
-broadcast are bounded by the notices below.
+Scoring uses DataFrame operations only. A line is scored if it has one of the cue words;
+without any the classifier has no ground for a family. The weights that are broadcast are
+bounded by the notices below.
 
-Defined cases: null text has no paragraphs; paragraphs of any length are scored whole; a
+Notices are often wrapped, in comments too. So each line is also scored together with the
+lines that follow it, up to one without words and until those have as many words as the
+longest template. Such a run counts only if it has CONFIRM_PERCENT of a template's pairs of
+neighbouring words, as single words are met by chance in longer texts. Of runs that overlap
+and are of one family, or of families with like templates, the one that shares most with a
+template is given, and none if a line among them is confirmed by itself.
+
+Defined cases: null text has no paragraphs; lines of any length are scored whole; a
 repeated row gives its rows again; rows without an identifier are scored like others; an
 empty table gives an empty result; other columns play no part.
 """
@@ -23,7 +30,7 @@ import functools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Short notices of licence families, as their stewards publish them.
@@ -49,6 +56,7 @@ NOTICES = {
     "LGPL-3.0": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -56,6 +64,20 @@ NOTICES = {
     ),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 }
+#: SPDX identifiers of each family.
+SPDX = {
+    "Apache-2.0": ("Apache-2.0",),
+    "BSD-3-Clause": ("BSD-3-Clause",),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC0-1.0": ("CC0-1.0",),
+    "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later",),
+    "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later",),
+    "MIT": ("MIT",),
+    "MPL-2.0": ("MPL-2.0",),
+}
+NOTICES = {family: (*notices, *(f"SPDX-License-Identifier: {x}" for x in SPDX[family])) for family, notices in NOTICES.items()}
 #: Paragraphs with cue words that are no licence of any family.
 OTHERS = (
     "All rights reserved.",
@@ -85,12 +107,36 @@ CONFIRM_PERCENT = 60
 STEPS, RATE, PENALTY = 1500, 2.0, 1e-3
 
 _WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Comment markers that are words; all others have no letters.
+_WORD_MARKS = r"(?i)^\s*(?:dnl|rem)\b"
+#: Each line's words with those of the lines that follow it, and how many lines these are.
+_RUNS = """transform(by_line, (own, i) -> aggregate(slice(by_line, i + 2, {longest}),
+  named_struct('words', own, 'n', 1, 'more', 0, 'over', size(own) = 0),
+  (s, x) -> CASE WHEN s.over OR size(x) = 0 OR s.more >= {longest} THEN named_struct('words', s.words, 'n', s.n, 'more', s.more, 'over', true)
+            ELSE named_struct('words', concat(s.words, x), 'n', s.n + 1, 'more', s.more + size(x), 'over', false) END))"""
 
 
 def words_of(paragraph: str) -> list[str]:
     return re.findall(_WORD, paragraph.lower())
 
 
+def pairs_of(words: list[str]) -> list[str]:
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+@functools.cache
+def clans() -> dict[str, str]:
+    """By family, the first of the families whose templates could confirm each other's notices."""
+    first = {family: family for family in [*NOTICES, UNKNOWN]}
+    pairs = [(family, set(pairs_of(words_of(t)))) for family, notices in NOTICES.items() for t in notices]
+    for a, x in pairs:
+        for b, y in pairs:
+            if 100 * len(x & y) >= CONFIRM_PERCENT * min(len(x), len(y)):
+                old, new = sorted((first[a], first[b]), reverse=True)
+                first = {family: new if f == old else f for family, f in first.items()}
+    return first
+
+
 def features_of(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
@@ -170,23 +216,34 @@ def classify(paragraph: str) -> tuple[str, float, bool]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with a cue word: doc_id, line_no (from 0), family, predicted, probability, confirmed."""
+    """One row per line with a cue word and per wrapped notice: doc_id, line_no (from 0; the first of a wrapped notice), n_lines, family, predicted, probability, confirmed."""
     spark = docs.sparkSession
     model = fit()
     classes = model["classes"]
     weights = spark.createDataFrame([(f, model["weights"].get(f, [0.0] * len(classes))) for f in model["names"]], "feature string, weight array<double>")
-    templates = spark.createDataFrame([(family, [sorted(set(words_of(t))) for t in NOTICES.get(family, ())]) for family in classes], "predicted string, templates array<array<string>>")
+    templates = spark.createDataFrame([(family, [sorted(set(words_of(t))) for t in NOTICES.get(family, ())], [pairs_of(words_of(t)) for t in NOTICES.get(family, ())], clans()[family]) for family in classes], "predicted string, templates array<array<string>>, pairs array<array<string>>, clan string")
 
     cue = "(?i)" + "|".join(CUES)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(cue))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(cue))
+    # A cue of several words may be wrapped, too.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(cue.replace(" ", "[^A-Za-z0-9]+(?:(?:dnl|rem)[^A-Za-z0-9]+)?")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", F.split("text", "\n", -1))
+    by_line = F.transform("lines", lambda line: F.regexp_extract_all(F.lower(F.regexp_replace(line, _WORD_MARKS, "")), F.lit(_WORD), 0))
+    longest = max(len(words_of(t)) for notices in NOTICES.values() for t in notices)
+    rows = rows.withColumn("by_line", by_line).withColumn("runs", F.expr(_RUNS.format(longest=longest)))
+    units = F.flatten(F.zip_with("lines", "runs", lambda line, run: F.array(F.struct(F.lit(1).alias("n_lines"), line.alias("line"), F.lit(None).cast("array<string>").alias("run")), F.struct(run["n"].alias("n_lines"), F.lit(None).cast("string").alias("line"), run["words"].alias("run")))))
+    lines = rows.select("doc_id", "row", F.posexplode(units).alias("unit", "of")).select("doc_id", "row", F.floor(F.col("unit") / 2).alias("line_no"), "of.*")
     words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), 0)
-    lines = lines.select("doc_id", "row", "line_no", words.alias("words"))
+    lines = lines.filter(F.col("line").rlike(cue) | F.col("run").isNotNull() & (F.col("n_lines") > 1) & F.array_join("run", " ").rlike(cue))
+    lines = lines.select("doc_id", "row", "line_no", "n_lines", F.coalesce("run", words).alias("words"))
     pairs = F.zip_with(F.col("words"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    # Runs that no template can confirm are not scored.
+    every_pair = [pairs_of(words_of(t)) for notices in NOTICES.values() for t in notices]
+    lines = lines.withColumn("own_pairs", F.when(F.col("n_lines") > 1, F.filter(pairs, lambda x: x.isNotNull())))
+    lines = lines.withColumn("share", F.greatest(*[F.size(F.array_intersect("own_pairs", F.array(*map(F.lit, t)))) / len(t) for t in every_pair], F.lit(0.0)))
+    lines = lines.filter((F.col("n_lines") == 1) | (100 * F.col("share") >= CONFIRM_PERCENT)).drop("own_pairs", "share")
     features = F.array_union("words", F.filter(pairs, lambda x: x.isNotNull()))
     exploded = lines.withColumn("feature", F.explode(features))
-    key = ["doc_id", "row", "line_no", "words"]
+    key = ["doc_id", "row", "line_no", "n_lines", "words"]
     scored = exploded.join(F.broadcast(weights), "feature", "left").groupBy(*key).agg(
         F.count("weight").alias("known"), *[F.coalesce(F.sum(F.col("weight")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(classes))]
     )
@@ -200,6 +257,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scored = scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, classes)), best.cast("int")))
     joined = scored.join(F.broadcast(templates), "predicted")
     alike = F.exists("templates", lambda t: 100 * F.size(F.array_intersect(t, "words")) >= CONFIRM_PERCENT * F.size(t))
-    joined = joined.withColumn("confirmed", alike & (F.col("probability") >= model["least"]))
+    share = F.array_max(F.transform("pairs", lambda t: F.size(F.array_intersect(t, F.filter(pairs, lambda x: x.isNotNull()))) / F.size(t)))
+    joined = joined.withColumn("share", F.when(F.col("n_lines") == 1, 2.0).otherwise(F.coalesce(share, F.lit(0.0))))
+    alike = F.when(F.col("n_lines") > 1, 100 * F.col("share") >= CONFIRM_PERCENT).otherwise(alike)
+    joined = joined.withColumn("confirmed", alike & (F.col("probability") >= model["least"])).filter("n_lines = 1 OR confirmed")
+    # Runs of a clan that overlap, and the lines among them, are one group; a confirmed line has a share of 2 and so goes first.
+    of = Window.partitionBy("row", "clan", "confirmed")
+    reach = F.max(F.col("line_no") + F.col("n_lines")).over(of.orderBy("line_no", "n_lines").rowsBetween(Window.unboundedPreceding, -1))
+    joined = joined.withColumn("starts", F.when(F.col("line_no") < reach, 0).otherwise(1))
+    joined = joined.withColumn("group", F.sum("starts").over(of.orderBy("line_no", "n_lines").rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.row_number().over(Window.partitionBy("row", "predicted", "confirmed", "group").orderBy(F.desc("share"), F.desc("probability"), "line_no"))
+    most = F.max("share").over(Window.partitionBy("row", "clan", "confirmed", "group"))
+    joined = joined.withColumn("rank", rank).withColumn("most", most).filter("n_lines = 1 OR rank = 1 AND share = most")
     family = F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN)
-    return joined.select("doc_id", F.col("line_no").cast("long").alias("line_no"), family.alias("family"), "predicted", F.round("probability", 6).alias("probability"), "confirmed")
+    return joined.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("n_lines").cast("long").alias("n_lines"), family.alias("family"), "predicted", F.round("probability", 6).alias("probability"), "confirmed")

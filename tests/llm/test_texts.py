@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import public_tokenizers
@@ -192,6 +193,30 @@ def test_licenses(spark):
     assert licenses.scan(helpers.documents(spark)).count() == 0
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "BSD-3-Clause": "Copyright (c) 2020, The Authors. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "GPL-3.0": "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+}
+
+
+@pytest.mark.parametrize("width, mark", [(72, ""), (76, " * "), (30, "# "), (60, "dnl ")])
+def test_wrapped_licenses(spark, width, mark):
+    data = [(family, "\n".join(["code = 1", "", *(mark + x for x in textwrap.wrap(text, width)), mark, "more text"])) for family, text in WRAPPED.items()]
+    data.append(("prose", "The general public\nwas invited to the opening of the\nsoftware fair, free of charge and without\nrestriction, with a copy of this license."))
+    found = licenses.scan(spark.createDataFrame(data, "doc_id string, text string")).filter("confirmed").collect()
+    assert sorted((r.doc_id, r.family) for r in found) == sorted((f, f) for f in WRAPPED)
+    assert all(r.line_no >= 2 for r in found) and any(r.n_lines > 1 for r in found)
+
+
+def test_spdx_licenses(spark):
+    data = [(family, f"x\n// SPDX-License-Identifier: {x}\ny") for family, names in licenses.SPDX.items() for x in names] + [("unknown", "# SPDX-License-Identifier: Foo-1.0")]
+    found = licenses.scan(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert len(found) == len(data) and all(r.family == r.doc_id for r in found)
+
+
 def brute_lines(records):
     places = {}
     for i, text, *_ in records:
