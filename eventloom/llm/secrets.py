@@ -2,9 +2,10 @@
 
 Ordinary words take few tokens of a byte-pair vocabulary, random strings take many: a
 string of fewer than MOST_CHARS_PER_TOKEN characters per token is reported as ``random``.
-Candidates are runs of LEAST_LENGTH or more characters of ``[A-Za-z0-9+/_=-]`` that hold two
-or more of digits, upper-case and lower-case letters. Known digests (hexadecimal of the lengths of
-MD5, SHA-1, SHA-2), UUIDs, and names put together from words are excluded first.
+Candidates are runs of LEAST_LENGTH or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and
+LEAST_DIFFERENT different characters; if one isn't random as a whole, its parts of that length between
+``/``, ``=``, ``_`` and ``-`` are judged. Known digests (hexadecimal of the lengths of MD5, SHA-1, SHA-2),
+UUIDs, and names put together from words by separators or a change of case are excluded.
 
 Spans are code points with an exclusive end. ``random`` spans that touch a base span are
 left out; base spans always stay, in the order of their start, then of their kind.
@@ -34,6 +35,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 LEAST_LENGTH = 20
 MOST_CHARS_PER_TOKEN = 1.9
+LEAST_DIFFERENT = 6
 KINDS = ("assign", "access", "hex", "random")
 
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
@@ -42,8 +44,11 @@ _hex = re.compile(f"[0-9a-f]{{{HEX_LEAST},}}")  # runs are maximal, so short one
 _candidate = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}")
 _uuid = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _hexadecimal = re.compile("[0-9a-fA-F]+")
-#: Words of lower-case letters, maybe capitalised, or of capitals, with numbers at the end of a word only.
-_name = re.compile(r"(?:[A-Z]?[a-z]{3,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4})(?:[_/=+-]?(?:[A-Z]?[a-z]{3,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}))*")
+#: Words of lower-case letters, maybe capitalised, or of capitals; a separator or a change from lower to upper case
+#: stands between them, and numbers stand at the end of a word of four letters or more only.
+_WORD = r"(?:[A-Z]?[a-z]{4,}[0-9]{1,4}(?![a-z])|[A-Z]{4,}[0-9]{1,4}(?![A-Za-z])|[A-Z]?[a-z]{3,}|[A-Z]{2,}(?![a-z]))"
+_name = re.compile(rf"{_WORD}(?:(?:[_/=+-]|(?<=[a-z0-9])(?=[A-Z])){_WORD})*")
+_separator = re.compile("[/=_-]+")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 
@@ -57,14 +62,33 @@ def load_encoding(path: str):
 
 
 def is_random(candidate: str, encoding) -> bool:
-    digit, lower, upper = (any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper))
-    if digit + lower + upper < 2:
-        return False
-    if _uuid.fullmatch(candidate) or _name.fullmatch(candidate):
+    if _uuid.fullmatch(candidate):
         return False
     if _hexadecimal.fullmatch(candidate) and len(candidate) in DIGEST_LENGTHS:
         return False
-    return len(candidate) < MOST_CHARS_PER_TOKEN * len(encoding.encode_ordinary(candidate))
+    if len(candidate) >= MOST_CHARS_PER_TOKEN * len(encoding.encode_ordinary(candidate)):
+        return False
+    # A run of one character or two, such as a line of dashes, has nothing to hide.
+    if len(set(candidate)) < LEAST_DIFFERENT or not any(map(str.isalpha, candidate)):
+        return False
+    # Only what is put together from several words is a name: a single run of letters is left to the tokens.
+    return not (_name.fullmatch(candidate) and (_separator.search(candidate) or re.search("[a-z0-9][A-Z]", candidate)))
+
+
+def random_parts(candidate: str, encoding) -> list[tuple[int, int]]:
+    """The random strings of a candidate: itself, or its long parts between separators."""
+    whole = candidate.rstrip("=")
+    if is_random(whole, encoding):
+        return [(0, len(candidate))]
+    if _uuid.fullmatch(whole):
+        return []
+    found, start = [], 0
+    for m in [*_separator.finditer(candidate), None]:
+        end = m.start() if m else len(candidate)
+        if LEAST_LENGTH <= end - start < len(whole) and is_random(candidate[start:end], encoding):
+            found.append((start, end))
+        start = m.end() if m else end
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -85,8 +109,8 @@ def random_spans(text: str, base: list, encoding) -> list[tuple[int, int, str]]:
         while at < len(base) and base[at][0] < m.end():
             reach = max(reach, base[at][2])
             at += 1
-        if reach <= m.start() and is_random(m[0].rstrip("="), encoding):
-            found.append((m.start(), 3, m.end()))
+        if reach <= m.start():
+            found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m[0], encoding)]
     return found
 
 

@@ -177,6 +177,23 @@ def test_known_digests_and_names_are_no_secrets(word):
     assert not secrets.is_random(word, secrets.load_encoding(registry.vocabulary("byte_bpe_50k.tiktoken")))
 
 
+@pytest.mark.parametrize("n", [20, 24, 32])
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"])
+def test_random_keys_are_no_names(alphabet, n):
+    rnd = random.Random(n)
+    encoding = secrets.load_encoding(registry.vocabulary("byte_bpe_50k.tiktoken"))
+    keys = ["".join(rnd.choice(alphabet) for _ in range(n)) for _ in range(500)]
+    found = sum(secrets.random_spans(f"x {key} y", [], encoding) == [(2, 3, 2 + n)] for key in keys)
+    assert found >= 450
+
+
+def test_random_parts_of_a_path():
+    encoding = secrets.load_encoding(registry.vocabulary("byte_bpe_50k.tiktoken"))
+    text = "some/long/directory/with/configuration/documents/MFRGGZDFMZTWQ2LKNNWG23TP/information/directory"
+    assert [text[a:b] for a, _, b in secrets.random_spans(text, [], encoding)] == ["MFRGGZDFMZTWQ2LKNNWG23TP"]
+    assert secrets.random_spans("-" * 40 + " " + "=" * 30 + " internationalization_of_documents " + "a" * 50, [], encoding) == []
+
+
 def test_licenses(spark):
     lines = [p for _, p in licenses.variants()] + ["the license plate number", "", "x" * 100_000 + " license"]
     df = spark.createDataFrame([(k, f"intro\n{p}\noutro") for k, p in enumerate(lines)] + [(None, None), (None, "Released under the MIT License.")], "doc_id long, text string")
