@@ -21,8 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting and without a checkpoint folder (a test on one
-    machine) gets a temporary one.
+    Only a session on one machine (a local master) without that setting and without a
+    checkpoint folder gets a temporary one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         now = context._jsc.sc().getCheckpointDir()
         if now.isDefined():
             found = now.get()
+        elif not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         else:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
             found = context._jsc.sc().getCheckpointDir().get()
@@ -39,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The table outlives lost executors and is deleted when the driver's JVM ends.
+    The table outlives lost executors. It is deleted by discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventloom-{name}-{uuid.uuid4().hex}"
@@ -47,7 +49,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def normalised(text: Column) -> Column:

@@ -1,23 +1,28 @@
 """Exact self-join of documents whose word n-gram sets have a Jaccard similarity of 75 % or more.
 
 1. Each text becomes a set of hashed shingles. Documents with equal sets are one class, so
-   copies cost one row each from here on.
+   copies cost one row each from here on. A class is known by 64 bits; sets that share them
+   but not a second hash are told apart by the second one.
 2. Blocks. Sets at the threshold share a token of their prefixes under any one order of the
    tokens (prefix filtering). The order puts tokens that many sets hold last, so that
    passages shared by many documents open a block only where hardly anything else is left.
-   Postings travel as packed arrays, a row for each task and token range. Equal lists of
-   members, which near copies give again and again, are one block.
-3. In each block, signature trees are traversed in pairs (signature_tree.py). Blocks of more
-   than CHUNK members are cut into chunks, and pairs of chunks are joined.
-4. Candidates are verified with the sets themselves. Pairs within a component are never
-   looked at again: a round lets each set propose only its best candidates, components are
-   joined by the verified links, and blocks that held proposals back go into the next round
-   with a wider limit, in the last with none. So large groups of near copies cost about
-   their size, and no link between components is lost.
-
-Nothing here grows with the data on the driver but counts; the broadcast list of frequent
-tokens has at most HOT_MOST entries, because a token on it stands in 1 / HOT_MOST of all
-postings or more.
+   All tokens of which the same class is the smallest holder open one block together: near
+   copies, which share hundreds of tokens, meet in a few blocks. Postings travel as packed
+   arrays; frequent tokens have their block from the broadcast list and aren't gathered.
+3. In each block, signature trees are traversed in pairs (signature_tree.py). Only members
+   that have a candidate go on, with their sets, and the candidates are compared in full
+   there: pairs never leave a block, only the links that join components do. Rows are the
+   members of blocks throughout.
+4. Blocks of more than CHUNK members are cut into chunks, each with the block's smallest
+   member. When the links within chunks have been joined to components, a block whose
+   members are not one component is joined across chunks, all but the chunks of its largest
+   component with each other.
+
+Every pair that shares a block and isn't joined by links already is compared, so no link
+between components is lost. Nothing here grows with the data on the driver but counts; the
+broadcast list of frequent tokens has at most HOT_MOST entries, because a token on it
+stands in 1 / HOT_MOST of all postings or more, and the list of classes that need their
+second hash has about rows squared / 2^65.
 
 Defined cases: null or empty text, or a text without words, has an empty set and is linked
 with nothing (its component is itself); rows without an identifier have no links and a null
@@ -30,24 +35,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import signature_tree
-from eventloom.llm.common import map_arrow, materialize
+from eventloom.llm.common import discard, map_arrow, materialize
 
 NGRAM = 5
 PERCENT = 75
 HOT_MOST = 500_000
 HOT_LEAST = 32
 #: Tokens counted at once when frequent ones are looked for, and postings packed at once.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 PACKED = 2_000_000
 #: Bytes of postings in a token range, about.
 RANGE_BYTES = 8_000_000
-CHUNK = 1024
-#: Candidates that a set proposes in each round; the last round has no limit.
-PROPOSALS = (1, 16, 256, None)
+#: Members, and tokens of members, in a chunk of a block.
+CHUNK, CHUNK_TOKENS = 1024, 4_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _word_hash = xxhash.xxh3_64_intdigest
@@ -69,72 +73,107 @@ def shingle_set(text: str | None, ngram: int = NGRAM) -> np.ndarray:
     return np.unique(mixed)
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A signed 64-bit number that stands for the whole set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
+def class_of(tokens: np.ndarray, second: bool = False) -> int:
+    """A signed 64-bit number that stands for the whole set; another one if ``second``."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=int(second))).view(np.int64))
+
+
+def _class_among(tokens: np.ndarray, shared: frozenset) -> int:
+    """The class, by the second hash where different sets share the first."""
+    found = class_of(tokens)
+    return class_of(tokens, True) if found in shared else found
 
 
 def prefix_length(n: int, percent: int) -> int:
+    """So many first tokens of a set hold one that it shares with any set at the threshold."""
     return n - -(-percent * n // 100) + 1
 
 
+def early_length(n: int, percent: int) -> int:
+    """Of two sets at the threshold, so many first tokens of the smaller one hold one of the prefix of the larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def _survey(rows: DataFrame, id_type: str, ngram: int) -> DataFrame:
-    """A row for each document (doc_id, n, class, bits), and rows (token, df) for tokens met often."""
+    """A row for each document (doc_id, row_key, n, class, second, bits), and rows (token, df, least) for tokens met often."""
+    names = ["doc_id", "row_key", "n", "class", "second", "bits", "token", "df", "least"]
+    long, binary = pa.int64(), pa.binary()
 
     def run(batches):
-        names = ["doc_id", "n", "class", "bits", "token", "df"]
-        types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         id_arrow = None
-        held, met, size = [], set(), 0
+        held, met, size = [], [], 0
+        seen = set()
 
         def frequent():
-            token, df = np.unique(np.concatenate(held), return_counts=True)
+            token = np.concatenate(held)
+            cls = np.repeat(np.array(met, np.int64), [len(h) for h in held])
+            order = np.argsort(token, kind="stable")
+            token, cls = token[order], cls[order]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            df = np.diff(np.r_[starts, len(token)])
             often = df >= 3
-            token, df = token[often].view(np.int64), df[often]
-            empty = [pa.nulls(len(token), t) for t in [id_arrow, *types[1:4]]]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(token), pa.array(df)], names)
+            token, df, least = token[starts][often].view(np.int64), df[often], np.minimum.reduceat(cls, starts)[often]
+            empty = [pa.nulls(len(token), t) for t in (id_arrow, long, long, long, long, binary)]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(token), pa.array(df), pa.array(least)], names)
 
         for batch in batches:
             id_arrow = batch.column("doc_id").type
-            n, cls, bits = [], [], []
+            n, cls, second, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, ngram)
                 n.append(len(tokens))
                 cls.append(class_of(tokens) if len(tokens) else None)
+                second.append(class_of(tokens, True) if len(tokens) else None)
                 bits.append(signature_tree.bitmap(tokens).tobytes() if len(tokens) else None)
-                if len(tokens) and cls[-1] not in met:
-                    met.add(cls[-1])
+                if len(tokens) and cls[-1] not in seen:
+                    seen.add(cls[-1])
+                    met.append(cls[-1])
                     held.append(tokens)
                     size += len(tokens)
                     if size >= COUNTED:
                         yield frequent()
-                        held, met, size = [], set(), 0
-            made = [pa.array(x, t) for x, t in zip((n, cls, bits), types[1:4])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
+                        held, met, size = [], [], 0
+                        seen = set()
+            made = [pa.array(x, t) for x, t in zip((n, cls, second, bits), (long, long, long, binary))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made, *[pa.nulls(len(n), long)] * 3], names)
         if held:
             yield frequent()
 
-    return map_arrow(rows, run, f"doc_id {id_type}, n long, class long, bits binary, token long, df long")
+    return map_arrow(rows, run, f"doc_id {id_type}, row_key long, n long, class long, second long, bits binary, token long, df long, least long")
+
 
+def _postings(rows: DataFrame, hot, ranges: int, shared: frozenset, ngram: int, percent: int) -> DataFrame:
+    """Packed postings of the prefixes: (range, keys, classes, sizes).
 
-def _postings(rows: DataFrame, hot, ranges: int, ngram: int, percent: int) -> DataFrame:
-    """Packed postings of the prefixes: (range, tokens as uint32, classes as int64)."""
+    Keys are tokens (uint32 inside their range). In ranges below 0 they are blocks (int64),
+    those of frequent tokens; such a range has all postings of its classes. Sizes are twice
+    the number of tokens, and 1 more for an early token.
+    """
+    names = ["range", "keys", "classes", "sizes"]
 
     def run(batches):
-        frequent = hot.value
-        held_token, held_class, met, size = [], [], set(), 0
+        frequent, its_block = hot.value
+        held, met, size = [], set(), 0
 
         def packed():
-            token = np.concatenate(held_token)
-            cls = np.repeat(np.array([c for c, _ in held_class], np.int64), [k for _, k in held_class])
-            place = ((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.argsort(place, kind="stable")
-            token, cls, place = token[order].astype(np.uint32), cls[order], place[order]
-            cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-            out = [(int(place[a]), token[a:b].tobytes(), cls[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            for at in range(0, len(out), 64):
-                part = list(zip(*out[at : at + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], ["range", "tokens", "classes"])
+            for rare in (True, False):
+                keys = np.concatenate([h[0 if rare else 1] for h in held])
+                if not len(keys):
+                    continue
+                times = [len(h[0 if rare else 1]) for h in held]
+                cls = np.repeat(np.array([h[2] for h in held], np.int64), times)
+                n = np.repeat(np.array([2 * h[3] for h in held], np.int32), times)
+                if rare:
+                    n += np.arange(len(n)) - np.repeat(np.cumsum(times) - times, times) < np.repeat([h[4] for h in held], times)
+                spread = keys if rare else cls.view(np.uint64) * _K
+                place = (((spread >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                keys, cls, n, place = keys[order].astype(np.uint32 if rare else np.int64), cls[order], n[order], place[order]
+                cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+                out = [(int(place[a]) if rare else -1 - int(place[a]), keys[a:b].tobytes(), cls[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+                for at in range(0, len(out), 64):
+                    part = list(zip(*out[at : at + 64]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *[pa.array(x, pa.binary()) for x in part[1:]]], names)
 
         for batch in batches:
             ids = batch.column("doc_id")
@@ -142,136 +181,178 @@ def _postings(rows: DataFrame, hot, ranges: int, ngram: int, percent: int) -> Da
                 tokens = shingle_set(text, ngram)
                 if not len(tokens) or not ids[k].is_valid:
                     continue
-                cls = class_of(tokens)
+                cls = _class_among(tokens, shared)
                 if cls in met:
                     continue
                 met.add(cls)
+                count, blocks = prefix_length(len(tokens), percent), np.empty(0, np.int64)
+                rare = tokens
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
                     late = frequent[at] == tokens
-                    tokens = np.concatenate([tokens[~late], tokens[late]])
-                tokens = tokens[: prefix_length(len(tokens), percent)]
-                held_token.append(tokens)
-                held_class.append((cls, len(tokens)))
-                size += len(tokens)
+                    rare = tokens[~late]
+                    if count > len(rare):
+                        blocks = np.unique(its_block[at[late][: count - len(rare)]])
+                rare = rare[:count]
+                held.append((rare, blocks, cls, len(tokens), early_length(len(tokens), percent)))
+                size += len(rare) + len(blocks)
                 if size >= PACKED:
                     yield from packed()
-                    held_token, held_class, size = [], [], 0
+                    held, met, size = [], set(), 0
         if size:
             yield from packed()
 
-    return map_arrow(rows, run, "range int, tokens binary, classes binary")
+    return map_arrow(rows, run, "range int, keys binary, classes binary, sizes binary")
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """(block, class): for each token that two classes or more share, its list of classes; equal lists once."""
+def _blocks(postings: DataFrame, percent: int) -> DataFrame:
+    """(block, class, n): a class joins the block of the smallest class that shares a prefix token with it.
 
-    def run(table: pa.Table) -> pa.Table:
-        token = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")])
-        cls = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("classes")])
-        order = np.lexsort((cls, token))
-        token, cls = token[order], cls[order]
-        new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
-        token, cls = token[new], cls[new]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        length = np.diff(np.r_[starts, len(token)])
-        mixed = cls.view(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * _K
-        mixed ^= mixed >> np.uint64(29)
-        # A list's number: the sum of its mixed members, mixed again.
-        number = np.add.reduceat(mixed, starts) * np.uint64(0xBF58476D1CE4E5B9) + length.astype(np.uint64)
-        shared = np.flatnonzero(length >= 2)
-        number, at = np.unique(number[shared], return_index=True)
-        shared = shared[at]
-        length = length[shared]
-        offsets = np.repeat(starts[shared] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-        return pa.table({"block": pa.array(np.repeat(number, length).view(np.int64)), "class": pa.array(cls[offsets])})
-
-    return postings.groupBy("range").applyInArrow(run, "block long, class long").distinct()
-
-
-def _propose(members: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of each group, and a row (block) where a group held pairs back.
-
-    members: block, part_a, part_b, part, class, n, bits, component. Groups that fit a
-    single node are compared together, larger ones get trees of their own.
+    A token's list keeps those that one of the others there could be linked with: by their
+    sizes, and because the token is an early one of the smaller set.
     """
-    key = ["block", "part_a", "part_b"]
-
-    def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        block, part_a, part_b, part, cls, n, component = (table.column(c).to_numpy() for c in (*key, "part", "class", "n", "component"))
-        sets = signature_tree.Widths(table.column("bits").to_pylist())
-        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part_a[1:] != part_a[:-1]) | (part_b[1:] != part_b[:-1])])
-        length = np.diff(np.r_[starts, len(block)])
-        left, right = [], []
-        for size in range(2, signature_tree.FAN_OUT + 1):
-            x, y = np.triu_indices(size, 1)
-            at = starts[(length == size)]
-            left.append((at[:, None] + x).ravel())
-            right.append((at[:, None] + y).ravel())
-        i, j = np.concatenate(left), np.concatenate(right)
-        fits = (component[i] != component[j]) & ((part_a[i] == part_b[i]) | (part[i] != part[j]))
-        i, j = i[fits], j[fits]
-        near, bound = signature_tree.bounded(sets, n, i, j, percent)
-        found = [(i[near], j[near], bound[near])]
-        for start, size in zip(starts[length > signature_tree.FAN_OUT].tolist(), length[length > signature_tree.FAN_OUT].tolist()):
-            rows = np.arange(start, start + size)
-            if part_a[start] == part_b[start]:
-                found.append(signature_tree.join(sets, n, component, rows, None, percent))
-            else:
-                in_a, in_b = rows[part[rows] == part_a[start]], rows[part[rows] == part_b[start]]
-                if len(in_a) and len(in_b):
-                    found.append(signature_tree.join(sets, n, component, in_a, in_b, percent))
-        i, j, bound = (np.concatenate(x) for x in zip(*[f for f in found if len(f)]))
-        # Partners of equal bounds are taken in the order of their classes, the same one in all groups.
-        order = np.argsort(np.argsort(cls))
-        kept = np.arange(len(i)) if most is None else signature_tree.best(order[i], order[j], bound, most)
-        back = np.ones(len(i), bool)
-        back[kept] = False
-        held = np.unique(block[i[back]])
-        a, b = np.minimum(cls[i[kept]], cls[j[kept]]), np.maximum(cls[i[kept]], cls[j[kept]])
-        nothing = pa.nulls(len(held), pa.int64())
-        columns = [pa.chunked_array([a, nothing]), pa.chunked_array([b, nothing]), pa.chunked_array([pa.nulls(len(a), pa.int64()), held])]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], ["a", "b", "block"])
+
+    def run(table: pa.Table) -> pa.Table:
+        rare = table.column("range")[0].as_py() >= 0
+        key, cls, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("keys", np.uint32 if rare else np.int64), ("classes", np.int64), ("sizes", np.int32)))
+        early, n = n % 2 == 1, n.astype(np.int64) // 2
+        order = np.lexsort((~early, cls, n, key) if rare else (cls, key))
+        key, cls, n, early = key[order], cls[order], n[order], early[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+        key, cls, n, early = key[new], cls[new], n[new], early[new]
+        if rare:
+            order = np.lexsort((~early, n, key))
+            key, cls, n, early = key[order], cls[order], n[order], early[order]
+            same = key[1:] == key[:-1]
+            # An early one and the next larger one; any one and the last early one before it.
+            follows = np.r_[same & early[:-1] & (100 * n[:-1] >= percent * n[1:]), False]
+            last = np.maximum.accumulate(np.where(early, np.arange(len(key)), 0))
+            before = np.r_[0, last[:-1]]
+            led = early[before] & (key[before] == key) & (before < np.arange(len(key))) & (100 * n[before] >= percent * n)
+            key, cls, n = key[follows | led], cls[follows | led], n[follows | led]
+            order = np.lexsort((cls, key))
+            key, cls, n = key[order], cls[order], n[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            block = np.repeat(cls[starts], np.diff(np.r_[starts, len(key)]))
+            order = np.lexsort((cls, block))
+            block, cls, n = block[order], cls[order], n[order]
+            new = np.r_[True, (block[1:] != block[:-1]) | (cls[1:] != cls[:-1])][: len(block)]
+            key, cls, n = block[new], cls[new], n[new]
+        return pa.table({"block": key, "class": cls, "n": n})
+
+    return postings.groupBy("range").applyInArrow(run, "block long, class long, n long").distinct()
+
+
+GROUP = ("block", "part_a", "part_b")
+
+
+def _whole_groups(batches):
+    """Tables of whole groups from batches that are sorted by GROUP, with the row where each group starts."""
+    waiting = []
+    for batch in batches:
+        values = [batch.column(c).to_numpy() for c in GROUP]
+        first = np.logical_or.reduce([np.r_[True, v[1:] != v[:-1]] for v in values])
+        at = int(np.flatnonzero(first)[-1]) if batch.num_rows else 0
+        goes_on = bool(waiting) and all(waiting[-1].column(c)[-1].as_py() == v[0] for c, v in zip(GROUP, values))
+        if at or (waiting and not goes_on):
+            parts = [*waiting, batch.slice(0, at)]
+            yield pa.Table.from_batches([p for p in parts if p.num_rows]).combine_chunks()
+            waiting = []
+        waiting.append(batch.slice(at))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _numbered(table: pa.Table) -> np.ndarray:
+    """The number of each row's group."""
+    values = [table.column(c).to_numpy() for c in GROUP]
+    return np.cumsum(np.logical_or.reduce([np.r_[False, v[1:] != v[:-1]] for v in values]))
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    part, a, b = (table.column(c).to_numpy() for c in ("part", "part_a", "part_b"))
+    return part == b, a != b
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+MEMBER = "block long, part_a long, part_b long, part long, class long, component long, n long"
+
+
+def _held(members: DataFrame, percent: int) -> DataFrame:
+    """The members that have a candidate in their group. members: MEMBER and bits."""
+    names = [c.split()[0] for c in MEMBER.split(", ")]
 
     def run(batches):
-        waiting = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if waiting is None else pa.concat_tables([waiting, table])
-            # The last group may go on in the next batch.
-            last = [table.column(c)[len(table) - 1] for c in key]
-            at = len(table)
-            values = [table.column(c).to_numpy() for c in key]
-            same = np.logical_and.reduce([v == x.as_py() for v, x in zip(values, last)])
-            at = len(table) - (len(same) if same.all() else int(np.argmin(same[::-1])))
-            if at:
-                yield pairs_of(table.slice(0, at).combine_chunks())
-            waiting = table.slice(at)
-        if waiting is not None and len(waiting):
-            yield pairs_of(waiting.combine_chunks())
-
-    sorted_members = members.repartition(*key).sortWithinPartitions(*key)
-    return map_arrow(sorted_members, run, "a long, b long, block long")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. sets: class, tokens (uint64 as bytes)."""
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b")), "b").select("a", "b", "tokens_a", "tokens_b")
+        for table in _whole_groups(batches):
+            if len(table) < 2:
+                continue
+            sets = signature_tree.Sets(_numbered(table), *(table.column(c).to_numpy() for c in ("n", "component")), table.column("bits").to_pylist())
+            some = np.zeros(len(table), bool)
+            for i, j, _ in signature_tree.candidates(sets, *_sides(table), percent):
+                some[i] = some[j] = True
+            yield from table.select(names).filter(pa.array(some)).combine_chunks().to_batches()
+
+    return map_arrow(_dealt(members), run, MEMBER)
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each group. members: MEMBER and tokens (uint64 as bytes)."""
+
+    def joined(table: pa.Table) -> tuple[list[int], list[int]]:
+        group, n, cls = _numbered(table), table.column("n").to_numpy(), table.column("class").to_numpy()
+        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        _, component = np.unique(np.stack([group, table.column("component").to_numpy()]), axis=1, return_inverse=True)
+        component = component.ravel()
+        sets = signature_tree.Sets(group, n, component, [signature_tree.bitmap(t).tobytes() for t in tokens])
+        # Tokens as small numbers, so that a set is a mark on a flat array.
+        every, number = np.unique(np.concatenate(tokens), return_inverse=True)
+        cuts = np.r_[0, np.cumsum(n)]
+        marked = np.zeros(len(every), bool)
+        parent = np.arange(component.max() + 1)
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out_a, out_b = [], []
+        for i, j, bound in signature_tree.candidates(sets, *_sides(table), percent):
+            order = np.lexsort((-bound, i))
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            for x, partners in zip(i[starts].tolist(), np.split(j, starts[1:])):
+                mine = number[cuts[x] : cuts[x + 1]]
+                marked[mine] = True
+                at, step = 0, 8
+                while at < len(partners):
+                    # The best bounds first: those that a link joins needn't be compared after it.
+                    here = find(component[x])
+                    some = [y for y in partners[at : at + step].tolist() if find(component[y]) != here]
+                    at, step = at + step, step * 4
+                    if not some:
+                        continue
+                    flat = np.concatenate([number[cuts[y] : cuts[y + 1]] for y in some])
+                    common = np.add.reduceat(marked[flat], np.r_[0, np.cumsum(n[some])[:-1]], dtype=np.int64)
+                    for y in np.array(some)[100 * common >= percent * (n[x] + n[some] - common)].tolist():
+                        p, q = find(component[x]), find(component[y])
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            out_a.append(int(cls[x]))
+                            out_b.append(int(cls[y]))
+                marked[mine] = False
+        return out_a, out_b
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        for table in _whole_groups(batches):
+            if len(table) >= 2:
+                a, b = joined(table)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return map_arrow(both, run, "a long, b long")
+    return map_arrow(_dealt(members), run, "a long, b long")
 
 
 def components(edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
@@ -307,72 +388,109 @@ def _relabelled(edges: DataFrame, label: DataFrame) -> DataFrame:
     return edges.select("a", "b")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, row_key: Column, ngram: int, percent: int) -> DataFrame:
+    """doc_id, row_key, n, class, component (a number), component_id (the smallest doc_id of the component)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key.cast("long").alias("row_key"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     surveyed = materialize(_survey(rows, id_type, ngram), "survey")
     known = surveyed.filter(F.col("token").isNull())
-    classes = known.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = materialize(classes, "classes")
+    some = known.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
+    # Different sets with one 64-bit number: about rows squared / 2^65 of them.
+    twice = some.groupBy("class").agg((F.min("second") != F.max("second")).alias("differ")).filter("differ")
+    shared = frozenset(r[0] for r in twice.select("class").collect())
+    if shared:
+        known = known.withColumn("class", F.when(F.col("class").isin(*shared), F.col("second")).otherwise(F.col("class")))
+        some = some.withColumn("class", F.when(F.col("class").isin(*shared), F.col("second")).otherwise(F.col("class")))
+    classes = materialize(some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     least = max(HOT_LEAST, total // HOT_MOST)
-    often = surveyed.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= least)
-    tokens = often.select("token").toArrow().column("token").to_numpy()
-    hot = spark.sparkContext.broadcast(np.sort(tokens.view(np.uint64)))
-    ranges = max(16, total * 3 // RANGE_BYTES)
-    blocks = materialize(_blocks(_postings(rows, hot, ranges, ngram, percent)), "blocks")
-
-    sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    large = materialize(sizes.filter(F.col("parts") > 1), "large")
+    often = surveyed.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df"), F.min("least").alias("least")).filter(F.col("df") >= least)
+    often = often.select("token", "least").toArrow()
+    tokens, pivots = often.column("token").to_numpy().view(np.uint64), often.column("least").to_numpy()
+    order = np.argsort(tokens)
+    hot = spark.sparkContext.broadcast((tokens[order], pivots[order]))
+    ranges = max(16, total * 4 // RANGE_BYTES)
+    blocks = materialize(_blocks(_postings(rows, hot, ranges, shared, ngram, percent), percent), "blocks")
+
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS))
+    large = materialize(blocks.groupBy("block").agg(parts.alias("parts")).filter("parts > 1"), "large")
     some_large = not large.isEmpty()
-    label = sets = tested = None
-    for turn, most in enumerate(PROPOSALS):
-        # Bitmaps are wide, so they are joined last and shuffled once.
-        members = blocks.join(large, "block", "left") if some_large else blocks.withColumn("parts", F.lit(None).cast("long"))
-        members = members.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("parts"))).cast("long"))
-        # The first round stays within the chunks of large blocks; later ones join all pairs of them.
-        other = F.array(F.col("part")) if turn == 0 else F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
-        members = members.withColumn("other", F.explode(other))
-        members = members.select("class", "block", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part")
-        if label is None:
-            members = members.withColumn("component", F.col("class"))
-        else:
-            members = members.join(label.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        members = members.join(classes.drop("doc_id"), "class")
-        proposed = materialize(_propose(members, most, percent), "proposed")
-        pairs = proposed.filter(F.col("block").isNull()).select("a", "b").distinct()
-        if sets is None:
-            active = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-            if some_large:
-                active = active.union(blocks.join(large, "block", "left_semi").select("class"))
-            active = active.distinct()
-            sets = materialize(_sets(rows, classes.select("class", F.col("doc_id").alias("of")).join(active, "class"), ngram), "sets")
-        else:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if label is None or not pairs.isEmpty():
-            label = components(_verify(pairs, sets, percent), label)
-            tested = pairs if tested is None else tested.union(pairs)
-        held = proposed.select("block").filter(F.col("block").isNotNull())
-        held = held.union(large.select("block")) if turn == 0 and some_large else held
-        if held.isEmpty():
-            break
-        blocks = materialize(blocks.join(held.distinct(), "block", "left_semi"), "blocks")
+    part_of = lambda parts: F.pmod(F.xxhash64("class"), parts)
+    if some_large:
+        cut = blocks.join(large, "block", "left")
+        own = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long")))
+        own = own.when(F.col("class") == F.col("block"), F.array().cast("array<long>")).otherwise(F.array(part_of(F.col("parts"))))
+        members = cut.select("block", "class", F.explode(own).alias("part"))
+        # The block's smallest class is in all of its chunks.
+        members = members.union(large.select("block", F.col("block").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    else:
+        members = blocks.select("block", "class", F.lit(0).cast("long").alias("part"))
+    members = members.select("block", F.col("part").alias("part_a"), F.col("part").alias("part_b"), "part", "class", F.col("class").alias("component"))
+    label = _joined(rows, classes, members, None, shared, ngram, percent)
+
+    if some_large:
+        label = _across(rows, classes, blocks, large, label, shared, ngram, percent)
+    discard(blocks, large)
 
     labelled = classes.select("class", "doc_id").join(label.withColumnRenamed("vertex", "class"), "class")
     least_of = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = labelled.join(least_of, "component").select("class", "component_id").union(
-        classes.select("class", "doc_id").join(label.select(F.col("vertex").alias("class")), "class", "left_anti").toDF("class", "component_id")
-    )
-    out = known.select("doc_id", F.col("n").alias("n_shingles"), "class").join(of_class, "class", "left")
+    alone = classes.join(label.select(F.col("vertex").alias("class")), "class", "left_anti")
+    of_class = labelled.join(least_of, "component").select("class", "component", "component_id").union(alone.select("class", F.col("class").alias("component"), F.col("doc_id").alias("component_id")))
+    return known.select("doc_id", "row_key", "n", "class").join(of_class, "class", "left")
+
+
+def _joined(rows, classes, members, label, shared, ngram, percent) -> DataFrame:
+    """The labels after all pairs within the groups of members (MEMBER without n) were compared."""
+    # Bitmaps are wide, so they are joined last and shuffled once; sets go to members with candidates only.
+    held = materialize(_held(members.join(classes.drop("doc_id"), "class"), percent), "held")
+    # Written, so that a short list is known to be short and no text moves for it.
+    wanted = materialize(classes.select("class", F.col("doc_id").alias("of")).join(held.select("class").distinct(), "class", "left_semi"), "wanted")
+    links = materialize(_links(held.join(_sets(rows, wanted, shared, ngram), "class"), percent), "links")
+    out = components(links, label)
+    discard(held, wanted, links)
+    return out
+
+
+def _across(rows, classes, blocks, large, label, shared, ngram, percent) -> DataFrame:
+    """The labels after the members of large blocks were compared across chunks too.
+
+    The largest component of a block is cut into chunks of its own, which aren't compared
+    with each other.
+    """
+    named = blocks.join(large.select("block"), "block", "left_semi").join(label.withColumnRenamed("vertex", "class"), "class", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "class")), "named")
+    sizes = named.groupBy("block", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    of_top = F.max_by(F.struct("component", "m", "n"), F.struct("m", "component"))
+    per = sizes.groupBy("block").agg(of_top.alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    parts = lambda m, n: F.greatest(F.ceil(m / CHUNK), F.ceil(n / CHUNK_TOKENS))
+    layout = per.select(
+        "block", F.col("top.component").alias("top"), parts(F.col("top.m"), F.col("top.n")).alias("of_top"),
+        parts(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("of_rest"),
+    )
+    layout = materialize(layout, "layout")
+    if layout.isEmpty():
+        return label
+    placed = named.join(layout.hint("merge"), "block")
+    is_top = F.col("component") == F.col("top")
+    part = F.when(is_top, F.col("of_rest") + F.pmod(F.xxhash64("class"), "of_top")).otherwise(F.pmod(F.xxhash64("class"), "of_rest"))
+    last = F.when(is_top, F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_top")) - 1
+    placed = placed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    members = placed.select("block", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "class", "component")
+    out = _joined(rows, classes, members, label, shared, ngram, percent)
+    discard(named, layout)
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    found = _grouped(docs, id_col, text_col, F.lit(None), ngram, percent)
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"))
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, shared: frozenset, ngram: int) -> DataFrame:
     """(class, tokens) of the wanted classes, from the text of one document of each. wanted: class, of."""
     joined = rows.join(wanted, rows["doc_id"] == wanted["of"]).select("text", "class")
 
@@ -381,15 +499,30 @@ def _sets(rows: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
             found = []
             for text, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = shingle_set(text, ngram)
-                if len(tokens) and class_of(tokens) == cls:  # another row may have the same identifier
+                if len(tokens) and _class_among(tokens, shared) == cls:  # another row may have the same identifier
                     found.append((cls, tokens.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], ["class", "tokens"])
 
-    return map_arrow(joined, run, "class long, tokens binary")
+    # Repeated rows give a class twice.
+    return map_arrow(joined, run, "class long, tokens binary").dropDuplicates(["class"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that a smaller identifier of their group stands for."""
-    found = similar(docs, id_col, text_col)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    """The documents without those that another one of their group stands for: of each group
+    the row with the smallest identifier stays (of rows that share it, one).
+
+    Rows without an identifier or without words stay.
+    """
+    names = set(docs.columns)
+    own = next(f"_row_key{k or ''}" for k in range(len(names) + 1) if f"_row_key{k or ''}" not in names)
+    keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    found = materialize(_grouped(keyed, id_col, text_col, F.col(own), NGRAM, PERCENT).filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull()).select("doc_id", "row_key", "component"), "groups")
+    rows = found.groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    judged = rows.join(first, "component").select("doc_id", "row_key", "times", (F.struct("doc_id", "row_key") == F.col("first")).alias("stays"))
+    others = judged.filter(~F.col("stays") | (F.col("times") > 1))
+    again = judged.filter(F.col("stays") & (F.col("times") > 1))
+    named = lambda df: df.select(F.col("doc_id").alias(id_col), F.col("row_key").alias(own)).distinct()
+    single = keyed.join(named(others), [id_col, own], "left_anti")
+    repeated = keyed.join(named(again), [id_col, own], "left_semi").dropDuplicates([id_col, own])
+    return single.unionByName(repeated).select(docs.columns)

@@ -1,4 +1,4 @@
-"""Signature trees: candidates of a Jaccard self-join inside one block of documents.
+"""Signature trees: candidates of a Jaccard self-join inside groups of documents.
 
 A leaf is one set, known by its size and a bitmap of its hashed tokens. An inner node holds
 the OR of its children's bitmaps, the range of their sizes, the largest excess (tokens
@@ -7,6 +7,9 @@ one. Two nodes are traversed together; the pair goes when the sizes are too far
 the common bits and the excess can't make up the overlap that the threshold asks for, or
 when both hold documents of one and the same component.
 
+The trees of many groups stand side by side in a forest, a level in one array, so that
+small groups are traversed by the same steps as large ones, and all of them at once.
+
 All bounds are upper bounds of the overlap, so no pair at or over the threshold is lost.
 """
 
@@ -14,16 +17,16 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Fewest and most bits of a bitmap; between them it is the power of 2 next to the set's size.
-LEAST_BITS, MOST_BITS = 1 << 9, 1 << 18
+#: Fewest and most bits of a bitmap; between them it is SPREAD times the power of 2 next to the set's size.
+LEAST_BITS, MOST_BITS, SPREAD = 1 << 9, 1 << 18, 4
 FAN_OUT = 8
-#: Node pairs whose bitmaps are compared at once.
-SLICE = 1 << 16
+#: Node pairs whose bitmaps are compared at once, by words of 64 bits.
+SLICE_WORDS = 1 << 20
 
 
 def width(n: int) -> int:
     """Bits of the bitmap of a set of n tokens. Sets within the threshold differ by a factor of 2 at most."""
-    return min(max(1 << max(n - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+    return min(max(SPREAD << max(n - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -44,10 +47,11 @@ def popcount(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-class Widths:
-    """The bitmaps of many sets, by their width in words."""
+class Sets:
+    """Rows to be joined: their group, size, component and bitmap, the bitmaps kept by width."""
 
-    def __init__(self, packed: list[bytes]):
+    def __init__(self, group: np.ndarray, n: np.ndarray, component: np.ndarray, packed: list[bytes]):
+        self.group, self.n, self.component = group, n, component
         self.words = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
         self.at = np.zeros(len(packed), np.int64)
         self.bits: dict[int, np.ndarray] = {}
@@ -63,50 +67,43 @@ class Widths:
         return found if own == words else folded(found)
 
 
-def bounded(sets: Widths, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For row pairs: whether they may reach the threshold, and the bound of their overlap."""
-    bound = np.zeros(len(i), np.int64)
-    near = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
-    low = np.minimum(sets.words[i], sets.words[j])
-    high = np.maximum(sets.words[i], sets.words[j])
-    for words in np.unique(low[near]).tolist():
-        for wider in (words, 2 * words):
-            rows = np.flatnonzero(near & (low == words) & (high == wider))
-            for at in range(0, len(rows), SLICE):
-                part = rows[at : at + SLICE]
-                if not len(part):
-                    continue
-                swap = sets.words[i[part]] > words
-                x, y = np.where(swap, j[part], i[part]), np.where(swap, i[part], j[part])
-                bx, by = sets.of(x, words), sets.of(y, words)
-                excess = np.minimum(n[x] - popcount(bx), n[y] - popcount(by))
-                bound[part] = popcount(bx & by) + excess
-    near &= (100 + percent) * bound >= percent * (n[i] + n[j])
-    return near, bound
-
-
-class Tree:
-    """Levels from the leaves (level 0) to a root level of FAN_OUT nodes or fewer."""
-
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, component: np.ndarray):
-        first = np.unique(component, return_inverse=True)[1]
-        least = np.full(first.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, first, sizes)
-        self.order = np.lexsort((sizes, first, least[first]))
-        sizes, bits, component = sizes[self.order], bits[self.order], component[self.order]
-        excess = sizes - popcount(bits)
-        self.levels = [(sizes, sizes, bits, excess, component, np.ones(len(sizes), bool))]
-        while len(self.levels[-1][0]) > FAN_OUT:
-            low, high, bits, excess, component, one = self.levels[-1]
-            at = np.arange(0, len(low), FAN_OUT)
+class Forest:
+    """A tree for each group of some rows. Levels go from the leaves (0) to the roots, one for each group."""
+
+    def __init__(self, sets: Sets, rows: np.ndarray, words: int):
+        bits, group, size, component = sets.of(rows, words), sets.group[rows], sets.n[rows], sets.component[rows]
+        # Neighbours in a tree: the same component, then about the same size.
+        order = np.lexsort((size, component, group))
+        self.rows = rows[order]
+        group, size, component, bits = group[order], size[order], component[order], bits[order]
+        one = np.ones(len(rows), bool)
+        self.levels = [(group, size, size, bits, size - popcount(bits), component, one)]
+        self.first: list[np.ndarray] = []
+        self.count: list[np.ndarray] = []
+        while True:
+            group, low, high, bits, excess, component, one = self.levels[-1]
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            if len(starts) == len(group) and len(self.levels) > 1:
+                break
+            place = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+            at = np.flatnonzero(place % FAN_OUT == 0)
+            self.first.append(at)
+            self.count.append(np.diff(np.r_[at, len(group)]))
             pure = np.minimum.reduceat(component, at) == np.maximum.reduceat(component, at)
-            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(excess, at), component[at], pure & np.logical_and.reduceat(one, at)))
+            self.levels.append((group[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(excess, at), component[at], pure & np.logical_and.reduceat(one, at)))
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of nodes of a level, and for each the position of its parent in ``nodes``."""
+        count = self.count[level - 1][nodes]
+        parent = np.repeat(np.arange(len(nodes)), count)
+        step = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count)
+        return self.first[level - 1][nodes][parent] + step, parent
 
 
-def _keep(a: Tree, b: Tree, level_a: int, level_b: int, i: np.ndarray, j: np.ndarray, percent: int):
+def _keep(a: Forest, b: Forest, la: int, lb: int, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which node pairs may hold a pair at the threshold, and the bound of their overlap."""
-    low_a, high_a, bits_a, excess_a, component_a, one_a = a.levels[level_a]
-    low_b, high_b, bits_b, excess_b, component_b, one_b = b.levels[level_b]
+    _, low_a, high_a, bits_a, excess_a, component_a, one_a = a.levels[la]
+    _, low_b, high_b, bits_b, excess_b, component_b, one_b = b.levels[lb]
     near = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
     near &= ~(one_a[i] & one_b[j] & (component_a[i] == component_b[j]))
     bound = np.zeros(len(i), np.int64)
@@ -116,17 +113,16 @@ def _keep(a: Tree, b: Tree, level_a: int, level_b: int, i: np.ndarray, j: np.nda
     return near, bound
 
 
-def candidates(a: Tree, b: Tree | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf pairs (rows as given to the trees) with the bound of their overlap; b None: within a."""
+def traverse(a: Forest, b: Forest | None, percent: int):
+    """Yields leaf pairs (rows) with the bound of their overlap, of the trees of one group; b None: within a."""
     within = b is None
     b = a if within else b
     la, lb = len(a.levels) - 1, len(b.levels) - 1
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[la][0])), np.arange(len(b.levels[lb][0])), indexing="ij"))
+    _, i, j = np.intersect1d(a.levels[la][0], b.levels[lb][0], assume_unique=True, return_indices=True)
+    most = max(SLICE_WORDS // a.levels[0][3].shape[1], FAN_OUT**2)
     stack = [(la, lb, i, j)]
-    found = []
     while stack:
         la, lb, i, j = stack.pop()
-        most = max(SLICE * 16 // a.levels[0][2].shape[1], FAN_OUT**2)
         if len(i) > most:
             stack += [(la, lb, i[at : at + most], j[at : at + most]) for at in range(0, len(i), most)]
             continue
@@ -138,74 +134,38 @@ def candidates(a: Tree, b: Tree | None, percent: int) -> tuple[np.ndarray, np.nd
         if not len(i):
             continue
         if la == lb == 0:
-            found.append((i, j, bound))
+            yield a.rows[i], b.rows[j], bound
             continue
-        # Go down in the higher tree, or in both.
+        # Go down in the higher forest, or in both.
         down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
-        step = np.arange(FAN_OUT)
         if down_a:
-            i, j = (i[:, None] * FAN_OUT + step).ravel(), np.repeat(j, FAN_OUT)
-            fits = i < len(a.levels[la - 1][0])
-            i, j = i[fits], j[fits]
+            i, parent = a.children(la, i)
+            j = j[parent]
         if down_b:
-            i, j = np.repeat(i, FAN_OUT), (j[:, None] * FAN_OUT + step).ravel()
-            fits = j < len(b.levels[lb - 1][0])
-            i, j = i[fits], j[fits]
+            j, parent = b.children(lb, j)
+            i = i[parent]
         stack.append((la - down_a, lb - down_b, i, j))
-    if not found:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    i, j, bound = (np.concatenate(x) for x in zip(*found))
-    return a.order[i], b.order[j], bound
 
 
-def join(sets: Widths, n: np.ndarray, component: np.ndarray, in_a: np.ndarray, in_b: np.ndarray | None, percent: int):
-    """Candidate row pairs within in_a, or between in_a and in_b, and their bounds.
+def candidates(sets: Sets, in_b: np.ndarray, across: np.ndarray, percent: int):
+    """Yields candidate row pairs (i, j, bound) of each group, those within a component left out.
 
-    There is a tree for each width; trees of one width, or of neighbouring ones, are joined.
+    across: rows of groups of which only pairs between the two sides count; in_b: rows of
+    the second side there. A forest for each width; those of neighbouring widths are joined.
     """
-    found = []
-
-    def tree(rows, words):
-        return Tree(n[rows], sets.of(rows, words), component[rows])
 
     def by_width(rows):
         return {w: rows[sets.words[rows] == w] for w in np.unique(sets.words[rows]).tolist()}
 
-    def cross(x, y, words):
-        i, j, bound = candidates(tree(x, words), tree(y, words), percent)
-        found.append((x[i], y[j], bound))
-
-    of_a = by_width(in_a)
-    of_b = of_a if in_b is None else by_width(in_b)
+    of = by_width(np.flatnonzero(~across))
+    for words, rows in of.items():
+        forest = Forest(sets, rows, words)
+        yield from traverse(forest, None, percent)
+        if 2 * words in of:
+            yield from traverse(forest, Forest(sets, of[2 * words], words), percent)
+    of_a, of_b = by_width(np.flatnonzero(across & ~in_b)), by_width(np.flatnonzero(across & in_b))
     for words, rows in of_a.items():
-        if in_b is None:
-            i, j, bound = candidates(tree(rows, words), None, percent)
-            found.append((rows[i], rows[j], bound))
-        elif words in of_b:
-            cross(rows, of_b[words], words)
-        if 2 * words in of_b:
-            cross(rows, of_b[2 * words], words)
-        if in_b is not None and words // 2 in of_b:
-            cross(of_b[words // 2], rows, words // 2)
-            j, i, bound = found.pop()
-            found.append((i, j, bound))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def best(i: np.ndarray, j: np.ndarray, bound: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the pairs that are among the ``most`` best of one of their ends: the largest bound, then the smallest other end."""
-    if most == 1 and len(i):
-        size = int(max(i.max(), j.max())) + 1
-        top = np.full(size, -1, np.int64)
-        keys = bound * size + (size - 1 - j), bound * size + (size - 1 - i)
-        np.maximum.at(top, i, keys[0])
-        np.maximum.at(top, j, keys[1])
-        return np.flatnonzero((keys[0] == top[i]) | (keys[1] == top[j]))
-    end = np.concatenate([i, j])
-    other = np.concatenate([j, i])
-    pair = np.concatenate([np.arange(len(i))] * 2)
-    order = np.lexsort((other, -bound[pair], end))
-    starts = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]])
-    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    return np.unique(pair[order[rank < most]])
+        for other in (words // 2, words, 2 * words):
+            if other in of_b:
+                common = min(words, other)
+                yield from traverse(Forest(sets, rows, common), Forest(sets, of_b[other], common), percent)
