@@ -5,7 +5,10 @@ space, lower case) nor the splitting pattern reaches across white space, so each
 encodes on its own and its ids are cached. The words of all chunks that a batch meets for
 the first time lie as symbols in one flat array; in every round numpy looks up all adjacent
 pairs by binary search over the sorted pair keys, finds the lowest rank of each word, and
-merges it in all words at once. Words without a merge left leave the array.
+merges it in all words at once. With it go all pairs that would be merged whatever happens
+before their turn: those of a rank below that of any pair which a merge of the word could
+make, if both neighbours' ranks are higher. So long words take few rounds, too. Words
+without a merge left leave the array.
 
 Supported files: model BPE with an end-of-word suffix and neither unknown token, dropout
 nor byte fallback; normalisers NFC, Replace of white space, Lowercase; pre-tokenizers
@@ -116,6 +119,7 @@ class Bpe:
         order = np.argsort(left * self.base + right, kind="stable")
         self.keys = (left * self.base + right)[order]
         self.rank, self.made, self.safe = rank[order], made[order], (first_use[made] > rank)[order]
+        self.next_use = first_use[made][order]
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids (int32, as bytes) of each word, given as UTF-8."""
@@ -132,21 +136,26 @@ class Bpe:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.append(np.where(self.keys[at] == key, self.rank[at], NONE), NONE)
             starts = np.flatnonzero(np.r_[True, ~same])
-            lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(symbol)]))
-            over = lowest == NONE
+            length = np.diff(np.r_[starts, len(symbol)])
+            low = np.minimum.reduceat(rank, starts)
+            # The lowest rank that a merge of the word could bring in; ranks below it keep their order.
+            bringing = np.append(np.where(rank[:-1] != NONE, self.next_use[at], NONE), NONE)
+            limit = np.repeat(np.maximum(np.minimum.reduceat(bringing, starts), low + (low != NONE)), length)
+            over = np.repeat(low == NONE, length)
             if over.any():
                 done_symbol.append(symbol[over])
                 done_word.append(word[over])
-            hit = (rank == lowest) & ~over
+            # Runs of one rank are merged from their start, in every other place.
+            before, after = np.r_[NONE, rank[:-1]], np.r_[rank[1:], NONE]
+            fits = (rank < limit) & ~over
+            starts_run = fits & (before != rank)
+            number = np.maximum.accumulate(np.where(starts_run, np.arange(len(rank)), 0))
+            hit = fits & (before[number] > rank) & (after >= rank) & ((np.arange(len(rank)) - number) % 2 == 0)
             places = np.flatnonzero(hit)
             if len(places):
-                # The first place of a word always counts; a place right after one that counts never does.
+                # Where a merge could bring in a lower rank, only the first place of the word counts.
                 new_word = np.r_[True, word[places[1:]] != word[places[:-1]]]
-                follows = np.r_[False, np.diff(places) == 1] & ~new_word
-                run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(places))))
-                counts = (np.arange(len(places)) - run) % 2 == 0
-                counts &= new_word | self.safe[at[places]]
-                places = places[counts]
+                places = places[new_word | self.safe[at[places]]]
                 symbol[places] = self.made[at[places]]
                 stay = ~over
                 stay[places + 1] = False
