@@ -11,6 +11,9 @@ Roles and texts that are null are rendered, and compared, as empty.
 Defined cases: rows without a conversation identifier belong to no conversation and are
 left out; an empty table gives an empty result; other columns play no part. A conversation
 is rendered into one row, so it is gathered in one task.
+
+Only hashes are kept of all conversations; the turns of the maximal ones are read again
+from the log and rendered then, so that snapshots cost no rendering.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_arrow, materialize
+from eventloom.llm.common import discard, map_arrow, materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -40,35 +43,47 @@ def prefix_hashes(turns: list[tuple[str, str]]) -> list[bytes]:
     return found
 
 
-def _conversations(logged: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    rows = logged.filter(F.col(id_col).isNotNull())
+def _turns(logged: DataFrame, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """conv_id, turns: the turns in order. logged has a column conv_id."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    grouped = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_set(turn)).alias("turns"))
+    return logged.groupBy("conv_id").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
+
+
+def _hashes(grouped: DataFrame) -> DataFrame:
+    """conv_id, n_turns, whole (the hash of all turns), shorter (those of the prefixes)."""
+    id_type = grouped.schema["conv_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [prefix_hashes([(t["role"] or "", t["text"] or "") for t in turns]) for turns in batch.column("turns").to_pylist()]
+            columns = [pa.array([len(h) for h in found], pa.int64()), pa.array([h[-1] for h in found], pa.binary()), pa.array([h[:-1] for h in found], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], ["conv_id", "n_turns", "whole", "shorter"])
+
+    return map_arrow(grouped, run, f"conv_id {id_type}, n_turns long, whole binary, shorter array<binary>")
+
+
+def _rendered(grouped: DataFrame) -> DataFrame:
+    """conv_id, rendered."""
     id_type = grouped.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            n, whole, shorter, text = [], [], [], []
-            for turns in batch.column("turns").to_pylist():
-                turns = [(t["role"] or "", t["text"] or "") for t in turns]
-                hashes = prefix_hashes(turns)
-                n.append(len(turns))
-                whole.append(hashes[-1])
-                shorter.append(hashes[:-1])
-                text.append(render(turns))
-            columns = [pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(shorter, pa.list_(pa.binary())), pa.array(text, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], ["conv_id", "n_turns", "whole", "shorter", "rendered"])
+            text = [render([(t["role"] or "", t["text"] or "") for t in turns]) for turns in batch.column("turns").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(text, pa.string())], ["conv_id", "rendered"])
 
-    return map_arrow(grouped, run, f"conv_id {id_type}, n_turns long, whole binary, shorter array<binary>, rendered string")
+    return map_arrow(grouped, run, f"conv_id {id_type}, rendered string")
 
 
 def collapse(logged: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, n_equal (conversations that are the same), rendered."""
-    conversations = materialize(_conversations(logged, id_col, turn_col, role_col, text_col), "conversations")
+    log = logged.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    conversations = materialize(_hashes(_turns(log, "turn", "role", "text")), "conversations")
     extended = conversations.select(F.explode("shorter").alias("whole")).distinct()
-    equal = conversations.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
-    maximal = equal.join(extended, "whole", "left_anti").select("conv_id", "n_equal")
-    return conversations.join(maximal, "conv_id").select("conv_id", "n_turns", "n_equal", "rendered")
+    equal = conversations.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"), F.first("n_turns").alias("n_turns"))
+    maximal = materialize(equal.join(extended, "whole", "left_anti").select("conv_id", "n_turns", "n_equal"), "maximal")
+    discard(conversations)
+    rendered = _rendered(_turns(log.join(maximal.select("conv_id"), "conv_id", "left_semi"), "turn", "role", "text"))
+    return rendered.join(maximal, "conv_id").select("conv_id", "n_turns", "n_equal", "rendered")
 
 
 #: The same result in DuckDB: every prefix is compared in full.
