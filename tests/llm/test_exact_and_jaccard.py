@@ -39,9 +39,31 @@ def test_exact_dedup(spark):
 
 def test_exact_dedup_splits_hot_texts(spark, monkeypatch):
     monkeypatch.setattr(exact, "HOT_LEAST", 5)
-    data = [(k, "same  text" if k % 3 else f"own {k}") for k in range(300)] + [(1000, "same text"), (None, "same\ttext")]
+    data = [(k, "same  text" if k % 3 else f"own {k}") for k in range(300)] + [(1000, "same text"), (None, "same\ttext"), (1, "same text")]
+    data += [(None, "nobody's") for _ in range(40)] + [(None, "somebody's") for _ in range(40)] + [(7, "somebody's")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = order(brute_exact(data))
+    assert rows(exact.exact_dedup(df)) == want
+    runs, _ = exact._runs(df, "doc_id", "text", [])
+    assert runs.filter("salt >= 0").groupBy("fp", "salt").count().filter("count > 15").count() == 0
+    assert order((r.doc_id,) for r in exact.keep_one(df).collect()) == order((r[0],) for r in want if r[3])
+
+
+def test_exact_dedup_splits_texts_with_many_characters(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_CHARS", 1000)
+    data = [(k, "x" * 100) for k in range(100)] + [(k, f"own {k}") for k in range(100, 120)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(exact.exact_dedup(df)) == order(brute_exact(data))
+    assert exact._runs(df, "doc_id", "text", [])[0].filter("salt >= 0").select("salt").distinct().count() == 10
+
+
+def test_keep_one_with_names_of_its_own(spark):
+    """Columns that are called like the operator's own keep their values."""
+    own = ("doc_id", "norm", "fp", "salt", "prefix", "run", "head", "whole", "run_keep", "run_size", "hot_text", "hot_keep", "hot_size", "hot_stays", "text_sha256", "a.b")
+    df = spark.createDataFrame([(k, f"text {k % 3}", *[f"{c}{k}" for c in own]) for k in range(6)], "id long, body string, " + ", ".join(f"`{c}` string" for c in own))
+    found = exact.keep_one(df, "id", "body")
+    assert found.columns == df.columns
+    assert rows(found) == [(k, f"text {k}", *[f"{c}{k}" for c in own]) for k in range(3)]
 
 
 def test_content_sort_moves_texts_once(spark):
@@ -115,15 +137,38 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("chunk, hot", [(1024, 32), (16, 8)])
-def test_jaccard_around_the_threshold(spark, monkeypatch, chunk, hot):
+@pytest.mark.parametrize("chunk, hot, seed", [(1024, 32, 3), (16, 8, 3), (5, 8, 4)])
+def test_jaccard_around_the_threshold(spark, monkeypatch, chunk, hot, seed):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
-    data = near_copies(250, 3)
+    data = near_copies(250, seed)
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     assert rows(jaccard.similar(df)) == order(brute_jaccard(data))
 
 
+def test_jaccard_tells_sets_with_one_number_apart(spark, monkeypatch):
+    """A 64-bit number that different sets share doesn't make them one class."""
+    import inspect
+    import textwrap
+
+    from eventloom.llm import jaccard as module
+
+    # Workers import the module anew, so a short first hash is built from its source.
+    source = inspect.getsource(module).replace("def class_of(", "def _whole(").replace("\ndef _class_among(", "\ndef class_of(tokens, second=False):\n    found = _whole(tokens, second)\n    return found if second else found % 7\n\n\ndef _class_among(")
+    short = {"__name__": "short"}
+    exec(compile(textwrap.dedent(source), "short", "exec"), short)  # noqa: S102
+    data = near_copies(60, 5)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(short["similar"](df)) == order(brute_jaccard(data))
+
+
+def test_one_of_each_judges_rows_by_their_own_text(spark):
+    a, b = helpers.prose(1), helpers.prose(2)
+    data = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, a), (4, a), (5, None), (5, None), (None, a), (2, b)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert order(rows(jaccard.one_of_each(df))) == order([(1, a), (2, b), (5, None), (5, None), (None, a)])
+
+
 def test_one_of_each(spark):
     docs = helpers.documents(spark)
     found = jaccard.one_of_each(docs)
@@ -161,29 +206,22 @@ def test_tree_loses_no_pair():
         own = np.concatenate([base[:size], rnd.integers(0, 2**63, int(rnd.integers(0, size // 3 + 1))).astype(np.uint64)])
         sets.append(np.unique(own[rnd.random(len(own)) > rnd.choice([0, 0.1])]))
     n = np.array([len(s) for s in sets])
-    widths = signature_tree.Widths([signature_tree.bitmap(s).tobytes() for s in sets])
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    i, j, bound = signature_tree.join(widths, n, np.arange(300), np.arange(300), None, 75)
-    got = {(min(a, b), max(a, b)): o for a, b, o in zip(i.tolist(), j.tolist(), bound.tolist())}
-    assert want <= set(got) and len(got) == len(i)
-    assert all(o >= len(np.intersect1d(sets[a], sets[b])) for (a, b), o in got.items())
-    half = np.arange(150), np.arange(150, 300)
-    i, j, _ = signature_tree.join(widths, n, np.arange(300), *half, 75)
-    assert {(a, b) for a, b in want if a < 150 <= b} <= set(zip(i.tolist(), j.tolist()))
-    same = np.zeros(300, int)
-    assert not len(signature_tree.join(widths, n, same, np.arange(300), None, 75)[0])
-
-
-def test_best_partners():
-    import numpy as np
-
-    rnd = np.random.default_rng(2)
-    pairs = np.array(sorted({(a, b) for a, b in rnd.integers(0, 40, (300, 2)).tolist() if a < b}))
-    i, j, bound = pairs[:, 0], pairs[:, 1], rnd.integers(0, 4, len(pairs))
-    for most in (1, 2, 5):
-        want = set()
-        for v in range(40):
-            mine = [k for k in range(len(pairs)) if v in pairs[k]]
-            mine.sort(key=lambda k: (-bound[k], pairs[k].sum() - v))
-            want |= set(mine[:most])
-        assert set(signature_tree.best(i, j, bound, most).tolist()) == want
+    packed = [signature_tree.bitmap(s).tobytes() for s in sets]
+    group = np.repeat([0, 1], [220, 80])
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and alike(i, j)}
+
+    def found(component, second, across):
+        forest = signature_tree.Sets(group, n, component, packed)
+        return [(i, j, o) for batch in signature_tree.candidates(forest, second, across, 75) for i, j, o in zip(*(x.tolist() for x in batch))]
+
+    no, yes = np.zeros(300, bool), np.ones(300, bool)
+    pairs = found(np.arange(300), no, no)
+    got = {(min(i, j), max(i, j)) for i, j, _ in pairs}
+    assert want <= got and len(got) == len(pairs)
+    assert all(group[i] == group[j] and o >= len(np.intersect1d(sets[i], sets[j])) for i, j, o in pairs)
+    second = np.arange(300) % 2 == 1
+    got = [(min(i, j), max(i, j)) for i, j, _ in found(np.arange(300), second, yes)]
+    assert {(i, j) for i, j in want if (i + j) % 2} <= set(got) and len(set(got)) == len(got)
+    assert all((i + j) % 2 for i, j in got)
+    assert found(np.zeros(300, int), no, no) == []
