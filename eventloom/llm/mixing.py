@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import WS_CLASS, materialize
 
 STEPS = 50
+#: So many steps of the bisection share a job, which evaluates all exponents that they may come to.
+STEPS_AT_ONCE = 6
 BUCKET_DIGITS = 3
-#: Up to so many sources, the bisection works on a list at the driver; beyond, each step is a job.
-LISTED = 50_000
 
 
 @dataclass(frozen=True)
@@ -56,54 +56,65 @@ def n_words(text: Column) -> Column:
 
 
 class Shares:
-    """Entropy and repetition of the weights at an exponent, over (source, tokens > 0)."""
+    """Entropy and repetition of the weights at an exponent, over (source, tokens > 0). Sources stay where they are."""
 
     def __init__(self, sources: DataFrame):
         self.sources = sources
         self.n, self.total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-        self.listed = [r[0] for r in sources.select("tokens").collect()] if self.n <= LISTED else None
-
-    def at(self, exponent: float) -> tuple[float, float, float]:
-        """(sum of powers, entropy of the weights, the largest weight / tokens)."""
-        if self.listed is not None:
-            powers = [(t / self.total) ** exponent for t in self.listed]
-            whole = math.fsum(powers)
-            entropy = -math.fsum(p / whole * math.log(p / whole) for p in powers)
-            return whole, entropy, max(p / whole / t for p, t in zip(powers, self.listed))
-        power = F.pow(F.col("tokens") / self.total, F.lit(exponent))
-        whole, logs, most = self.sources.agg(F.sum(power), F.sum(power * F.log(power)), F.max(power / F.col("tokens"))).first()
-        return whole, math.log(whole) - logs / whole, most / whole
-
-    def least_weight(self, exponent: float, whole: float) -> float:
-        """The smallest weight / tokens."""
-        if self.listed is not None:
-            return min((t / self.total) ** exponent / whole / t for t in self.listed)
-        return self.sources.agg(F.min(F.pow(F.col("tokens") / self.total, F.lit(exponent)) / whole / F.col("tokens"))).first()[0]
+        self.known: dict[float, tuple[float, float, float, float]] = {}
+
+    def learn(self, exponents: list[float]) -> None:
+        """Evaluate the exponents in one job: a row of sums for each comes back."""
+        exponents = [x for x in exponents if x not in self.known]
+        if not exponents:
+            return
+        powers = self.sources.select("tokens", F.explode(F.array(*map(F.lit, exponents))).alias("x"))
+        powers = powers.withColumn("power", F.pow(F.col("tokens") / self.total, "x"))
+        each = F.col("power") / F.col("tokens")
+        for x, *found in powers.groupBy("x").agg(F.sum("power"), F.sum(F.col("power") * F.log("power")), F.max(each), F.min(each)).collect():
+            self.known[x] = tuple(found)
+
+    def at(self, exponent: float) -> tuple[float, float, float, float]:
+        """(sum of powers, entropy of the weights, the largest weight / tokens, the smallest)."""
+        self.learn([exponent])
+        whole, logs, most, least = self.known[exponent]
+        return whole, math.log(whole) - logs / whole, most / whole, least / whole
+
+
+def _middles(low: float, high: float, steps: int) -> list[float]:
+    """All exponents that so many steps of a bisection may come to."""
+    if not steps:
+        return []
+    middle = (low + high) / 2
+    return [middle, *_middles(low, middle, steps - 1), *_middles(middle, high, steps - 1)]
 
 
 def find_exponent(shares: Shares, target: Target) -> tuple[float, int]:
     """The exponent and the budget in tokens."""
 
-    def budget(exponent: float, whole: float) -> float:
+    def budget(least: float) -> float:
         if target.budget is None:
-            return 1.0 / shares.least_weight(exponent, whole)
+            return 1.0 / least
         return shares.total if target.budget == "corpus" else target.budget
 
     def too_flat(exponent: float) -> bool:
-        whole, entropy, most = shares.at(exponent)
-        return entropy > target.entropy * math.log(shares.n) or most * budget(exponent, whole) > target.repetition
+        _, entropy, most, least = shares.at(exponent)
+        return entropy > target.entropy * math.log(shares.n) or most * budget(least) > target.repetition
 
     low, high = 0.0, 1.0
+    shares.learn([low, high, *_middles(low, high, STEPS_AT_ONCE)])
     if not too_flat(low):
         high = low
     elif too_flat(high):
         low = high
     else:
-        for _ in range(STEPS):
+        for step in range(STEPS):
+            if step % STEPS_AT_ONCE == 0:
+                shares.learn(_middles(low, high, min(STEPS_AT_ONCE, STEPS - step)))
             middle = (low + high) / 2
             low, high = (middle, high) if too_flat(middle) else (low, middle)
     exponent = round(high, 9)
-    return exponent, round(budget(exponent, shares.at(exponent)[0]))
+    return exponent, round(budget(shares.at(exponent)[3]))
 
 
 def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -140,10 +151,18 @@ def _order(seed: int, kind: str, epoch: str) -> Column:
 
 
 def mixed_documents(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents in the columns of ``docs``, each as often as the mix has it."""
-    uses = mix(docs, target, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__of")).agg(F.countDistinct("epoch").alias("__uses"))
-    joined = docs.join(uses, F.col(id_col).eqNullSafe(F.col("__of")))
-    return joined.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), "__uses"))).select(docs.columns)
+    """The documents in the columns of ``docs``, each as often as the mix has it, in the order of blocks and places.
+
+    Rows that share identifier and source share places. Partitions hold whole blocks one
+    after another, so what is written from here is read block by block.
+    """
+    own = [F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "epoch"]
+    places = mix(docs, target, id_col, text_col, source_col).groupBy(*own).agg(F.min(F.struct("block", "position")).alias("place"))
+    # The columns of the documents travel as one, so that no name of theirs meets one of ours.
+    whole = docs.filter(n_words(F.col(text_col)) > 0).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    joined = whole.join(places, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))
+    placed = joined.select("whole", "place.block", "place.position").repartitionByRange("block").sortWithinPartitions("block", "position")
+    return placed.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def oracle(target: Target = Target()) -> str:

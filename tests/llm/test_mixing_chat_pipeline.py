@@ -56,12 +56,45 @@ def test_mix_of_odd_documents(spark):
     assert mixing.mixed_documents(docs, mixing.Target(budget=None)).columns == docs.columns
 
 
-def test_bisection_as_jobs_agrees_with_the_list(spark, monkeypatch):
-    sources = spark.createDataFrame([(str(k), (k + 1) ** 3) for k in range(20)], "key string, tokens long")
-    target = mixing.Target(entropy=0.9)
-    listed = mixing.find_exponent(mixing.Shares(sources), target)
-    monkeypatch.setattr(mixing, "LISTED", 5)
-    assert mixing.find_exponent(mixing.Shares(sources), target)[0] == pytest.approx(listed[0], abs=1e-8)
+@pytest.mark.parametrize("entropy, repetition, budget", [(0.9, 4.0, "corpus"), (0.99, 1.5, "corpus"), (0.5, 9.0, None), (0.999, 50.0, 10**6)])
+def test_bisection_agrees_with_one_by_hand(spark, entropy, repetition, budget):
+    tokens = [(k + 1) ** 3 for k in range(20)]
+    sources = spark.createDataFrame([(str(k), t) for k, t in enumerate(tokens)], "key string, tokens long")
+    total = sum(tokens)
+
+    def weights(x):
+        powers = [(t / total) ** x for t in tokens]
+        return [p / sum(powers) for p in powers]
+
+    def size(x):
+        return 1 / min(w / t for w, t in zip(weights(x), tokens)) if budget is None else total if budget == "corpus" else budget
+
+    def too_flat(x):
+        w = weights(x)
+        return -sum(p * math.log(p) for p in w) > entropy * math.log(20) or max(p / t for p, t in zip(w, tokens)) * size(x) > repetition
+
+    low, high = 0.0, 1.0
+    if too_flat(0.0):
+        for _ in range(60 if not too_flat(1.0) else 0):
+            middle = (low + high) / 2
+            low, high = (middle, high) if too_flat(middle) else (low, middle)
+    else:
+        high = 0.0
+    found = mixing.find_exponent(mixing.Shares(sources), mixing.Target(entropy=entropy, repetition=repetition, budget=budget))
+    assert found[0] == pytest.approx(high, abs=2e-9)
+    assert found[1] == pytest.approx(size(high), rel=1e-6)
+
+
+def test_mixed_documents_come_block_by_block(spark):
+    docs = spark.createDataFrame([(k, f"w{k} " * (10 + k % 7), "ab"[k % 3 == 0], k, k, k) for k in range(300)], "doc_id long, text string, source string, block long, place long, whole long")
+    target = mixing.Target(block_tokens=500)
+    places = {}
+    for r in mixing.mix(docs, target).collect():
+        places.setdefault(r.doc_id, []).append((r.block, r.position))
+    found = [r.doc_id for r in mixing.mixed_documents(docs, target).collect()]
+    assert sorted(found) == sorted(k for k, at in places.items() for _ in at) and len({b for at in places.values() for b, _ in at}) > 5
+    in_order = [k for _, k in sorted((place, k) for k, at in places.items() for place in at)]
+    assert found == in_order
 
 
 def test_chat(spark):
