@@ -8,8 +8,9 @@ n-grams of many texts lie in one flat array with row offsets, and numpy sums the
 columns they name between the offsets.
 
 Only the training reads a sample, and only of labelled rows: per language, rows are taken
-whose hashed identifier is under a threshold that leaves about TRAIN_ROWS of them. All
-texts are scored whole, in pieces of bounded size.
+whose hashed identifier is under a threshold that leaves about TRAIN_ROWS of them. Since
+that makes the languages about equal in the sample, their shares there say nothing, and
+priors are uniform. All texts are scored whole, in pieces of bounded size.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; languages
 that tie go to the first in byte order; an empty table gives an empty result; without any
@@ -59,8 +60,8 @@ def code_points(text: str) -> np.ndarray:
     return points[keep]
 
 
-def buckets(points: np.ndarray) -> np.ndarray:
-    """Hashed n-grams of all ORDERS, n-grams that cross the ends are left out."""
+def buckets(points: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """Hashed n-grams of all ORDERS that begin at the first ``starts`` places (None: at all); those that cross the end are left out."""
     n = len(points)
     mixed = points * np.uint32(0x9E3779B1)
     found = np.full((len(ORDERS), n), -1, np.int32)
@@ -72,16 +73,17 @@ def buckets(points: np.ndarray) -> np.ndarray:
         gram = gram[: n - order + 1] * np.uint32(0x85EBCA6B) + mixed[order - 1 :]
         spread = (gram ^ (gram >> np.uint32(15))) * np.uint32(0xC2B2AE35) + np.uint32(order * 0x27D4EB2F % (1 << 32))
         found[k, : n - order + 1] = spread >> np.uint32(32 - N_BUCKETS.bit_length() + 1)
+    found = found[:, :starts]
     flat = found.T.ravel()
     return flat[flat >= 0]
 
 
 def pieces(texts: list):
-    """(row, code points) of the texts with letters; long texts come in pieces."""
+    """(row, hashed n-grams) of the texts with letters; long texts come in pieces, which look ahead for n-grams that cross their ends."""
     for row, text in enumerate(texts):
         points = code_points(text) if text else ()
         for at in range(0, len(points), PIECE):
-            yield row, points[at : at + PIECE]
+            yield row, buckets(points[at : at + PIECE + max(ORDERS) - 1], PIECE)
 
 
 def score_batch(texts: list, log_prob: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +101,7 @@ def score_batch(texts: list, log_prob: np.ndarray, prior: np.ndarray) -> tuple[n
         rows.clear()
         waiting.clear()
 
-    for row, points in pieces(texts):
-        found = buckets(points)
+    for row, found in pieces(texts):
         rows.append(row)
         waiting.append(found)
         size += len(found)
@@ -134,12 +135,10 @@ def fit(rows: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.nd
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                points = code_points(text or "")
-                if len(points):
-                    mine = held.setdefault(lang, np.zeros(N_BUCKETS, np.int64))
-                    for at in range(0, len(points), PIECE):
-                        mine += np.bincount(buckets(points[at : at + PIECE]), minlength=N_BUCKETS)
+            langs = batch.column(1).to_pylist()
+            for row, found in pieces(batch.column(0).to_pylist()):
+                mine = held.setdefault(langs[row], np.zeros(N_BUCKETS, np.int64))
+                mine += np.bincount(found, minlength=N_BUCKETS)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": counts[at]})
