@@ -45,9 +45,9 @@ LOST_MOST_PERCENT = 50
 #: Characters counted as symbols, and characters that punctuate a sentence.
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?"
-#: Words that separate entries of a menu.
-SEPARATORS = ("|", ">", "»", "•")
-#: Phrases of boilerplate lines.
+#: Characters that separate entries of a menu, with spaces around them or not, and a word that does.
+SEPARATORS, SEPARATING_WORD = "|»•", ">"
+#: Phrases of boilerplate lines, in English, German, French and Spanish; letters with accents are left out.
 PHRASES = (
     "accept all cookies",
     "all rights reserved",
@@ -59,6 +59,19 @@ PHRASES = (
     "subscribe to our",
     "terms of service",
     "terms of use",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "allgemeine nutzungsbedingungen",
+    "newsletter abonnieren",
+    "zum inhalt springen",
+    "accepter tous les cookies",
+    "aller au contenu",
+    "politique de confidentialit",
+    "abonnez-vous ",
+    "aceptar todas las cookies",
+    "de privacidad y cookies",
+    "ir al contenido",
+    "todos los derechos reservados",
 )
 
 _BOILERPLATE = re.compile("|".join(map(re.escape, PHRASES)), re.ASCII | re.IGNORECASE)
@@ -86,7 +99,7 @@ def repeated_words(words: list) -> int:
 
 def line_fails(line: str, words: list[str], chars: int) -> bool:
     """chars: the line's word characters, at least 1."""
-    separators = sum(w in SEPARATORS for w in words)
+    separators = sum(map(line.count, SEPARATORS)) + words.count(SEPARATING_WORD)
     if separators >= 2 and 100 * separators >= NAV_LEAST_PERCENT * len(words):
         return True
     if len(words) >= PUNCT_LEAST_WORDS and not any(c in line for c in PUNCTUATION):
@@ -166,7 +179,6 @@ def oracle() -> str:
     """DuckDB SQL for quality(), without clean_text."""
     words = r"'[^\x20\x09-\x0D]+'"
     symbols = "[" + SYMBOLS + "]"
-    separators = ", ".join(f"'{x}'" for x in SEPARATORS)
     phrases = "|".join(PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {words}) AS words FROM documents),
@@ -175,7 +187,7 @@ lines AS (SELECT doc_id, line, regexp_extract_all(line, {words}) AS words
 worded AS (SELECT doc_id, line, words, length(array_to_string(words, '')) AS chars,
            row_number() OVER (PARTITION BY doc_id, line) AS nth FROM lines WHERE len(words) > 0),
 judged AS (SELECT doc_id, chars, nth,
-           (len(list_filter(words, lambda w: w IN ({separators}))) >= greatest(2, {NAV_LEAST_PERCENT} * len(words) / 100.0))
+           (len(list_filter(words, lambda w: w = '{SEPARATING_WORD}')) + length(line) - length(regexp_replace(line, '[{SEPARATORS}]', '', 'g')) >= greatest(2, {NAV_LEAST_PERCENT} * len(words) / 100.0))
            OR (len(words) >= {PUNCT_LEAST_WORDS} AND NOT regexp_matches(line, '[{PUNCTUATION}]'))
            OR 100 * (length(line) - length(regexp_replace(line, '{symbols}', '', 'g'))) > {PUNCT_MOST_PERCENT} * chars
            OR regexp_matches(line, '(?i){phrases}') AS bad FROM worded),
