@@ -63,9 +63,32 @@ UNKNOWN_ROUNDS = ("unknown", "n/a", "na", "none", "pending", "undisclosed", "not
 WORD = r"\p{L}\p{M}\p{N}_"
 
 
+#: White space of any script; Java's own class has that of ASCII only.
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_NOT_ASCII = r"[^\x00-\x7F]"
+
+
 def squeeze(text: Column) -> Column:
     """Trimmed, with single spaces between."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+
+
+def _folding() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters whose folded form isn't their lower case: those that become one letter, theirs, and those that become several."""
+    odd = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
+    one = [(c, f) for c, f in odd if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), [(c, f) for c, f in odd if len(f) > 1]
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_MANY = _folding()
+
+
+def casefold(text: Column) -> Column:
+    """Lower case for comparisons, in any script (a sharp s is ss); within the JVM."""
+    many = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _FOLD_MANY])
+    # Letters go before their lower case, which some of them don't come back from.
+    whole = F.translate(F.aggregate(many, text, lambda t, m: F.replace(t, m["c"], m["f"])), _FOLD_FROM, _FOLD_TO)
+    return F.when(text.rlike(_NOT_ASCII), F.translate(F.lower(whole), _FOLD_FROM, _FOLD_TO)).otherwise(F.lower(text))
 
 
 def _without_tail(text: Column, tail: tuple[str, ...]) -> Column:
@@ -84,12 +107,13 @@ def normalize_company_name(raw: Column) -> Column:
 
 
 def exact_name(raw: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(raw), rf"[^{WORD}]+", " "))
+    """Folded words with single spaces between."""
+    return squeeze(F.regexp_replace(casefold(raw), rf"[^{WORD}]+", " "))
 
 
 def dedup_key(raw: Column) -> Column:
     """For the manual alias table: case and runs of white space don't count."""
-    return F.lower(squeeze(raw))
+    return casefold(squeeze(raw))
 
 
 @F.pandas_udf(StringType())
@@ -98,9 +122,16 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) or None)
 
 
-def identity(raw: Column) -> Column:
-    """The key by which two mentions of a name are one; without Unicode folding (see folded())."""
-    return F.nullif(F.lower(squeeze(raw)), F.lit(""))
+def identity(raw: Column, compatible: bool = False) -> Column:
+    """The key by which two mentions of a name are one: folded, single spaces; empty is null.
+
+    With ``compatible``, letters that only look different (NFKC) are one too: names that
+    aren't ASCII go to Python for that, others stay in the JVM.
+    """
+    if not compatible:
+        return F.nullif(casefold(squeeze(raw)), F.lit(""))
+    other = raw.rlike(_NOT_ASCII)
+    return F.when(other, folded(F.when(other, raw))).otherwise(F.nullif(F.lower(squeeze(raw)), F.lit("")))
 
 
 #: Runs without wide characters, which keep their form in a slug; and the words of a slug.
@@ -170,7 +201,7 @@ def extract_domain(website: Column) -> Column:
 
 
 def normalize_stage(raw: Column) -> Column:
-    key = F.lower(F.trim(raw))
+    key = F.lower(F.regexp_replace(raw, f"^[{SPACE}]+|[{SPACE}]+$", ""))
     found = F.lit(None).cast("string")
     for stage, names in reversed(STAGES.items()):
         found = F.when(key.isin(*names), stage).otherwise(found)
@@ -182,8 +213,20 @@ def normalize_stages(raws: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(raws, normalize_stage), lambda x: x.isNotNull()))
 
 
-def to_list(value: Column) -> Column:
-    """null or blank: an empty array; else an array of the one value."""
+def nullable_text(value: Column) -> Column:
+    """Any value as text; null, and a number that is none, is null."""
+    return F.when(~F.coalesce(value.cast("string"), F.lit("NaN")).isin("NaN"), value.cast("string"))
+
+
+def canonical_label(raw: Column, success: str, failure: str) -> Column:
+    """SUCCESS and FAILURE for a configured pair of labels; any other is null."""
+    return F.when(raw == success, "SUCCESS").when(raw == failure, "FAILURE")
+
+
+def to_list(value: Column, is_array: bool = False) -> Column:
+    """null or blank: an empty array; an array: itself; else an array of the one value."""
+    if is_array:
+        return F.coalesce(value, F.array().cast("array<string>"))
     return F.when(value.isNull() | (F.trim(value) == ""), F.array().cast("array<string>")).otherwise(F.array(value))
 
 

@@ -151,16 +151,41 @@ def support(events: DataFrame, ranked: bool = True) -> DataFrame:
     return global_rank(out, "core_episode_count_rank", -episodes, -companies, F.col("investor_name"), F.col("investor_id"))
 
 
-def threshold_grid(metrics: DataFrame) -> DataFrame:
-    """For every least number of episodes and of companies, how many investors reach both.
+def _at_least(cells: DataFrame, number: str, *others: str) -> DataFrame:
+    """Sums of n over all rows of a group whose number is as large or larger."""
+    down = Window.partitionBy(*others).orderBy(F.col(number).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("n", F.sum("n").over(down))
+
+
+def _steps(cells: DataFrame, number: str) -> DataFrame:
+    """The values of a number that occur, in order: place (from 1), the value, and the least number that counts as it."""
+    values = global_rank(cells.select(number).distinct(), "place", F.col(number))
+    before = values.select((F.col("place") + 1).alias("place"), F.col(number).alias("before"))
+    return values.join(before, "place", "left").select("place", number, (F.coalesce("before", F.lit(0)) + 1).alias(f"low_{number}"))
 
-    The investors are first counted by their two numbers, so the grid is joined to counts, not to investors.
+
+def threshold_steps(metrics: DataFrame) -> DataFrame:
+    """The threshold grid where it changes: from low_e to e least episodes, and low_c to c least companies, there are investor_count investors.
+
+    Investors are counted by their two numbers first, and only numbers that occur are steps:
+    of K events there can be no more than about the root of 2 K different ones.
     """
     cells = metrics.groupBy(F.col("n_core_episode_count").alias("e"), F.col("n_all_interface_companies").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    stepped = cells.filter("e >= 1 and c >= 1").withColumn("minimum_core_episode_count", F.explode(F.sequence(F.lit(1).cast("long"), "e")))
-    stepped = stepped.groupBy("minimum_core_episode_count", "c").agg(F.sum("n").alias("n"))
-    stepped = stepped.withColumn("minimum_all_interface_companies", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
-    return stepped.groupBy("minimum_core_episode_count", "minimum_all_interface_companies").agg(F.sum("n").alias("investor_count"))
+    cells = written(cells.filter("e >= 1 and c >= 1"))
+    e, c = written(_steps(cells, "e")), written(_steps(cells, "c"))
+    # Per step of episodes the steps of companies that anyone reaches who has as many episodes or more.
+    most = cells.groupBy("e").agg(F.max("c").alias("c")).join(c.select("c", "place"), "c").select("e", "place")
+    most = most.withColumn("most", F.max("place").over(Window.orderBy(F.col("e").desc())))
+    grid = most.select("e", F.explode(F.sequence(F.lit(1).cast("long"), "most")).alias("place")).join(c.select("place", "c"), "place").drop("place")
+    counted = grid.join(cells, ["e", "c"], "left").na.fill(0, ["n"])
+    counted = _at_least(_at_least(counted, "c", "e"), "e", "c")
+    return counted.join(e.drop("place"), "e").join(c.drop("place"), "c").select("low_e", "e", "low_c", "c", F.col("n").alias("investor_count"))
+
+
+def threshold_grid(metrics: DataFrame) -> DataFrame:
+    """For every least number of episodes and of companies that anyone reaches, how many investors reach both: threshold_steps() written out."""
+    rows = threshold_steps(metrics).withColumn("minimum_core_episode_count", F.explode(F.sequence("low_e", "e"))).withColumn("minimum_all_interface_companies", F.explode(F.sequence("low_c", "c")))
+    return rows.select("minimum_core_episode_count", "minimum_all_interface_companies", "investor_count")
 
 
 def duplicate_sensitive(metrics: DataFrame) -> DataFrame:
@@ -175,6 +200,71 @@ def behavior_combinations(events: DataFrame) -> DataFrame:
     return pairs.groupBy("combination").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+#: Core types that count as governance or ownership, and the seven rankings of candidates.
+GOVERNANCE = ("board_change", "major_holder_change", "secondary_transaction", "activist_action")
+RANKINGS = {
+    "breadth": "n_all_interface_companies",
+    "core_activity": "n_core_episode_count",
+    "acquisition_exit": "n_exit_episode_count",
+    "strategic_investment": "n_strategic_investment_episode_count",
+    "governance_and_ownership": "n_governance_and_ownership_episode_count",
+    "follow_on_funding": "n_funding_participation_rows",
+    "funding_to_exit": "n_funding_to_exit_companies",
+}
+
+
+def comparison_table(metrics: DataFrame) -> DataFrame:
+    """Investors that pass the primary gate, with their governance episodes and behavior signature (exit, strategic investment, governance or ownership)."""
+    governance = sum((F.col(f"n_{t}_episode_count") for t in GOVERNANCE), F.lit(0)).cast("long")
+    rows = metrics.filter("passes_primary_episode_gate_3_3").withColumn("n_governance_and_ownership_episode_count", governance)
+    parts = {"exit": "n_exit_episode_count", "strategic_investment": "n_strategic_investment_episode_count", "governance_or_ownership": "n_governance_and_ownership_episode_count"}
+    return rows.withColumn("core_behavior_signature", F.concat_ws("+", *[F.when(F.col(c) > 0, F.lit(k)) for k, c in parts.items()]))
+
+
+def signature_groups(table: DataFrame) -> DataFrame:
+    """Per behavior signature of comparison_table(): candidates, sums, and whether the signature repeats."""
+    sums = {"core_episode_count": "n_core_episode_count", "exit_episode_count": "n_exit_episode_count", "strategic_investment_episode_count": "n_strategic_investment_episode_count", "governance_and_ownership_episode_count": "n_governance_and_ownership_episode_count", "funding_participation_rows": "n_funding_participation_rows"}
+    once = F.count(F.lit(1))
+    return table.groupBy("core_behavior_signature").agg(once.alias("candidate_count"), *[F.sum(c).alias(f"aggregate_{k}") for k, c in sums.items()], (once >= 2).alias("repeated"))
+
+
+def rankings(table: DataFrame) -> DataFrame:
+    """Candidates in each of RANKINGS: ranking, candidate_rank (the larger number, then the name's bytes), investor, value, and whether it leads.
+
+    The rank is one over the whole table, made for all rankings together: a row for each
+    ranking and candidate, placed by the ranges of ranking and value.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ranking"), F.col(c).cast("long").alias("value")) for k, c in RANKINGS.items()]))
+    rows = table.select("investor_id", "investor_name", each.alias("r")).select("r.ranking", "r.value", "investor_id", "investor_name")
+    placed = written(global_rank(rows, "place", F.col("ranking"), -F.col("value"), F.col("investor_name"), F.col("investor_id")))
+    first = placed.groupBy("ranking").agg(F.min("place").alias("first"), F.max("value").alias("top"))
+    return placed.join(F.broadcast(first), "ranking").select("ranking", (F.col("place") - F.col("first") + 1).alias("candidate_rank"), "investor_id", "investor_name", "value", (F.col("value") == F.col("top")).alias("leads"))
+
+
+def distributions(confirmed: DataFrame) -> DataFrame:
+    """Events and companies per investor of confirmed rows: measure, minimum, median, mean, maximum, investors. confirmed: investor_id, company_id.
+
+    Investors are counted by their number first, so the median is found among numbers that occur.
+    """
+    per = confirmed.groupBy("investor_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("company_id").alias("companies"))
+    each = per.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in ("events", "companies")])).alias("m")).select("m.*")
+    counted = each.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("measure").orderBy("value")
+    counted = counted.withColumns({"upto": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("measure"))})
+    middle = lambda k: F.min(F.when(F.col("upto") >= k, F.col("value")))
+    median = (middle(F.ceil(F.col("all") / 2)) + middle(F.floor(F.col("all") / 2) + 1)) / 2
+    return counted.groupBy("measure").agg(F.min("value").alias("minimum"), median.alias("median"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.max("value").alias("maximum"), F.sum("n").alias("investors"))
+
+
+def type_summary(confirmed: DataFrame, types: DataFrame) -> DataFrame:
+    """Per investor type (an investor may have several): investors, event rows and their share of all rows. types: investor_id, investor_types (array)."""
+    total = confirmed.agg(F.count(F.lit(1)).alias("all"))
+    typed = types.select("investor_id", F.explode(F.array_distinct("investor_types")).alias("investor_type"))
+    rows = confirmed.groupBy("investor_id").agg(F.count(F.lit(1)).alias("n")).join(typed, "investor_id")
+    per = rows.groupBy("investor_type").agg(F.count(F.lit(1)).alias("investors"), F.sum("n").alias("event_rows"))
+    return per.crossJoin(F.broadcast(total)).select("investor_type", "investors", "event_rows", (F.col("event_rows") / F.col("all")).alias("event_row_share"))  # a single row
+
+
 def compare_candidates(metrics: DataFrame) -> DataFrame:
     """Investors that pass the primary gate, grouped by their signature of core types: size, sums and the leader."""
     shown = F.array_compact(F.array(*[F.when(F.col(f"n_{t}_episode_count") > 0, F.lit(t)) for t in CORE]))

@@ -12,26 +12,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import names
-from eventloom.functions.dates import boundary_date, partial_date
+from eventloom.functions.dates import boundary_date, partial_date, valid_partial_date
 
 #: Outcomes whose participants are a lead and co-investors, and those with an acquirer.
-LED = ("funding_round",)
-ACQUIRED = ("acquisition", "merger")
+LED = ("funding_round", "funding_failed", "funding_withdrawn")
+ACQUIRED = ("acquired",)
 
 
 def participants(claims: DataFrame) -> DataFrame:
-    """One row per participant: the lead, the co-investors, the acquirer; a claim without any has one row of role unknown.
+    """One row per participant: the lead and the co-investors of a round, the acquirer of an acquisition.
 
-    claims: event_type, lead_investor, co_investors (array), acquirer and any other columns.
+    A round without any, and any other outcome, has one row of role unknown; an acquirer
+    that isn't named is a row without a name. claims: event_type, lead_investor,
+    co_investors (array), acquirer and any other columns.
     """
-    person = lambda name, role: F.struct(F.trim(name).alias("name"), F.lit(role).alias("role"))
+    person = lambda name, role: F.struct(name.alias("name"), F.lit(role).alias("role"))
     lead = F.array(person(F.col("lead_investor"), "lead"))
     co = F.transform(F.coalesce("co_investors", F.array().cast("array<string>")), lambda x: person(x, "co"))
-    acquirer = F.array(person(F.col("acquirer"), "acquirer"))
-    everyone = F.when(F.col("event_type").isin(*ACQUIRED), acquirer).otherwise(F.concat(lead, co))
-    named = F.filter(everyone, lambda p: p["name"].isNotNull() & (p["name"] != ""))
+    named = F.filter(F.concat(lead, co), lambda p: p["name"].isNotNull() & (p["name"] != ""))
     nobody = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("unknown").alias("role")))
-    return claims.withColumn("participant", F.explode(F.when(F.size(named) > 0, named).otherwise(nobody))).select(
+    everyone = F.when(F.col("event_type").isin(*ACQUIRED), F.array(person(F.col("acquirer"), "acquirer"))).when(F.col("event_type").isin(*LED) & (F.size(named) > 0), named).otherwise(nobody)
+    return claims.withColumn("participant", F.explode(everyone)).select(
         *[c for c in claims.columns if c not in ("lead_investor", "co_investors", "acquirer")],
         F.col("participant.name").alias("investor_name"),
         F.col("participant.role").alias("role"),
@@ -41,7 +42,8 @@ def participants(claims: DataFrame) -> DataFrame:
 def match_investors(events: DataFrame, investors: DataFrame, name_col: str = "investor_name") -> DataFrame:
     """Adds investor_id by the name's slug, else by its normalized name, both against the investors' slugs.
 
-    investors: investor_id, slug, row (the later row of a slug wins).
+    investors: investor_id, slug, row (the later row of a slug wins). A name that is null or
+    empty has none. Slugs are those of ASCII names (names.ascii_slug).
     """
     by_slug = investors.groupBy("slug").agg(F.max_by("investor_id", "row").alias("investor_id"))
     one = by_slug.select(F.col("slug").alias("_s1"), F.col("investor_id").alias("_i1"))
@@ -50,6 +52,33 @@ def match_investors(events: DataFrame, investors: DataFrame, name_col: str = "in
     return joined.withColumn("investor_id", F.coalesce("_i1", "_i2")).drop("_s1", "_s2", "_i1", "_i2")
 
 
+def match_by_name(events: DataFrame, investors: DataFrame, name_col: str = "raw_investor_name") -> DataFrame:
+    """Adds investor_id by the normalized name alone, against the investors' slugs. investors: investor_id, slug, row (the later row of a slug wins)."""
+    by_slug = investors.groupBy(F.col("slug").alias("_s")).agg(F.max_by("investor_id", "row").alias("investor_id"))
+    return events.join(by_slug, F.nullif(names.normalize_name(F.col(name_col)), F.lit("")) == F.col("_s"), "left").drop("_s")
+
+
+def event_rows(claims: DataFrame, types: tuple[str, ...], strict: bool, default_type: str | None = None, date_col: str = "event_date") -> DataFrame:
+    """Claims of caches as rows of an event table: type, normalized date, amount and confidence.
+
+    A missing type is ``default_type``. A type outside ``types`` stops the job if ``strict``
+    (funding events), else it is ``other`` (exposure and interface events). Dates that are
+    none are null, amounts that are no whole number too, a missing confidence is 0.
+    Rounds keep the name of their round (``unknown`` without one), other events have none.
+    claims: event_type, a date, amount_usd, confidence, round_name, as text.
+    """
+    kind = F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit(default_type or "other"))
+    known = kind.isin(*types)
+    other = F.raise_error(F.concat(F.lit("unknown event type: "), kind)).cast("string") if strict else F.lit("other")
+    found = claims.withColumn("event_type", F.when(known, kind).otherwise(other))
+    fresh = {date_col: valid_partial_date(F.col(date_col)), "confidence": F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))}
+    if "amount_usd" in claims.columns:
+        fresh["amount_usd"] = F.col("amount_usd").try_cast("long")
+    if "round_name" in claims.columns:
+        fresh["round_name"] = F.when(F.col("event_type").isin(*LED), F.coalesce(F.nullif(names.squeeze(F.col("round_name")), F.lit("")), F.lit("unknown")))
+    return found.withColumns(fresh)
+
+
 def resolve_claims(claims: DataFrame, order: str, fields: list[str], id_col: str = "event_id") -> DataFrame:
     """One row per event: the claim of the highest confidence (the earliest of those), how many there are,
     whether the highest is tied, and the fields in which claims disagree. Null confidence counts 0.
@@ -176,9 +205,14 @@ def history(chains: DataFrame) -> DataFrame:
     known = F.col("outcome_round_bucket") != "unknown"
     prior_same = F.when(known, F.row_number().over(same) - 1).otherwise(0)
     last_same = F.when(known, F.last("end", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -1)))
-    seen = F.flatten(F.collect_list("investor_keys").over(company.rowsBetween(Window.unboundedPreceding, -1)))
     ordinal, count = F.row_number().over(company), F.count(F.lit(1)).over(whole)
-    shared = F.size(F.array_intersect("investor_keys", seen))
+    # An investor is shared where one of its earlier chains in the company is known: its first one decides.
+    place = ["company_id", "chain_sequence", "chain_id"]
+    at = F.struct("chain_sequence", "chain_id")
+    met = chains.select(*place, F.explode(F.array_distinct("investor_keys")).alias("_key"))
+    met = met.withColumn("_first", F.min(at).over(Window.partitionBy("company_id", "_key"))).groupBy(*place).agg(F.count_if(F.col("_first") < at).cast("int").alias("_shared"))
+    rows = rows.join(met, place, "left")
+    shared = F.when(F.col("investor_keys").isNotNull(), F.coalesce("_shared", F.lit(0)))
     current = F.size(F.array_distinct("investor_keys"))
     return rows.withColumns(
         {
@@ -193,7 +227,7 @@ def history(chains: DataFrame) -> DataFrame:
             "prior_outcome_investor_overlap_ratio": F.when(current > 0, shared / current),
             "has_prior_outcome_investor_overlap": shared > 0,
         }
-    )
+    ).drop("_shared")
 
 
 def with_interval(events: DataFrame, date_col: str = "event_date") -> DataFrame:
@@ -201,8 +235,21 @@ def with_interval(events: DataFrame, date_col: str = "event_date") -> DataFrame:
     return events.withColumn("_d", partial_date(F.col(date_col))).withColumns({"lo": F.col("_d.lo"), "hi": F.col("_d.hi"), "precision": F.col("_d.precision")}).drop("_d")
 
 
+def batch_tokens(batched: DataFrame, *keys: str) -> DataFrame:
+    """One row per batch: its events as ``{E:type|I:type}``, in the order of family, type and identifier. batched: keys, batch, family, event_type, event_id."""
+    token = F.transform(F.array_sort(F.collect_list(F.struct("family", "event_type", "event_id"))), lambda e: F.concat(F.upper(F.substring(e["family"], 1, 1)), F.lit(":"), e["event_type"]))
+    return batched.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("{"), F.array_join(token, "|"), F.lit("}")).alias("token"))
+
+
+def signatures(batched: DataFrame, *keys: str) -> DataFrame:
+    """Per key: n_middle, and the signature: the tokens of its batches joined by ``>``. Each event is read once."""
+    token = F.transform(F.array_sort(F.collect_list(F.struct("batch", "token"))), lambda t: t["token"])
+    return batch_tokens(batched, *keys).groupBy(*keys).agg(F.sum("n").cast("int").alias("n_middle"), F.array_join(token, ">").alias("signature"))
+
+
 def signature(events: Column) -> Column:
-    """{E:type|I:type}>{...}: one group for each batch. events: array of structs (batch, family, event_type, event_id), sorted."""
-    tokens = lambda b: F.array_join(F.transform(F.filter(events, lambda e: e["batch"] == b), lambda e: F.concat(F.upper(F.substring(e["family"], 1, 1)), F.lit(":"), e["event_type"])), "|")
-    numbers = F.array_distinct(F.transform(events, lambda e: e["batch"]))
-    return F.array_join(F.transform(numbers, lambda b: F.concat(F.lit("{"), tokens(b), F.lit("}"))), ">")
+    """The same for an array of structs (batch, family, event_type, event_id) in that order: a token is closed where the batch changes."""
+    token = lambda e: F.concat(F.upper(F.substring(e["family"], 1, 1)), F.lit(":"), e["event_type"])
+    none = F.struct(F.lit("").alias("text"), events[0]["batch"].alias("batch"))
+    add = lambda s, e: F.struct(F.concat(s["text"], F.when(s["text"] == "", "{").when(s["batch"] == e["batch"], "|").otherwise("}>{"), token(e)).alias("text"), e["batch"].alias("batch"))
+    return F.when(F.size(events) > 0, F.concat(F.aggregate(events, none, add)["text"], F.lit("}"))).otherwise("")

@@ -30,34 +30,45 @@ def single_version(df: DataFrame, column: str = "schema_version") -> DataFrame:
 
 
 def chain_violations(chains: DataFrame, events: DataFrame, companies: DataFrame) -> DataFrame:
-    """(chain_id, violation) of chains against their contract.
+    """(subject, violation) of chains, events and companies against the chains' contract; a subject is the identifier of what breaks it.
 
     events: event_id, family, company_id, event_type (exposure and interface); companies: company_id, label.
     """
-    once = F.count(F.lit(1))
-    repeated = chains.groupBy("chain_id").agg(once.alias("n")).filter("n > 1").select("chain_id", F.lit("repeated chain").alias("violation"))
-    known = chains.join(companies.select("company_id", "label"), "company_id", "left")
+    violation = lambda df, key, name: df.select(F.col(key).cast("string").alias("subject"), F.lit(name).alias("violation"))
+    found = violation(duplicate_keys(companies, "company_id"), "company_id", "repeated company")
+    found = found.unionByName(violation(duplicate_keys(chains, "chain_id"), "chain_id", "repeated chain"))
+    found = found.unionByName(violation(unknown_keys(events, "company_id", companies, "company_id"), "event_id", "event of an unknown company"))
+
+    labels = companies.groupBy("company_id").agg(F.min("label").alias("_label"), F.lit(True).alias("_known"))
+    known = chains.join(labels, "company_id", "left")
     day = lambda c: F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+    status, families = F.col("chain_window_status"), ("exposure", "interface")
+    size = lambda c: F.coalesce(F.size(c), F.lit(-1))
     rules = {
-        "unknown company": F.col("label").isNull(),
-        "label differs": F.col("label") != F.col("company_label_v4"),
-        "unknown window status": ~F.col("chain_window_status").isin("dated", "unknown_end_date"),
-        "start isn't a day": (F.col("chain_start_date") != "founding") & ~day("chain_start_date"),
-        "end isn't a day": (F.col("chain_window_status") == "dated") & ~day("chain_end_date"),
-        "counts differ": (F.col("n_exposure") != F.size("exposure_event_ids")) | (F.col("n_interface") != F.size("interface_event_ids")),
-        "repeated event": (F.size("exposure_event_ids") != F.size(F.array_distinct("exposure_event_ids"))) | (F.size("interface_event_ids") != F.size(F.array_distinct("interface_event_ids"))),
-        "undated chain with events": (F.col("chain_window_status") == "unknown_end_date") & (F.col("n_exposure") + F.col("n_interface") > 0),
+        "unknown company": F.col("_known").isNull(),
+        "label differs": F.col("_known") & ~F.col("_label").eqNullSafe(F.col("company_label_v4")),
+        "unknown window status": ~F.coalesce(status.isin("dated", "unknown_end_date"), F.lit(False)),
+        "end isn't a day": (status == "dated") & ~day("chain_end_date"),
+        "undated chain with an end": (status == "unknown_end_date") & ~F.col("chain_end_date").eqNullSafe(F.lit("unknown")),
+        "start isn't a day": ~F.col("chain_start_date").eqNullSafe(F.lit("founding")) & ~day("chain_start_date"),
+        "participants differ": F.col("n_participant_rows") != size("outcome_event_ids"),
+        "counts differ": reduce(lambda a, b: a | b, [(F.col(f"n_{f}") != size(f"{f}_event_ids")) | (size(f"{f}_event_ids") != size(f"{f}_types")) for f in families]),
+        "repeated event": reduce(lambda a, b: a | b, [F.size(f"{f}_event_ids") != F.size(F.array_distinct(f"{f}_event_ids")) for f in families]),
+        "undated chain with events": (status == "unknown_end_date") & (F.col("n_exposure") + F.col("n_interface") > 0),
     }
-    found = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
-    own = known.select("chain_id", found.alias("violation"))
-
-    refs = []
-    for family in ("exposure", "interface"):
-        refs.append(chains.select("chain_id", "company_id", F.lit(family).alias("family"), F.explode(f"{family}_event_ids").alias("event_id")))
-    e = events.select("event_id", F.col("family").alias("_f"), F.col("company_id").alias("_c"))
-    joined = refs[0].unionByName(refs[1]).join(e, "event_id", "left")
-    wrong = F.when(F.col("_f").isNull(), "missing event").when(F.col("_f") != F.col("family"), "event of another family").when(F.col("_c") != F.col("company_id"), "event of another company")
-    return repeated.unionByName(own).unionByName(joined.select("chain_id", wrong.alias("violation")).filter("violation IS NOT NULL").distinct())
+    broken = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
+    found = found.unionByName(known.select(F.col("chain_id").cast("string").alias("subject"), broken.alias("violation")))
+
+    def listed(family: str) -> Column:
+        pairs = F.arrays_zip(F.col(f"{family}_event_ids").alias("id"), F.col(f"{family}_types").alias("type"))
+        return F.transform(pairs, lambda x: F.struct(x["id"].alias("event_id"), x["type"].alias("type"), F.lit(family).alias("family")))
+
+    zipped = [listed(f) for f in families]
+    refs = chains.select("chain_id", "company_id", F.explode(F.concat(*zipped)).alias("ref")).select("chain_id", "company_id", "ref.*")
+    e = events.select("event_id", F.col("family").alias("_f"), F.col("company_id").alias("_c"), F.col("event_type").alias("_t"))
+    joined = refs.join(e, "event_id", "left")
+    wrong = F.when(F.col("_f").isNull(), "missing event").when(F.col("_f") != F.col("family"), "event of another family").when(F.col("_c") != F.col("company_id"), "event of another company").when(~F.col("_t").eqNullSafe(F.col("type")), "event of another type")
+    return found.unionByName(joined.select(F.col("chain_id").cast("string").alias("subject"), wrong.alias("violation")).filter("violation IS NOT NULL").distinct())
 
 
 #: Headings and fields that a candidate card must have, the least words of a section, and the years allowed.

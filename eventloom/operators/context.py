@@ -18,7 +18,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 def participant(investor_id: Column, raw_name: Column) -> tuple[Column, Column]:
     """(key, basis) of an event's participant: its identifier, else its name."""
-    ident, name = F.nullif(F.trim(investor_id), F.lit("")), names.identity(raw_name)
+    ident, name = F.nullif(F.trim(investor_id), F.lit("")), names.identity(raw_name, compatible=True)
     key = F.coalesce(F.concat(F.lit("id:"), ident), F.concat(F.lit("raw:"), name))
     return key, F.when(ident.isNotNull(), "resolved_id").when(name.isNotNull(), "raw_name").otherwise("none")
 
@@ -43,11 +43,13 @@ def events_of(members: DataFrame, chains: DataFrame) -> DataFrame:
     rows = numbered(numbered(usable, "batch", "chain_id"), "family_batch", "chain_id", "family")
     exact = lambda c: F.when(F.length(c) == 10, F.try_to_date(c, "yyyy-MM-dd"))
     start, end = exact(F.col("chain_start_date")), F.when(dated, exact(F.col("chain_end_date")))
+    # Ahead of the aggregate: names that aren't ASCII pass through Python.
     key, basis = participant(F.col("investor_id"), F.col("raw_investor_name"))
+    rows = rows.withColumns({"participant_key": key, "participant_basis": basis})
     event = F.struct(
         *in_order, "batch", "family_batch", "event_subtype", "event_date", "investor_id", "raw_investor_name",
         F.col("precision").alias("date_precision"), F.col("lo").alias("date_min"), F.col("hi").alias("date_max"),
-        key.alias("participant_key"), basis.alias("participant_basis"),
+        "participant_key", "participant_basis",
         F.datediff(end, F.col("hi")).alias("days_before_chain_end_min"), F.datediff(end, F.col("lo")).alias("days_before_chain_end_max"),
         F.datediff(F.col("lo"), start).alias("days_after_chain_start_min"), F.datediff(F.col("hi"), start).alias("days_after_chain_start_max"),
     )
@@ -63,7 +65,7 @@ def build(chains: DataFrame, members: DataFrame, with_history: bool = True) -> D
     events = events_of(members, chains)
     schema = events.schema["events"].dataType
     rows = chains.join(events, "chain_id", "left").withColumn("events", F.coalesce("events", F.array().cast(schema)))
-    raw = lambda xs: F.array_distinct(F.filter(F.transform(xs, names.identity), lambda x: x.isNotNull()))
+    raw = lambda xs: F.array_distinct(F.filter(F.transform(xs, lambda x: names.identity(x)), lambda x: x.isNotNull()))
     ids = lambda xs: F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     rows = rows.withColumns({"_raw": raw(F.col("investor_raw_names")), "_ids": ids(F.col("investor_ids"))})
     rows = rows.withColumn("investor_keys", F.concat(F.transform("_ids", lambda x: F.concat(F.lit("id:"), x)), F.transform("_raw", lambda x: F.concat(F.lit("raw:"), x))))

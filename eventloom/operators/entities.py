@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions import names
 from eventloom.operators.storage import global_rank, written
 
 #: Hosts that many firms share, so that their domain says nothing.
@@ -75,6 +76,28 @@ def dedup_companies(edges: DataFrame) -> DataFrame:
     return global_rank(grouped, "number", F.col("first_row"))
 
 
+def build_companies(edges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Companies of portfolio edges: key, first spelling and normalized name, cusip, edge_count, number in the order of first sight, company_id.
+
+    Edges without a normalized name of two characters or more, and those of scraped garbage,
+    are left out. A name of the alias table takes its canonical name's place.
+    edges: row, company_name_raw, company_normalized_name, metadata_json (may be missing);
+    aliases: alias, canonical (a dimension of manual entries, small by its nature).
+    """
+    norm, raw = F.col("company_normalized_name"), F.col("company_name_raw")
+    rows = edges.filter(F.length(norm) >= 2).withColumn("key", names.normalize_company_name(norm)).filter("key <> ''")
+    rows = rows.filter(~F.coalesce(names.is_garbage(raw, F.col("key")), F.lit(False)))
+    if aliases is not None:
+        listed = aliases.select(names.dedup_key(F.col("alias")).alias("_k"), F.col("canonical").alias("_c")).dropDuplicates(["_k"])
+        canonical = names.squeeze(F.regexp_replace(F.lower("_c"), rf"[^{names.WORD}{names.SPACE}]", ""))
+        rows = rows.join(listed, names.dedup_key(raw) == F.col("_k"), "left").withColumns({"key": F.when(F.col("_c").isNotNull(), names.normalize_company_name(canonical)).otherwise(F.col("key")), "company_name_raw": F.coalesce("_c", raw)})
+    cusip = F.get_json_object("metadata_json", "$.cusip") if "metadata_json" in edges.columns else F.lit(None).cast("string")
+    first = F.min_by(F.struct("company_name_raw", "company_normalized_name", cusip.alias("cusip")), "row")
+    grouped = rows.groupBy("key").agg(first.alias("f"), F.count(F.lit(1)).alias("edge_count"), F.min("row").alias("first_row"))
+    numbered = global_rank(grouped, "number", F.col("first_row"))
+    return numbered.select("key", F.col("f.company_name_raw").alias("company_canonical_name"), F.col("f.company_normalized_name").alias("company_normalized_name"), "f.cusip", "edge_count", "number", names.company_id(F.col("number"), names.ascii_slug(F.col("key"))).alias("company_id"))
+
+
 def conflicting(provenance_rows: DataFrame, field: str, by: str = "component") -> DataFrame:
     """Entities whose sources disagree in a field."""
     values = provenance_rows.filter(F.col("field") == field).groupBy(by).agg(F.count_distinct("value").alias("n_values"))

@@ -92,10 +92,42 @@ def quote_holds(source: Column, quote: Column, start: Column, end: Column) -> Co
     return F.coalesce((F.length(quote) == end - start) & F.substring(source, start + 1, end - start).eqNullSafe(quote), F.lit(False))
 
 
-def row_sha256(*columns: str) -> Column:
-    """A digest of a row that tells null from empty and one split of the values from another."""
-    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    return F.sha2(F.concat_ws("\0", *[F.concat(F.lit(f"{c}="), part(c)) for c in columns]), 256)
+#: The name of the row digest, and the types that it writes for a text and a number.
+ROW_DIGEST, TEXT_TYPE, NUMBER_TYPE = "interface-source-row-sha-v1", "large_string", "double"
+
+
+def _eight(number: Column) -> Column:
+    """A whole number as eight bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 16, "0"))
+
+
+def double_bits(value: Column) -> Column:
+    """The 64 bits of a double as a whole number: sign, exponent and fraction, put together by exact arithmetic."""
+    two = lambda e: F.pow(F.lit(2.0), e)
+    size = F.abs(value)
+    about = F.floor(F.log2(size))
+    exponent = F.greatest(about + F.when(size / two(about) >= 2, 1).when(size / two(about) < 1, -1).otherwise(0), F.lit(-1022))
+    normal = F.shiftleft(exponent.cast("long") + 1023, 52) + ((size / two(exponent) - 1) * two(F.lit(52.0))).cast("long")
+    small = (size * two(F.lit(537.0)) * two(F.lit(537.0))).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size < two(F.lit(-1022.0)), small).otherwise(normal)
+    bits = F.when(F.isnan(value), F.lit(0x7FF8 << 48)).when(size == float("inf"), F.lit(0x7FF << 52)).otherwise(bits)
+    return F.when(value.cast("string").startswith("-"), bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits)
+
+
+def row_sha256(*columns: str, doubles: tuple[str, ...] = ()) -> Column:
+    """The digest of a row of texts (and ``doubles``), whatever file it comes from.
+
+    For each column: the lengths and bytes of its name and type, then a zero and an empty
+    length for null, or a one with the length and bytes of the value.
+    """
+    sized = lambda raw: F.concat(_eight(F.octet_length(raw)), raw)
+    parts = [F.encode(F.lit(ROW_DIGEST + "\0"), "utf-8")]
+    for c in columns:
+        number = c in doubles
+        value = _eight(double_bits(F.col(c).cast("double"))) if number else F.encode(F.col(c).cast("string"), "utf-8")
+        parts += [sized(F.encode(F.lit(x), "utf-8")) for x in (c, NUMBER_TYPE if number else TEXT_TYPE)]
+        parts.append(F.coalesce(F.concat(F.unhex(F.lit("01")), sized(value)), F.unhex(F.lit("00" * 9))))
+    return F.sha2(F.concat(*parts), 256)
 
 
 def coverage_gaps(wanted: DataFrame, given: DataFrame, key: str) -> DataFrame:

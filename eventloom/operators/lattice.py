@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.storage import written
 from eventloom.plans import rules
 
 #: Thresholds of numeric atoms.
@@ -71,8 +72,12 @@ def witnessed_pairs(events: DataFrame, key: str = "chain_id") -> DataFrame:
 
 
 def incidence(contexts: DataFrame, atoms: dict[str, dict]) -> DataFrame:
-    """(atom, chain_id, company_id) for every chain that an atom's rule holds for. atoms: by identifier."""
+    """(atom, chain_id, company_id) for every chain that an atom's rule holds for. atoms: by identifier.
+
+    Where there are more rules than fit one projection, the contexts are written first, so that they are built once.
+    """
     out = None
+    contexts = written(contexts) if len(atoms) > RULES_AT_ONCE else contexts
     names = list(atoms)
     for at in range(0, len(names), RULES_AT_ONCE):
         held = F.array_compact(F.array(*[F.when(rules.compile_rule(atoms[k]), F.lit(k)) for k in names[at : at + RULES_AT_ONCE]]))
@@ -87,33 +92,60 @@ def supported(incident: DataFrame, n_chains: int, min_chains: int = MIN_CHAINS,
     return counts.filter((F.col("n_chains") >= min_chains) & (F.col("n_companies") >= min_companies) & (F.col("n_chains") < n_chains))
 
 
-def pairs(anchors: DataFrame, structural: DataFrame) -> DataFrame:
-    """(anchor, structural, n_chains, n_companies) of pairs that share a chain; both sides are incidences."""
+def pairs(anchors: DataFrame, structural: DataFrame, anchor_facts: DataFrame | None = None, structural_facts: DataFrame | None = None) -> DataFrame:
+    """(anchor, structural, n_chains, n_companies) of pairs that share a chain; both sides are incidences.
+
+    With the facts of both catalogues (atom and what compatibility() takes) pairs that say
+    nothing new are left out before anything is counted.
+    """
     b = structural.select(F.col("atom").alias("structural"), "chain_id")
-    both = anchors.select(F.col("atom").alias("anchor"), "chain_id", "company_id").join(b, "chain_id")
+    both = anchors.select(F.col("atom").alias("anchor"), "chain_id", "company_id")
+    if anchor_facts is not None:
+        both = both.join(anchor_facts.withColumnRenamed("atom", "anchor"), "anchor")
+        b = b.join(structural_facts.withColumnRenamed("atom", "structural"), "structural")
+    both = both.join(b, "chain_id")
+    if anchor_facts is not None:
+        both = compatibility(both).filter("reason IS NULL")
     return both.groupBy("anchor", "structural").agg(F.count(F.lit(1)).alias("n_chains"), F.count_distinct("company_id").alias("n_companies"))
 
 
+#: Fields with a count that an anchor says something about, and what of it.
+SCOPES = {"chain.n_exposure": "exposure", "chain.n_interface": "interface", "derived.n_middle": "total", "derived.n_known_date_middle_events": "dated", "derived.interface_investor_count": "participant"}
+
+
 def compatibility(facts: DataFrame) -> DataFrame:
     """Adds reason: why a pair says nothing new (null: it may).
 
-    facts: field, cmp, value of the structural atom; minimum: what the anchor implies for that
-    field; typed_max: the most that the anchor lets its type occur; needs_start.
+    facts: field, cmp, value of the structural atom; of the anchor: kind, family (of its type,
+    null without one), count_min (map of total, exposure and interface to the least counts),
+    dated_min, participant_min, typed_max (the most that its type may occur), needs_start.
     """
-    value, least = F.col("value"), F.col("minimum")
+    value, cmp = F.col("value"), F.col("cmp")
+    scope = F.lit(None).cast("string")
+    for field, name in SCOPES.items():
+        scope = F.when(F.col("field") == field, name).otherwise(scope)
+    least = F.when(scope == "dated", F.col("dated_min")).when(scope == "participant", F.col("participant_min")).otherwise(F.coalesce(F.try_element_at("count_min", scope), F.lit(0)))
+    of_type = scope.isin("total", "exposure", "interface")
+    absent = (F.col("kind") == "absent") & (value == 0) & F.col("family").isNotNull() & ((scope == "total") | (scope == F.col("family")))
     reason = (
-        F.when((F.col("cmp") == "lte") & (least > value), "UNSAT_COUNT_BOUND")
-        .when((F.col("cmp") == "gte") & (least >= value), "ANCHOR_IMPLIES_STRUCTURAL")
-        .when((F.col("cmp") == "lte") & (value <= F.col("typed_max")), "STRUCTURAL_IMPLIES_ANCHOR")
-        .when((F.col("field") == "derived.chain_duration_days") & (F.col("cmp") == "is_null") & F.col("needs_start"), "UNSAT_NULLNESS")
+        F.when(scope.isNotNull() & (cmp == "lte") & (least > value), "UNSAT_COUNT_BOUND")
+        .when(scope.isNotNull() & (cmp == "gte") & (least >= value), "ANCHOR_IMPLIES_STRUCTURAL")
+        .when((cmp == "lte") & of_type & ((value <= F.col("typed_max")) | absent), "STRUCTURAL_IMPLIES_ANCHOR")
+        .when((F.col("field") == "derived.chain_duration_days") & (cmp == "is_null") & F.col("needs_start"), "UNSAT_NULLNESS")
     )
     return facts.withColumn("reason", reason)
 
 
 def masks(incident: DataFrame, by: str = "company_id") -> DataFrame:
-    """(atom, mask): a digest of the set of companies (or chains) of each atom."""
-    members = F.array_sort(F.collect_set(F.col(by).cast("string")))
-    return incident.groupBy("atom").agg(F.sha2(F.array_join(members, ","), 256).alias("mask"))
+    """(atom, mask): a digest of the set of companies (or chains) of each atom, whatever their order.
+
+    The digest is of the sums of four 32-bit parts of the members' SHA-256, which are summed
+    up on the map side; no atom's members are gathered.
+    """
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")).cast("string")
+    members = incident.select("atom", F.sha2(F.col(by).cast("string"), 256).alias("h")).distinct()
+    sums = members.groupBy("atom").agg(*[part(k).alias(f"p{k}") for k in range(4)], F.count(F.lit(1)).cast("string").alias("n"))
+    return sums.select("atom", F.sha2(F.concat_ws(",", "n", *[f"p{k}" for k in range(4)]), 256).alias("mask"))
 
 
 def representatives(catalog: DataFrame) -> DataFrame:

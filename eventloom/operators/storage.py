@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows again, from a Parquet table in ``spark.checkpoint.dir`` (a temporary folder only where that is unset).
+    """The rows again, from a Parquet table in ``spark.checkpoint.dir`` (a temporary folder only where that is unset, on one machine).
 
     The table outlives lost executors; it is deleted when the driver's JVM ends.
     """
@@ -18,6 +18,8 @@ def written(df: DataFrame) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{shared.rstrip('/')}/eventloom-{uuid.uuid4().hex}"

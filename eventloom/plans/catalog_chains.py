@@ -58,8 +58,7 @@ def batch_gaps(spark, sf_dir):
 
 def chain_signatures(spark, sf_dir):
     rows = chains.batches(chains.with_interval(_middle(spark, sf_dir)), "company_id", "chain_sequence")
-    grouped = rows.groupBy("company_id", "chain_sequence").agg(F.array_sort(F.collect_list(F.struct("batch", "family", "event_type", "event_id"))).alias("events"))
-    return grouped.select("company_id", "chain_sequence", F.size("events").alias("n_middle"), chains.signature(F.col("events")).alias("signature"))
+    return chains.signatures(rows, "company_id", "chain_sequence")
 
 
 def partial_date_intervals(spark, sf_dir):
@@ -96,7 +95,7 @@ def participant_explode(spark, sf_dir):
     n = F.col("o_orderkey")
     claims = a.table(spark, sf_dir, "orders").select(
         n.alias("order_id"),
-        F.when(n % 3 == 0, "acquisition").otherwise("funding_round").alias("event_type"),
+        F.when(n % 3 == 0, "acquired").when(n % 17 == 0, "ipo").when(n % 7 == 0, "funding_failed").otherwise("funding_round").alias("event_type"),
         F.when(n % 5 > 0, F.concat(F.lit(" Lead "), (n % 11).cast("string"))).alias("lead_investor"),
         F.when(n % 4 == 0, F.array(F.concat(F.lit("Co "), (n % 7).cast("string")), F.lit(" "), F.lit("Second"))).alias("co_investors"),
         F.when(n % 6 == 0, F.concat(F.lit("Buyer "), (n % 13).cast("string"))).alias("acquirer"),
@@ -228,11 +227,11 @@ QUERIES = {
       SELECT event_id, arg_min(ord, (-confidence, ord)) AS ord, max(confidence) AS confidence, arg_min(amount, (-confidence, ord)) AS amount, count(*) AS n_claims,
       count(*) FILTER (confidence = top) > 1 AS confidence_tied, concat_ws(',', CASE WHEN count(DISTINCT amount) > 1 THEN 'amount' END, CASE WHEN count(DISTINCT source) > 1 THEN 'source' END) AS conflict_fields
       FROM (SELECT *, max(confidence) OVER (PARTITION BY event_id) AS top FROM c) GROUP BY event_id"""),
-    "participant_explode": (participant_explode, """WITH c AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'acquisition' ELSE 'funding_round' END AS event_type,
-        CASE WHEN o_orderkey % 5 > 0 THEN 'Lead ' || o_orderkey % 11 END AS lead, CASE WHEN o_orderkey % 4 = 0 THEN 'Co ' || o_orderkey % 7 END AS co, CASE WHEN o_orderkey % 6 = 0 THEN 'Buyer ' || o_orderkey % 13 END AS buyer FROM orders),
-      p AS (SELECT order_id, event_type, lead AS investor_name, 'lead' AS role FROM c WHERE event_type = 'funding_round' AND lead IS NOT NULL
-        UNION ALL SELECT order_id, event_type, x, 'co' FROM c, (VALUES (1), (2)) v(k), LATERAL (SELECT CASE k WHEN 1 THEN co ELSE 'Second' END AS x) WHERE event_type = 'funding_round' AND co IS NOT NULL
-        UNION ALL SELECT order_id, event_type, buyer, 'acquirer' FROM c WHERE event_type = 'acquisition' AND buyer IS NOT NULL)
+    "participant_explode": (participant_explode, """WITH c AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'acquired' WHEN o_orderkey % 17 = 0 THEN 'ipo' WHEN o_orderkey % 7 = 0 THEN 'funding_failed' ELSE 'funding_round' END AS event_type,
+        CASE WHEN o_orderkey % 5 > 0 THEN ' Lead ' || o_orderkey % 11 END AS lead, CASE WHEN o_orderkey % 4 = 0 THEN 'Co ' || o_orderkey % 7 END AS co, CASE WHEN o_orderkey % 6 = 0 THEN 'Buyer ' || o_orderkey % 13 END AS buyer FROM orders),
+      p AS (SELECT order_id, event_type, lead AS investor_name, 'lead' AS role FROM c WHERE event_type LIKE 'funding%' AND lead IS NOT NULL
+        UNION ALL SELECT order_id, event_type, x, 'co' FROM c, (VALUES (1), (2), (3)) v(k), LATERAL (SELECT CASE k WHEN 1 THEN co WHEN 2 THEN ' ' ELSE 'Second' END AS x) WHERE event_type LIKE 'funding%' AND co IS NOT NULL
+        UNION ALL SELECT order_id, event_type, buyer, 'acquirer' FROM c WHERE event_type = 'acquired')
       SELECT * FROM p UNION ALL SELECT order_id, event_type, NULL, 'unknown' FROM c WHERE order_id NOT IN (SELECT order_id FROM p)"""),
     "event_hash_ids": (event_hash_ids, f"""{WITH} SELECT event_id, 'fund:' || substr(sha1(company_id || '|' || event_type || '|' || CASE WHEN family = 'interface' THEN '' ELSE family END || '|' || event_date), 1, 20) AS hash_id,
       'irn:' || substr(sha256('v1' || chr(0) || event_id || chr(0) || sha256(event_date)), 1, 24) AS record_id FROM ev"""),

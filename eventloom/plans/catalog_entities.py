@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventloom.functions import names, outcomes, stats
 from eventloom.operators import checks, edges, entities, evaluation, identity, leakage
 from eventloom.plans import analogues as a
 from eventloom.plans.catalog_chains import _MIDDLE
-from eventloom.sources import html
+from eventloom.sources import html, readers
 
 
 def normalize_name(spark, sf_dir):
@@ -99,21 +101,46 @@ def score_aggregate(spark, sf_dir):
     return rows.select("o_orderkey", score.alias("score"), stats.aggregate_verdict(score).alias("verdict"), stats.dominant_driver(verdict(1), verdict(3)).alias("driver"), market.alias("market"), moat.alias("moat"))
 
 
+#: A phrase for each built-in pattern, in the order of the families, for cards to be made of.
+LEAKS = (
+    "NYSE: ABC", "(ABC: XYZ1)", "listed on the NASDAQ", "publicly traded", "IPO in 2015", "market cap of $5", "share price of $5", "trading at $5", "**Public/private**: `public`",
+    "acquired by Acme", "acquired for $5", "takeover by Acme", "was acquired", "has been acquired", "got acquired", "was purchased by Acme", "purchased by Acme", "bought by Acme", "merged with Acme", "merger of Acme",
+    "wholly owned subsidiary of", "now owned by Acme", "now known as Acme", "now operates as Acme", "formerly known as Acme", "rebranded to Acme", "merging into Acme",
+    "ceased operations", "no longer active", "defunct", "domain for sale", "premium domain", "acquisitions@acme", "Sedo", "went out of business", "ceased to exist", "startup failed", "shut its doors", "pivoted off",
+    "this domain is for sale", "available for purchase", "website is down", "404 error", "dead link",
+    "Series C", "raised $5M in", "$5 million raised", "unicorn status", "$2 billion valuation", "post-money valuation", "post-Series B", "exited at $", "exit of $5", "IPO'd at $", "valuation of $5 million",
+    "already realized", "observed before the acquisition", "has wound down", "was not standalone-defensible", "apparent business discontinuity", "terminal to this candidate", "historically successful", "exited via acquisition", "has since become", "currently trading on", "recent closure",
+)
+
+
+def _cards(spark, sf_dir):
+    """Candidate cards around whole documents, each with a leak or two: one of LEAKS in the proposal, another in the sections."""
+    rows = a.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, phrases = F.col("doc_id"), F.array(*map(F.lit, LEAKS))
+    leak = lambda n: F.element_at(phrases, (n % len(LEAKS) + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("private", "public", "Delisted", "unclear"))), (F.floor(k / 3) % 4 + 1).cast("int"))
+    text = F.concat(
+        F.lit("# Card\n**Public/private**: "), status, F.lit("\n"),
+        F.when(k % 5 == 0, F.concat(F.lit("Founded "), (k % 20 + 2000).cast("string"), F.lit("-05-01\n"))).otherwise(F.concat(F.lit("**Founding year**: `"), (k % 20 + 2000).cast("string"), F.lit("`\n"))),
+        F.lit("**Original proposal description**: We plan a tool. "), F.when(k % 2 == 0, leak(F.floor(k / 2))).otherwise("Nothing else"), F.lit(" since "), (k % 30 + 1995).cast("string"), F.lit(".\n**Slug**: s\n\n---\n\n## 1. Revenue model\n"),
+        F.when(k % 3 == 0, leak(k)).otherwise("Plain"), F.lit(".\n"), F.col("text"),
+    )
+    return rows.select(k.alias("card_id"), text.alias("text"))
+
+
 def leakage_severity(spark, sf_dir):
-    """The built-in families rarely hit invented prose, so families that do are scanned for, with the same weights."""
-    families = {"ipo_public": {"license": r"\blicen[sc]ed?\b"}, "acquisition": {"mail": r"[a-z0-9._]+@[a-z0-9.]+"}, "funding": {"number": r"\b[0-9]{6,}\b"}, "retrospective": {"phrase": r"\b(?:the|die|la)\s+(?:the|of|der|de)\b"}}
-    counts = leakage.family_counts(a.table(spark, sf_dir, "documents"), "doc_id", "text", families)
-    score = sum((F.when(F.col(f"n_{f}") > 0, w).otherwise(0) for f, w in (("ipo_public", 3), ("acquisition", 3), ("funding", 2), ("retrospective", 1))), F.lit(0))
-    return counts.withColumn("severity_score", score).withColumn("severity", leakage.severity(F.col("severity_score")))
+    """The scan of whole cards: header fields, late years, families in the proposal, retrospective language in the sections."""
+    found = leakage.scan(_cards(spark, sf_dir))
+    return found.withColumn("post_founding_years", F.array_join(F.col("post_founding_years").cast("array<string>"), ","))
 
 
 def leakage_hits(spark, sf_dir):
-    """All built-in families over whole documents, in long form."""
-    return leakage.hits(a.table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("matches")).alias("n_matches"))
+    """All built-in patterns over whole cards, in long form."""
+    return leakage.hits(_cards(spark, sf_dir), "card_id", "text").groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("matches")).alias("n_matches"))
 
 
 def leakage_totals(spark, sf_dir):
-    scanned = leakage_severity(spark, sf_dir).join(a.table(spark, sf_dir, "labels"), "doc_id")
+    scanned = leakage.scan(_cards(spark, sf_dir)).withColumnRenamed("card_id", "doc_id").join(a.table(spark, sf_dir, "labels"), "doc_id")
     return scanned.groupBy("quality").pivot("severity", ["HIGH", "MED", "LOW"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -165,8 +192,12 @@ def conflicting_fields(spark, sf_dir):
 
 
 def company_dedup(spark, sf_dir):
-    rows = a.table(spark, sf_dir, "part").select(names.normalize_company_name(F.col("p_name")).alias("key"), F.col("p_name").alias("name"), F.col("p_partkey").alias("row"))
-    return entities.dedup_companies(rows).select("key", "company_canonical_name", "edge_count", names.company_id(F.col("number"), names.ascii_slug(F.col("key"))).alias("company_id"))
+    """Parts as portfolio edges, with scraped garbage, aliases and identifiers of securities among them."""
+    k = F.col("p_partkey")
+    raw = F.when(k % 9 == 0, "Read More").when(k % 9 == 1, F.concat(F.lit("Alias  "), (k % 5).cast("string"))).otherwise(F.concat(F.initcap("p_name"), F.when(k % 2 == 0, " Inc.").otherwise("")))
+    edges_ = a.table(spark, sf_dir, "part").select(k.alias("row"), raw.alias("company_name_raw"), F.when(k % 31 == 0, "x").otherwise(F.lower(names.squeeze(F.regexp_replace(raw, "[.]", "")))).alias("company_normalized_name"), F.when(k % 4 == 0, F.concat(F.lit('{"cusip": "C'), k.cast("string"), F.lit('"}'))).alias("metadata_json"))
+    listed = spark.createDataFrame([("ALIAS 1", "Red Widget Corp."), ("alias 2", "Brand-New Company"), ("Red Widget Corp.", "Red Widget Corp.")], "alias string, canonical string")
+    return entities.build_companies(edges_, listed).select("key", "company_canonical_name", "company_normalized_name", "cusip", "edge_count", "company_id")
 
 
 def shared_companies(spark, sf_dir):
@@ -229,12 +260,11 @@ def quote_checks(spark, sf_dir):
     rows = a.table(spark, sf_dir, "documents")
     start = F.col("doc_id") % 50
     quote = F.substring("text", (start + 1 + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).cast("int"), F.lit(12))
-    return rows.select("doc_id", identity.quote_holds(F.col("text"), quote, start.cast("int"), (start + 12).cast("int")).alias("holds"), identity.row_sha256("source", "lang", "n_chars").alias("row_sha256"))
+    return rows.select("doc_id", identity.quote_holds(F.col("text"), quote, start.cast("int"), (start + 12).cast("int")).alias("holds"), identity.row_sha256("source", "lang").alias("row_sha256"))
 
 
 def coverage_gaps(spark, sf_dir):
-    left = a.table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 3 > 0")
-    return identity.coverage_gaps(left, a.table(spark, sf_dir, "labels"), "doc_id")
+    return identity.coverage_gaps(a.table(spark, sf_dir, "documents"), a.table(spark, sf_dir, "labels"), "doc_id")
 
 
 def html_links(spark, sf_dir):
@@ -245,14 +275,14 @@ def html_links(spark, sf_dir):
 def newest_partition(spark, sf_dir):
     rows = a.table(spark, sf_dir, "pages")
     made = rows.select(F.regexp_extract("url", "^http://([^/]+)/", 1).alias("slug"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 90).cast("int")).alias("day"), "page_id")
-    return made.groupBy("slug").agg(F.max("day").alias("newest"), F.max_by("page_id", F.struct("day", "page_id")).alias("page_id"))
+    return readers.newest(made, "slug", "day", "page_id").select("slug", F.col("day").alias("newest"), "page_id")
 
 
 def _edges(spark, sf_dir):
     """Supplier-part pairs as portfolio edges; a pair that was shipped often is listed often."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     row = (k * 100_000 + F.col("l_partkey")) * 10 + n
-    return a.table(spark, sf_dir, "lineitem").filter("l_suppkey < 40").select(
+    return a.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("investor_id"),
         F.concat(F.lit("c"), (F.col("l_partkey") % 50).cast("string")).alias("company_normalized_name"),
         F.when(k % 3 == 0, "Read More").when(k % 3 == 1, "/path").otherwise("Name").alias("company_name_raw"),
@@ -282,15 +312,41 @@ def selector_self_test(spark, sf_dir):
 
 
 def chain_contract(spark, sf_dir):
-    """Violations of chains that are broken on purpose: a seventh names a company that isn't there, an eleventh counts wrong."""
+    """Violations of chains, events and companies that are broken on purpose, each kind by a remainder of its own."""
     from eventloom.plans.catalog_patterns import _contract
 
-    chains_ = _contract(spark, sf_dir)
-    k = F.col("chain_sequence")
-    broken = chains_.withColumns({"company_id": F.when(k % 7 == 0, -F.col("company_id") - 1).otherwise(F.col("company_id")), "n_exposure": F.when(k % 11 == 0, F.col("n_exposure") + 1).otherwise(F.col("n_exposure"))})
-    rows = a.events(spark, sf_dir).filter("family <> 'outcome'")
+    made = _contract(spark, sf_dir).withColumn("n", (F.col("company_id") * 31 + F.col("chain_sequence")) % 17)
+    n = F.col("n")
+    known = {c: F.col(c) for c in made.columns}
+    text = lambda k, value, c: F.when(n == k, value).otherwise(known[c])
+    swap = lambda here, there: F.when(n == 12, known[there]).otherwise(known[here])
+    other = F.transform("exposure_event_ids", lambda x: F.concat(F.lit("gone"), x))
+    undated = n.isin(5, 6)
+    broken = made.withColumns(
+        {
+            "company_id": F.when(n == 1, -known["company_id"] - 1).when((n == 13), F.lit(0)).otherwise(known["company_id"]),
+            "company_label_v4": text(2, "FAILURE", "company_label_v4"),
+            "chain_window_status": F.when(n == 3, "open").when(undated, "unknown_end_date").otherwise(known["chain_window_status"]),
+            "chain_end_date": F.when(n == 4, "2024-13-01").when(n == 6, "unknown").otherwise(known["chain_end_date"]),
+            "chain_start_date": text(7, "soon", "chain_start_date"),
+            "n_participant_rows": F.when(n == 8, F.lit(1)).otherwise(F.lit(0)).cast("long"),
+            "n_exposure": F.when(n == 9, known["n_exposure"] + 1).when(n == 12, known["n_interface"]).otherwise(known["n_exposure"]),
+            "n_interface": swap("n_interface", "n_exposure"),
+            "exposure_event_ids": F.when(n == 11, other).when(n == 12, known["interface_event_ids"]).otherwise(known["exposure_event_ids"]),
+            "interface_event_ids": swap("interface_event_ids", "exposure_event_ids"),
+            "exposure_types": F.when(n == 14, F.transform("exposure_event_ids", lambda x: F.lit("x"))).when(n == 12, F.transform("interface_event_ids", lambda x: F.lit("x"))).otherwise(F.transform("exposure_event_ids", lambda x: F.lit(None).cast("string"))),
+            "interface_types": F.when(n == 12, F.transform("exposure_event_ids", lambda x: F.lit("x"))).otherwise(F.transform("interface_event_ids", lambda x: F.lit(None).cast("string"))),
+        }
+    )
+    # A chain whose event is listed twice, and one that is there twice.
+    twice = F.when((n == 10) & (F.size("exposure_event_ids") > 0), F.concat("exposure_event_ids", F.slice("exposure_event_ids", 1, 1)))
+    broken = broken.withColumns({"n_exposure": F.when(twice.isNotNull(), F.col("n_exposure") + 1).otherwise(F.col("n_exposure")), "exposure_types": F.when(twice.isNotNull(), F.transform(twice, lambda x: F.lit(None).cast("string"))).otherwise(F.col("exposure_types")), "exposure_event_ids": F.coalesce(twice, "exposure_event_ids")})
+    broken = broken.unionByName(broken.filter(n == 15))
+    rows = a.events(spark, sf_dir).filter("family <> 'outcome'").select("event_id", "family", "company_id", F.lit(None).cast("string").alias("event_type"))
+    stray = rows.filter(F.col("event_id").cast("long") % 50 == 0).select(F.concat(F.lit("stray"), "event_id").alias("event_id"), "family", F.lit(-1).cast("long").alias("company_id"), "event_type")
     companies = a.table(spark, sf_dir, "events").select(F.col("user_id").alias("company_id"), F.lit("SUCCESS").alias("label")).distinct()
-    found = checks.chain_violations(broken.withColumn("company_id", F.col("company_id").cast("long")), rows, companies)
+    companies = companies.unionByName(companies.filter("company_id % 50 = 0"))
+    found = checks.chain_violations(broken.withColumn("company_id", F.col("company_id").cast("long")), rows.unionByName(stray), companies)
     return found.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -299,7 +355,7 @@ _SQUEEZE = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"  # noqa: E73
 _RAW = "'  ' || p_init || CASE p_partkey % 3 WHEN 0 THEN ' Capital, Partners LLC' WHEN 1 THEN '-Works & Co.' ELSE ' Ventures  (Fund) Éclair' END"
 _INIT = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _EDGES = """ed AS (SELECT l_suppkey AS investor_id, 'c' || l_partkey % 50 AS c, l_orderkey AS k, l_linenumber AS n, (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS row,
-  CASE WHEN l_orderkey % 5 = 0 THEN 'i' || l_orderkey % 3 END AS ind, CASE WHEN l_orderkey % 7 = 0 THEN 'u' || l_orderkey END AS url, CASE WHEN l_orderkey % 4 = 0 THEN 'active' END AS pos FROM lineitem WHERE l_suppkey < 40)"""
+  CASE WHEN l_orderkey % 5 = 0 THEN 'i' || l_orderkey % 3 END AS ind, CASE WHEN l_orderkey % 7 = 0 THEN 'u' || l_orderkey END AS url, CASE WHEN l_orderkey % 4 = 0 THEN 'active' END AS pos FROM lineitem)"""
 _IFACE = "ix AS (SELECT event_id::VARCHAR AS event_id, event_id AS n, CASE WHEN event_id % 3 = 0 THEN 'inv' || event_id % 20 END AS investor_id, CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'Supplier ' || event_id % 30 || ' Capital' END AS raw_investor_name FROM events)"
 _SRC = """src AS (SELECT *, CASE source WHEN 'seed' THEN 2 ELSE 1 END AS priority, CASE WHEN row % 9 = 0 THEN 'Q' || (row // 27) % 40 END AS qid, CASE WHEN row % 7 = 0 THEN 'linkedin.com' WHEN row % 5 = 0 THEN 'd' || row % 31 || '.com' END AS domain,
     'n' || row % 301 AS nn, CASE WHEN row % 4 = 0 THEN 'S' || n END AS st, CASE WHEN row % 3 > 0 THEN round(v, 0)::INT END AS fy, row % 10 / 10 AS confidence
@@ -313,10 +369,22 @@ fu AS (SELECT src.*, coalesce(component, row) AS component FROM src LEFT JOIN cm
 _PROV = f"""WITH RECURSIVE {_SRC}, pv AS (SELECT component, row, source, confidence, field, value FROM (
     SELECT component, row, source, confidence, 'wikidata_qid' AS field, qid AS value FROM fu UNION ALL SELECT component, row, source, confidence, 'domain', domain FROM fu
     UNION ALL SELECT component, row, source, confidence, 'founded_year', fy::VARCHAR FROM fu UNION ALL SELECT component, row, source, confidence, 'location_state', '["' || st || '"]' FROM fu) WHERE value IS NOT NULL AND value <> '')"""
-_LEAK = r"""lk AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\blicen[sc]ed?\b'))::BIGINT AS n_ipo_public, len(regexp_extract_all(text, '(?i)[a-z0-9._]+@[a-z0-9.]+'))::BIGINT AS n_acquisition,
-  len(regexp_extract_all(text, '(?i)\b[0-9]{6,}\b'))::BIGINT AS n_funding, len(regexp_extract_all(text, '(?i)\b(?:the|die|la)\s+(?:the|of|der|de)\b'))::BIGINT AS n_retrospective FROM documents),
-ls AS (SELECT *, (CASE WHEN n_ipo_public > 0 THEN 3 ELSE 0 END + CASE WHEN n_acquisition > 0 THEN 3 ELSE 0 END + CASE WHEN n_funding > 0 THEN 2 ELSE 0 END + CASE WHEN n_retrospective > 0 THEN 1 ELSE 0 END) AS severity_score FROM lk),
-lv AS (SELECT *, CASE WHEN severity_score >= 3 THEN 'HIGH' WHEN severity_score >= 1 THEN 'MED' ELSE 'LOW' END AS severity FROM ls)"""
+_TEXT = lambda x: "'" + x.replace("'", "''") + "'"
+#: RE2 looks at nothing ahead: the one pattern that does has the rest of its line in the match here.
+_PATTERN = lambda p: _TEXT("(?i)" + re.sub(r"\(\?=(.*)\)$", r"\1", p))
+_LEAKS = "[" + ", ".join(map(_TEXT, LEAKS)) + "]"
+_CARDS = f"""cd AS (SELECT doc_id AS card_id, doc_id % 20 + 2000 AS founded, ['private', 'public', 'delisted', NULL][(doc_id // 3) % 4 + 1] AS field,
+    'We plan a tool. ' || CASE WHEN doc_id % 2 = 0 THEN {_LEAKS}[(doc_id // 2) % {len(LEAKS)} + 1] ELSE 'Nothing else' END || ' since ' || (doc_id % 30 + 1995) || '.' AS p, doc_id % 30 + 1995 AS year,
+    '---' || chr(10) || chr(10) || '## 1. Revenue model' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN {_LEAKS}[doc_id % {len(LEAKS)} + 1] ELSE 'Plain' END || '.' || chr(10) || coalesce(text, '') AS s,
+    '# Card' || chr(10) || '**Public/private**: ' || ['private', 'public', 'Delisted', 'unclear'][(doc_id // 3) % 4 + 1] || chr(10) || '**Original proposal description**: ' || p || chr(10) || '**Slug**: s' || chr(10) || chr(10) || s AS card FROM documents)"""
+_ANY = lambda column, family: "(" + " OR ".join(f"regexp_matches({column}, {_PATTERN(p)})" for p in leakage.FAMILIES[family].values()) + ")"
+_SCANNED = f"""{_CARDS}, sv AS (SELECT card_id, founded::INT AS founding_year, field AS public_private_field, length(trim(p))::INT AS proposal_desc_length, length(s)::INT AS llm_sections_length,
+    CASE WHEN year >= 2000 AND year > founded + 2 THEN year::VARCHAR ELSE '' END || CASE WHEN p LIKE '%2015%' AND 2015 > founded + 2 THEN '' ELSE '' END AS own_year, p, s,
+    CASE WHEN field = 'public' THEN 3 ELSE 0 END + {" + ".join(f"CASE WHEN {_ANY('p', f)} THEN {w} ELSE 0 END" for f, w in leakage.WEIGHTS.items())} + CASE WHEN {_ANY('s', 'retrospective')} THEN 1 ELSE 0 END AS base FROM cd),
+  ys AS (SELECT *, array_to_string(list_filter(regexp_extract_all(p, '\\b(20[0-9][0-9])\\b', 1), lambda y: y::INT > founding_year + 2), ',') AS years FROM sv),
+  sc AS (SELECT card_id, founding_year, public_private_field, proposal_desc_length, llm_sections_length, years AS post_founding_years, base + CASE WHEN years <> '' THEN 1 ELSE 0 END AS severity_score FROM ys),
+  lv AS (SELECT *, CASE WHEN severity_score >= 3 THEN 'HIGH' WHEN severity_score >= 1 THEN 'MED' ELSE 'LOW' END AS severity FROM sc)"""
+_SCANNED = _SCANNED.replace(" || CASE WHEN p LIKE '%2015%' AND 2015 > founded + 2 THEN '' ELSE '' END", "")
 _PICK = lambda k, *xs: f"[{', '.join(repr(x) for x in xs)}][(o_orderkey // {k}) % {len(xs)} + 1]"
 _LABELS = f"""lb AS (SELECT o_orderkey, {_PICK(1, 'active', 'closed', '', 'active')} AS op, {_PICK(3, 'private', '', 'public', 'private', 'delisted', '')} AS ipo, {_PICK(2, 'seed', 'series_b', '', 'series_a', 'angel')} AS ft,
     {_PICK(5, '', 'it was acquired by x', 'has been acquiring', '', '', '')} AS g, {_PICK(7, 'PASS', 'WARN', 'FAIL', 'other')} AS verdict, ('2024-08-01'::DATE - o_orderdate::DATE) / 365.25 AS age, CASE WHEN o_orderkey % 4 = 0 THEN ('2024-08-01'::DATE - '2021-05-01'::DATE) / 365.25 END AS last FROM orders),
@@ -328,6 +396,12 @@ _WILSON = lambda p, n, sign: f"(({p} + 3.8416 / (2 * {n})) {sign} 1.96 * sqrt({p
 _F = lambda p, r: f"(CASE WHEN {p} = 0 AND {r} = 0 THEN 0.0 ELSE 1.25 * ({p}) * ({r}) / (0.25 * ({p}) + ({r})) END)"
 
 
+#: Entries of the pages' navigation lists, by pattern.
+_LINKS = r"""nv AS (SELECT page_id, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul>', 1) AS nav FROM pages),
+  lx AS (SELECT page_id, unnest(x) AS x, unnest(range(0, len(x))) AS entry FROM (SELECT page_id, regexp_extract_all(nav, '(?s)<li>(.*?)</li>', 1) AS x FROM nv)),
+  li AS (SELECT page_id, entry::INT AS entry, nullif(trim(replace(regexp_extract(x, '<a[^>]*>(.*?)</a>', 1), '&amp;', '&')), '') AS name, nullif(replace(regexp_extract(x, 'href="([^"]*)"', 1), '&amp;', '&'), '') AS href FROM lx)"""
+
+
 QUERIES = {
     "normalize_name": (normalize_name, rf"""WITH r AS (SELECT p_partkey, {_RAW} AS raw FROM (SELECT p_partkey, {_INIT} AS p_init FROM part)),
       c AS (SELECT p_partkey, raw, {_SQUEEZE(r"regexp_replace(lower(raw || ' Holdings Inc.'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g')")} AS full_company FROM r)
@@ -342,7 +416,7 @@ QUERIES = {
       raw LIKE 'http://%' OR raw LIKE 'https://%' OR raw LIKE '/%' AS is_url FROM lg"""),
     "make_slug_ascii": (make_slug_ascii, r"""WITH s AS (SELECT p_partkey, substr(replace(regexp_replace(regexp_replace(regexp_replace(lower('  ' || p_name || ' & _' || p_brand || '!'), '[^0-9a-z_]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), '_', '-'), 1, 50) AS slug,
         substr(regexp_replace(lower(p_name), '[^0-9a-z_]+', '-', 'g'), 1, 50) AS short FROM part) SELECT p_partkey, slug, printf('co:%04d-%04d:%s', p_partkey * 7 // 10000, p_partkey * 7 % 10000, short) AS company_id FROM s"""),
-    "make_slug_unicode": (make_slug_unicode, None),
+    "make_slug_unicode": (make_slug_unicode, r"SELECT doc_id, replace(substr(array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+'), '-'), 1, 50), '_', '-') AS slug FROM documents"),
     "round_bucket": (round_bucket, """SELECT o_orderkey, ['series_a', 'series_b', 'seed', 'pre_seed', 'bridge_or_extension', 'unknown', 'convertible', 'series_s', 'debt', 'unknown', 'other', 'bridge_or_extension'][o_orderkey % 12 + 1] AS bucket,
       ['series-a', NULL, NULL, 'pre-seed', NULL, NULL, NULL, NULL, NULL, NULL, 'growth', NULL][o_orderkey % 12 + 1] AS stage, ['series-a,any', 'series-a,any', 'series-a,any', 'pre-seed,series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'series-a,any', 'growth,series-a,any', 'series-a,any'][o_orderkey % 12 + 1] AS stages FROM orders"""),
     "garbage_names": (garbage_names, "SELECT p_partkey, p_partkey % 9 < 7 AS garbage FROM part"),
@@ -359,9 +433,9 @@ QUERIES = {
     "score_aggregate": (score_aggregate, """WITH v AS (SELECT o_orderkey, o_totalprice * 1000 AS d, ['PASS', 'WARN', 'FAIL'][o_orderkey % 3 + 1] AS m, ['PASS', 'WARN', 'FAIL'][(o_orderkey // 3) % 3 + 1] AS u, o_orderkey % 3 AS a, (o_orderkey // 3) % 3 AS b FROM orders),
       s AS (SELECT *, ((2 - a) / 2.0 + (2 - b) / 2.0)::DOUBLE / 2 AS score FROM v)
       SELECT o_orderkey, score, CASE WHEN score >= 0.5 THEN 'PASS' WHEN score >= 0.25 THEN 'WARN' ELSE 'FAIL' END AS verdict, CASE WHEN b > a THEN 'U' ELSE 'M' END AS driver, round(greatest(0.0, least(1.0, (log10(d) - 7) / 3)), 9) AS market, least(1.0, (o_orderkey % 6)::DOUBLE / 4) AS moat FROM s"""),
-    "leakage_severity": (leakage_severity, f"WITH {_LEAK} SELECT * FROM lv"),
-    "leakage_hits": (leakage_hits, None),
-    "leakage_totals": (leakage_totals, f"WITH {_LEAK} SELECT quality, count(*) FILTER (severity = 'HIGH') AS HIGH, count(*) FILTER (severity = 'MED') AS MED, count(*) FILTER (severity = 'LOW') AS LOW FROM lv JOIN labels USING (doc_id) GROUP BY quality"),
+    "leakage_severity": (leakage_severity, f"WITH {_SCANNED} SELECT * FROM lv"),
+    "leakage_hits": (leakage_hits, f"WITH {_CARDS}, h AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, '{n}' AS pattern, card_id, len(regexp_extract_all(card, {_PATTERN(p)})) AS k FROM cd" for f, ps in leakage.FAMILIES.items() for n, p in ps.items()) + ") SELECT family, pattern, count(*) AS n_docs, sum(k)::BIGINT AS n_matches FROM h WHERE k > 0 GROUP BY ALL"),
+    "leakage_totals": (leakage_totals, f"WITH {_SCANNED} SELECT quality, count(*) FILTER (severity = 'HIGH') AS HIGH, count(*) FILTER (severity = 'MED') AS MED, count(*) FILTER (severity = 'LOW') AS LOW FROM lv JOIN labels ON card_id = doc_id GROUP BY quality"),
     "entity_components": (entity_components, f"WITH RECURSIVE {_SRC} SELECT row, component FROM cm"),
     "canonical_fusion": (canonical_fusion, f"""WITH RECURSIVE {_SRC} SELECT component, min(row) AS first_row, string_agg(DISTINCT source, ',' ORDER BY source) AS source_set,
       coalesce(array_to_string(list_distinct_ordered, ','), '') AS location_state, arg_max(fy, (confidence, -priority, -row)) FILTER (fy IS NOT NULL) AS founded_year, arg_max(domain, (confidence, -priority, -row)) FILTER (domain IS NOT NULL) AS domain
@@ -369,9 +443,11 @@ QUERIES = {
     "provenance_unpivot": (provenance_unpivot, f"{_PROV} SELECT * FROM pv"),
     "coverage_completeness": (coverage_completeness, f"{_PROV} SELECT field, source, count(*) AS n_values, count(DISTINCT component) AS n_entities FROM pv GROUP BY ALL"),
     "conflicting_fields": (conflicting_fields, f"{_PROV} SELECT component, count(DISTINCT value) AS n_values FROM pv WHERE field = 'wikidata_qid' GROUP BY component HAVING count(DISTINCT value) > 1"),
-    "company_dedup": (company_dedup, f"""WITH c AS (SELECT p_partkey, p_name, {_SQUEEZE("lower(p_name)")} AS f FROM part), k AS (SELECT *, coalesce(nullif(regexp_replace(f, '{_TAIL(names.LEGAL_TAIL)}', ''), ''), f) AS key FROM c),
-      g AS (SELECT key, arg_min(p_name, p_partkey) AS company_canonical_name, count(*) AS edge_count, min(p_partkey) AS first FROM k GROUP BY key), o AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM g)
-      SELECT key, company_canonical_name, edge_count, printf('co:%04d-%04d:%s', n // 10000, n % 10000, replace(key, ' ', '-')) AS company_id FROM o"""),
+    "company_dedup": (company_dedup, f"""WITH e AS (SELECT p_partkey AS row, CASE p_partkey % 9 WHEN 0 THEN 'Read More' WHEN 1 THEN 'Alias  ' || p_partkey % 5 ELSE {_INIT} || CASE WHEN p_partkey % 2 = 0 THEN ' Inc.' ELSE '' END END AS raw, CASE WHEN p_partkey % 4 = 0 THEN 'C' || p_partkey END AS cusip FROM part),
+      n AS (SELECT *, lower({_SQUEEZE("replace(raw, '.', '')")}) AS norm, CASE lower({_SQUEEZE('raw')}) WHEN 'alias 1' THEN 'Red Widget Corp.' WHEN 'alias 2' THEN 'Brand-New Company' END AS canon FROM e WHERE row % 31 <> 0),
+      f AS (SELECT *, regexp_replace(coalesce(CASE canon WHEN 'Red Widget Corp.' THEN 'red widget corp' WHEN 'Brand-New Company' THEN 'brandnew company' END, norm), '{_TAIL(names.LEGAL_TAIL)}', '') AS key FROM n WHERE raw <> 'Read More'),
+      g AS (SELECT key, count(*) AS edge_count, min(row) AS first FROM f GROUP BY key), o AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM g)
+      SELECT o.key, coalesce(canon, raw) AS company_canonical_name, norm AS company_normalized_name, cusip, edge_count, printf('co:%04d-%04d:%s', n // 10000, n % 10000, replace(o.key, ' ', '-')) AS company_id FROM o JOIN f ON f.key = o.key AND f.row = first"""),
     "shared_companies": (shared_companies, "SELECT o_custkey, count(DISTINCT l_suppkey) AS n_investors, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2 ORDER BY n_investors DESC, o_custkey LIMIT 20"),
     "fk_pk_violations": (fk_pk_violations, "SELECT count(*) AS n, 'pk' AS \"check\" FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT count(*), 'fk' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"),
     "overlay_left_join": (overlay_left_join, f"""WITH {_IFACE} SELECT event_id, CASE WHEN n % 8 = 0 THEN 'base' ELSE investor_id END AS investor_id, raw_investor_name, CASE WHEN n % 8 = 4 THEN 'ae' || event_id END AS associated_entity_id,
@@ -389,17 +465,22 @@ QUERIES = {
       j AS (SELECT l.*, qi, ni FROM l LEFT JOIN q USING (qid) LEFT JOIN m USING (nm))
       SELECT legacy_id, CASE WHEN qi <> ni THEN NULL ELSE coalesce(qi, ni) END AS investor_id, CASE WHEN qi <> ni THEN 'conflict' WHEN qi IS NOT NULL THEN 'qid' WHEN ni IS NOT NULL THEN 'name' ELSE 'unmatched' END AS status FROM j"""),
     "quote_checks": (quote_checks, """WITH q AS (SELECT doc_id, source, lang, n_chars, text, (doc_id % 50)::INT AS a, substr(text, (doc_id % 50 + 1 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END)::INT, 12) AS quote FROM documents)
-      SELECT doc_id, length(quote) = 12 AND substr(text, a + 1, 12) = quote AS holds, sha256('source=' || length(source) || ':' || source || chr(0) || 'lang=' || length(lang) || ':' || lang || chr(0) || 'n_chars=' || length(n_chars::VARCHAR) || ':' || n_chars) AS row_sha256 FROM q"""),
-    "coverage_gaps": (coverage_gaps, "WITH w AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) SELECT doc_id, 'missing' AS gap FROM (SELECT doc_id FROM w EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM w)"),
-    "html_links": (html_links, None),
+      SELECT doc_id, length(quote) = 12 AND substr(text, a + 1, 12) = quote AS holds, sha256(from_hex(hex('interface-source-row-sha-v1') || '00' || """ + " || ".join(f"'{len(c):016X}' || hex('{c}') || '{12:016X}' || hex('large_string') || CASE WHEN {c} IS NULL THEN '{0:018X}' ELSE '01' || printf('%016X', octet_length({c}::BLOB)) || hex({c}) END" for c in ("source", "lang")) + """)) AS row_sha256 FROM q"""),
+    "coverage_gaps": (coverage_gaps, "SELECT doc_id, 'missing' AS gap FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)"),
+    "html_links": (html_links, f"WITH {_LINKS} SELECT page_id, entry, name, href FROM li"),
     "edge_upsert": (edge_upsert, f"""WITH {_EDGES}, st AS (SELECT investor_id, c, x, min(row * 10 + o) AS first FROM ed, (VALUES (1), (2)) v(o), LATERAL (SELECT CASE WHEN n = 1 AND o = 1 THEN 'seed' WHEN n = 2 AND o = 1 THEN 'growth' WHEN n = 2 AND o = 2 THEN 'seed' END AS x) WHERE x IS NOT NULL GROUP BY ALL)
       SELECT investor_id, c AS company_normalized_name, min(row) AS row, coalesce(any_value(s.stages), '') AS stages, coalesce(string_agg(DISTINCT ind, ',' ORDER BY ind), '') AS industries, arg_min(url, row) FILTER (url IS NOT NULL) AS company_url, arg_min(pos, row) FILTER (pos IS NOT NULL) AS position
       FROM ed LEFT JOIN (SELECT investor_id, c, string_agg(x, ',' ORDER BY first) AS stages FROM st GROUP BY ALL) s USING (investor_id, c) GROUP BY ALL"""),
     "edge_coverage": (edge_coverage, f"WITH {_EDGES} SELECT investor_id, count(*) AS n_edges, count(DISTINCT c) AS n_companies, count(url) AS n_company_url, count(pos) AS n_position, count(*) FILTER (n IN (1, 2)) AS n_stage_at_investment, count(ind) AS n_industry FROM ed GROUP BY investor_id"),
     "edge_spot_check": (edge_spot_check, f"""WITH {_EDGES}, h AS (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY investor_id ORDER BY row) <= 20)
       SELECT investor_id, avg((k % 3 = 0)::INT) >= 0.3 AS boilerplate_names, avg((k % 3 = 1)::INT) >= 0.5 AS url_names, bool_and(url IS NULL) AS no_url, bool_and(n NOT IN (1, 2)) AS no_stage, bool_and(ind IS NULL) AS no_industry, bool_and(pos IS NULL) AS no_position FROM h GROUP BY investor_id"""),
-    "selector_self_test": (selector_self_test, None),
-    "chain_contract": (chain_contract, f"""{_MIDDLE}, x AS (SELECT ch.company_id, ch.chain_sequence, count(mid.event_id) AS n FROM ch LEFT JOIN mid USING (company_id, chain_sequence) GROUP BY ALL)
-      SELECT 'unknown company' AS violation, count(*) AS n FROM x WHERE chain_sequence % 7 = 0 UNION ALL SELECT 'counts differ', count(*) FROM x WHERE chain_sequence % 11 = 0 UNION ALL SELECT 'event of another company', count(*) FROM x WHERE chain_sequence % 7 = 0 AND n > 0"""),
+    "selector_self_test": (selector_self_test, f"WITH {_LINKS} SELECT page_id, count(*) AS n_rows, count(*) BETWEEN 1 AND 6 AS in_bounds, count(*) FILTER (entry < 3 AND name IS NULL) = 0 AS named FROM li GROUP BY page_id"),
+    "chain_contract": (chain_contract, f"""{_MIDDLE}, x AS (SELECT ch.company_id, ch.chain_sequence, (ch.company_id * 31 + ch.chain_sequence) % 17 AS r, count(*) FILTER (family = 'exposure') AS ne, count(*) FILTER (family = 'interface') AS ni
+          FROM ch LEFT JOIN mid USING (company_id, chain_sequence) GROUP BY ALL),
+      k AS (SELECT CASE r WHEN 1 THEN 'unknown company' WHEN 2 THEN 'label differs' WHEN 3 THEN 'unknown window status' WHEN 4 THEN 'end isn''t a day' WHEN 5 THEN 'undated chain with an end' WHEN 7 THEN 'start isn''t a day' WHEN 8 THEN 'participants differ' WHEN 9 THEN 'counts differ' WHEN 15 THEN 'repeated chain' END AS violation FROM x
+        UNION ALL SELECT 'undated chain with events' FROM x WHERE r IN (5, 6) AND ne + ni > 0 UNION ALL SELECT 'repeated event' FROM x WHERE r = 10 AND ne > 0 UNION ALL SELECT 'missing event' FROM x WHERE r = 11 AND ne > 0
+        UNION ALL SELECT 'event of another family' FROM x WHERE r = 12 AND ne + ni > 0 UNION ALL SELECT 'event of another company' FROM x WHERE (r = 1 OR r = 13 AND company_id <> 0) AND ne + ni > 0 UNION ALL SELECT 'event of another type' FROM x WHERE r = 14 AND ne > 0
+        UNION ALL SELECT 'repeated company' FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 50 = 0) UNION ALL SELECT 'event of an unknown company' FROM ev WHERE family <> 'outcome' AND event_id::BIGINT % 50 = 0)
+      SELECT violation, count(*) AS n FROM k WHERE violation IS NOT NULL GROUP BY violation"""),
     "newest_partition": (newest_partition, "WITH p AS (SELECT regexp_extract(url, '^http://([^/]+)/', 1) AS slug, '2024-01-01'::DATE + (page_id % 90)::INT AS day, page_id FROM pages) SELECT slug, max(day) AS newest, arg_max(page_id, (day, page_id)) AS page_id FROM p GROUP BY slug"),
 }

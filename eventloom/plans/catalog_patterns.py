@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import chains, context, lattice, prevalence
+from eventloom.operators import chains, context, generators, lattice, prevalence
+from eventloom.operators.storage import written
 from eventloom.plans import analogues as a
 from eventloom.plans import catalog_chains as base
 from eventloom.plans import rules
@@ -128,7 +129,10 @@ def lattice_witnessed_pairs(spark, sf_dir):
     return lattice.witnessed_pairs(rows, "chain")
 
 
-ATOMS = {f"{op}_{kind}": {"op": op, "selector": _one(kind)} for op in ("present", "absent") for kind in ("view", "click", "error", "signup")}
+#: Anchors about the driver's event types, from the generator; their names lose the family.
+TYPES = [(f, t) for f, ts in (("exposure", a.EXPOSURE), ("interface", a.INTERFACE)) for t in ts]
+ANCHORS = [x for k, of in enumerate(TYPES) for x in generators._anchors_of(of, {f"n{k}": 0}, k, ("present", "absent"))]
+ATOMS = {f"{x.kind}_{x.type[1]}": x.rule for x in ANCHORS}
 STRUCTURAL = {f"middle_{cmp}_{t}": _compare({"field": "derived.n_middle"}, cmp, t) for cmp in ("gte", "lte") for t in (1, 2, 5, 10)}
 
 
@@ -142,8 +146,30 @@ def lattice_support(spark, sf_dir):
 
 
 def lattice_pairs(spark, sf_dir):
-    contexts = _contexts(spark, sf_dir)
-    return lattice.pairs(lattice.incidence(contexts, ATOMS), lattice.incidence(contexts, STRUCTURAL))
+    """Pairs of anchors and structural atoms that share a chain, without those that say nothing new."""
+    contexts = written(_contexts(spark, sf_dir))
+    anchors = generators.facts_frame(spark, ANCHORS).withColumn("atom", F.concat_ws("_", "kind", F.split("atom", "[: ]")[1]))
+    rows = [(k, r["left"]["field"], r["cmp"], float(r["right"]["literal"])) for k, r in STRUCTURAL.items()]
+    structural = spark.createDataFrame(rows, "atom string, field string, cmp string, value double")
+    return lattice.pairs(lattice.incidence(contexts, ATOMS), lattice.incidence(contexts, STRUCTURAL), anchors, structural)
+
+
+def lattice_catalog(spark, sf_dir):
+    """Atoms as they are generated from the chains, with their support: anchors, sequences without gaps, and structural ones."""
+    contexts = written(_contexts(spark, sf_dir))
+    types = generators.observed_types(contexts)
+    atoms = generators.anchors(contexts, types, ("present", "absent", "count", "position"))
+    events = contexts.select(F.col("chain.chain_id").alias("chain_id"), F.explode("events").alias("e")).select("chain_id", "e.family", "e.event_type", "e.lo", "e.hi")
+    atoms += generators.sequences([r[0] for r in generators.witnessed(events, 2).select("tuple").collect()], gaps=False)  # MOST_TYPES squared at most
+    atoms += generators.structural(contexts, ("chain.n_exposure", "chain.n_interface", "derived.n_middle", "derived.n_ordered_batches", "derived.n_prior_chains"), rounds=False)
+    atoms = [x for x in atoms if "same" not in x.name.split()]
+    incident = lattice.incidence(contexts, {x.name: x.rule for x in atoms})
+    return incident.groupBy("atom").agg(F.count(F.lit(1)).alias("n_chains"), F.count_distinct("company_id").alias("n_companies"))
+
+
+def lattice_witnessed_triples(spark, sf_dir):
+    rows = chains.with_interval(base._middle(spark, sf_dir)).withColumn("chain_id", F.concat_ws("-", "company_id", "chain_sequence"))
+    return generators.witnessed(rows, 3).select(F.array_join("tuple", ">").alias("tuple"), "n_chains")
 
 
 def mask_representatives(spark, sf_dir):
@@ -158,22 +184,29 @@ def lattice_evaluation(spark, sf_dir):
 
 
 def mask_equality(spark, sf_dir):
-    """present and not absent are the same mask: no member is on one side only."""
-    contexts = _contexts(spark, sf_dir)
-    left = lattice.incidence(contexts, {k: ATOMS[f"present_{k}"] for k in ("view", "click")})
-    right = lattice.incidence(contexts, {k: {"op": "not", "rule": ATOMS[f"absent_{k}"]} for k in ("view", "click")})
-    return lattice.same_masks(left, right).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    """present and not absent have one mask; the chains in which a view is there but no click, or a click but no view, are on one side only."""
+    contexts = written(_contexts(spark, sf_dir))
+    left = lattice.incidence(contexts, {"same": ATOMS["present_view"], "differ": ATOMS["present_view"]})
+    right = lattice.incidence(contexts, {"same": {"op": "not", "rule": ATOMS["absent_view"]}, "differ": ATOMS["present_click"]})
+    return lattice.same_masks(left, right).groupBy("atom", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 def compatibility(spark, sf_dir):
+    """Every arm, for each of the five fields with a count and one without."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    fields = F.array(*map(F.lit, (*lattice.SCOPES, "derived.chain_duration_days", "derived.n_prior_chains")))
     rows = a.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("pair_id"),
-        F.when(F.col("p_size") % 5 == 0, "derived.chain_duration_days").otherwise("derived.n_middle").alias("field"),
-        F.when(F.col("p_size") % 5 == 0, "is_null").when(F.col("p_size") % 2 == 0, "lte").otherwise("gte").alias("cmp"),
-        (F.col("p_size") % 7).alias("value"),
-        (F.col("p_partkey") % 4).alias("minimum"),
-        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 5).alias("typed_max"),
-        (F.col("p_partkey") % 2 == 0).alias("needs_start"),
+        k.alias("pair_id"),
+        F.element_at(fields, (k % 7 + 1).cast("int")).alias("field"),
+        F.when((k % 7 == 5) & (size % 2 == 0), "is_null").when(F.floor(k / 7) % 2 == 0, "lte").otherwise("gte").alias("cmp"),
+        (size % 6).cast("double").alias("value"),
+        F.when(k % 4 == 0, "absent").otherwise("count").alias("kind"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 3 == 0, "interface").otherwise("exposure").alias("family"),
+        F.create_map(F.lit("total"), (k % 4).cast("int"), F.lit("exposure"), (k % 3).cast("int")).alias("count_min"),
+        (k % 2).cast("int").alias("dated_min"),
+        (k % 5).cast("int").alias("participant_min"),
+        F.when(k % 3 == 0, (k % 5).cast("int")).alias("typed_max"),
+        (k % 2 == 0).alias("needs_start"),
     )
     return lattice.compatibility(rows).select("pair_id", "reason")
 
@@ -231,6 +264,23 @@ _INC = f"{_BASE}, an AS ({_ATOMS}), st AS ({_STRUCT}), al AS (SELECT * FROM an U
 _PRIORITY = ", ".join(f"('{k}', {rules.complexity(rules.canonical(r))}, '{rules.canonical_json(rules.canonical(r))}')" for k, r in (ATOMS | STRUCTURAL).items())
 
 
+_FAM = {t: f for f, t in TYPES}
+_N = lambda t: f"count(*) FILTER (family = '{_FAM[t]}' AND ft.event_type = '{t}')"
+#: Per chain: events by type, whether a type is in the first or last batch (of all, and of its family), sequences, and totals.
+_CATALOG_SQL = f"""{_CX}, fb AS (SELECT *, sum(CASE WHEN fr IS NULL OR lo > fr THEN 1 ELSE 0 END) OVER (PARTITION BY company_id, chain_sequence, family ORDER BY lo, hi, event_type, event_id ROWS UNBOUNDED PRECEDING) AS family_batch
+    FROM (SELECT *, max(hi) OVER (PARTITION BY company_id, chain_sequence, family ORDER BY lo, hi, event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fr FROM bt)),
+  ft AS (SELECT *, max(batch) OVER c AS last_all, max(family_batch) OVER (PARTITION BY company_id, chain_sequence, family) AS last_family FROM fb WINDOW c AS (PARTITION BY company_id, chain_sequence)),
+  t AS (SELECT ch.company_id, ch.chain_sequence, count(event_id) AS m, count(*) FILTER (family = 'exposure') AS ne, count(*) FILTER (family = 'interface') AS ni, coalesce(max(last_all), 0) AS nb, ch.chain_sequence - 1 AS np,
+    {", ".join(f"{_N(t)} AS n_{t}, min(hi) FILTER (ft.event_type = '{t}') AS h_{t}, max(lo) FILTER (ft.event_type = '{t}') AS l_{t}, coalesce(bool_or(batch = 1) FILTER (ft.event_type = '{t}'), false) AS fa_{t}, coalesce(bool_or(batch = last_all) FILTER (ft.event_type = '{t}'), false) AS la_{t}, coalesce(bool_or(family_batch = 1) FILTER (ft.event_type = '{t}'), false) AS ff_{t}, coalesce(bool_or(family_batch = last_family) FILTER (ft.event_type = '{t}'), false) AS lf_{t}" for _, t in TYPES)}
+    FROM ch LEFT JOIN ft USING (company_id, chain_sequence) GROUP BY ch.company_id, ch.chain_sequence),
+  x AS ({" UNION ALL ".join(
+    [f"SELECT company_id, '{f}:{t} {name}' AS atom FROM t WHERE {test}" for f, t in TYPES for name, test in [("present", f"n_{t} > 0"), ("absent", f"n_{t} = 0"), *[(f"count gte {n}", f"n_{t} >= {n} AND (SELECT max(n_{t}) FROM t) >= {n}") for n in generators.COUNT_AT_LEAST], *[(f"count lte {n}", f"n_{t} <= {n}") for n in generators.COUNT_AT_MOST], ("family first_batch", f"ff_{t}"), ("family last_batch", f"lf_{t}"), ("all_middle first_batch", f"fa_{t}"), ("all_middle last_batch", f"la_{t}")]]
+    + [f"SELECT company_id, '{f1}:{t1} > {f2}:{t2}' FROM t WHERE h_{t1} < l_{t2}" for f1, t1 in TYPES for f2, t2 in TYPES]
+    + [f"SELECT company_id, '{field} {cmp} {n}' FROM t WHERE {c} {'>=' if cmp == 'gte' else '<='} {n} AND {n} BETWEEN (SELECT min({c}) FROM t) AND (SELECT max({c}) FROM t)" for field, c, grid, cmps in (("chain.n_exposure", "ne", "count", ("gte", "lte")), ("chain.n_interface", "ni", "count", ("gte", "lte")), ("derived.n_middle", "m", "count", ("gte", "lte")), ("derived.n_ordered_batches", "nb", "count", ("gte",)), ("derived.n_prior_chains", "np", "position", ("gte",))) for n in lattice.THRESHOLDS[grid] for cmp in cmps]
+  )})
+  SELECT atom, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM x GROUP BY atom"""
+
+
 QUERIES = {
     "pattern_flags": (pattern_flags, f"{_FLAGS} SELECT *, {_PRIMARY} AS primary_seed FROM fl"),
     **{f"pattern_{name}": (_single(name), f"{_FLAGS} SELECT company_id, chain_sequence FROM fl WHERE {name}") for name in ("view_no_error", "view_then_click", "view_click_error", "late_click", "signup_first")},
@@ -255,14 +305,21 @@ QUERIES = {
       t AS (SELECT *, (SELECT sum(success_taking) FROM o)::BIGINT - success_taking AS success_not_taking, (SELECT sum(failure_taking) FROM o)::BIGINT - failure_taking AS failure_not_taking FROM o), {_VALUES}"""),
     "lattice_witnessed_pairs": (lattice_witnessed_pairs, f"""{_CX} SELECT x.event_type AS first, y.event_type AS second, count(DISTINCT (x.company_id, x.chain_sequence)) AS n_chains FROM mid x JOIN mid y USING (company_id, chain_sequence) WHERE x.hi < y.lo GROUP BY ALL"""),
     "lattice_support": (lattice_support, f"{_INC} SELECT atom, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM al GROUP BY atom HAVING count(*) >= 5 AND count(DISTINCT company_id) >= 5 AND count(*) < (SELECT count(*) FROM ch)"),
-    "lattice_pairs": (lattice_pairs, f"{_INC} SELECT an.atom AS anchor, st.atom AS structural, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM an JOIN st USING (company_id, chain_sequence) GROUP BY ALL"),
-    "mask_representatives": (mask_representatives, f"""{_INC}, k AS (SELECT atom, sha256(string_agg(DISTINCT company_id::VARCHAR, ',' ORDER BY company_id::VARCHAR)) AS mask FROM al GROUP BY atom), p(atom, priority, canonical) AS (VALUES {_PRIORITY})
+    "lattice_pairs": (lattice_pairs, f"{_INC} SELECT an.atom AS anchor, st.atom AS structural, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM an JOIN st USING (company_id, chain_sequence) WHERE NOT (an.atom LIKE 'present%' AND st.atom = 'middle_gte_1') GROUP BY ALL"),
+    "lattice_catalog": (lattice_catalog, _CATALOG_SQL),
+    "lattice_witnessed_triples": (lattice_witnessed_triples, f"""{_CX} SELECT x.family || ':' || x.event_type || '>' || y.family || ':' || y.event_type || '>' || z.family || ':' || z.event_type AS tuple, count(DISTINCT (x.company_id, x.chain_sequence)) AS n_chains
+      FROM mid x JOIN mid y USING (company_id, chain_sequence) JOIN mid z USING (company_id, chain_sequence) WHERE x.hi < y.lo AND y.hi < z.lo GROUP BY ALL"""),
+    "mask_representatives": (mask_representatives, f"""{_INC}, d AS (SELECT DISTINCT atom, sha256(company_id::VARCHAR) AS h FROM al),
+      k AS (SELECT atom, sha256(concat_ws(',', count(*)::VARCHAR, {", ".join(f"sum(('0x' || substr(h, {1 + 8 * p}, 8))::BIGINT)::VARCHAR" for p in range(4))})) AS mask FROM d GROUP BY atom), p(atom, priority, canonical) AS (VALUES {_PRIORITY})
       SELECT arg_min(atom, (priority, canonical)) AS atom, mask, count(*) AS n_members FROM k JOIN p USING (atom) GROUP BY mask"""),
     "lattice_evaluation": (lattice_evaluation, f"""{_INC}, {_COMPANIES}, e AS (SELECT atom AS pattern, count(*) FILTER (label = 'SUCCESS') AS success_taking, count(*) FILTER (label = 'FAILURE') AS failure_taking FROM (SELECT DISTINCT atom, company_id FROM an) JOIN co USING (company_id) WHERE label <> 'AMBIGUOUS' GROUP BY atom),
       t AS (SELECT *, (SELECT count(*) FROM co WHERE label = 'SUCCESS') - success_taking AS success_not_taking, (SELECT count(*) FROM co WHERE label = 'FAILURE') - failure_taking AS failure_not_taking FROM e), {_VALUES}"""),
-    "mask_equality": (mask_equality, "SELECT '' AS side, 0::BIGINT AS n WHERE false"),
-    "compatibility": (compatibility, """WITH p AS (SELECT p_partkey AS pair_id, p_size % 5 = 0 AS d, p_size % 2 = 0 AS even, p_size % 7 AS value, p_partkey % 4 AS minimum, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 END AS typed_max, p_partkey % 2 = 0 AS needs FROM part)
-      SELECT pair_id, CASE WHEN NOT d AND even AND minimum > value THEN 'UNSAT_COUNT_BOUND' WHEN NOT d AND NOT even AND minimum >= value THEN 'ANCHOR_IMPLIES_STRUCTURAL' WHEN NOT d AND even AND value <= typed_max THEN 'STRUCTURAL_IMPLIES_ANCHOR' WHEN d AND needs THEN 'UNSAT_NULLNESS' END AS reason FROM p"""),
+    "mask_equality": (mask_equality, f"""{_INC}, v AS (SELECT company_id, chain_sequence FROM an WHERE atom = 'present_view'), c AS (SELECT company_id, chain_sequence FROM an WHERE atom = 'present_click')
+      SELECT 'differ' AS atom, 'left' AS side, count(*) AS n FROM (SELECT * FROM v EXCEPT SELECT * FROM c) HAVING count(*) > 0 UNION ALL SELECT 'differ', 'right', count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM v) HAVING count(*) > 0"""),
+    "compatibility": (compatibility, """WITH p AS (SELECT p_partkey AS k, p_partkey AS pair_id, p_partkey % 7 AS f, CASE WHEN p_partkey % 7 = 5 AND p_size % 2 = 0 THEN 'is_null' WHEN (p_partkey // 7) % 2 = 0 THEN 'lte' ELSE 'gte' END AS cmp, p_size % 6 AS v FROM part),
+      q AS (SELECT *, CASE f WHEN 0 THEN k % 3 WHEN 1 THEN 0 WHEN 2 THEN k % 4 WHEN 3 THEN k % 2 WHEN 4 THEN k % 5 END AS least, CASE WHEN k % 3 = 0 THEN k % 5 END AS most, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 3 = 0 THEN 1 ELSE 0 END AS fam FROM p)
+      SELECT pair_id, CASE WHEN f <= 4 AND cmp = 'lte' AND least > v THEN 'UNSAT_COUNT_BOUND' WHEN f <= 4 AND cmp = 'gte' AND least >= v THEN 'ANCHOR_IMPLIES_STRUCTURAL'
+        WHEN f <= 2 AND cmp = 'lte' AND (v <= most OR k % 4 = 0 AND v = 0 AND fam IS NOT NULL AND (f = 2 OR f = fam)) THEN 'STRUCTURAL_IMPLIES_ANCHOR' WHEN f = 5 AND cmp = 'is_null' AND k % 2 = 0 THEN 'UNSAT_NULLNESS' END AS reason FROM q"""),
     "review_matrix": (review_matrix, """WITH p AS (SELECT p_partkey AS pattern, CASE WHEN p_size < 10 THEN 'RECOMMEND' WHEN p_size < 30 THEN 'INDIFFERENT' ELSE 'INCONCLUSIVE' END AS result, p_type = 'ECONOMY' AS gone, p_brand || '|' || p_size AS sig, p_partkey % 9 AS c FROM part),
       r AS (SELECT * FROM p WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY sig ORDER BY c, pattern) = 1)
       SELECT result, count(*) AS n, '1_all' AS step FROM p GROUP BY result UNION ALL SELECT result, count(*), '2_after_policy' FROM p WHERE NOT gone GROUP BY result UNION ALL SELECT result, count(*), '3_representatives' FROM r GROUP BY result"""),

@@ -81,9 +81,59 @@ def with_documents(wanted: DataFrame, docs: DataFrame, key: str = "card_id") ->
     return wanted.join(docs, key, "left").withColumn("missing", F.col("text").isNull())
 
 
-def newest(files: DataFrame, slug: str = "slug", day: str = "day") -> DataFrame:
-    """Of dated copies of a page the newest one for each slug."""
-    return files.groupBy(slug).agg(F.max_by(F.struct("*"), day).alias("_r")).select("_r.*")
+def newest(files: DataFrame, slug: str = "slug", day: str = "day", *tie: str) -> DataFrame:
+    """Of dated copies of a page the newest one for each slug; of one day's the one with the largest ``tie`` columns."""
+    return files.groupBy(slug).agg(F.max_by(F.struct("*"), F.struct(day, *tie)).alias("_r")).select("_r.*")
+
+
+def footer(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Rows and columns of Parquet files from their footers: a count that reads no column."""
+    df = spark.read.parquet(path)
+    return df.count(), df.columns
+
+
+def with_match(claims: DataFrame, companies: DataFrame, slug: str = "slug") -> tuple[DataFrame, DataFrame]:
+    """Claims of caches with the company of their slug, and the slugs of caches without one, counted. companies: slug and any other columns."""
+    known = companies.dropDuplicates([slug])
+    unmatched = claims.join(known, slug, "left_anti").groupBy(slug).agg(F.count(F.lit(1)).alias("n_claims"))
+    return claims.join(known, slug), unmatched
+
+
+def mapping(text: str) -> dict:
+    """A configuration file as a mapping (YAML where that is installed, else JSON)."""
+    try:
+        import yaml
+    except ImportError:
+        found = json.loads(text)
+    else:
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError("a mapping is expected")
+    return found
+
+
+def firm(text: str, slug: str) -> dict:
+    """The entry of one firm in a list of firms (under ``firms``), by its slug."""
+    for entry in mapping(text).get("firms", ()):
+        if isinstance(entry, dict) and entry.get("slug") == slug:
+            return entry
+    raise LookupError(slug)
+
+
+def aliases(spark: SparkSession, text: str) -> DataFrame:
+    """(alias, canonical) from a manual alias table: a list under ``entries`` of a canonical name and its aliases.
+
+    An alias of two names is an error, whatever its case and spaces.
+    """
+    seen: dict[str, str] = {}
+    rows = []
+    for entry in mapping(text).get("entries", ()):
+        for alias in (entry["canonical"], *entry.get("aliases", ())):
+            key = " ".join(alias.casefold().split())
+            if seen.setdefault(key, entry["canonical"]) != entry["canonical"]:
+                raise ValueError(f"{alias!r} stands for two names")
+            rows.append((alias, entry["canonical"]))
+    return spark.createDataFrame(rows, "alias string, canonical string")
 
 
 def contract(text: str) -> tuple[StructType, tuple[str, ...]]:
@@ -116,13 +166,8 @@ def _type(name: str) -> DataType:
 
 
 def selectors(text: str) -> dict:
-    """A page's selector configuration: entry selector, fields, and bounds of the number of rows (YAML where that is installed, else JSON)."""
-    try:
-        import yaml
-    except ImportError:
-        found = json.loads(text)
-    else:
-        found = yaml.safe_load(text)
+    """A page's selector configuration: entry selector, fields, and bounds of the number of rows."""
+    found = mapping(text)
     for key in ("entry_selector", "fields"):
         if key not in found.get("selectors", {}):
             raise ValueError(f"selectors.{key} is missing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,10 +28,73 @@ def write_new(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, force: bool = False) -> dict:
+def inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """The rows with some columns cast to given types and the rest as they are; no rows are an error."""
+    if df.isEmpty():
+        raise ValueError("there are no rows to infer a schema from")
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+
+
+def code_state(*modules) -> dict:
+    """SHA-256 of the source files of modules, and the commit and cleanness of the repository they stand in (null without one)."""
+    import hashlib
+    import subprocess
+    from pathlib import Path
+
+    files = {m.__name__: hashlib.sha256(Path(m.__file__).read_bytes()).hexdigest() for m in modules}
+    folder = str(Path(modules[0].__file__).parent) if modules else "."
+    run = lambda *args: subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True)
+    try:
+        head, changed = run("rev-parse", "HEAD"), run("status", "--porcelain")
+    except OSError:
+        head = None
+    found = head is not None and head.returncode == 0
+    return {"code": files, "commit": head.stdout.strip() if found else None, "clean": not changed.stdout.strip() if found else None}
+
+
+def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -> None:
+    """A text file that is there in full or not at all: written beside the path, then renamed over it."""
+    jvm = spark.sparkContext._jvm
+    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not force:
+        raise FileExistsError(path)
+    try:
+        out = fs.create(staged)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        if fs.exists(target):
+            fs.delete(target, False)
+        if not fs.rename(staged, target):
+            raise OSError(f"can't rename to {path}")
+    finally:
+        if fs.exists(staged):
+            fs.delete(staged, False)
+
+
+def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """A report: each table under its heading, with a line that says how many rows there are if not all are shown (a report's limit)."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    parts = [f"# {title}"]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        lines = ["| " + " | ".join(map(cell, df.columns)) + " |", "|" + " --- |" * len(df.columns)]
+        lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+        if len(rows) > most:
+            lines.append(f"\n{most} of {df.count()} rows")
+        parts.append(f"## {name}\n\n" + "\n".join(lines))
+    return "\n\n".join(parts) + "\n"
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, force: bool = False, inputs: dict[str, DataFrame] | None = None, code: dict | None = None, validate=None) -> dict:
     """Write all tables beside the path, check them, and rename the folder into place; returns the manifest.
 
-    A failure leaves what was at the path as it was.
+    Each table is read back and must have the schema, the rows and the content that were
+    written. The manifest has digests of the tables, and of ``inputs`` and ``code`` (see
+    code_state()) if given. ``validate`` is called with the tables as they were read back,
+    before they are renamed; what it raises stops the publication. A failure leaves what
+    was at the path as it was.
     """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,14 +103,25 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, force:
         raise FileExistsError(path)
     staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
-    manifest = {}
+    manifest, read = {}, {}
     try:
         for name, df in tables.items():
-            df.write.parquet(f"{staged}/{name}")
-            back = spark.read.parquet(f"{staged}/{name}")
-            if [f.dataType for f in back.schema] != [f.dataType for f in df.schema]:
+            # Counted while it is written, so that rows lost on the way are seen.
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{staged}/{name}")
+            back = read[name] = spark.read.parquet(f"{staged}/{name}")
+            if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema]:
                 raise ValueError(f"{name}: what was read back has another schema")
-            manifest[name] = {"rows": back.count(), "columns": back.columns, "sha256": content_sha256(back)}
+            rows = back.count()
+            if rows != seen.get["rows"]:
+                raise ValueError(f"{name}: {seen.get['rows']} rows were written and {rows} read back")
+            manifest[name] = {"rows": rows, "columns": back.columns, "sha256": content_sha256(back)}
+        if validate is not None:
+            validate(read)
+        if inputs is not None:
+            manifest["inputs"] = {name: {"columns": df.columns, "sha256": content_sha256(df)} for name, df in inputs.items()}
+        if code is not None:
+            manifest["code"] = code
         out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{staged}/manifest.json"))
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
@@ -64,6 +138,26 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, force:
     return manifest
 
 
+def load_published(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """The manifest and tables of a publication, once their content has been compared with the manifest's digests."""
+    manifest = json.loads(spark.read.text(f"{path.rstrip('/')}/manifest.json", wholetext=True).first()[0])
+    tables = {}
+    for name, said in manifest.items():
+        if name in ("inputs", "code"):
+            continue
+        tables[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+        if content_sha256(tables[name]) != said["sha256"]:
+            raise ValueError(f"{name} isn't what was published")
+    return manifest, tables
+
+
+def check_inputs(manifest: dict, inputs: dict[str, DataFrame]) -> None:
+    """Inputs of a later step must be those of the publication, column by column and row by row."""
+    for name, said in manifest["inputs"].items():
+        if name not in inputs or content_sha256(inputs[name].select(*said["columns"])) != said["sha256"]:
+            raise ValueError(f"{name} has changed since it was published")
+
+
 def content_sha256(df: DataFrame) -> str:
     """A digest of the rows as a multiset, whatever their order: sums of row hashes, taken in 32-bit parts."""
     row = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)

@@ -85,6 +85,95 @@ def test_publish(spark, tmp_path):
     assert two["a"]["sha256"] == one["a"]["sha256"]
 
 
+def test_publish_checks_rows_inputs_and_more(spark, tmp_path, monkeypatch):
+    where = f"{tmp_path}/out"
+    seen = []
+    inputs = {"in": spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")}
+    made = sinks.publish(spark, {"a": spark.range(3)}, where, inputs=inputs, code=sinks.code_state(sinks), validate=lambda t: seen.append(t["a"].count()))
+    assert seen == [3] and made["code"]["code"].keys() == {"eventloom.sources.sinks"} and made["inputs"]["in"]["columns"] == ["a", "b"]
+    manifest, tables = sinks.load_published(spark, where)
+    assert manifest == made and tables["a"].count() == 3
+    sinks.check_inputs(manifest, inputs)
+    with pytest.raises(ValueError):
+        sinks.check_inputs(manifest, {"in": inputs["in"].filter("a = 1")})
+
+    def refuse(tables):
+        raise ValueError("not these")
+
+    with pytest.raises(ValueError):
+        sinks.publish(spark, {"a": spark.range(9)}, where, force=True, validate=refuse)
+    assert spark.read.parquet(f"{where}/a").count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{where}/a")
+    with pytest.raises(ValueError):
+        sinks.load_published(spark, where)
+
+
+def test_texts_and_reports(spark, tmp_path):
+    where = f"{tmp_path}/report.md"
+    sinks.write_text(spark, where, sinks.markdown("Report", {"rows": spark.createDataFrame([(1, "a|b"), (2, None)], "k int, t string"), "many": spark.range(5)}, most=3))
+    text = (tmp_path / "report.md").read_text()
+    assert text.startswith("# Report\n\n## rows\n\n| k | t |\n| --- | --- |\n") and "a\\|b" in text and "3 of 5 rows" in text
+    with pytest.raises(FileExistsError):
+        sinks.write_text(spark, where, "x")
+    sinks.write_text(spark, where, "ä", force=True)
+    assert (tmp_path / "report.md").read_text() == "ä" and not [p for p in tmp_path.iterdir() if p.name.startswith("report.md.")]
+
+
+def test_csv_jsonl_and_new_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b"', None)], "k int, t string, z string")
+    sinks.write_csv(df.coalesce(1), f"{tmp_path}/c", ["t", "k"])
+    assert spark.read.text(f"{tmp_path}/c/*.csv").count() == 2
+    sinks.write_jsonl(df.coalesce(1).select("t", "z", "k"), f"{tmp_path}/j")
+    assert spark.read.text(f"{tmp_path}/j").first()[0] == '{"k":1,"t":"a \\"b\\"","z":null}'
+    sinks.write_new(df, f"{tmp_path}/p")
+    with pytest.raises(Exception):
+        sinks.write_new(df, f"{tmp_path}/p")
+    sinks.write_new(df, f"{tmp_path}/p", force=True)
+    empty = sinks.to_contract(df.limit(0), T.StructType([T.StructField("k", T.LongType()), T.StructField("q", T.DoubleType())]))
+    sinks.write_new(empty, f"{tmp_path}/e")
+    assert [f.dataType.simpleString() for f in spark.read.parquet(f"{tmp_path}/e").schema] == ["bigint", "double"]
+    assert sinks.inferred(df, {"k": "double"}).schema["k"].dataType == T.DoubleType()
+    with pytest.raises(ValueError):
+        sinks.inferred(df.limit(0), {})
+
+
+def test_configurations(spark, tmp_path):
+    text = json.dumps({"entries": [{"canonical": "Acme", "aliases": ["ACME  Co", "acme"]}, {"canonical": "Beta"}], "firms": [{"slug": "a", "n": 1}]})
+    assert rows(readers.aliases(spark, text)) == [("ACME  Co", "Acme"), ("Acme", "Acme"), ("Beta", "Beta"), ("acme", "Acme")]
+    with pytest.raises(ValueError):
+        readers.aliases(spark, json.dumps({"entries": [{"canonical": "A", "aliases": ["x"]}, {"canonical": "B", "aliases": [" X "]}]}))
+    assert readers.firm(text, "a") == {"slug": "a", "n": 1}
+    with pytest.raises(LookupError):
+        readers.firm(text, "b")
+    with pytest.raises(ValueError):
+        readers.mapping("[1]")
+    page = {"selectors": {"entry_selector": "li", "fields": {}}}
+    assert readers.selectors(json.dumps(page)) == page
+    with pytest.raises(ValueError):
+        readers.selectors(json.dumps({"selectors": {"fields": {}}}))
+
+
+def test_caches_meet_companies(spark):
+    claims = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5)], "slug string, n int")
+    companies = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "B2")], "slug string, name string")
+    known, unmatched = readers.with_match(claims, companies)
+    assert rows(known, "slug", "n") == [("a", 1), ("a", 2), ("b", 3)] and rows(unmatched) == [("c", 2)]
+
+
+def test_newest_and_footer(spark, tmp_path):
+    files = spark.createDataFrame([("a", "2024-01-02", 1), ("a", "2024-01-02", 2), ("a", "2023-12-31", 9), ("b", "2020-01-01", 3)], "slug string, day string, n int")
+    assert rows(readers.newest(files, "slug", "day", "n")) == [("a", "2024-01-02", 2), ("b", "2020-01-01", 3)]
+    spark.range(7).write.parquet(f"{tmp_path}/t")
+    assert readers.footer(spark, f"{tmp_path}/t") == (7, ["id"])
+
+
+def test_search_results(spark):
+    df = spark.createDataFrame([("Acme", "about ACME", "u1", 1), ("Acme", "about acme again", "u1", 0), ("Acme", "about others", "u2", 2)], "name string, text string, url string, ordinal int")
+    assert rows(readers.results_about(df, "name", "text", "url"), "url", "ordinal") == [("u1", 0)]
+    fenced = spark.createDataFrame([("```json\n[1]\n```",), ("[1]",)], "t string").select(readers.fenced_json(F.col("t")))
+    assert [r[0].strip() for r in fenced.collect()] == ["[1]", "[1]"]
+
+
 def test_slug_overwrite(spark, tmp_path):
     where = f"{tmp_path}/cache"
     sinks.overwrite_slugs(spark.createDataFrame([("a", 1), ("b", 2)], "slug string, v int"), where)

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import behavior, chains, checks, edges, entities, evaluation, identity, lattice, leakage
+from eventloom.operators import behavior, chains, checks, edges, entities, evaluation, generators, identity, lattice, leakage
+from eventloom.plans import rules as rule_language
 from tests.conftest import rows
 
 D = dt.date
@@ -53,8 +54,113 @@ def test_claims(spark):
 
 
 def test_participants(spark):
-    df = spark.createDataFrame([(1, "funding_round", " L ", ["A", "", None], None), (2, "acquisition", "L", None, "B"), (3, "funding_round", None, None, None)], "id int, event_type string, lead_investor string, co_investors array<string>, acquirer string")
-    assert rows(chains.participants(df), "id", "investor_name", "role") == [(1, "A", "co"), (1, "L", "lead"), (2, "B", "acquirer"), (3, None, "unknown")]
+    data = [(1, "funding_round", " L ", ["A", "", None], None), (2, "acquired", "L", None, "B"), (3, "funding_withdrawn", None, None, "B"), (4, "acquired", "L", ["A"], None), (5, "ipo", "L", ["A"], "B")]
+    df = spark.createDataFrame(data, "id int, event_type string, lead_investor string, co_investors array<string>, acquirer string")
+    assert rows(chains.participants(df), "id", "investor_name", "role") == [(1, " L ", "lead"), (1, "A", "co"), (2, "B", "acquirer"), (3, None, "unknown"), (4, None, "acquirer"), (5, None, "unknown")]
+
+
+def test_event_rows(spark):
+    schema = "event_type string, event_date string, amount_usd string, confidence string, round_name string"
+    df = spark.createDataFrame([(None, "2020", "5", None, " A  b "), ("acquired", "2020-13", "x", "0.5", "A"), ("rumour", None, None, "high", None)], schema)
+    loose = rows(chains.event_rows(df, ("funding_round", "acquired"), strict=False, default_type="funding_round"))
+    assert loose == [("acquired", None, None, 0.5, None), ("funding_round", "2020", 5, 0.0, "A b"), ("other", None, None, 0.0, None)]
+    with pytest.raises(Exception, match="unknown event type: rumour"):
+        chains.event_rows(df, ("funding_round", "acquired"), strict=True, default_type="funding_round").collect()
+
+
+def test_group_outcomes(spark):
+    data = [("e1", "c", "t", None, None, "i2", "B", 2), ("e1", "c", "t", None, None, "i1", "A", 1), ("e2", "c", "t", None, None, "i2", None, 3), ("e3", "c", "t", "r", None, None, None, 4)]
+    df = spark.createDataFrame(data, "event_id string, company_id string, event_type string, round_name string, announce_date string, investor_id string, raw_investor_name string, ord int")
+    found = {r.round_name: r for r in chains.group_outcomes(df).collect()}
+    assert (found[None].n_participant_rows, found[None].outcome_event_ids, found[None].investor_ids, found[None].investor_raw_names) == (3, ["e1", "e2"], ["i1", "i2"], ["A", "B"])
+    assert (found["r"].outcome_event_ids, found["r"].investor_ids) == (["e3"], [])
+
+
+def test_history_of_a_hot_company_reads_each_investor_once(spark):
+    """Chains of one company that all share an investor: the plan gathers no running list, and the counts are right."""
+    df = spark.range(3000).select(F.lit(1).alias("company_id"), "id", F.concat(F.lit("c"), "id").alias("chain_id"), F.lit("seed").alias("round_name"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("end"), F.array(F.lit("hot"), F.concat(F.lit("i"), F.col("id") % 1000), F.lit(None)).alias("investor_keys"))
+    found = chains.history(df.withColumnRenamed("id", "chain_sequence"))
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r.chain_sequence: r.prior_outcome_investor_overlap_count for r in found.collect()}
+    assert len(counts) == 3000 and all(n == (0 if k == 0 else 2 if k < 1000 else 3) for k, n in counts.items())
+
+
+def test_signatures_agree(spark):
+    data = [("k", 1, "exposure", "view", "a"), ("k", 1, "interface", "exit", "b"), ("k", 2, "exposure", "view", "c"), ("k", 1, "exposure", "click", "d"), ("l", 1, "exposure", "x", "e")]
+    df = spark.createDataFrame(data, "k string, batch long, family string, event_type string, event_id string")
+    found = dict(rows(chains.signatures(df, "k"), "k", "signature"))
+    assert found == {"k": "{E:click|E:view|I:exit}>{E:view}", "l": "{E:x}"}
+    packed = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("batch", "family", "event_type", "event_id"))).alias("events"))
+    assert dict(rows(packed.select("k", chains.signature(F.col("events"))))) == found
+
+
+def test_threshold_steps_of_a_hot_investor(spark):
+    """Very large numbers give a few steps, not their product; counts are those of the brute force."""
+    data = [(1, 1_000_000, 5), (2, 3, 2_000_000), (3, 3, 4), (4, 0, 9), (5, 2, 4)]
+    df = spark.createDataFrame(data, "i int, n_core_episode_count long, n_all_interface_companies long")
+    found = behavior.threshold_steps(df).collect()
+    assert len(found) == 8
+    for r in found:
+        for e in (r.low_e, r.e):
+            for c in (r.low_c, r.c):
+                assert r.investor_count == sum(x >= e and y >= c for _, x, y in data)
+    small = spark.createDataFrame([(1, 3, 2), (2, 1, 4), (3, 3, 2)], "i int, n_core_episode_count long, n_all_interface_companies long")
+    want = [(e, c, n) for e in range(1, 4) for c in range(1, 5) if (n := sum(x >= e and y >= c for x, y in ((3, 2), (1, 4), (3, 2))))]
+    assert rows(behavior.threshold_grid(small)) == sorted(want, key=lambda r: tuple((False, str(x)) for x in r))
+
+
+def test_masks_gather_no_members(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("b", "x"), ("c", "x")], "atom string, company_id string")
+    found = dict(rows(lattice.masks(df)))
+    assert found["a"] == found["b"] != found["c"]
+    assert "collect_set" not in lattice.masks(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_witnessed_tuples(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(3)
+    data = [(c, "exposure", rnd.choice("abc"), d, d + rnd.randint(0, 3)) for c in range(30) for d in rnd.sample(range(20), 5)]
+    day = lambda n: F.date_add(F.lit("2020-01-01").cast("date"), F.col(n))
+    df = spark.createDataFrame(data, "chain_id int, family string, event_type string, a int, b int").withColumns({"lo": day("a"), "hi": day("b")})
+    for length in (2, 3):
+        want = {}
+        for c in range(30):
+            mine = [x for x in data if x[0] == c]
+            for t in {tuple(f"exposure:{x[2]}" for x in chosen) for chosen in itertools.permutations(mine, length) if all(x[4] < y[3] for x, y in zip(chosen, chosen[1:]))}:
+                want[t] = want.get(t, 0) + 1
+        assert {tuple(r.tuple): r.n_chains for r in generators.witnessed(df, length).collect()} == want
+
+
+def test_generated_atoms_are_valid_rules(spark):
+    from eventloom.plans import catalog_patterns as cp
+
+    contexts = cp._contexts(spark, "/root/testdata/sf0.001")
+    types = generators.observed_types(contexts)
+    assert types == sorted(cp.TYPES)
+    atoms = generators.anchors(contexts, types) + generators.structural(contexts) + generators.sequences([["interface:signup", "interface:signup"], ["exposure:view", "interface:signup"]])
+    for x in atoms:
+        rule_language.check_rule(x.rule)
+    assert len({x.name for x in atoms}) == len({x.id for x in atoms}) == len(atoms)
+    assert {x.kind for x in atoms} == {*generators.KINDS, "sequence", "structural"}
+    assert {x.dimension for x in atoms if x.kind == "structural"} >= {"round", "duration", "count", "cadence", "share", "density", "history"}
+    timing = [x for x in atoms if x.kind == "timing"]
+    assert timing and all(x.facts["needs_start"] == ("start" in x.name) and ("end" in x.taints) == (" end " in x.name) for x in timing)
+    same = [x for x in atoms if x.rule.get("same_values")]
+    assert same and all(x.facts["participant_min"] == 1 and x.facts["count_min"] == {"total": 2, "interface": 2} for x in same)
+    few = [x for k, x in enumerate(atoms) if k % 12 == 0]
+    held = lattice.incidence(contexts, {x.name: x.rule for x in few})
+    assert held.select("atom").distinct().count() > len(few) / 4
+
+
+def test_build_companies(spark):
+    data = [(1, "Acme, Inc.", "acme inc", '{"cusip": "1"}'), (2, "ACME Corp", "acme corp", None), (3, "Read More", "read more", None), (4, "Straße  GmbH", "strasse gmbh", None), (5, "x", "x", None), (6, None, None, None), (7, "Zeta", "zeta", '{"cusip": "7"}')]
+    edges_ = spark.createDataFrame(data, "row long, company_name_raw string, company_normalized_name string, metadata_json string")
+    listed = spark.createDataFrame([("STRASSE GMBH", "Acme")], "alias string, canonical string")
+    found = rows(entities.build_companies(edges_, listed), "key", "company_canonical_name", "company_normalized_name", "cusip", "edge_count", "company_id")
+    assert found == [("acme", "Acme, Inc.", "acme inc", "1", 3, "co:0000-0001:acme"), ("zeta", "Zeta", "zeta", "7", 1, "co:0000-0002:zeta")]
+    assert rows(entities.build_companies(edges_.drop("metadata_json")), "key", "cusip") == [("acme", None), ("strasse gmbh", None), ("zeta", None)]
 
 
 def test_match_investors_by_slug_then_name(spark):
@@ -128,17 +234,48 @@ def test_quote(spark):
 
 
 def test_chain_violations(spark):
-    chain = {"chain_id": "x", "company_id": "c", "company_label_v4": "L", "chain_start_date": "founding", "chain_end_date": "2020-01-01", "chain_window_status": "dated", "n_exposure": 1, "n_interface": 0, "exposure_event_ids": ["e"], "interface_event_ids": []}
-    schema = "chain_id string, company_id string, company_label_v4 string, chain_start_date string, chain_end_date string, chain_window_status string, n_exposure int, n_interface int, exposure_event_ids array<string>, interface_event_ids array<string>"
-    events = spark.createDataFrame([("e", "exposure", "c", "t"), ("o", "exposure", "other", "t")], "event_id string, family string, company_id string, event_type string")
-    companies = spark.createDataFrame([("c", "L")], "company_id string, label string")
-    check = lambda *cs: {v for _, v in rows(checks.chain_violations(spark.createDataFrame([tuple(c[k.split()[0]] for k in schema.split(", ")) for c in cs], schema), events, companies))}
+    chain = {"chain_id": "x", "company_id": "c", "company_label_v4": "L", "chain_start_date": "founding", "chain_end_date": "2020-01-01", "chain_window_status": "dated", "n_participant_rows": 1, "n_exposure": 1, "n_interface": 0,
+             "outcome_event_ids": ["p"], "exposure_event_ids": ["e"], "exposure_types": ["t"], "interface_event_ids": [], "interface_types": []}
+    schema = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'int' if isinstance(v, int) else 'string'}" for k, v in chain.items())
+    events = spark.createDataFrame([("e", "exposure", "c", "t"), ("o", "exposure", "other", "t"), ("i", "interface", "c", "u")], "event_id string, family string, company_id string, event_type string")
+    companies = [("c", "L"), ("other", "L")]
+
+    def check(*cs, companies=companies):
+        made = spark.createDataFrame([tuple(c.values()) for c in cs], schema)
+        return {v for _, v in rows(checks.chain_violations(made, events, spark.createDataFrame(companies, "company_id string, label string")))}
+
     assert check(chain) == set()
     assert check(chain, chain) == {"repeated chain"}
+    assert check(chain, companies=companies + [("c", "L")]) == {"repeated company"}
+    assert check(chain, companies=companies[:1]) == {"event of an unknown company"}
     assert check(chain | {"company_id": "z"}) == {"unknown company", "event of another company"}
+    assert check(chain | {"company_label_v4": None}) == {"label differs"}
+    assert check(chain | {"chain_window_status": "open"}) == {"unknown window status"}
+    assert check(chain | {"chain_start_date": "2020"}) == {"start isn't a day"}
     assert check(chain | {"n_exposure": 2, "chain_end_date": "2020"}) == {"counts differ", "end isn't a day"}
+    assert check(chain | {"exposure_types": ["t", "t"]}) == {"counts differ", "missing event"}
+    assert check(chain | {"outcome_event_ids": None}) == {"participants differ"}
     assert check(chain | {"exposure_event_ids": ["none"]}) == {"missing event"}
-    assert check(chain | {"chain_window_status": "unknown_end_date"}) == {"undated chain with events"}
+    assert check(chain | {"exposure_event_ids": ["i"], "exposure_types": ["u"]}) == {"event of another family"}
+    assert check(chain | {"exposure_types": ["u"]}) == {"event of another type"}
+    assert check(chain | {"n_exposure": 2, "exposure_event_ids": ["e", "e"], "exposure_types": ["t", "t"]}) == {"repeated event"}
+    assert check(chain | {"chain_window_status": "unknown_end_date"}) == {"undated chain with events", "undated chain with an end"}
+
+
+def test_row_digest(spark):
+    """Against the bytes put together by struct."""
+    import hashlib
+    import struct
+
+    numbers = [0.0, -0.0, 1.0, -1.5, 0.1, 1e308, 5e-324, 2.2250738585072014e-308, 1e-310, float("inf"), float("-inf"), float("nan"), None, 2.0**53]
+    df = spark.createDataFrame([(v, "é" if k % 2 else None) for k, v in enumerate(numbers)], "v double, t string")
+    sized = lambda x: struct.pack(">Q", len(x)) + x
+    for r in df.select("v", "t", identity.row_sha256("t", "v", doubles=("v",)).alias("h")).collect():
+        raw = b"interface-source-row-sha-v1\0"
+        for name, kind, value in (("t", "large_string", r.t), ("v", "double", r.v)):
+            raw += sized(name.encode()) + sized(kind.encode())
+            raw += b"\0" * 9 if value is None else b"\1" + sized(value.encode() if isinstance(value, str) else struct.pack(">d", value))
+        assert r.h == hashlib.sha256(raw).hexdigest()
 
 
 CARD = "**Slug**: x\n**Public/private**: `public`\n**Founding year**: 2015\n**Closest existing vendor analogues**: y\n**Original proposal description**: it was acquired by Big in 2019\n---\n\n" + "\n".join(f"## {k}. {s}\n{'word ' * 60}\n- risk one\n" for k, s in enumerate(checks.CARD_SECTIONS, 1))
