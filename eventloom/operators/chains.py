@@ -112,6 +112,8 @@ def group_outcomes(outcomes: DataFrame) -> DataFrame:
 def sequence_outcomes(outcomes: DataFrame) -> DataFrame:
     """Adds end, chain_sequence (from 1; undated outcomes last), start (the last dated end before, or null), chain_id.
 
+    The outcomes of a company, not its events, are sorted in one task.
+
     outcomes: company_id, event_type, round_name, announce_date (text).
     """
     with_end = outcomes.withColumn("end", boundary_date(F.col("announce_date")))
@@ -128,15 +130,23 @@ def assign_events(chains: DataFrame, events: DataFrame) -> DataFrame:
     An event on the day of an outcome belongs to the chain after it. Where outcomes share a
     day, only the first of them has a window that isn't empty, and it gets the events.
     chains: company_id, chain_sequence, end; events: company_id, day and any other columns.
+
+    The next outcome is looked for in the event's month, by a window over company and month,
+    else it is the first one of a later month; those are found among the months of a company.
+    So no task holds all events of a company, however many it has.
     """
     dated = chains.filter(F.col("end").isNotNull()).groupBy("company_id", "end").agg(F.min("chain_sequence").alias("_seq"))
     extra = [c for c in events.columns if c not in ("company_id", "day")]
     ends = dated.select("company_id", F.col("end").alias("day"), "_seq", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in extra])
-    both = events.filter(F.col("day").isNotNull()).select("company_id", "day", F.lit(None).cast("long").alias("_seq"), *extra).unionByName(ends)
+    both = events.filter(F.col("day").isNotNull()).select("company_id", "day", F.lit(None).cast("long").alias("_seq"), *extra).unionByName(ends).withColumn("_month", F.trunc("day", "month"))
     # Sorted backwards, the outcome seen last is the next one. An event of that very day comes before it.
-    later = Window.partitionBy("company_id").orderBy(F.col("day").desc(), F.col("_seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("chain_sequence", F.last("_seq", ignorenulls=True).over(later))
-    return found.filter(F.col("_seq").isNull() & F.col("chain_sequence").isNotNull()).drop("_seq")
+    later = Window.partitionBy("company_id", "_month").orderBy(F.col("day").desc(), F.col("_seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_next", F.last("_seq", ignorenulls=True).over(later)).filter("_seq IS NULL")
+    firsts = both.groupBy("company_id", "_month").agg(F.min("_seq").alias("_first"))
+    after = Window.partitionBy("company_id").orderBy(F.col("_month").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_far", F.last("_first", ignorenulls=True).over(after)).drop("_first")
+    joined = found.join(firsts, ["company_id", "_month"]).withColumn("chain_sequence", F.coalesce("_next", "_far"))
+    return joined.filter(F.col("chain_sequence").isNotNull()).drop("_seq", "_next", "_far", "_month")
 
 
 def build_chains(outcomes: DataFrame, exposure: DataFrame, interface: DataFrame) -> DataFrame:

@@ -87,6 +87,11 @@ def recovered(events: DataFrame, overlay: DataFrame) -> DataFrame:
     ).drop("_names", "_one")
 
 
+def entity_rows(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows in the columns of the entity table, cast to its types; what they lack is null, and what is more goes. Dates become text where text is asked for."""
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+
 def quote_holds(source: Column, quote: Column, start: Column, end: Column) -> Column:
     """Whether a quote stands in its source where it is said to: characters from start to before end."""
     return F.coalesce((F.length(quote) == end - start) & F.substring(source, start + 1, end - start).eqNullSafe(quote), F.lit(False))

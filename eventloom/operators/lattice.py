@@ -92,11 +92,11 @@ def supported(incident: DataFrame, n_chains: int, min_chains: int = MIN_CHAINS,
     return counts.filter((F.col("n_chains") >= min_chains) & (F.col("n_companies") >= min_companies) & (F.col("n_chains") < n_chains))
 
 
-def pairs(anchors: DataFrame, structural: DataFrame, anchor_facts: DataFrame | None = None, structural_facts: DataFrame | None = None) -> DataFrame:
-    """(anchor, structural, n_chains, n_companies) of pairs that share a chain; both sides are incidences.
+def shared(anchors: DataFrame, structural: DataFrame, anchor_facts: DataFrame | None = None, structural_facts: DataFrame | None = None) -> DataFrame:
+    """(anchor, structural, chain_id, company_id): the chains that two atoms share; both sides are incidences.
 
     With the facts of both catalogues (atom and what compatibility() takes) pairs that say
-    nothing new are left out before anything is counted.
+    nothing new are left out.
     """
     b = structural.select(F.col("atom").alias("structural"), "chain_id")
     both = anchors.select(F.col("atom").alias("anchor"), "chain_id", "company_id")
@@ -106,6 +106,12 @@ def pairs(anchors: DataFrame, structural: DataFrame, anchor_facts: DataFrame | N
     both = both.join(b, "chain_id")
     if anchor_facts is not None:
         both = compatibility(both).filter("reason IS NULL")
+    return both.select("anchor", "structural", "chain_id", "company_id")
+
+
+def pairs(anchors: DataFrame, structural: DataFrame, anchor_facts: DataFrame | None = None, structural_facts: DataFrame | None = None) -> DataFrame:
+    """(anchor, structural, n_chains, n_companies) of pairs that share a chain, as shared() has them."""
+    both = shared(anchors, structural, anchor_facts, structural_facts)
     return both.groupBy("anchor", "structural").agg(F.count(F.lit(1)).alias("n_chains"), F.count_distinct("company_id").alias("n_companies"))
 
 

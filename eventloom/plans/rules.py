@@ -208,6 +208,13 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def parse(text: str) -> dict:
+    """A rule from its canonical text, checked."""
+    rule = json.loads(text)
+    check_rule(rule)
+    return rule
+
+
 def _selector(node: dict) -> dict:
     tests = []
     for t in node["where"]:
@@ -259,6 +266,31 @@ def rule_id(prefix: str, rule: dict) -> str:
     return prefix + hashlib.sha256(canonical_json(canonical(rule)).encode()).hexdigest()[:24]
 
 
+def materializable(rule: dict, atoms: set[str], prefix: str, most_all: int = 4, most_any: int = 3) -> list[str]:
+    """The identifiers of the atoms that a formula is put together from, in order; an error where a frozen grammar doesn't allow it.
+
+    all takes 2 to ``most_all`` children, one ``any`` among them at most, and no other all;
+    any takes 2 to ``most_any`` atoms. Every atom must be among ``atoms``.
+    """
+    leaves: list[dict] = []
+
+    def walk(node: dict, inside: str) -> None:
+        if node["op"] not in ("all", "any"):
+            leaves.append(node)
+            return
+        children, most = node["rules"], most_all if node["op"] == "all" else most_any
+        _need(2 <= len(children) <= most, "$", f"{node['op']} takes 2 to {most} rules")
+        _need(inside == "" or inside == "all" and node["op"] == "any", "$", f"{node['op']} inside {inside}")
+        _need(sum(c["op"] == "any" for c in children) <= 1, "$", "one any at most")
+        for child in children:
+            walk(child, node["op"])
+
+    walk(rule, "")
+    found = sorted({rule_id(prefix, leaf) for leaf in leaves})
+    _need(set(found) <= atoms, "$", "atoms that aren't frozen: " + ", ".join(sorted(set(found) - atoms)))
+    return found
+
+
 def complexity(node) -> int:
     """Objects in the tree that carry an operator, a construct or a test."""
     if isinstance(node, dict):

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import behavior, chains, checks, edges, entities, evaluation, generators, identity, lattice, leakage
+from eventloom.operators import behavior, chains, checks, edges, entities, evaluation, generators, identity, lattice, leakage, storage
 from eventloom.plans import rules as rule_language
 from tests.conftest import rows
 
@@ -154,6 +154,94 @@ def test_generated_atoms_are_valid_rules(spark):
     assert held.select("atom").distinct().count() > len(few) / 4
 
 
+def test_freeze_and_evaluate(spark, tmp_path):
+    from eventloom.operators import freeze
+    from eventloom.plans import catalog_patterns as cp
+
+    contexts = storage.written(cp._contexts(spark, "/root/testdata/sf0.001"))
+    types = generators.observed_types(contexts)
+    anchors = generators.anchors(contexts, types, ("present", "absent", "count"))
+    structural = generators.structural(contexts, ("derived.n_middle", "derived.company_chain_count"), rounds=False)
+    inputs = {"events": spark.read.parquet("/root/testdata/sf0.001/events.parquet")}
+    where = f"{tmp_path}/frozen"
+    with pytest.raises(ValueError, match="must not be seen"):
+        freeze.freeze(contexts, anchors, structural, {"x": inputs["events"].withColumn("label", F.lit(1))}, where, "label")
+    freeze.freeze(contexts, anchors, structural, inputs, where, "label")
+    tables = freeze.load(spark, where, inputs)
+    with pytest.raises(ValueError):
+        freeze.load(spark, where, {"events": inputs["events"].limit(5)})
+    pairs, atoms = tables["pairs"].collect(), {r.atom: r for r in tables["atoms"].collect()}
+    assert pairs and all(r.n_chains >= 5 and r.n_companies >= 5 for r in pairs)
+    assert {r.track for r in pairs} == {freeze.ELIGIBLE, freeze.DESCRIPTIVE}
+    assert all((r.track == freeze.DESCRIPTIVE) == bool(atoms[r.anchor].taints or atoms[r.structural].taints) for r in pairs)
+    assert not any(r.anchor.endswith("present") and r.structural == "derived.n_middle gte 1" for r in pairs)
+    # Support and tables again, from the rules themselves.
+    chains_ = contexts.select(F.col("chain.company_id").alias("c"), *[rule_language.compile_rule(rule_language.parse(a.rule)).alias(n) for n, a in atoms.items()]).collect()
+    labels = {r.c: ("SUCCESS", "FAILURE")[k % 2] for k, r in enumerate(sorted(chains_, key=lambda r: r.c))}
+    values = {r.atom: r for r in freeze.evaluate(tables, contexts, spark.createDataFrame(list(labels.items()), "company_id long, label string")).collect()}
+    assert len(values) == len(pairs)
+    for r in pairs[:: max(1, len(pairs) // 40)]:
+        held = [x.c for x in chains_ if x[r.anchor] and x[r.structural]]
+        assert (len(held), len(set(held))) == (r.n_chains, r.n_companies)
+        assert values[r.atom].success_taking == sum(labels[c] == "SUCCESS" for c in set(held))
+    found = {r.reference: r for r in freeze.coverage(tables, contexts, {"known": anchors[0].rule, "none": {"op": "all", "rules": [anchors[0].rule, {"op": "compare", "left": {"field": "derived.n_middle"}, "cmp": "eq", "right": {"literal": 2}}]}}).collect()}
+    assert found["known"].covered or anchors[0].name not in atoms
+
+
+def test_materializable():
+    view, click = ({"op": "present", "selector": lattice.selector("exposure", t)} for t in ("view", "click"))
+    known = {rule_language.rule_id("A_", r) for r in (view, click)}
+    either = {"op": "any", "rules": [view, click]}
+    assert rule_language.materializable({"op": "all", "rules": [view, either]}, known, "A_") == sorted(known)
+    for wrong in ({"op": "all", "rules": [view]}, {"op": "all", "rules": [either, either]}, {"op": "any", "rules": [view, either]}, {"op": "all", "rules": [view, {"op": "all", "rules": [view, click]}]}, {"op": "any", "rules": [view, click, view, click]}, {"op": "absent", "selector": view["selector"]}):
+        with pytest.raises(rule_language.RuleError):
+            rule_language.materializable(wrong, known, "A_")
+
+
+def test_events_of_a_hot_company_are_dealt_by_month(spark):
+    """Against the definition, with events far from any outcome."""
+    import random
+
+    rnd = random.Random(6)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    ends = sorted(rnd.sample(range(1500), 12))
+    made = spark.createDataFrame([(1, k + 1, day(e)) for k, e in enumerate(ends)] + [(1, 99, day(ends[3])), (1, 100, None)], "company_id int, chain_sequence long, end date")
+    events = [(1, day(rnd.randint(-400, 1600)), f"e{k}") for k in range(500)] + [(1, None, "undated"), (2, day(5), "stranger")]
+    df = spark.createDataFrame(events, "company_id int, day date, event_id string")
+    found = chains.assign_events(made, df)
+    want = {i: next((k + 1 for k, e in enumerate(ends) if day(e) > d), None) for c, d, i in events if d and c == 1}
+    assert dict(rows(found, "event_id", "chain_sequence")) == {i: k for i, k in want.items() if k}
+    assert found.columns == ["company_id", "day", "event_id", "chain_sequence"]
+    assert chains.assign_events(made, df.limit(0)).count() == 0
+
+
+def test_small_checks(spark):
+    from eventloom.functions import names as n, stats
+    from eventloom.operators import context
+
+    df = spark.createDataFrame([(1, "v1", "✓", "partial", 1.5), (2, "v1", "✗", "✓", 2.0), (3, None, "✓", "✓", 2.0)], "id int, schema_version string, a string, b string, s double")
+    assert checks.require_columns(df, ["id"], "t") is df
+    with pytest.raises(ValueError, match="t lacks x, y"):
+        checks.require_columns(df, ["id", "x", "y"], "t")
+    assert rows(checks.single_version(df)) == [(1, True)]
+    assert [r[0] for r in df.orderBy("id").select(F.size(checks.mark_sum_messages([F.col("a"), F.col("b")], F.col("s")))).collect()] == [0, 1, 0]
+    assert [round(r[0], 6) for r in spark.createDataFrame([(0.0,), (1.96,)], "z double").select(stats.normal_cdf("z")).collect()] == [0.5, 0.975002]
+    sizes = spark.createDataFrame([(100.0, 0.5, 0.2, 0.5, 20.5), (100.0, 0.5, 0.2, 0.5, 30.0)], "t double, s double, l double, d double, x double")
+    assert [r[0] for r in sizes.select(stats.headroom_ok(*map(F.col, "tsldx"))).collect()] == [True, False]
+    texts = spark.createDataFrame([(None,), (" ",), ("x",)], "t string")
+    assert [r[0] for r in texts.select(n.to_list(F.col("t"))).collect()] == [[], [], ["x"]]
+    assert [r[0] for r in spark.createDataFrame([(None,), (["a"],)], "t array<string>").select(n.to_list(F.col("t"), True)).collect()] == [[], ["a"]]
+    assert [r[0] for r in spark.createDataFrame([(None,), (float("nan"),), (1.5,)], "v double").select(n.nullable_text(F.col("v"))).collect()] == [None, None, "1.5"]
+    assert [r[0] for r in spark.createDataFrame([("good",), ("bad",), ("x",)], "t string").select(n.canonical_label(F.col("t"), "good", "bad")).collect()] == ["SUCCESS", "FAILURE", None]
+    assert [r[0] for r in spark.createDataFrame([("\tSeed\u00a0",), ("Series  A",)], "t string").select(n.normalize_stage(F.col("t"))).collect()] == ["seed", None]
+    mapped = identity.remap(spark.createDataFrame([("L1", "f"), ("L2", "g")], "investor_id string, field string"), spark.createDataFrame([("L1", "b1"), ("L2", None)], "legacy_id string, investor_id string"))
+    assert rows(mapped, "investor_id", "field") == [("b1", "f")]
+    shaped = identity.entity_rows(spark.createDataFrame([(1, dt.date(2020, 1, 2))], "id int, first_seen_at date"), {"id": "string", "first_seen_at": "string", "name": "string"})
+    assert rows(shaped) == [("1", "2020-01-02", None)]
+    spans = spark.createDataFrame([([("a", dt.date(2020, 1, 1), dt.date(2020, 12, 31), "year"), ("b", dt.date(2020, 6, 1), dt.date(2020, 6, 1), "day")], dt.date(2020, 3, 1), dt.date(2021, 1, 1))], "events array<struct<event_id:string,lo:date,hi:date,date_precision:string>>, s date, e date")
+    assert spans.select(context.straddling(F.col("events"), F.col("s"), F.col("e"))).first()[0] == ["a"]
+
+
 def test_build_companies(spark):
     data = [(1, "Acme, Inc.", "acme inc", '{"cusip": "1"}'), (2, "ACME Corp", "acme corp", None), (3, "Read More", "read more", None), (4, "Straße  GmbH", "strasse gmbh", None), (5, "x", "x", None), (6, None, None, None), (7, "Zeta", "zeta", '{"cusip": "7"}')]
     edges_ = spark.createDataFrame(data, "row long, company_name_raw string, company_normalized_name string, metadata_json string")
