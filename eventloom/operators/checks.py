@@ -103,7 +103,8 @@ def score_messages(m: Column, u: Column, verdict: Column, score: Column) -> Colu
     scale = ("PASS", "WARN", "FAIL")
     expected = aggregate_score(m, u)
     tests = [(~F.coalesce(v.isin(*scale), F.lit(False)), f"FAIL: {k} is no verdict") for k, v in (("M", m), ("U", u), ("the verdict", verdict))]
-    tests += [(F.abs(score - expected) > 0.005, "FAIL: the score doesn't follow from M and U"), (verdict != aggregate_verdict(expected), "FAIL: the verdict doesn't follow from the score")]
+    known = m.isin(*scale) & u.isin(*scale)
+    tests += [(known & (F.abs(score - expected) > 0.005), "FAIL: the score doesn't follow from M and U"), (known & (verdict != aggregate_verdict(expected)), "FAIL: the verdict doesn't follow from the score")]
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in tests]))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventloom.plans import catalog_chains, catalog_entities, catalog_patterns, catalog_tables
+from eventloom.plans import catalog_chains, catalog_documents, catalog_entities, catalog_patterns, catalog_tables
 
-PARTS = (catalog_chains, catalog_patterns, catalog_entities, catalog_tables)
+PARTS = (catalog_chains, catalog_patterns, catalog_entities, catalog_tables, catalog_documents)
 
 
 def flagship(spark, sf_dir):
