@@ -43,10 +43,13 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, carried: list) -> tuple[D
     """Rows in content order, with the head of each run of equal texts marked, and what names a run.
 
     doc_id, carried columns, fp, salt, run, head, run_keep, run_size, and of the heads in sub-ranges the text.
+    Texts travel once: as they are where columns are carried, else normalised.
     """
     norm = normalised(F.col("text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
     keyed = rows.withColumn("norm", norm).withColumn("fp", F.xxhash64("norm"))
+    if not carried:
+        keyed, norm = keyed.withColumn("text", F.col("norm")), F.col("text")
     hot = _hot(keyed.select("fp", "norm"), docs, text_col)
     # Null identifiers have to be dealt, too, so rows are dealt by their place in the input.
     keyed = keyed.join(F.broadcast(hot), "fp", "left").withColumn("prefix", F.substring("norm", 1, KEY))
