@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import signature_tree
@@ -47,9 +47,9 @@ HOT_MOST = 500_000
 HOT_LEAST = 32
 #: Tokens counted at once when frequent ones are looked for, and postings packed at once.
 COUNTED = 2_000_000
-PACKED = 2_000_000
+PACKED = 1_000_000
 #: Bytes of postings in a token range, about.
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 4_000_000
 #: Members, and tokens of members, in a chunk of a block.
 CHUNK, CHUNK_TOKENS = 1024, 4_000_000
 
@@ -435,7 +435,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row_key: Column, ngram
     discard(blocks, large)
 
     labelled = classes.select("class", "doc_id").join(label.withColumnRenamed("vertex", "class"), "class")
-    least_of = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that nothing but the join stands above its exchanges and Spark may split a component that is everywhere.
+    least_of = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     alone = classes.join(label.select(F.col("vertex").alias("class")), "class", "left_anti")
     of_class = labelled.join(least_of, "component").select("class", "component", "component_id").union(alone.select("class", F.col("class").alias("component"), F.col("doc_id").alias("component_id")))
     return known.select("doc_id", "row_key", "n", "class").join(of_class, "class", "left")
@@ -516,12 +517,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = set(docs.columns)
     own = next(f"_row_key{k or ''}" for k in range(len(names) + 1) if f"_row_key{k or ''}" not in names)
     keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
-    found = materialize(_grouped(keyed, id_col, text_col, F.col(own), NGRAM, PERCENT).filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull()).select("doc_id", "row_key", "component"), "groups")
-    rows = found.groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    judged = rows.join(first, "component").select("doc_id", "row_key", "times", (F.struct("doc_id", "row_key") == F.col("first")).alias("stays"))
-    others = judged.filter(~F.col("stays") | (F.col("times") > 1))
-    again = judged.filter(F.col("stays") & (F.col("times") > 1))
+    found = _grouped(keyed, id_col, text_col, F.col(own), NGRAM, PERCENT).filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull())
+    found = materialize(found.select("doc_id", "row_key", "component", "component_id"), "groups")
+    # Only rows with the smallest identifier of their group can stay, and these are few.
+    first = found.filter("doc_id = component_id").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    best = Window.partitionBy("component").orderBy("row_key")
+    judged = materialize(first.withColumn("nth", F.row_number().over(best)), "judged")
+    again = judged.filter("nth = 1 AND times > 1")
+    others = found.filter("doc_id <> component_id").select("doc_id", "row_key").unionByName(judged.filter("nth > 1 OR times > 1").select("doc_id", "row_key"))
     named = lambda df: df.select(F.col("doc_id").alias(id_col), F.col("row_key").alias(own)).distinct()
     single = keyed.join(named(others), [id_col, own], "left_anti")
     repeated = keyed.join(named(again), [id_col, own], "left_semi").dropDuplicates([id_col, own])
