@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import WS_CLASS, materialize
+from eventloom.llm.common import WORD, WS_CLASS, materialize
 
 STEPS = 50
 #: So many steps of the bisection share a job, which evaluates all exponents that they may come to.
@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, target: Target, id_col: str = "doc_id", tex
     own = [F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "epoch"]
     places = mix(docs, target, id_col, text_col, source_col).groupBy(*own).agg(F.min(F.struct("block", "position")).alias("place"))
     # The columns of the documents travel as one, so that no name of theirs meets one of ours.
-    whole = docs.filter(n_words(F.col(text_col)) > 0).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    whole = docs.filter(F.col(text_col).rlike(WORD)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
     joined = whole.join(places, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))
     placed = joined.select("whole", "place.block", "place.position").repartitionByRange("block").sortWithinPartitions("block", "position")
     return placed.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
