@@ -95,6 +95,29 @@ def resolve_claims(claims: DataFrame, order: str, fields: list[str], id_col: str
     return found.select(id_col, "claim.*", "n_claims", "confidence_tied", "conflict_fields")
 
 
+def claim_lineage(claims: DataFrame, order: str, id_col: str = "event_id") -> DataFrame:
+    """All claims of events that have several: claim_ordinal (from 1, in their order), n_claims, and which one was selected, with the claims' own columns.
+
+    Long form, so that an event with very many claims is never one row.
+    """
+    in_order = Window.partitionBy(id_col).orderBy(order)
+    by_trust = Window.partitionBy(id_col).orderBy(F.col("_confidence").desc(), order)
+    rows = claims.withColumn("_confidence", F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)))
+    made = rows.withColumns({"claim_ordinal": F.row_number().over(in_order).cast("long"), "n_claims": F.count(F.lit(1)).over(Window.partitionBy(id_col)), "selected": F.row_number().over(by_trust) == 1})
+    return made.filter("n_claims > 1").drop("_confidence")
+
+
+def claim_stats(claims: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: claims in, events out, events with several claims, claims collapsed, tied and conflicting events. resolved: of resolve_claims()."""
+    several = F.col("n_claims") > 1
+    out = resolved.agg(
+        F.count(F.lit(1)).alias("output_rows"), F.count_if(several).alias("collision_groups"), F.coalesce(F.sum(F.col("n_claims") - 1), F.lit(0)).alias("claims_collapsed"),
+        F.count_if(several & ~F.col("confidence_tied")).alias("unique_highest_confidence_groups"), F.count_if(several & F.col("confidence_tied")).alias("tied_highest_confidence_groups"),
+        F.count_if(several & (F.size("conflict_fields") > 0)).alias("semantic_conflict_groups"),
+    )
+    return out.crossJoin(F.broadcast(claims.agg(F.count(F.lit(1)).alias("input_rows"))))  # two single rows
+
+
 def group_outcomes(outcomes: DataFrame) -> DataFrame:
     """Participants' rows to one row per outcome: company, type, round, date (nulls are equal).
 

@@ -35,14 +35,98 @@ def remap(provenance: DataFrame, mapping: DataFrame, id_col: str = "investor_id"
 
 
 def apply_resolutions(events: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Adds associated_entity_id and counterparty_resolution_status; without a resolution the event's own investor decides.
+    """Adds associated_entity_id and counterparty_resolution_status.
 
+    A resolution decides on the investor, none too; without one the event's own investor is
+    an existing one, and an event without any is unresolved.
     resolutions: event_id, investor_id, associated_entity_id, status.
     """
-    r = resolutions.select("event_id", F.col("investor_id").alias("_i"), F.col("associated_entity_id"), F.col("status").alias("_s"))
+    r = resolutions.select("event_id", F.struct(F.col("investor_id").alias("i"), F.col("associated_entity_id").alias("a"), F.col("status").alias("s")).alias("_r"))
     joined = events.join(r, "event_id", "left")
-    default = F.when(F.col("investor_id").isNotNull(), "canonical_resolved").when(F.col("raw_investor_name").isNull() | (F.trim("raw_investor_name") == ""), "missing_identity").otherwise("unresolved_named")
-    return joined.withColumns({"investor_id": F.coalesce("_i", "investor_id"), "counterparty_resolution_status": F.coalesce("_s", default)}).drop("_i", "_s")
+    given = F.col("_r").isNotNull()
+    default = F.when(F.coalesce(F.col("investor_id"), F.lit("")) != "", "EXISTING_INVESTOR").otherwise("UNRESOLVED")
+    return joined.withColumns({"investor_id": F.when(given, F.col("_r.i")).otherwise(F.col("investor_id")), "associated_entity_id": F.col("_r.a"), "counterparty_resolution_status": F.when(given, F.col("_r.s")).otherwise(default)}).drop("_r")
+
+
+def appended_collisions(base: DataFrame, added: DataFrame) -> DataFrame:
+    """(investor_id, field, value) of added investors that share an identifier, a qid or an exact name with the base or with another added one.
+
+    What is repeated inside the base stays. base and added: investor_id, wikidata_qid, name.
+    """
+
+    def keys(rows: DataFrame) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in (("investor_id", F.col("investor_id")), ("wikidata_qid", F.col("wikidata_qid")), ("name", names.exact_name(F.col("name"))))])
+        return rows.select("investor_id", F.explode(each).alias("k")).select("investor_id", "k.field", "k.value").filter(F.coalesce(F.col("value"), F.lit("")) != "")
+
+    of_base = keys(base).select("field", "value").distinct()
+    mine = keys(added)
+    with_base = mine.join(of_base, ["field", "value"], "left_semi")
+    several = mine.groupBy("field", "value").agg(F.count_distinct("investor_id").alias("ids"), F.count(F.lit(1)).alias("n")).filter("ids > 1 OR field = 'investor_id' AND n > 1").select("field", "value")
+    return with_base.unionByName(mine.join(several, ["field", "value"], "left_semi")).distinct().select("investor_id", "field", "value")
+
+
+def conflicting_keys(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys that stand for several values: a map by that key would have to refuse them."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(value).alias("n")).filter("n > 1")
+
+
+#: What a recovery record, a name in it and its evidence hold; where evidence comes from; the statuses.
+RECORD_KEYS = ("names", "record_id", "schema_version", "source_event_id", "source_row_sha256", "status")
+NAME_KEYS = ("evidence", "ordinal", "raw_investor_name")
+EVIDENCE_KEYS = ("name_end_in_quote", "name_start_in_quote", "quote", "quote_end", "quote_start", "source_field")
+SOURCE_FIELDS = ("title", "summary", "source_page")
+RECOVERED, NOBODY, AMBIGUOUS = "RECOVERED", "NO_IDENTIFIABLE_COUNTERPARTY", "AMBIGUOUS"
+_EVIDENCE = "struct<source_field:string,quote:string,quote_start:bigint,quote_end:bigint,name_start_in_quote:bigint,name_end_in_quote:bigint,source_url:string>"
+_NAMES = f"array<struct<ordinal:bigint,raw_investor_name:string,evidence:{_EVIDENCE}>>"
+
+
+def overlay_messages(record: Column, version: str, event_id: Column, row_hash: Column, title: Column, summary: Column, source_url: Column) -> Column:
+    """What is wrong with a recovery record (JSON text) about a source row, as an array of messages.
+
+    Closed keys, its binding to the row, and for each name an ordinal from 1 and offsets at
+    which quote and name stand in their source word for word.
+    """
+    part = lambda path, kind: F.from_json(F.get_json_object(record, path), kind)
+    text = lambda key: F.get_json_object(record, f"$.{key}")
+    keys_of = lambda m: F.array_sort(F.map_keys(m))
+    listed = lambda keys: F.array(*map(F.lit, sorted(keys)))
+    found = part("$.names", _NAMES)
+    maps = part("$.names", "array<map<string,string>>")
+    evidence_maps = F.transform(maps, lambda m: F.from_json(m["evidence"], "map<string,string>"))
+
+    def offsets_fail(n: Column) -> Column:
+        e, name = n["evidence"], n["raw_investor_name"]
+        cut = lambda whole, a, b: F.substring(whole, a + 1, b - a)
+        source = F.when(e["source_field"] == "title", title).when(e["source_field"] == "summary", summary)
+        quote = F.coalesce(e["quote"], F.lit(""))
+        spans = (e["quote_start"] >= 0) & (e["name_start_in_quote"] >= 0) & (e["quote_start"] < e["quote_end"]) & (e["name_start_in_quote"] < e["name_end_in_quote"]) & (e["name_end_in_quote"] <= F.length(quote))
+        in_row = (e["quote_end"] <= F.length(source)) & (cut(source, e["quote_start"], e["quote_end"]) == quote) & e["source_url"].isNull()
+        on_page = (e["quote_end"] <= F.length(quote)) & (e["quote_start"] <= e["name_start_in_quote"]) & (e["name_end_in_quote"] <= e["quote_end"]) & (e["source_url"] == source_url) & (source_url != "")
+        stands = F.when(e["source_field"] == "source_page", on_page).otherwise(in_row)
+        return ~F.coalesce((quote != "") & spans & stands & (cut(quote, e["name_start_in_quote"], e["name_end_in_quote"]) == name), F.lit(False))
+
+    ordinals = F.array_sort(F.transform(found, lambda n: n["ordinal"]))
+    raw = F.transform(found, lambda n: n["raw_investor_name"])
+    size = F.coalesce(F.size(found), F.lit(-1))
+    tests = (
+        (~F.coalesce(keys_of(F.from_json(record, "map<string,string>")) == listed(RECORD_KEYS), F.lit(False)), "the record's fields don't match the schema"),
+        (~text("schema_version").eqNullSafe(F.lit(version)), "schema_version is invalid"),
+        (~text("source_event_id").eqNullSafe(event_id) | ~text("source_event_id").rlike("^int:[0-9a-f]{20}$"), "the record is of another event"),
+        (~text("source_row_sha256").eqNullSafe(row_hash), "the source row has another digest"),
+        (~text("record_id").eqNullSafe(names.record_id(version, event_id, row_hash)), "record_id doesn't match its source"),
+        (~F.coalesce(text("status").isin(RECOVERED, NOBODY, AMBIGUOUS), F.lit(False)), "status is invalid"),
+        (size < 0, "names must be an array"),
+        ((text("status") == RECOVERED) & (size == 0), "a recovered record needs a name"),
+        ((text("status") == NOBODY) & (size > 0), "a record of nobody has names"),
+        (F.exists(maps, lambda m: keys_of(m) != listed(NAME_KEYS)), "a name's fields don't match the schema"),
+        (F.exists(evidence_maps, lambda m: ~F.coalesce((keys_of(m) == listed(EVIDENCE_KEYS)) | (keys_of(m) == listed((*EVIDENCE_KEYS, "source_url"))), F.lit(False))), "the evidence's fields don't match the schema"),
+        (F.exists(found, lambda n: ~F.coalesce(n["evidence"]["source_field"].isin(*SOURCE_FIELDS), F.lit(False))), "the evidence is from nowhere"),
+        ((size > 0) & (ordinals != F.sequence(F.lit(1).cast("long"), F.greatest(size, F.lit(1)).cast("long"))), "ordinals aren't 1 and on"),
+        (F.size(F.array_distinct(raw)) != size, "a name is there twice"),
+        (F.exists(found, lambda n: F.coalesce(names.squeeze(n["raw_investor_name"]), F.lit("")) == ""), "a name is blank"),
+        (F.exists(found, offsets_fail), "a quote or name doesn't stand where it is said to"),
+    )
+    return F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(f"FAIL: {what}")) for wrong, what in tests]))
 
 
 def identity_status(events: DataFrame, investors: DataFrame) -> DataFrame:

@@ -91,6 +91,15 @@ def claim_resolution(spark, sf_dir):
     return made.select("event_id", "ord", "confidence", "amount", "n_claims", "confidence_tied", F.array_join("conflict_fields", ",").alias("conflict_fields"))
 
 
+def claim_lineage(spark, sf_dir):
+    return chains.claim_lineage(_claims(spark, sf_dir), "ord").select("event_id", "ord", "claim_ordinal", "n_claims", "selected")
+
+
+def claim_stats(spark, sf_dir):
+    claims = _claims(spark, sf_dir)
+    return chains.claim_stats(claims, chains.resolve_claims(claims, "ord", ["amount", "source"]))
+
+
 def participant_explode(spark, sf_dir):
     n = F.col("o_orderkey")
     claims = a.table(spark, sf_dir, "orders").select(
@@ -227,6 +236,12 @@ QUERIES = {
       SELECT event_id, arg_min(ord, (-confidence, ord)) AS ord, max(confidence) AS confidence, arg_min(amount, (-confidence, ord)) AS amount, count(*) AS n_claims,
       count(*) FILTER (confidence = top) > 1 AS confidence_tied, concat_ws(',', CASE WHEN count(DISTINCT amount) > 1 THEN 'amount' END, CASE WHEN count(DISTINCT source) > 1 THEN 'source' END) AS conflict_fields
       FROM (SELECT *, max(confidence) OVER (PARTITION BY event_id) AS top FROM c) GROUP BY event_id"""),
+    "claim_lineage": (claim_lineage, f"""{WITH}, c AS (SELECT company_id || '|' || event_type || '|' || day AS event_id, event_id::BIGINT AS ord, event_id::BIGINT % 4 / 10 AS confidence FROM ev)
+      SELECT event_id, ord, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS claim_ordinal, count(*) OVER (PARTITION BY event_id) AS n_claims, row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, ord) = 1 AS selected FROM c QUALIFY n_claims > 1"""),
+    "claim_stats": (claim_stats, f"""{WITH}, c AS (SELECT company_id || '|' || event_type || '|' || day AS event_id, event_id::BIGINT % 4 / 10 AS confidence, family AS source, floor(value)::BIGINT AS amount FROM ev),
+      g AS (SELECT event_id, count(*) AS n, count(*) FILTER (confidence = top) > 1 AS tied, count(DISTINCT amount) > 1 OR count(DISTINCT source) > 1 AS differ FROM (SELECT *, max(confidence) OVER (PARTITION BY event_id) AS top FROM c) GROUP BY event_id)
+      SELECT count(*) AS output_rows, count(*) FILTER (n > 1) AS collision_groups, sum(n - 1)::BIGINT AS claims_collapsed, count(*) FILTER (n > 1 AND NOT tied) AS unique_highest_confidence_groups, count(*) FILTER (n > 1 AND tied) AS tied_highest_confidence_groups,
+      count(*) FILTER (n > 1 AND differ) AS semantic_conflict_groups, sum(n)::BIGINT AS input_rows FROM g"""),
     "participant_explode": (participant_explode, """WITH c AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'acquired' WHEN o_orderkey % 17 = 0 THEN 'ipo' WHEN o_orderkey % 7 = 0 THEN 'funding_failed' ELSE 'funding_round' END AS event_type,
         CASE WHEN o_orderkey % 5 > 0 THEN ' Lead ' || o_orderkey % 11 END AS lead, CASE WHEN o_orderkey % 4 = 0 THEN 'Co ' || o_orderkey % 7 END AS co, CASE WHEN o_orderkey % 6 = 0 THEN 'Buyer ' || o_orderkey % 13 END AS buyer FROM orders),
       p AS (SELECT order_id, event_type, lead AS investor_name, 'lead' AS role FROM c WHERE event_type LIKE 'funding%' AND lead IS NOT NULL

@@ -230,6 +230,42 @@ def overlay_left_join(spark, sf_dir):
     return identity.apply_resolutions(rows, given)
 
 
+def appended_collisions(spark, sf_dir):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    base = a.table(spark, sf_dir, "supplier").select(F.concat(F.lit("i"), s.cast("string")).alias("investor_id"), F.when(s % 2 == 0, F.concat(F.lit("Q"), s.cast("string"))).alias("wikidata_qid"), F.concat(F.lit("Supplier, "), s.cast("string")).alias("name"))
+    added = a.table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), c.cast("string")).alias("investor_id"), F.when(c % 3 == 0, F.concat(F.lit("Q"), (c * 7 % 1000).cast("string"))).alias("wikidata_qid"), F.concat(F.lit("SUPPLIER "), (c * 3 % 2000).cast("string")).alias("name"))
+    return identity.appended_collisions(base, added)
+
+
+#: What is wrong with the records of overlay_records(), by the remainder of the document's number.
+OVERLAY_FAULTS = (
+    "", "schema_version is invalid", "the record is of another event", "the source row has another digest", "status is invalid", "a record of nobody has names", "a name's fields don't match the schema",
+    "the evidence's fields don't match the schema", "ordinals aren't 1 and on", "a quote or name doesn't stand where it is said to", "a quote or name doesn't stand where it is said to", "",
+)
+
+
+def overlay_records(spark, sf_dir):
+    """Recovery records of names that stand in a document, broken in known ways; from a title, or from a page where that is as good."""
+    k = F.col("doc_id") % len(OVERLAY_FAULTS)
+    rows = a.table(spark, sf_dir, "documents").filter(F.length("text") >= 80).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("int:"), F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 20)).alias("event_id"), F.sha2("text", 256).alias("row_hash"))
+    start, name_start, size = 10, 5, 12
+    quote = F.substring("title", start + 1, 40)
+    name = F.substring(quote, name_start + 1, size)
+    page = k == 11
+    number = lambda wrong, right, other: F.when(k == wrong, other).otherwise(right)
+    evidence = F.struct(
+        F.when(page, "source_page").otherwise("title").alias("source_field"), quote.alias("quote"), F.when(page, 0).otherwise(start + F.when(k == 9, 1).otherwise(0)).alias("quote_start"), F.when(page, 40).otherwise(start + 40 + F.when(k == 9, 1).otherwise(0)).alias("quote_end"),
+        F.lit(name_start).alias("name_start_in_quote"), number(10, name_start + size, name_start + size + 1).alias("name_end_in_quote"), F.when(page, "http://page").alias("source_url"), F.when(k == 7, 1).alias("more"),
+    )
+    one = F.struct(number(8, 1, 2).alias("ordinal"), name.alias("raw_investor_name"), evidence.alias("evidence"), F.when(k == 6, "x").alias("more"))
+    record = F.struct(
+        F.when(k == 1, "v0").otherwise("v1").alias("schema_version"), names.record_id("v1", F.col("event_id"), F.col("row_hash")).alias("record_id"), F.when(k == 2, F.lit("int:" + "0" * 20)).otherwise(F.col("event_id")).alias("source_event_id"),
+        F.when(k == 3, F.lit("0" * 64)).otherwise(F.col("row_hash")).alias("source_row_sha256"), F.when(k == 4, "LOST").when(k == 5, identity.NOBODY).otherwise(identity.RECOVERED).alias("status"), F.array(one).alias("names"),
+    )
+    found = identity.overlay_messages(F.to_json(record), "v1", F.col("event_id"), F.col("row_hash"), F.col("title"), F.lit(None).cast("string"), F.lit("http://page"))
+    return rows.select("doc_id", F.array_join(found, "|").alias("messages"))
+
+
 def identity_statuses(spark, sf_dir):
     investors = a.table(spark, sf_dir, "supplier").select(F.concat(F.lit("inv"), F.col("s_suppkey").cast("string")).alias("investor_id"), F.concat(F.lit("supplier "), (F.col("s_suppkey") % 25 + F.when(F.col("s_suppkey") < 10, 0).otherwise(5)).cast("string")).alias("normalized_name"))
     rows = _interface(spark, sf_dir).withColumn("associated_entity_id", F.when(F.col("event_id").cast("long") % 11 == 0, "x"))
@@ -450,8 +486,13 @@ QUERIES = {
       SELECT o.key, coalesce(canon, raw) AS company_canonical_name, norm AS company_normalized_name, cusip, edge_count, printf('co:%04d-%04d:%s', n // 10000, n % 10000, replace(o.key, ' ', '-')) AS company_id FROM o JOIN f ON f.key = o.key AND f.row = first"""),
     "shared_companies": (shared_companies, "SELECT o_custkey, count(DISTINCT l_suppkey) AS n_investors, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2 ORDER BY n_investors DESC, o_custkey LIMIT 20"),
     "fk_pk_violations": (fk_pk_violations, "SELECT count(*) AS n, 'pk' AS \"check\" FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT count(*), 'fk' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"),
-    "overlay_left_join": (overlay_left_join, f"""WITH {_IFACE} SELECT event_id, CASE WHEN n % 8 = 0 THEN 'base' ELSE investor_id END AS investor_id, raw_investor_name, CASE WHEN n % 8 = 4 THEN 'ae' || event_id END AS associated_entity_id,
-      CASE WHEN n % 8 = 0 THEN 'canonical_resolved' WHEN n % 8 = 4 THEN 'associated_entity' WHEN investor_id IS NOT NULL THEN 'canonical_resolved' WHEN raw_investor_name IS NULL OR trim(raw_investor_name) = '' THEN 'missing_identity' ELSE 'unresolved_named' END AS counterparty_resolution_status FROM ix"""),
+    "overlay_left_join": (overlay_left_join, f"""WITH {_IFACE} SELECT event_id, CASE n % 8 WHEN 0 THEN 'base' WHEN 4 THEN NULL ELSE investor_id END AS investor_id, raw_investor_name, CASE WHEN n % 8 = 4 THEN 'ae' || event_id END AS associated_entity_id,
+      CASE WHEN n % 8 = 0 THEN 'canonical_resolved' WHEN n % 8 = 4 THEN 'associated_entity' WHEN investor_id IS NOT NULL THEN 'EXISTING_INVESTOR' ELSE 'UNRESOLVED' END AS counterparty_resolution_status FROM ix"""),
+    "appended_collisions": (appended_collisions, """WITH b AS (SELECT 'i' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'Q' || s_suppkey END AS q, 'supplier ' || s_suppkey AS nm FROM supplier),
+      n AS (SELECT 'n' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Q' || (c_custkey * 7 % 1000) END AS q, 'supplier ' || (c_custkey * 3 % 2000) AS nm FROM customer),
+      k AS (SELECT id AS investor_id, 'wikidata_qid' AS field, q AS value FROM n WHERE q IS NOT NULL UNION ALL SELECT id, 'name', nm FROM n), kb AS (SELECT 'wikidata_qid' AS field, q AS value FROM b WHERE q IS NOT NULL UNION SELECT 'name', nm FROM b)
+      SELECT investor_id, field, value FROM k WHERE (field, value) IN (SELECT (field, value) FROM kb) OR (field, value) IN (SELECT (field, value) FROM k GROUP BY ALL HAVING count(DISTINCT investor_id) > 1)"""),
+    "overlay_records": (overlay_records, "SELECT doc_id, [" + ", ".join("'" + ("FAIL: " + m.replace("'", "''") if m else "") + "'" for m in OVERLAY_FAULTS) + f"][doc_id % {len(OVERLAY_FAULTS)} + 1] AS messages FROM documents WHERE length(text) >= 80"),
     "identity_statuses": (identity_statuses, f"""WITH {_IFACE}, iv AS (SELECT 'supplier ' || (s_suppkey % 25 + CASE WHEN s_suppkey < 10 THEN 0 ELSE 5 END) AS nm, list(DISTINCT 'inv' || s_suppkey) AS ids FROM supplier GROUP BY 1),
       x AS (SELECT ix.*, n % 11 = 0 AS ae, CASE WHEN trim(raw_investor_name) <> '' THEN 'supplier ' || n % 30 END AS nm FROM ix), j AS (SELECT x.*, ids FROM x LEFT JOIN iv USING (nm)),
       s AS (SELECT event_id, ids, CASE WHEN investor_id IS NOT NULL THEN 'canonical_resolved' WHEN ae THEN 'associated_entity' WHEN len(ids) > 1 THEN 'ambiguous_identity' WHEN nm IS NULL THEN 'missing_identity' WHEN len(ids) = 1 THEN 'analysis_normalized_exact_candidate' ELSE 'unresolved_named' END AS identity_status FROM j)

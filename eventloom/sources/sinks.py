@@ -176,6 +176,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(path)
 
 
-def overwrite_slugs(df: DataFrame, path: str, slug: str = "slug") -> None:
-    """Replace the partitions of the slugs that the rows have; the rest of the cache stays."""
+def overwrite_slugs(df: DataFrame, path: str, slug: str = "slug", searched: DataFrame | None = None) -> None:
+    """Replace the partitions of the slugs that the rows have; the rest of the cache stays.
+
+    With ``searched`` (a column of slugs), slugs that were searched and gave nothing replace
+    theirs too: by a row of nulls, which cached() takes as searched and empty.
+    """
+    if searched is not None:
+        nothing = searched.select(slug).distinct().join(df.select(slug), slug, "left_anti")
+        df = df.unionByName(nothing, allowMissingColumns=True)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(slug).parquet(path)
+
+
+def cached(spark: SparkSession, path: str, slug: str = "slug") -> tuple[DataFrame, DataFrame]:
+    """The cache's rows, and the slugs that were searched, those without any rows among them."""
+    rows = spark.read.parquet(path)
+    some = F.coalesce(*[F.col(c).isNotNull() | F.lit(None) for c in rows.columns if c != slug], F.lit(False))
+    return rows.filter(some), rows.select(slug).distinct()

@@ -181,6 +181,14 @@ def test_slug_overwrite(spark, tmp_path):
     assert rows(spark.read.parquet(where), "slug", "v") == [("a", 1), ("b", 3)]
 
 
+def test_searched_and_empty_slugs_are_kept(spark, tmp_path):
+    where = f"{tmp_path}/cache"
+    sinks.overwrite_slugs(spark.createDataFrame([("a", 1), ("b", 2)], "slug string, v int"), where)
+    sinks.overwrite_slugs(spark.createDataFrame([("a", 3)], "slug string, v int"), where, searched=spark.createDataFrame([("a",), ("b",), ("c",)], "slug string"))
+    found, searched = sinks.cached(spark, where)
+    assert rows(found, "slug", "v") == [("a", 3)] and rows(searched) == [("a",), ("b",), ("c",)]
+
+
 PAGE = '<nav><ul class="x y"><li><a href="/a">A &amp; B</a><li><a href="">C</a></ul></nav><div id="d"><img src="l.png"><p>t</p></div>'
 
 
