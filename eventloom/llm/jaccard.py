@@ -388,8 +388,8 @@ def _relabelled(edges: DataFrame, label: DataFrame) -> DataFrame:
     return edges.select("a", "b")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, row_key: Column, ngram: int, percent: int) -> DataFrame:
-    """doc_id, row_key, n, class, component (a number), component_id (the smallest doc_id of the component)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, row_key: Column, ngram: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, row_key, n, class, component (a number), component_id (the smallest doc_id of the component); and the tables that this reads."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key.cast("long").alias("row_key"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -439,7 +439,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row_key: Column, ngram
     least_of = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     alone = classes.join(label.select(F.col("vertex").alias("class")), "class", "left_anti")
     of_class = labelled.join(least_of, "component").select("class", "component", "component_id").union(alone.select("class", F.col("class").alias("component"), F.col("doc_id").alias("component_id")))
-    return known.select("doc_id", "row_key", "n", "class").join(of_class, "class", "left")
+    return known.select("doc_id", "row_key", "n", "class").join(of_class, "class", "left"), [surveyed, classes, least_of]
 
 
 def _joined(rows, classes, members, label, shared, ngram, percent) -> DataFrame:
@@ -486,7 +486,7 @@ def _across(rows, classes, blocks, large, label, shared, ngram, percent) -> Data
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    found = _grouped(docs, id_col, text_col, F.lit(None), ngram, percent)
+    found, _ = _grouped(docs, id_col, text_col, F.lit(None), ngram, percent)
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"))
 
@@ -517,15 +517,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = set(docs.columns)
     own = next(f"_row_key{k or ''}" for k in range(len(names) + 1) if f"_row_key{k or ''}" not in names)
     keyed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
-    found = _grouped(keyed, id_col, text_col, F.col(own), NGRAM, PERCENT).filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull())
-    found = materialize(found.select("doc_id", "row_key", "component", "component_id"), "groups")
+    grouped, tables = _grouped(keyed, id_col, text_col, F.col(own), NGRAM, PERCENT)
+    grouped = grouped.filter(F.col("doc_id").isNotNull() & F.col("component").isNotNull())
+    found = materialize(grouped.select("doc_id", "row_key", "component", "component_id"), "groups")
+    discard(*tables)
     # Only rows with the smallest identifier of their group can stay, and these are few.
     first = found.filter("doc_id = component_id").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("component").orderBy("row_key")
     judged = materialize(first.withColumn("nth", F.row_number().over(best)), "judged")
     again = judged.filter("nth = 1 AND times > 1")
     others = found.filter("doc_id <> component_id").select("doc_id", "row_key").unionByName(judged.filter("nth > 1 OR times > 1").select("doc_id", "row_key"))
-    named = lambda df: df.select(F.col("doc_id").alias(id_col), F.col("row_key").alias(own)).distinct()
-    single = keyed.join(named(others), [id_col, own], "left_anti")
-    repeated = keyed.join(named(again), [id_col, own], "left_semi").dropDuplicates([id_col, own])
-    return single.unionByName(repeated).select(docs.columns)
+    # Written, so that a short list is known to be short and no text moves for it.
+    named = lambda df, name: materialize(df.select(F.col("doc_id").alias(id_col), F.col("row_key").alias(own)).distinct(), name)
+    single = keyed.join(named(others, "others"), [id_col, own], "left_anti")
+    if not again.isEmpty():
+        single = single.unionByName(keyed.join(named(again, "again"), [id_col, own], "left_semi").dropDuplicates([id_col, own]))
+    discard(found, judged)
+    return single.select(docs.columns)
