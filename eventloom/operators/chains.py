@@ -172,14 +172,16 @@ def assign_events(chains: DataFrame, events: DataFrame) -> DataFrame:
     return joined.filter(F.col("chain_sequence").isNotNull()).drop("_seq", "_next", "_far", "_month")
 
 
-def build_chains(outcomes: DataFrame, exposure: DataFrame, interface: DataFrame) -> DataFrame:
+def build_chains(outcomes: DataFrame, exposure: DataFrame, interface: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """Chains with the identifiers and types of their events, by family.
 
-    outcomes as sequence_outcomes() takes them; exposure and interface: event_id, company_id, event_type, event_date (text).
+    outcomes as sequence_outcomes() takes them; exposure and interface: event_id, company_id, event_type, event_date (text);
+    inside: what assign_events() made of the two, where it is there already (company_id, chain_sequence, day, event_id, event_type, family).
     """
     chains = sequence_outcomes(outcomes)
     family = lambda df, name: df.select("company_id", boundary_date(F.col("event_date")).alias("day"), "event_id", "event_type", F.lit(name).alias("family"))
-    inside = assign_events(chains, family(exposure, "exposure").unionByName(family(interface, "interface")))
+    if inside is None:
+        inside = assign_events(chains, family(exposure, "exposure").unionByName(family(interface, "interface")))
     by_chain = inside.groupBy("company_id", "chain_sequence").agg(F.array_sort(F.collect_list(F.struct("day", "event_id", "event_type", "family"))).alias("middle"))
     joined = chains.join(by_chain, ["company_id", "chain_sequence"], "left")
     out = joined.withColumn("middle", F.coalesce("middle", F.array().cast("array<struct<day:date,event_id:string,event_type:string,family:string>>")))
@@ -240,12 +242,13 @@ def history(chains: DataFrame) -> DataFrame:
     last_same = F.when(known, F.last("end", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -1)))
     ordinal, count = F.row_number().over(company), F.count(F.lit(1)).over(whole)
     # An investor is shared where one of its earlier chains in the company is known: its first one decides.
-    place = ["company_id", "chain_sequence", "chain_id"]
+    # All of this stays within the company's partition.
     at = F.struct("chain_sequence", "chain_id")
-    met = chains.select(*place, F.explode(F.array_distinct("investor_keys")).alias("_key"))
-    met = met.withColumn("_first", F.min(at).over(Window.partitionBy("company_id", "_key"))).groupBy(*place).agg(F.count_if(F.col("_first") < at).cast("int").alias("_shared"))
-    rows = rows.join(met, place, "left")
-    shared = F.when(F.col("investor_keys").isNotNull(), F.coalesce("_shared", F.lit(0)))
+    met = rows.withColumn("_key", F.explode_outer(F.array_distinct("investor_keys"))).withColumn("_first", F.min(at).over(Window.partitionBy("company_id", "_key")))
+    met = met.withColumn("_shared", F.count_if(F.col("_first") < at).over(Window.partitionBy("company_id", "chain_sequence", "chain_id")).cast("int"))
+    one = Window.partitionBy("company_id", "chain_sequence", "chain_id").orderBy("_key")
+    rows = met.withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_key", "_first", "_one")
+    shared = F.when(F.col("investor_keys").isNotNull(), F.when(F.size("investor_keys") > 0, F.col("_shared")).otherwise(0))
     current = F.size(F.array_distinct("investor_keys"))
     return rows.withColumns(
         {

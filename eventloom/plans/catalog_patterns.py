@@ -13,9 +13,9 @@ from eventloom.plans import catalog_chains as base
 from eventloom.plans import rules
 
 
-def _members(spark, sf_dir):
+def _members(spark, sf_dir, inside=None):
     """Events inside chains, as the context takes them; the participant is a name that repeats."""
-    rows = base._middle(spark, sf_dir)
+    rows = base._middle(spark, sf_dir) if inside is None else inside
     ids = base._chains(spark, sf_dir).select("company_id", "chain_sequence", "chain_id")
     n = F.col("event_id").cast("long")
     return rows.join(ids, ["company_id", "chain_sequence"]).select(
@@ -30,10 +30,10 @@ def _members(spark, sf_dir):
     )
 
 
-def _contract(spark, sf_dir):
+def _contract(spark, sf_dir, inside=None):
     """Chains in the columns of the contract."""
     rows = a.events(spark, sf_dir).withColumn("event_date", F.col("day").cast("string"))
-    made = chains.build_chains(a.outcomes(spark, sf_dir), rows.filter("family = 'exposure'"), rows.filter("family = 'interface'"))
+    made = chains.build_chains(a.outcomes(spark, sf_dir), rows.filter("family = 'exposure'"), rows.filter("family = 'interface'"), inside)
     empty = F.array().cast("array<string>")
     return made.select(
         "chain_id", "company_id", F.lit("SUCCESS").alias("company_label_v4"), "chain_sequence", "chain_start_date", F.lit("outcome").alias("chain_start_reason"),
@@ -45,7 +45,8 @@ def _contract(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
-    return context.build(_contract(spark, sf_dir), _members(spark, sf_dir))
+    inside = written(base._middle(spark, sf_dir))
+    return context.build(_contract(spark, sf_dir, inside), _members(spark, sf_dir, inside))
 
 
 def _one(kind):
