@@ -310,12 +310,21 @@ def test_identity(spark):
     events = spark.createDataFrame([("1", None, "Acme Fund"), ("2", "i", "x"), ("3", None, " "), ("4", None, "Acme")], "event_id string, investor_id string, raw_investor_name string")
     package = identity.package_rows(events)
     assert rows(package, "raw_investor_name", "event_ids") == [("Acme", ["4"]), ("Acme Fund", ["1"])]
-    given = spark.createDataFrame([("1", "i9", None, "canonical_resolved")], "event_id string, investor_id string, associated_entity_id string, status string")
-    found = identity.apply_resolutions(events, given)
-    assert rows(found, "event_id", "investor_id", "counterparty_resolution_status") == [("1", "i9", "canonical_resolved"), ("2", "i", "canonical_resolved"), ("3", None, "missing_identity"), ("4", None, "unresolved_named")]
+    given = spark.createDataFrame([("1", "i9", None, "NEW_INVESTOR"), ("5", None, "ae", "ASSOCIATED_ENTITY")], "event_id string, investor_id string, associated_entity_id string, status string")
+    more = events.unionByName(spark.createDataFrame([("5", "i", "y")], events.schema))
+    found = identity.apply_resolutions(more, given)
+    # A resolution decides in full; without one an event is of an existing investor or unresolved.
+    assert rows(found, "event_id", "investor_id", "associated_entity_id", "counterparty_resolution_status") == [("1", "i9", None, "NEW_INVESTOR"), ("2", "i", None, "EXISTING_INVESTOR"), ("3", None, None, "UNRESOLVED"), ("4", None, None, "UNRESOLVED"), ("5", None, "ae", "ASSOCIATED_ENTITY")]
     assert rows(identity.coverage_gaps(events, given, "event_id").filter("gap = 'missing'"), "event_id") == [("2",), ("3",), ("4",)]
 
 
+def test_collisions_and_conflicts(spark):
+    base = spark.createDataFrame([("b1", "Q1", "Acme, Inc"), ("b2", "Q1", "Acme Inc")], "investor_id string, wikidata_qid string, name string")
+    added = spark.createDataFrame([("n1", "Q1", "One"), ("n2", None, "ACME INC."), ("n3", "Q9", "Two"), ("n4", "Q9", "Three"), ("b1", None, None), ("n5", "Q7", "Five")], "investor_id string, wikidata_qid string, name string")
+    assert rows(identity.appended_collisions(base, added)) == [("b1", "investor_id", "b1"), ("n1", "wikidata_qid", "Q1"), ("n2", "name", "acme inc"), ("n3", "wikidata_qid", "Q9"), ("n4", "wikidata_qid", "Q9")]
+    assert rows(identity.conflicting_keys(base, "wikidata_qid", "investor_id")) == [("Q1", 2)]
+
+
 def test_quote(spark):
     df = spark.createDataFrame([("abcdef", "cd", 2, 4), ("abcdef", "cd", 1, 3), (None, "cd", 2, 4)], "s string, q string, a int, b int")
     assert [r[0] for r in df.select(identity.quote_holds(*map(F.col, "sqab"))).collect()] == [True, False, False]
