@@ -20,8 +20,8 @@ import numpy as np
 #: Fewest and most bits of a bitmap; between them it is SPREAD times the power of 2 next to the set's size.
 LEAST_BITS, MOST_BITS, SPREAD = 1 << 9, 1 << 18, 4
 FAN_OUT = 8
-#: Node pairs whose bitmaps are compared at once, by words of 64 bits.
-SLICE_WORDS = 1 << 20
+#: Node pairs that go down at once, each of which may become FAN_OUT squared ones, and words of 64 bits compared at once.
+SLICE_PAIRS, SLICE_WORDS = 1 << 13, 1 << 19
 
 
 def width(n: int) -> int:
@@ -107,8 +107,11 @@ def _keep(a: Forest, b: Forest, la: int, lb: int, i: np.ndarray, j: np.ndarray,
     near = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
     near &= ~(one_a[i] & one_b[j] & (component_a[i] == component_b[j]))
     bound = np.zeros(len(i), np.int64)
-    at = np.flatnonzero(near)
-    bound[at] = popcount(bits_a[i[at]] & bits_b[j[at]]) + np.minimum(excess_a[i[at]], excess_b[j[at]])
+    every = np.flatnonzero(near)
+    step = max(SLICE_WORDS // bits_a.shape[1], 1)
+    for k in range(0, len(every), step):
+        at = every[k : k + step]
+        bound[at] = popcount(bits_a[i[at]] & bits_b[j[at]]) + np.minimum(excess_a[i[at]], excess_b[j[at]])
     near &= (100 + percent) * bound >= percent * (low_a[i] + low_b[j])
     return near, bound
 
@@ -119,13 +122,9 @@ def traverse(a: Forest, b: Forest | None, percent: int):
     b = a if within else b
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     _, i, j = np.intersect1d(a.levels[la][0], b.levels[lb][0], assume_unique=True, return_indices=True)
-    most = max(SLICE_WORDS // a.levels[0][3].shape[1], FAN_OUT**2)
     stack = [(la, lb, i, j)]
     while stack:
         la, lb, i, j = stack.pop()
-        if len(i) > most:
-            stack += [(la, lb, i[at : at + most], j[at : at + most]) for at in range(0, len(i), most)]
-            continue
         if within:
             half = (i < j) if la == 0 else (i <= j)
             i, j = i[half], j[half]
@@ -136,6 +135,9 @@ def traverse(a: Forest, b: Forest | None, percent: int):
         if la == lb == 0:
             yield a.rows[i], b.rows[j], bound
             continue
+        if len(i) > SLICE_PAIRS:
+            stack += [(la, lb, i[at : at + SLICE_PAIRS], j[at : at + SLICE_PAIRS]) for at in range(0, len(i), SLICE_PAIRS)]
+            continue
         # Go down in the higher forest, or in both.
         down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
         if down_a:
