@@ -47,6 +47,8 @@ HOT_MOST = 500_000
 HOT_LEAST = 32
 #: Tokens counted at once when frequent ones are looked for, and postings packed at once.
 COUNTED = 2_000_000
+PART_BITS = 3
+PARTS = 1 << PART_BITS
 PACKED = 1_000_000
 #: Bytes of postings in a token range, about.
 RANGE_BYTES = 4_000_000
@@ -106,15 +108,21 @@ def _survey(rows: DataFrame, id_type: str, ngram: int) -> DataFrame:
 
         def frequent():
             token = np.concatenate(held)
-            cls = np.repeat(np.array(met, np.int64), [len(h) for h in held])
-            order = np.argsort(token, kind="stable")
-            token, cls = token[order], cls[order]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            df = np.diff(np.r_[starts, len(token)])
-            often = df >= 3
-            token, df, least = token[starts][often].view(np.int64), df[often], np.minimum.reduceat(cls, starts)[often]
-            empty = [pa.nulls(len(token), t) for t in (id_arrow, long, long, long, long, binary)]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(token), pa.array(df), pa.array(least)], names)
+            at = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+            held.clear()
+            cls = np.array(met, np.int64)
+            for part in range(PARTS):  # by the first bits, so that little is sorted at once
+                chosen = np.flatnonzero(token >> np.uint64(64 - PART_BITS) == part)
+                order = chosen[np.argsort(token[chosen], kind="stable")]
+                mine = token[order]
+                starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]][: len(mine)])
+                df = np.diff(np.r_[starts, len(mine)])
+                often = df >= 3
+                if not often.any():
+                    continue
+                least = np.minimum.reduceat(cls[at[order]], starts)[often]
+                empty = [pa.nulls(len(least), t) for t in (id_arrow, long, long, long, long, binary)]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array(mine[starts][often].view(np.int64)), pa.array(df[often]), pa.array(least)], names)
 
         for batch in batches:
             id_arrow = batch.column("doc_id").type
@@ -131,13 +139,13 @@ def _survey(rows: DataFrame, id_type: str, ngram: int) -> DataFrame:
                     held.append(tokens)
                     size += len(tokens)
                     if size >= COUNTED:
-                        yield frequent()
+                        yield from frequent()
                         held, met, size = [], [], 0
                         seen = set()
             made = [pa.array(x, t) for x, t in zip((n, cls, second, bits), (long, long, long, binary))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made, *[pa.nulls(len(n), long)] * 3], names)
         if held:
-            yield frequent()
+            yield from frequent()
 
     return map_arrow(rows, run, f"doc_id {id_type}, row_key long, n long, class long, second long, bits binary, token long, df long, least long")
 
