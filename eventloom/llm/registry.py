@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import bpe, chat, exact, jaccard, langid, licenses, linededup, mixing, quality, secrets
+from eventloom.llm import bpe, chat, clustering, exact, factorisation, jaccard, langid, licenses, linededup, mixing, quality, search, secrets
 from eventloom.llm.common import documents
 
 
@@ -53,6 +53,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_quality_classifier(spark, sf_dir):
+    return factorisation.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -65,6 +77,9 @@ def queries():
         "op8_license_scan": op8_license_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_quality_classifier": op12_quality_classifier,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -74,4 +89,6 @@ def oracle_sql():
         "op4_temperature_mix": mixing.oracle(),
         "op6_chat_format": chat.ORACLE,
         "op10_exact_dedup": exact.ORACLE,
+        "op11_centroid_clustering": clustering.oracle(),
+        "op13_lexical_search": search.ORACLE,
     }
