@@ -1,14 +1,15 @@
 """Candidate patterns: atoms over chains, their incidence, pairs, equivalence classes and evaluation.
 
-An atom's mask is the set of chains it holds for; it is kept as rows (atom, chain), so
-intersections are joins and supports are counts.
+An atom's mask is the set of chains it holds for. Here it is kept as rows (atom, chain), so
+intersections are joins; operators.bitmaps packs it, which is the way to count many pairs.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.storage import written
@@ -142,16 +143,15 @@ def compatibility(facts: DataFrame) -> DataFrame:
     return facts.withColumn("reason", reason)
 
 
-def masks(incident: DataFrame, by: str = "company_id") -> DataFrame:
-    """(atom, mask): a digest of the set of companies (or chains) of each atom, whatever their order.
+def allowed(spark: SparkSession, anchor_facts: DataFrame, structural: list[tuple]) -> dict[str, bytes]:
+    """For each anchor (by its name, atom) a bit for each structural atom that compatibility() has nothing against, low bits first.
 
-    The digest is of the sums of four 32-bit parts of the members' SHA-256, which are summed
-    up on the map side; no atom's members are gathered.
+    structural: (field, cmp, value) in order; 1,000 of them are 125 bytes an anchor, which is what the driver gets.
     """
-    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")).cast("string")
-    members = incident.select("atom", F.sha2(F.col(by).cast("string"), 256).alias("h")).distinct()
-    sums = members.groupBy("atom").agg(*[part(k).alias(f"p{k}") for k in range(4)], F.count(F.lit(1)).cast("string").alias("n"))
-    return sums.select("atom", F.sha2(F.concat_ws(",", "n", *[f"p{k}" for k in range(4)]), 256).alias("mask"))
+    table = F.from_json(F.lit(json.dumps([{"no": k, "field": f, "cmp": c, "value": v} for k, (f, c, v) in enumerate(structural)])), "array<struct<no:int,field:string,cmp:string,value:double>>")
+    rows = compatibility(anchor_facts.select("*", F.inline(table))).filter("reason IS NULL")
+    bits = rows.groupBy("atom").agg(F.substring(F.bitmap_construct_agg(F.col("no").cast("long")), 1, (len(structural) + 7) // 8).alias("bits"))
+    return {r["atom"]: bytes(r["bits"]) for r in bits.collect()}
 
 
 def representatives(catalog: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventloom.functions import names
 from eventloom.operators import context
@@ -25,61 +29,91 @@ def bounded(n: int, most: int, what: str) -> int:
     return n
 
 
-def _nodes(tree):
-    if isinstance(tree, dict):
-        yield tree
-        for v in tree.values():
-            yield from _nodes(v)
-    elif isinstance(tree, list):
-        for v in tree:
-            yield from _nodes(v)
+#: A rule that is nested deeper is an error.
+DEEPEST = 24
+
+
+def _children(node: Column) -> Column:
+    """The values of an object, or the elements of an array."""
+    return F.coalesce(F.map_values(F.try_variant_get(node, "$", "map<string,variant>")), F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def nodes(rule: Column) -> Column:
+    """All values inside a rule's JSON text, itself first, as an array of variants: one level of the tree after the other."""
+    root = F.array(F.try_parse_json(rule))
+
+    def deeper(acc: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(acc["front"], _children))
+        return F.struct(below.alias("front"), F.concat(acc["seen"], below).alias("seen"))
+
+    too_deep = F.raise_error(F.lit(f"a rule is nested deeper than {DEEPEST}")).cast("array<variant>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), F.struct(root.alias("front"), root.alias("seen")), deeper, lambda acc: F.when(F.size(acc["front"]) > 0, too_deep).otherwise(acc["seen"]))
+
 
+def _texts(node: Column, path: str) -> Column:
+    """The strings at a path, of a list or a scalar, in lower case."""
+    several = F.transform(F.try_variant_get(node, path, "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.transform(F.coalesce(several, F.array(F.try_variant_get(node, path, "string"))), lambda x: F.lower(F.trim(x)))
 
-def _literals(tree) -> set:
-    found = set()
-    for node in _nodes(tree):
-        for key in ("value", "literal"):
-            values = node.get(key)
-            found |= {v for v in (values if isinstance(values, list) else [values]) if isinstance(v, str)}
-    return found
 
+def _is_object(node: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
 
-def removal_reason(pair: dict) -> str | None:
-    """The first reason to remove a pair, from its rule and metadata alone; statistics play no part.
 
-    pair: rule, taints, event_dimension and structural_dimension with those of its components
-    (anchor_dimension, component_dimension).
+def reviewed(pairs: DataFrame) -> DataFrame:
+    """Adds reason, the first of REASONS to remove a pair (null: kept), and complexity, the objects in its rule; statistics play no part.
+
+    pairs: rule (JSON text), taints (array of texts), event_dimension and structural_dimension with those
+    of its components (anchor_dimension, component_dimension). Rules are flattened in their row, by
+    functions of variants. A rule that is null, no JSON or no object is not readable by people.
     """
-    rule = pair.get("rule")
-    if not isinstance(rule, dict):
-        return "not_human_readable"
-    nodes = list(_nodes(rule))
-    types = {v for n in nodes if n.get("field") == "event.event_type" for v in (n["value"] if isinstance(n.get("value"), list) else [n.get("value")])}
-    fields = rules.fields_of(rule)
-    rounds = [n for n in nodes if n.get("op") == "compare" and "outcome_round" in str(n.get("left", {}).get("field", ""))]
+    text = lambda x, path: F.try_variant_get(x, path, "string")
+    some = lambda test: F.coalesce(F.exists("_nodes", test), F.lit(False))
+    event_type = lambda kind: some(lambda x: (text(x, "$.field") == "event.event_type") & F.array_contains(_texts(x, "$.value"), kind))
+    round_test = lambda x: (text(x, "$.op") == "compare") & (text(x, "$.left.field") == "derived.outcome_round_bucket")
+    field = lambda test: F.coalesce(F.exists("_fields", test), F.lit(False))
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     tests = {
-        "exit_event": "exit" in types,
-        "event_type_other": "other" in types,
-        "outcome_type": any("outcome_type" in f for f in fields),
-        "round_unknown_or_other": any(_literals(n) & {"unknown", "other"} for n in rounds),
-        "end_relative_timing": any(n.get("relative_to") == "end" for n in nodes) or any("before_end" in f or "before_chain_end" in f for f in fields),
-        "duration": pair.get("structural_dimension") == "duration" or "derived.chain_duration_days" in fields,
-        "future_only": "future" in pair.get("taints", ()) or "derived.company_chain_count" in fields,
-        "nullness_test": any(n.get("op") == "compare" and n.get("cmp") in ("is_null", "not_null") for n in nodes),
-        "data_quality_basis_or_known_date": any(w in f.lower() for f in fields for w in QUALITY_WORDS),
-        "not_human_readable": pair.get("event_dimension") != pair.get("anchor_dimension") or pair.get("structural_dimension") != pair.get("component_dimension"),
+        "exit_event": event_type("exit"),
+        "event_type_other": event_type("other"),
+        "outcome_type": field(lambda f: f.contains("outcome_type")),
+        "round_unknown_or_other": some(lambda x: round_test(x) & F.arrays_overlap(_texts(x, "$.right.literal"), F.array(F.lit("unknown"), F.lit("other")))),
+        "end_relative_timing": some(lambda x: text(x, "$.relative_to") == "end"),
+        "duration": F.coalesce(F.col("structural_dimension") == "duration", F.lit(False)) | field(lambda f: f == "derived.chain_duration_days"),
+        "future_only": F.coalesce(F.array_contains("taints", "future"), F.lit(False)) | field(lambda f: f == "derived.company_chain_count"),
+        "nullness_test": some(lambda x: (text(x, "$.op") == "compare") & text(x, "$.cmp").isin("is_null", "not_null")),
+        "data_quality_basis_or_known_date": field(lambda f: reduce(lambda a, b: a | b, [F.lower(f).contains(w) for w in QUALITY_WORDS])),
+        "not_human_readable": differ("event_dimension", "anchor_dimension") | differ("structural_dimension", "component_dimension"),
     }
-    return next((r for r in REASONS if tests[r]), None)
+    reason = reduce(lambda rest, name: F.when(tests[name], name).otherwise(rest), reversed(REASONS), F.lit(None).cast("string"))
+    names = F.filter(F.concat(F.transform("_nodes", lambda x: text(x, "$.field")), F.flatten(F.transform("_nodes", lambda x: F.coalesce(F.try_variant_get(x, "$.same_values", "array<string>"), F.array().cast("array<string>"))))), lambda f: f.isNotNull())
+    rows = pairs.withColumn("_nodes", nodes(F.col("rule"))).withColumn("_fields", names)
+    sound = _is_object(F.col("_nodes")[0])
+    objects = F.size(F.filter("_nodes", _is_object))
+    return rows.withColumns({"reason": F.when(sound, reason).otherwise("not_human_readable"), "complexity": F.when(sound, objects)}).drop("_nodes", "_fields")
+
+
+@F.pandas_udf(StringType())
+def rendered(rule: pd.Series) -> pd.Series:
+    """The rule in English; null where it isn't sound."""
+
+    def one(text):
+        try:
+            return rules.render(rules.parse(text))
+        except (TypeError, ValueError):
+            return None
 
+    return rule.map(one)
 
-def catalog(spark: SparkSession, pairs: list[dict]) -> DataFrame:
-    """Pairs with their reason (null: kept), rendering and what orders representatives. pairs: id, track, rule and metadata."""
-    rows = []
-    for p in pairs:
-        reason = removal_reason(p)
-        text = rules.render(p["rule"]) if reason is None else None
-        rows.append((p["id"], p["track"], reason, text, rules.complexity(p["rule"]) if isinstance(p.get("rule"), dict) else None, len(text.split()) if text else None, len(text) if text else None, rules.canonical_json(p.get("rule"))))
-    return spark.createDataFrame(rows, "atom string, track string, reason string, rendered string, complexity int, n_words int, n_chars int, canonical string")
+
+def catalog(pairs: DataFrame) -> DataFrame:
+    """Pairs with their reason (null: kept), rendering and what orders representatives.
+
+    pairs: atom, track, and what reviewed() takes; the rules in canonical form.
+    """
+    rows = reviewed(pairs).withColumn("rendered", F.when(F.col("reason").isNull(), rendered("rule")))
+    reason = F.coalesce("reason", F.when(F.col("rendered").isNull(), "not_human_readable"))
+    return rows.select("atom", "track", reason.alias("reason"), "rendered", "complexity", F.size(F.split("rendered", r"\s+")).alias("n_words"), F.length("rendered").alias("n_chars"), F.col("rule").alias("canonical"))
 
 
 def representatives(catalog_rows: DataFrame, masks: DataFrame) -> DataFrame:

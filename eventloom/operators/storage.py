@@ -5,16 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows again, from a Parquet table in ``spark.checkpoint.dir`` (a temporary folder only where that is unset, on one machine).
-
-    The table outlives lost executors; it is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str = "") -> str:
+    """A new path in ``spark.checkpoint.dir`` (in a temporary folder only where that is unset, on one machine), deleted when the driver's JVM ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -22,11 +18,17 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared.rstrip('/')}/eventloom-{name}{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows again, from a Parquet table in the shared folder. It outlives lost executors."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:

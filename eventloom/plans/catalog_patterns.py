@@ -6,8 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import chains, context, generators, lattice, prevalence
-from eventloom.operators.storage import written
+from eventloom.operators import bitmaps, chains, compositions, context, freeze, generators, lattice, prevalence, review, sequences
+from eventloom.operators.storage import shared_path, written
 from eventloom.plans import analogues as a
 from eventloom.plans import catalog_chains as base
 from eventloom.plans import rules
@@ -130,10 +130,9 @@ def lattice_witnessed_pairs(spark, sf_dir):
     return lattice.witnessed_pairs(rows, "chain")
 
 
-#: Anchors about the driver's event types, from the generator; their names lose the family.
+#: Presence and absence of the driver's event types.
 TYPES = [(f, t) for f, ts in (("exposure", a.EXPOSURE), ("interface", a.INTERFACE)) for t in ts]
-ANCHORS = [x for k, of in enumerate(TYPES) for x in generators._anchors_of(of, {f"n{k}": 0}, k, ("present", "absent"))]
-ATOMS = {f"{x.kind}_{x.type[1]}": x.rule for x in ANCHORS}
+ATOMS = {f"{op}_{t}": rules.canonical({"op": op, "selector": lattice.selector(f, t)}) for f, t in TYPES for op in ("present", "absent")}
 STRUCTURAL = {f"middle_{cmp}_{t}": _compare({"field": "derived.n_middle"}, cmp, t) for cmp in ("gte", "lte") for t in (1, 2, 5, 10)}
 
 
@@ -147,12 +146,100 @@ def lattice_support(spark, sf_dir):
 
 
 def lattice_pairs(spark, sf_dir):
-    """Pairs of anchors and structural atoms that share a chain, without those that say nothing new."""
+    """Pairs of anchors and structural atoms that share a chain, without those that say nothing new, from packed masks."""
+    contexts = bitmaps.numbered(_contexts(spark, sf_dir))
+    anchors = generators.anchors(contexts, generators.observed_types(contexts), ("present", "absent"))
+    short = {x.name: f"{x.kind}_{x.type[1]}" for x in anchors}
+    masks = bitmaps.of_chains(contexts, {short[x.name]: x.rule for x in anchors} | STRUCTURAL)
+    facts = generators.facts_frame(spark, anchors).replace(short, subset=["atom"])
+    allowed = lattice.allowed(spark, facts, [(r["left"]["field"], r["cmp"], r["right"]["literal"]) for r in STRUCTURAL.values()])
+    return bitmaps.pairs(contexts, masks, list(STRUCTURAL), allowed)
+
+
+def lattice_masks(spark, sf_dir):
+    """The digests of each atom's bits over chains and over companies, and how many are set."""
+    contexts = bitmaps.numbered(_contexts(spark, sf_dir))
+    n_chains, n_companies = contexts.agg(F.count(F.lit(1)), F.max("company_no")).first()
+    of_chains = bitmaps.digests(bitmaps.of_chains(contexts, ATOMS | STRUCTURAL), n_chains)
+    of_companies = bitmaps.digests(bitmaps.of_companies(contexts, ATOMS | STRUCTURAL), n_companies or 0)
+    return of_chains.withColumnsRenamed({"sha256": "chain_mask_sha256", "n": "n_chains"}).join(of_companies.withColumnsRenamed({"sha256": "company_mask_sha256", "n": "n_companies"}), "atom")
+
+
+#: Eight rules that formulas are put together from.
+COMPOSED = {k: PATTERNS[k] for k in ("view_then_click", "many_exposures", "not_first", "long_gap")} | {k: ATOMS[k] for k in ("present_click", "present_error", "present_signup", "absent_view")}
+
+
+def lattice_compositions(spark, sf_dir):
+    return compositions.compose(bitmaps.numbered(_contexts(spark, sf_dir)), COMPOSED).drop("class")
+
+
+def _frozen(spark, sf_dir):
+    """A generation frozen over the driver's events, loaded again, and the contexts."""
     contexts = written(_contexts(spark, sf_dir))
-    anchors = generators.facts_frame(spark, ANCHORS).withColumn("atom", F.concat_ws("_", "kind", F.split("atom", "[: ]")[1]))
-    rows = [(k, r["left"]["field"], r["cmp"], float(r["right"]["literal"])) for k, r in STRUCTURAL.items()]
-    structural = spark.createDataFrame(rows, "atom string, field string, cmp string, value double")
-    return lattice.pairs(lattice.incidence(contexts, ATOMS), lattice.incidence(contexts, STRUCTURAL), anchors, structural)
+    anchors = generators.anchors(contexts, generators.observed_types(contexts), ("present", "absent"))
+    structural = generators.structural(contexts, ("derived.n_middle",), rounds=False)
+    inputs, path = {"events": a.table(spark, sf_dir, "events")}, shared_path(spark, "frozen-")
+    freeze.freeze(contexts, anchors, structural, inputs, path, "label")
+    return freeze.load(spark, path, inputs), contexts
+
+
+def freeze_evaluation(spark, sf_dir):
+    """Every frozen pair with its support and its action values; labels are joined after the freeze."""
+    tables, contexts = _frozen(spark, sf_dir)
+    return freeze.evaluate(tables, contexts, _companies(spark, sf_dir)).drop("atom", "representative", "mask", "anchor_dimension", "structural_dimension")
+
+
+#: Rules that the frozen candidates are held against.
+REFERENCES = {"views": ATOMS["present_view"], "no_errors": ATOMS["absent_error"], "view_no_error": PATTERNS["view_no_error"], "clicks_of_five": {"op": "all", "rules": [ATOMS["present_click"], STRUCTURAL["middle_gte_5"]]}, "two_views": PATTERNS["two_views"]}
+
+
+def freeze_coverage(spark, sf_dir):
+    """Which rules have a frozen atom or pair with the very same companies."""
+    return freeze.coverage(*_frozen(spark, sf_dir), REFERENCES)
+
+
+#: Sequences that are matched over exploded rows.
+SEQUENCES = {"short_steps": _sequence("view", "click", "error", low=1, high=14), "one_person": _sequence("view", "view", "view", same=("event.participant_key",)), "quick": _sequence("click", "view", high=2)}
+
+
+def sequence_matches(spark, sf_dir):
+    """The chains of each sequence, without an array of events."""
+    n = F.col("event_id").cast("long")
+    person = F.when(n % 3 == 0, F.concat(F.lit("id:i"), (n % 5).cast("string"))).when(n % 3 == 1, F.concat(F.lit("raw:firm "), (n % 4).cast("string")))
+    rows = written(chains.with_interval(base._middle(spark, sf_dir)).select(F.struct("company_id", "chain_sequence").alias("chain"), "family", "event_type", person.alias("participant_key"), "lo", "hi"))
+    found = [sequences.matches(rows, rule, "chain").select(F.lit(name).alias("rule"), "chain.company_id", "chain.chain_sequence") for name, rule in SEQUENCES.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+#: A rule's text for each line item, with values of its columns; SQL that both engines read.
+_FIRST = """'{"op":"present","selector":{"family":"any","scope":"middle_events","where":[{"cmp":"eq","field":"event.event_type","value":"' || CASE l_shipmode WHEN 'AIR' THEN 'exit' WHEN 'FOB' THEN ' Other ' ELSE lower(l_shipmode) END || '"}]}}'"""
+_OF_FIELD = """'{"cmp":"' || {cmp} || '","left":{"field":"' || {field} || '"},"op":"compare"' || {right} || '}'"""
+_SECOND = " ".join(
+    f"WHEN {k} THEN {sql}"
+    for k, sql in enumerate(
+        [
+            _OF_FIELD.replace("{cmp}", "'gte'").replace("{field}", "'derived.n_middle'").replace("{right}", "',\"right\":{\"literal\":' || CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) || '}'"),
+            _OF_FIELD.replace("{cmp}", "'in'").replace("{field}", "'derived.outcome_round_bucket'").replace("{right}", "',\"right\":{\"literal\":[\"seed\",\"' || CASE l_returnflag WHEN 'A' THEN 'unknown' WHEN 'N' THEN 'series_a' ELSE 'Other' END || '\"]}'"),
+            """'{"cmp":"lte","left":{"event_timing":{"bound":"min","edge":"last","relative_to":"' || CASE l_linestatus WHEN 'O' THEN 'end' ELSE 'start' END || '","selector":{"family":"any","scope":"middle_events","where":[]}}},"op":"compare","right":{"literal":7}}'""",
+            _OF_FIELD.replace("{cmp}", "'lte'").replace("{field}", "CASE l_returnflag WHEN 'A' THEN 'derived.chain_duration_days' WHEN 'N' THEN 'derived.company_chain_count' ELSE 'derived.interface_investor_basis' END").replace("{right}", "',\"right\":{\"literal\":3}'"),
+            _OF_FIELD.replace("{cmp}", "'eq'").replace("{field}", "CASE l_linestatus WHEN 'O' THEN 'chain.outcome_type' ELSE 'chain.n_exposure' END").replace("{right}", "',\"right\":{\"literal\":null}'"),
+            _OF_FIELD.replace("{cmp}", "CASE l_returnflag WHEN 'A' THEN 'is_null' WHEN 'N' THEN 'not_null' ELSE 'gte' END").replace("{field}", "'derived.middle_span_min'").replace("{right}", "CASE WHEN l_returnflag IN ('A', 'N') THEN '' ELSE ',\"right\":{\"literal\":1}' END"),
+        ],
+        1,
+    )
+)
+_RULE = f"""CASE WHEN l_suppkey % 97 = 0 THEN NULL ELSE '{{"op":"' || op || '","rules":[' || {_FIRST} || ',' || CASE l_linenumber {_SECOND} ELSE '["' || lower(l_shipinstruct) || '"]' END || ']}}' END"""
+
+
+def policy_review(spark, sf_dir):
+    """The reason to remove, or null, and the complexity of two rules for each line item."""
+    rows = a.table(spark, sf_dir, "lineitem").withColumn("op", F.explode(F.array(F.lit("all"), F.lit("any"))))
+    dimension = F.when(F.col("l_discount") == 0.10, "duration").otherwise("count")
+    pairs = rows.select(
+        "l_orderkey", "l_linenumber", "op", F.expr(_RULE).alias("rule"), F.when(F.col("l_discount") == 0.01, F.array(F.lit("future"))).alias("taints"), F.lit("typed_presence").alias("event_dimension"),
+        F.when(F.col("l_tax") == 0.08, "typed_count").otherwise("typed_presence").alias("anchor_dimension"), dimension.alias("structural_dimension"), F.when(F.col("l_suppkey") % 89 > 0, dimension).alias("component_dimension"),
+    )
+    return review.reviewed(pairs).select("l_orderkey", "l_linenumber", "op", "reason", "complexity")
 
 
 def lattice_catalog(spark, sf_dir):
@@ -174,10 +261,12 @@ def lattice_witnessed_triples(spark, sf_dir):
 
 
 def mask_representatives(spark, sf_dir):
-    rows = lattice.masks(_incidence(spark, sf_dir, ATOMS | STRUCTURAL))
+    """One atom for each set of companies, told by the digest of its bits."""
+    contexts = bitmaps.numbered(_contexts(spark, sf_dir))
+    digests = bitmaps.digests(bitmaps.of_companies(contexts, ATOMS | STRUCTURAL), contexts.agg(F.max("company_no")).first()[0] or 0)
     known = {k: rules.canonical_json(rules.canonical(r)) for k, r in (ATOMS | STRUCTURAL).items()}
     catalog = spark.createDataFrame([(k, "ACTION_ELIGIBLE", rules.complexity(json.loads(c)), c) for k, c in known.items()], "atom string, track string, priority int, canonical string")
-    return lattice.representatives(rows.join(F.broadcast(catalog), "atom")).select("atom", "mask", "n_members")
+    return lattice.representatives(digests.select("atom", F.col("sha256").alias("mask")).join(F.broadcast(catalog), "atom")).select("atom", "mask", "n_members")
 
 
 def lattice_evaluation(spark, sf_dir):
@@ -262,9 +351,36 @@ _VALUES = """v AS (SELECT *, success_taking + failure_taking AS n1, success_not_
 _ATOMS = " UNION ALL ".join([f"SELECT '{op}_{k}' AS atom, ch.company_id, ch.chain_sequence FROM ch WHERE {'NOT ' if op == 'absent' else ''}{_HAS(k)}" for op in ("present", "absent") for k in ("view", "click", "error", "signup")])
 _STRUCT = " UNION ALL ".join([f"SELECT 'middle_{c}_{t}' AS atom, company_id, chain_sequence FROM cnt WHERE n_middle {'>=' if c == 'gte' else '<='} {t}" for c in ("gte", "lte") for t in (1, 2, 5, 10)])
 _INC = f"{_BASE}, an AS ({_ATOMS}), st AS ({_STRUCT}), al AS (SELECT * FROM an UNION ALL SELECT * FROM st)"
+#: Chains and companies by number from 0, and the bytes of each atom's bits as hexadecimal digits: of chains (x = i), of companies (x = c).
+_NUMBERS = "nu AS (SELECT company_id, chain_sequence, row_number() OVER (ORDER BY company_id, chain_sequence) - 1 AS i, dense_rank() OVER (ORDER BY company_id) - 1 AS c FROM ch)"
+_BYTES = lambda name, x: f"""{name}_b AS (SELECT atom, x // 8 AS b, sum(1 << (x % 8)::INT) AS v FROM (SELECT DISTINCT atom, {x} AS x FROM al JOIN nu USING (company_id, chain_sequence)) GROUP BY 1, 2),
+  {name} AS (SELECT atom, sha256(unhex(string_agg(printf('%02x', coalesce(v, 0)::INT), '' ORDER BY b))) AS sha, sum(bit_count(coalesce(v, 0)::INT))::BIGINT AS n
+    FROM (SELECT DISTINCT atom FROM {name}_b) CROSS JOIN (SELECT unnest(range((SELECT max({x}) FROM nu) // 8 + 1)) AS b) LEFT JOIN {name}_b USING (atom, b) GROUP BY atom)"""
 _PRIORITY = ", ".join(f"('{k}', {rules.complexity(rules.canonical(r))}, '{rules.canonical_json(rules.canonical(r))}')" for k, r in (ATOMS | STRUCTURAL).items())
 
 
+#: Each chain as a number with a bit for each composed rule that holds; formulas as two such numbers.
+_COMPOSED_BITS = " + ".join(f"CASE WHEN {sql} THEN {1 << k} ELSE 0 END" for k, sql in enumerate({"absent_view": f"NOT {_HAS('view')}", "long_gap": _RULE_SQL["long_gap"], "many_exposures": _RULE_SQL["many_exposures"], "not_first": _RULE_SQL["not_first"], **{f"present_{t}": _HAS(t) for t in ("click", "error", "signup")}, "view_then_click": _RULE_SQL["view_then_click"]}.values()))
+_COMPOSITIONS_SQL = f"""{_BASE}, m AS MATERIALIZED (SELECT ch.company_id, ({_COMPOSED_BITS})::INT AS m {_JOIN}), d AS MATERIALIZED (SELECT m, count(*) AS n FROM m GROUP BY m), dc AS MATERIALIZED (SELECT DISTINCT m, company_id FROM m),
+  names(k, name) AS (VALUES {", ".join(f"({k}, '{name}')" for k, name in enumerate(sorted(COMPOSED)))}),
+  u AS (SELECT coalesce(bit_or(1 << k), 0)::INT AS ok FROM names WHERE (SELECT sum(n) FROM d WHERE m & (1 << k) > 0) >= 5 AND (SELECT count(DISTINCT company_id) FROM dc WHERE m & (1 << k) > 0) >= 5),
+  e AS (SELECT x::INT AS e FROM range(256) r(x), u WHERE x & ~ok = 0 AND bit_count(x::INT) <= 4), s AS (SELECT x::INT AS s FROM range(256) r(x), u WHERE x & ~ok = 0 AND (x = 0 OR bit_count(x::INT) IN (2, 3) AND (SELECT sum(n) FROM d WHERE m & x > 0) < (SELECT sum(n) FROM d))),
+  f AS MATERIALIZED (SELECT e, s FROM e, s WHERE e & s = 0 AND e + s > 0 AND bit_count(e) + (s > 0)::INT <= 4),
+  g AS MATERIALIZED (SELECT e, s, sum(n)::BIGINT AS n, string_agg(m::VARCHAR, ',' ORDER BY m) AS cls FROM f JOIN d ON m & e = e AND (s = 0 OR m & s > 0) GROUP BY e, s),
+  h AS (SELECT g.e, g.s, any_value(n) AS n, any_value(cls) AS cls, count(DISTINCT company_id) AS nc FROM g JOIN dc ON m & e = e AND (s = 0 OR m & s > 0) WHERE n >= 5 AND n < (SELECT sum(n) FROM d) GROUP BY g.e, g.s),
+  w AS (SELECT *, bit_count(e) + bit_count(s) AS n_atoms, (SELECT string_agg(name, ' & ' ORDER BY k) FROM names WHERE e & (1 << k) > 0) AS te, (SELECT string_agg(name, ' | ' ORDER BY k) FROM names WHERE s & (1 << k) > 0) AS ts FROM h WHERE nc >= 5),
+  z AS (SELECT *, CASE WHEN ts IS NULL THEN te WHEN te IS NULL THEN ts ELSE te || ' & (' || ts || ')' END AS formula FROM w)
+  SELECT formula, n_atoms::INT AS n_atoms, n AS n_chains, nc AS n_companies, first_value(formula) OVER (PARTITION BY cls ORDER BY n_atoms, formula) AS representative FROM z"""
+#: The frozen atoms (fa: rows, sa: supported ones) and pairs (pc: rows, pr: supported ones).
+_FROZEN_SQL = f"""{_BASE}, fn AS ({" UNION ALL ".join(f"SELECT '{f}:{t} {op}' AS atom, '{op}' AS kind, ch.company_id, ch.chain_sequence FROM ch WHERE {'NOT ' if op == 'absent' else ''}{_HAS(t)}" for f, t in TYPES for op in ("present", "absent"))}),
+  fs AS (SELECT 'derived.n_middle ' || cmp || ' ' || t AS atom, cmp, t, company_id, chain_sequence FROM cnt, (VALUES ('gte'), ('lte')) AS c(cmp), (SELECT unnest({list(lattice.THRESHOLDS["count"])}) AS t) WHERE t BETWEEN (SELECT min(n_middle) FROM cnt) AND (SELECT max(n_middle) FROM cnt) AND CASE WHEN cmp = 'gte' THEN n_middle >= t ELSE n_middle <= t END),
+  fa AS (SELECT atom, company_id, chain_sequence FROM fn UNION ALL SELECT atom, company_id, chain_sequence FROM fs), sa AS (SELECT atom FROM fa GROUP BY atom HAVING count(*) >= 5 AND count(DISTINCT company_id) >= 5 AND count(*) < (SELECT count(*) FROM ch)),
+  pc AS (SELECT fn.atom || ' & ' || fs.atom AS pair, fn.atom AS anchor, fs.atom AS structural, fn.company_id, fn.chain_sequence FROM fn JOIN fs USING (company_id, chain_sequence)
+    WHERE fn.atom IN (SELECT atom FROM sa) AND fs.atom IN (SELECT atom FROM sa) AND NOT (CASE WHEN kind = 'present' THEN CASE WHEN cmp = 'lte' THEN t < 1 ELSE t <= 1 END ELSE t = 0 END)),
+  pr AS (SELECT pair, any_value(anchor) AS anchor, any_value(structural) AS structural, count(*) AS n_chains, count(DISTINCT company_id) AS n_companies FROM pc GROUP BY pair HAVING count(*) >= 5 AND count(DISTINCT company_id) >= 5 AND count(*) < (SELECT count(*) FROM ch))"""
+_REFERENCE_SQL = "rf AS (" + " UNION ALL ".join(f"SELECT '{name}' AS reference, ch.company_id {_JOIN} WHERE {sql}" for name, sql in {"views": _HAS("view"), "no_errors": f"NOT {_HAS('error')}", "view_no_error": _RULE_SQL["view_no_error"], "clicks_of_five": f"{_HAS('click')} AND cnt.n_middle >= 5", "two_views": _RULE_SQL["two_views"]}.items()) + ")"
+
+
 _FAM = {t: f for f, t in TYPES}
 _N = lambda t: f"count(*) FILTER (family = '{_FAM[t]}' AND ft.event_type = '{t}')"
 #: Per chain: events by type, whether a type is in the first or last batch (of all, and of its family), sequences, and totals.
@@ -310,9 +426,28 @@ QUERIES = {
     "lattice_catalog": (lattice_catalog, _CATALOG_SQL),
     "lattice_witnessed_triples": (lattice_witnessed_triples, f"""{_CX} SELECT x.family || ':' || x.event_type || '>' || y.family || ':' || y.event_type || '>' || z.family || ':' || z.event_type AS tuple, count(DISTINCT (x.company_id, x.chain_sequence)) AS n_chains
       FROM mid x JOIN mid y USING (company_id, chain_sequence) JOIN mid z USING (company_id, chain_sequence) WHERE x.hi < y.lo AND y.hi < z.lo GROUP BY ALL"""),
-    "mask_representatives": (mask_representatives, f"""{_INC}, d AS (SELECT DISTINCT atom, sha256(company_id::VARCHAR) AS h FROM al),
-      k AS (SELECT atom, sha256(concat_ws(',', count(*)::VARCHAR, {", ".join(f"sum(('0x' || substr(h, {1 + 8 * p}, 8))::BIGINT)::VARCHAR" for p in range(4))})) AS mask FROM d GROUP BY atom), p(atom, priority, canonical) AS (VALUES {_PRIORITY})
-      SELECT arg_min(atom, (priority, canonical)) AS atom, mask, count(*) AS n_members FROM k JOIN p USING (atom) GROUP BY mask"""),
+    "mask_representatives": (mask_representatives, f"""{_INC}, {_NUMBERS}, {_BYTES("co", "c")}, p(atom, priority, canonical) AS (VALUES {_PRIORITY})
+      SELECT arg_min(atom, (priority, canonical)) AS atom, sha AS mask, count(*) AS n_members FROM co JOIN p USING (atom) GROUP BY sha"""),
+    "lattice_masks": (lattice_masks, f"""{_INC}, {_NUMBERS}, {_BYTES("cm", "i")}, {_BYTES("co", "c")}
+      SELECT atom, cm.sha AS chain_mask_sha256, cm.n AS n_chains, co.sha AS company_mask_sha256, co.n AS n_companies FROM cm JOIN co USING (atom)"""),
+    "lattice_compositions": (lattice_compositions, _COMPOSITIONS_SQL),
+    "freeze_evaluation": (freeze_evaluation, f"""{_FROZEN_SQL}, {_COMPANIES}, e AS (SELECT pair, count(*) FILTER (label = 'SUCCESS') AS success_taking, count(*) FILTER (label = 'FAILURE') AS failure_taking FROM (SELECT DISTINCT pair, company_id FROM pr JOIN pc USING (pair)) LEFT JOIN co USING (company_id) GROUP BY pair),
+      t AS (SELECT pair AS pattern, success_taking, failure_taking, (SELECT count(*) FROM co WHERE label = 'SUCCESS') - success_taking AS success_not_taking, (SELECT count(*) FROM co WHERE label = 'FAILURE') - failure_taking AS failure_not_taking FROM e), o AS ({_VALUES.replace("v AS (", "WITH v AS (", 1)})
+      SELECT anchor, structural, 'ACTION_ELIGIBLE' AS track, n_chains, n_companies, o.* EXCLUDE (pattern) FROM o JOIN pr ON pr.pair = o.pattern"""),
+    "freeze_coverage": (freeze_coverage, f"""{_FROZEN_SQL}, {_REFERENCE_SQL},
+      k AS (SELECT name, string_agg(company_id::VARCHAR, ',' ORDER BY company_id) AS m FROM (SELECT DISTINCT pair AS name, company_id FROM pr JOIN pc USING (pair) UNION SELECT DISTINCT atom, company_id FROM sa JOIN fa USING (atom)) GROUP BY name),
+      r AS (SELECT reference, count(*) AS n_companies, string_agg(company_id::VARCHAR, ',' ORDER BY company_id) AS m FROM (SELECT DISTINCT reference, company_id FROM rf) GROUP BY reference)
+      SELECT reference, any_value(n_companies) AS n_companies, min(name) AS covered_by, min(name) IS NOT NULL AS covered FROM r LEFT JOIN k USING (m) GROUP BY reference"""),
+    "sequence_matches": (sequence_matches, f"""{_CX}, mp AS (SELECT *, CASE event_id::BIGINT % 3 WHEN 0 THEN 'i' || event_id::BIGINT % 5 WHEN 1 THEN 'n' || event_id::BIGINT % 4 END AS person FROM mid)
+      SELECT 'short_steps' AS rule, company_id, chain_sequence FROM ch WHERE {_RULE_SQL["view_click_error"]}
+      UNION ALL SELECT DISTINCT 'one_person', x.company_id, x.chain_sequence FROM mp x JOIN mp y USING (company_id, chain_sequence, person) JOIN mp z USING (company_id, chain_sequence, person) WHERE x.event_type = 'view' AND y.event_type = 'view' AND z.event_type = 'view' AND x.hi < y.lo AND y.hi < z.lo
+      UNION ALL SELECT DISTINCT 'quick', x.company_id, x.chain_sequence FROM mid x JOIN mid y USING (company_id, chain_sequence) WHERE x.event_type = 'click' AND y.event_type = 'view' AND x.hi < y.lo AND y.hi - x.lo <= 2"""),
+    "policy_review": (policy_review, """WITH r AS (SELECT *, l_suppkey % 97 = 0 AS gone FROM lineitem CROSS JOIN (VALUES ('all'), ('any')) AS ops(op))
+      SELECT l_orderkey, l_linenumber, op, CASE WHEN gone THEN 'not_human_readable' WHEN l_shipmode = 'AIR' THEN 'exit_event' WHEN l_shipmode = 'FOB' THEN 'event_type_other' WHEN l_linenumber = 5 AND l_linestatus = 'O' THEN 'outcome_type'
+        WHEN l_linenumber = 2 AND l_returnflag IN ('A', 'R') THEN 'round_unknown_or_other' WHEN l_linenumber = 3 AND l_linestatus = 'O' THEN 'end_relative_timing' WHEN l_discount = 0.10 OR l_linenumber = 4 AND l_returnflag = 'A' THEN 'duration'
+        WHEN l_discount = 0.01 OR l_linenumber = 4 AND l_returnflag = 'N' THEN 'future_only' WHEN l_linenumber = 6 AND l_returnflag IN ('A', 'N') THEN 'nullness_test' WHEN l_linenumber = 4 THEN 'data_quality_basis_or_known_date'
+        WHEN l_tax = 0.08 OR l_suppkey % 89 = 0 THEN 'not_human_readable' END AS reason,
+        CASE WHEN NOT gone THEN 4 + CASE l_linenumber WHEN 3 THEN 5 WHEN 6 THEN CASE WHEN l_returnflag IN ('A', 'N') THEN 2 ELSE 3 END WHEN 7 THEN 0 ELSE 3 END END AS complexity FROM r"""),
     "lattice_evaluation": (lattice_evaluation, f"""{_INC}, {_COMPANIES}, e AS (SELECT atom AS pattern, count(*) FILTER (label = 'SUCCESS') AS success_taking, count(*) FILTER (label = 'FAILURE') AS failure_taking FROM (SELECT DISTINCT atom, company_id FROM an) JOIN co USING (company_id) WHERE label <> 'AMBIGUOUS' GROUP BY atom),
       t AS (SELECT *, (SELECT count(*) FROM co WHERE label = 'SUCCESS') - success_taking AS success_not_taking, (SELECT count(*) FROM co WHERE label = 'FAILURE') - failure_taking AS failure_not_taking FROM e), {_VALUES}"""),
     "mask_equality": (mask_equality, f"""{_INC}, v AS (SELECT company_id, chain_sequence FROM an WHERE atom = 'present_view'), c AS (SELECT company_id, chain_sequence FROM an WHERE atom = 'present_click')

@@ -392,29 +392,69 @@ def compile_value(node: dict) -> Column:
 
 
 def compile_sequence(rule: dict) -> Column:
-    """Nested exists: each step looks for an event strictly after the one chosen before it."""
+    """One pass over the events by ascending ``lo``, with what has been reached of each step.
+
+    An event can follow a step whose event has ended ``gap`` days before it starts. Events
+    come by ``lo``, so that limit only grows, and whatever it passes stays passed. Without a largest
+    gap a step needs its earliest end. With one it needs the latest start among the events
+    that the limit has passed, and those still waiting: an event that starts later and ends no later makes a
+    waiting one needless, so at most one waits for each end. Where fields must be
+    the same, events are sorted by them first, and what was reached is forgotten when they change.
+    """
     tests = [event_test(s) for s in rule["steps"]]
     low, high, same = rule["min_gap_days"], rule["max_gap_days"], [f[6:] for f in rule["same_values"]]
-
-    def after(step: int, chosen: list[Column]) -> Column:
-        def fits(e: Column) -> Column:
-            ok = tests[step](e) & e["lo"].isNotNull()
-            for prior in chosen:
-                ok &= e["event_id"] != prior["event_id"]
-                for name in same:
-                    ok &= F.coalesce(e[name] == prior[name], F.lit(False))
-            for name in same if not chosen else ():
-                ok &= e[name].isNotNull()
-            if chosen:
-                before = chosen[-1]
-                ok &= before["hi"] < e["lo"]
-                ok = ok & (F.datediff(e["lo"], before["hi"]) >= low) if low is not None else ok
-                ok = ok & (F.datediff(e["hi"], before["lo"]) <= high) if high is not None else ok
-            return ok & after(step + 1, [*chosen, e]) if step + 1 < len(tests) else ok
-
-        return F.coalesce(F.exists("events", fits), F.lit(False))
-
-    return after(0, [])
+    gap, last = max(1, low or 0), len(tests) - 1
+    waiting = "array<struct<hi:date,lo:date>>"
+
+    def usable(e: Column) -> Column:
+        return reduce(lambda a, b: a & b, [e[name].isNotNull() for name in same], e["lo"].isNotNull()) & reduce(lambda a, b: a | b, [t(e) for t in tests])
+
+    def role(e: Column) -> Column:
+        key = F.struct(*[e[name].alias(f"k{i}") for i, name in enumerate(same)]) if same else F.lit(0)
+        return F.struct(key.alias("key"), e["lo"].alias("lo"), e["hi"].alias("hi"), *[t(e).alias(f"t{k}") for k, t in enumerate(tests)])
+
+    def ripe(w: Column, e: Column) -> Column:
+        return F.date_add(w["hi"], gap) <= e["lo"]
+
+    def reached(acc: Column, k: int, e: Column) -> Column:
+        """The latest start of events of step k that e may follow; without a largest gap, the earliest end of step k."""
+        passed = F.array_max(F.transform(F.filter(acc[f"w{k}"], lambda w: ripe(w, e)), lambda w: w["lo"]))
+        return F.greatest(acc[f"b{k}"], passed)
+
+    def step(acc: Column, e: Column) -> Column:
+        # What was reached under other values of the same fields doesn't count.
+        fresh = ~acc["key"].eqNullSafe(e["key"]) if same else F.lit(False)
+        made, held = [e["key"].alias("key")], F.lit(False)
+        for k in range(last + 1):
+            if k:
+                if high is None:
+                    follows = F.date_add(acc[f"b{k - 1}"], gap) <= e["lo"]
+                else:
+                    follows = F.date_add(reached(acc, k - 1, e), high) >= e["hi"]
+                fits = e[f"t{k}"] & F.coalesce(follows, F.lit(False)) & ~fresh
+            else:
+                fits = e["t0"]
+            if k == last:
+                held = fits
+            elif high is None:
+                before = F.when(~fresh, acc[f"b{k}"])
+                made.append(F.when(fits, F.least(before, e["hi"])).otherwise(before).alias(f"b{k}"))
+            else:
+                made.append(F.when(~fresh, reached(acc, k, e)).alias(f"b{k}"))
+                rest = F.when(fresh, F.array().cast(waiting)).otherwise(F.filter(acc[f"w{k}"], lambda w: ~ripe(w, e)))
+                mine = F.array(F.struct(e["hi"].alias("hi"), e["lo"].alias("lo")))
+                made.append(F.when(fits, F.concat(F.filter(rest, lambda w: w["hi"] < e["hi"]), mine)).otherwise(rest).alias(f"w{k}"))
+        return F.struct(*made, (acc["found"] | held).alias("found"))
+
+    order = F.array_sort(F.transform(F.filter("events", usable), role))
+    none = F.lit(None).cast("date")
+    start = [F.lit(None).alias("key") if same else F.lit(0).alias("key")]
+    for k in range(last):
+        start += [none.alias(f"b{k}")] + ([F.array().cast(waiting).alias(f"w{k}")] if high is not None else [])
+    if same:
+        # The key's type is that of the events; a null of it comes from an event that isn't there.
+        start[0] = F.try_element_at(order, F.size(order) + 1)["key"].alias("key")
+    return F.coalesce(F.aggregate(order, F.struct(*start, F.lit(False).alias("found")), step, lambda acc: acc["found"]), F.lit(False))
 
 
 def compile_rule(rule: dict) -> Column:

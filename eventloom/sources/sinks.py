@@ -52,8 +52,24 @@ def code_state(*modules) -> dict:
     return {"code": files, "commit": head.stdout.strip() if found else None, "clean": not changed.stdout.strip() if found else None}
 
 
+def replace_file(spark: SparkSession, staged, target) -> None:
+    """Rename a file over another in one step: what stood there is gone only once the new one is there. Both are Hadoop paths on one file system."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    if fs.makeQualified(target).toUri().getScheme() == "file":
+        # POSIX renames over what is there.
+        if not fs.rename(staged, target):
+            raise OSError(f"can't rename to {target}")
+        return
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), options)
+
+
 def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -> None:
-    """A text file that is there in full or not at all: written beside the path, then renamed over it."""
+    """A text file that is there in full or not at all: written beside the path, then renamed over it in one step."""
     jvm = spark.sparkContext._jvm
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -64,10 +80,7 @@ def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -
         out.write(bytearray(text.encode()))
         out.hsync()
         out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(staged, target):
-            raise OSError(f"can't rename to {path}")
+        replace_file(spark, staged, target)
     finally:
         if fs.exists(staged):
             fs.delete(staged, False)

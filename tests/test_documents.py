@@ -74,41 +74,64 @@ def test_search_queries(spark):
     assert rows(found.filter("query_no = 0"), "query") == [("AI market size forecast",)]
 
 
+PAIR = "atom string, track string, rule string, taints array<string>, event_dimension string, anchor_dimension string, structural_dimension string, component_dimension string"
+
+
 def pair(rule, **more):
-    return {"id": "p", "track": "ACTION_ELIGIBLE", "rule": rule, "taints": [], "event_dimension": "e", "anchor_dimension": "e", "structural_dimension": "s", "component_dimension": "s"} | more
-
-
-@pytest.mark.parametrize(
-    "rule, more, reason",
-    [
-        (cp.PATTERNS["view_then_click"], {}, None),
-        ({"op": "present", "selector": cp._one("exit")}, {}, "exit_event"),
-        ({"op": "present", "selector": cp._one("other")}, {}, "event_type_other"),
-        (cp._compare({"field": "chain.outcome_type"}, "eq", "x"), {}, "outcome_type"),
-        (cp._compare({"field": "derived.outcome_round_bucket"}, "in", ["seed", "unknown"]), {}, "round_unknown_or_other"),
-        (cp.PATTERNS["late_click"], {}, "end_relative_timing"),
-        (cp._compare({"field": "derived.chain_duration_days"}, "gte", 1), {}, "duration"),
-        (cp._compare({"field": "derived.company_chain_count"}, "gte", 1), {}, "future_only"),
-        (cp.PATTERNS["many_exposures"], {"taints": ["future"]}, "future_only"),
-        ({"op": "compare", "left": {"field": "derived.middle_span_min"}, "cmp": "not_null"}, {}, "nullness_test"),
-        (cp._compare({"field": "derived.interface_investor_basis"}, "eq", "none"), {}, "data_quality_basis_or_known_date"),
-        (cp.PATTERNS["many_exposures"], {"anchor_dimension": "x"}, "not_human_readable"),
-        (None, {}, "not_human_readable"),
-    ],
-)
-def test_removal(rule, more, reason):
-    assert review.removal_reason(pair(rule, **more)) == reason
+    rule = rule if rule is None or isinstance(rule, str) else rules.canonical_json(rules.canonical(rule))
+    made = {"atom": "p", "track": "ACTION_ELIGIBLE", "rule": rule, "taints": [], "event_dimension": "e", "anchor_dimension": "e", "structural_dimension": "s", "component_dimension": "s"} | more
+    return tuple(made[c.split()[0]] for c in PAIR.split(", "))
+
+
+REMOVALS = [
+    (cp.PATTERNS["view_then_click"], {}, None),
+    ({"op": "present", "selector": cp._one("exit")}, {}, "exit_event"),
+    (json.dumps({"op": "present", "selector": cp._one(" Exit ")}), {}, "exit_event"),
+    ({"op": "present", "selector": cp._one("other")}, {}, "event_type_other"),
+    (cp._compare({"field": "chain.outcome_type"}, "eq", "x"), {}, "outcome_type"),
+    (cp._compare({"field": "derived.outcome_round_bucket"}, "in", ["seed", "unknown"]), {}, "round_unknown_or_other"),
+    (cp._compare({"field": "derived.outcome_round_bucket"}, "eq", "Other"), {}, "round_unknown_or_other"),
+    (cp._compare({"field": "derived.outcome_round_bucket"}, "eq", "seed"), {}, None),
+    (cp.PATTERNS["late_click"], {}, "end_relative_timing"),
+    (cp._compare({"field": "derived.chain_duration_days"}, "gte", 1), {}, "duration"),
+    (cp.PATTERNS["many_exposures"], {"structural_dimension": "duration", "component_dimension": "duration"}, "duration"),
+    (cp._compare({"field": "derived.company_chain_count"}, "gte", 1), {}, "future_only"),
+    (cp.PATTERNS["many_exposures"], {"taints": ["end", "future"]}, "future_only"),
+    (cp.PATTERNS["many_exposures"], {"taints": None}, None),
+    ({"op": "compare", "left": {"field": "derived.middle_span_min"}, "cmp": "not_null"}, {}, "nullness_test"),
+    (cp._compare({"field": "derived.interface_investor_basis"}, "eq", "none"), {}, "data_quality_basis_or_known_date"),
+    (cp._sequence("a", "b", same=["event.participant_basis"]), {}, "data_quality_basis_or_known_date"),
+    ({"op": "all", "rules": [cp.PATTERNS["late_click"], {"op": "not", "rule": {"op": "any", "rules": [cp.PATTERNS["two_views"], {"op": "absent", "selector": cp._one("exit")}]}}]}, {}, "exit_event"),
+    (cp.PATTERNS["many_exposures"], {"anchor_dimension": "x"}, "not_human_readable"),
+    (cp.PATTERNS["many_exposures"], {"component_dimension": None}, "not_human_readable"),
+    (None, {}, "not_human_readable"),
+    ("[1, 2", {}, "not_human_readable"),
+    ('["exit"]', {}, "not_human_readable"),
+]
+
+
+def test_removal(spark):
+    df = spark.createDataFrame([pair(r, atom=str(k), **more) for k, (r, more, _) in enumerate(REMOVALS)], PAIR)
+    found = {r.atom: r for r in review.reviewed(df).collect()}
+    assert [found[str(k)].reason for k in range(len(REMOVALS))] == [reason for *_, reason in REMOVALS]
+    for k, (rule, _, _) in enumerate(REMOVALS):
+        if isinstance(rule, dict):
+            assert found[str(k)].complexity == rules.complexity(rules.canonical(rule))
+    deep = "[" * 40 + "]" * 40
+    with pytest.raises(Exception, match="nested deeper"):
+        review.reviewed(spark.createDataFrame([pair(deep)], PAIR)).collect()
 
 
 def test_representatives(spark):
-    pairs = [pair(r) | {"id": k} for k, r in cp.PATTERNS.items()]
-    masks = spark.createDataFrame([(k, "m1" if n % 2 else "m2") for n, k in enumerate(cp.PATTERNS)], "atom string, mask string")
-    found = review.representatives(review.catalog(spark, pairs), masks).collect()
-    kept = [p for p in pairs if review.removal_reason(p) is None]
-    for r in found:
-        mine = [p for p in kept if dict(rows(masks))[p["id"]] == r.mask]
-        best = min(mine, key=lambda p: (rules.complexity(p["rule"]), len(rules.render(p["rule"]).split()), len(rules.render(p["rule"])), rules.canonical_json(p["rule"]), p["id"]))
-        assert (r.atom, r.n_members) == (best["id"], len(mine))
+    kept = {k: rules.canonical(r) for k, r in cp.PATTERNS.items() if k != "late_click"}
+    df = spark.createDataFrame([pair(r, atom=k) for k, r in cp.PATTERNS.items()] + [pair('{"op":"nonsense"}', atom="unsound")], PAIR)
+    masks = spark.createDataFrame([(k, "m1" if n % 2 else "m2") for n, k in enumerate([*cp.PATTERNS, "unsound"])], "atom string, mask string")
+    made = review.catalog(df)
+    assert dict(rows(made, "atom", "reason"))["unsound"] == "not_human_readable"
+    for r in review.representatives(made, masks).collect():
+        mine = [k for k in kept if dict(rows(masks))[k] == r.mask]
+        best = min(mine, key=lambda k: (rules.complexity(kept[k]), len(rules.render(kept[k]).split()), len(rules.render(kept[k])), rules.canonical_json(kept[k]), k))
+        assert (r.atom, r.n_members) == (best, len(mine))
 
 
 def test_features_and_profiles(spark):

@@ -109,13 +109,6 @@ def test_threshold_steps_of_a_hot_investor(spark):
     assert rows(behavior.threshold_grid(small)) == sorted(want, key=lambda r: tuple((False, str(x)) for x in r))
 
 
-def test_masks_gather_no_members(spark):
-    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("b", "x"), ("c", "x")], "atom string, company_id string")
-    found = dict(rows(lattice.masks(df)))
-    assert found["a"] == found["b"] != found["c"]
-    assert "collect_set" not in lattice.masks(df)._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_witnessed_tuples(spark):
     import itertools
     import random
