@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -52,35 +54,48 @@ def code_state(*modules) -> dict:
     return {"code": files, "commit": head.stdout.strip() if found else None, "clean": not changed.stdout.strip() if found else None}
 
 
-def replace_file(spark: SparkSession, staged, target) -> None:
-    """Rename a file over another in one step: what stood there is gone only once the new one is there. Both are Hadoop paths on one file system."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = target.getFileSystem(conf)
-    if fs.makeQualified(target).toUri().getScheme() == "file":
-        # POSIX renames over what is there.
-        if not fs.rename(staged, target):
-            raise OSError(f"can't rename to {target}")
-        return
-    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), options)
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on this machine's disk, if that is what it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
 
 
 def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -> None:
-    """A text file that is there in full or not at all: written beside the path, then renamed over it in one step."""
-    jvm = spark.sparkContext._jvm
+    """A text file that is there in full or not at all: written beside the path, then renamed over it in one step.
+
+    What stood there before is gone only once the new text is there.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = target.getFileSystem(conf)
     if fs.exists(target) and not force:
         raise FileExistsError(path)
+    if (local := local_path(spark, path)) is not None:
+        beside = f"{local}.{uuid.uuid4().hex}"
+        try:
+            with open(beside, "w", encoding="utf-8", newline="") as out:
+                out.write(text)
+                out.flush()
+                os.fsync(out.fileno())
+            # A checksum that an earlier writer left isn't this text's.
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(os.path.join(os.path.dirname(local), f".{os.path.basename(local)}.crc"))
+            os.replace(beside, local)
+        finally:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(beside)
+        return
     try:
         out = fs.create(staged)
         out.write(bytearray(text.encode()))
         out.hsync()
         out.close()
-        replace_file(spark, staged, target)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), options)
     finally:
         if fs.exists(staged):
             fs.delete(staged, False)

@@ -14,6 +14,7 @@ a pointer isn't JSON yet, and for GRACE seconds counts as somebody's publication
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
@@ -44,24 +45,21 @@ def _fs(spark: SparkSession, path: str):
 
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Create a file with this text; false, and nothing done, if there is one."""
-    jvm = spark.sparkContext._jvm
     fs, where = _fs(spark, path)
     fs.mkdirs(where.getParent())
-    local = fs.makeQualified(where).toUri()
-    if local.getScheme() == "file":
-        staged = jvm.java.nio.file.Paths.get(f"{local.getPath()}.{uuid.uuid4().hex}", spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
-        target = jvm.java.nio.file.Paths.get(local.getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
-        files, options = jvm.java.nio.file.Files, spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 0)
+    if (local := sinks.local_path(spark, path)) is not None:
+        staged = f"{local}.{uuid.uuid4().hex}"
         try:
-            files.write(staged, bytearray(text.encode()), options)
-            files.createLink(target, staged)
+            with open(staged, "w", encoding="utf-8") as out:
+                out.write(text)
+                out.flush()
+                os.fsync(out.fileno())
+            os.link(staged, local)
             return True
-        except Exception as fault:
-            if "FileAlreadyExists" in str(fault):
-                return False
-            raise
+        except FileExistsError:
+            return False
         finally:
-            files.deleteIfExists(staged)
+            os.remove(staged)
     try:
         out = fs.create(where, False)
     except Exception as fault:
