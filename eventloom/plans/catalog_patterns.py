@@ -212,7 +212,7 @@ def sequence_matches(spark, sf_dir):
 
 
 #: A rule's text for each line item, with values of its columns; SQL that both engines read.
-_FIRST = """'{"op":"present","selector":{"family":"any","scope":"middle_events","where":[{"cmp":"eq","field":"event.event_type","value":"' || CASE l_shipmode WHEN 'AIR' THEN 'exit' WHEN 'FOB' THEN ' Other ' ELSE lower(l_shipmode) END || '"}]}}'"""
+_FIRST = """'{"op":"present","selector":{"family":"any","scope":"middle_events","where":[{"cmp":"eq","field":"event.event_type","value":"' || CASE l_partkey % 7 WHEN 0 THEN 'exit' WHEN 1 THEN ' Other ' ELSE 'type_' || CAST(l_partkey % 7 AS VARCHAR(9)) END || '"}]}}'"""
 _OF_FIELD = """'{"cmp":"' || {cmp} || '","left":{"field":"' || {field} || '"},"op":"compare"' || {right} || '}'"""
 _SECOND = " ".join(
     f"WHEN {k} THEN {sql}"
@@ -228,7 +228,7 @@ _SECOND = " ".join(
         1,
     )
 )
-_RULE = f"""CASE WHEN l_suppkey % 97 = 0 THEN NULL ELSE '{{"op":"' || op || '","rules":[' || {_FIRST} || ',' || CASE l_linenumber {_SECOND} ELSE '["' || lower(l_shipinstruct) || '"]' END || ']}}' END"""
+_RULE = f"""CASE WHEN l_suppkey % 97 = 0 THEN NULL ELSE '{{"op":"' || op || '","rules":[' || {_FIRST} || ',' || CASE l_linenumber {_SECOND} ELSE '["' || lower(l_returnflag) || '"]' END || ']}}' END"""
 
 
 def policy_review(spark, sf_dir):
@@ -443,7 +443,7 @@ QUERIES = {
       UNION ALL SELECT DISTINCT 'one_person', x.company_id, x.chain_sequence FROM mp x JOIN mp y USING (company_id, chain_sequence, person) JOIN mp z USING (company_id, chain_sequence, person) WHERE x.event_type = 'view' AND y.event_type = 'view' AND z.event_type = 'view' AND x.hi < y.lo AND y.hi < z.lo
       UNION ALL SELECT DISTINCT 'quick', x.company_id, x.chain_sequence FROM mid x JOIN mid y USING (company_id, chain_sequence) WHERE x.event_type = 'click' AND y.event_type = 'view' AND x.hi < y.lo AND y.hi - x.lo <= 2"""),
     "policy_review": (policy_review, """WITH r AS (SELECT *, l_suppkey % 97 = 0 AS gone FROM lineitem CROSS JOIN (VALUES ('all'), ('any')) AS ops(op))
-      SELECT l_orderkey, l_linenumber, op, CASE WHEN gone THEN 'not_human_readable' WHEN l_shipmode = 'AIR' THEN 'exit_event' WHEN l_shipmode = 'FOB' THEN 'event_type_other' WHEN l_linenumber = 5 AND l_linestatus = 'O' THEN 'outcome_type'
+      SELECT l_orderkey, l_linenumber, op, CASE WHEN gone THEN 'not_human_readable' WHEN l_partkey % 7 = 0 THEN 'exit_event' WHEN l_partkey % 7 = 1 THEN 'event_type_other' WHEN l_linenumber = 5 AND l_linestatus = 'O' THEN 'outcome_type'
         WHEN l_linenumber = 2 AND l_returnflag IN ('A', 'R') THEN 'round_unknown_or_other' WHEN l_linenumber = 3 AND l_linestatus = 'O' THEN 'end_relative_timing' WHEN l_discount = 0.10 OR l_linenumber = 4 AND l_returnflag = 'A' THEN 'duration'
         WHEN l_discount = 0.01 OR l_linenumber = 4 AND l_returnflag = 'N' THEN 'future_only' WHEN l_linenumber = 6 AND l_returnflag IN ('A', 'N') THEN 'nullness_test' WHEN l_linenumber = 4 THEN 'data_quality_basis_or_known_date'
         WHEN l_tax = 0.08 OR l_suppkey % 89 = 0 THEN 'not_human_readable' END AS reason,
