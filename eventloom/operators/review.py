@@ -38,16 +38,22 @@ def _children(node: Column) -> Column:
     return F.coalesce(F.map_values(F.try_variant_get(node, "$", "map<string,variant>")), F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
+def _is_object(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
+
+
 def nodes(rule: Column) -> Column:
-    """All values inside a rule's JSON text, itself first, as an array of variants: one level of the tree after the other."""
+    """All objects inside a rule's JSON text, itself first, as an array of variants: one level of the tree after the other."""
     root = F.array(F.try_parse_json(rule))
 
     def deeper(acc: Column, _: Column) -> Column:
         below = F.flatten(F.transform(acc["front"], _children))
-        return F.struct(below.alias("front"), F.concat(acc["seen"], below).alias("seen"))
+        found = F.struct(below.alias("front"), F.concat(acc["seen"], F.filter(acc["front"], _is_object)).alias("seen"))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(found)
 
     too_deep = F.raise_error(F.lit(f"a rule is nested deeper than {DEEPEST}")).cast("array<variant>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), F.struct(root.alias("front"), root.alias("seen")), deeper, lambda acc: F.when(F.size(acc["front"]) > 0, too_deep).otherwise(acc["seen"]))
+    none = F.array().cast("array<variant>")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), F.struct(root.alias("front"), none.alias("seen")), deeper, lambda acc: F.when(F.size(acc["front"]) > 0, too_deep).otherwise(acc["seen"]))
 
 
 def _texts(node: Column, path: str) -> Column:
@@ -56,10 +62,6 @@ def _texts(node: Column, path: str) -> Column:
     return F.transform(F.coalesce(several, F.array(F.try_variant_get(node, path, "string"))), lambda x: F.lower(F.trim(x)))
 
 
-def _is_object(node: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
-
-
 def reviewed(pairs: DataFrame) -> DataFrame:
     """Adds reason, the first of REASONS to remove a pair (null: kept), and complexity, the objects in its rule; statistics play no part.
 
@@ -88,8 +90,8 @@ def reviewed(pairs: DataFrame) -> DataFrame:
     reason = reduce(lambda rest, name: F.when(tests[name], name).otherwise(rest), reversed(REASONS), F.lit(None).cast("string"))
     names = F.filter(F.concat(F.transform("_nodes", lambda x: text(x, "$.field")), F.flatten(F.transform("_nodes", lambda x: F.coalesce(F.try_variant_get(x, "$.same_values", "array<string>"), F.array().cast("array<string>"))))), lambda f: f.isNotNull())
     rows = pairs.withColumn("_nodes", nodes(F.col("rule"))).withColumn("_fields", names)
-    sound = _is_object(F.col("_nodes")[0])
-    objects = F.size(F.filter("_nodes", _is_object))
+    sound = F.coalesce(_is_object(F.try_parse_json("rule")), F.lit(False))
+    objects = F.size("_nodes")
     return rows.withColumns({"reason": F.when(sound, reason).otherwise("not_human_readable"), "complexity": F.when(sound, objects)}).drop("_nodes", "_fields")
 
 
