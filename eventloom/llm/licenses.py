@@ -11,7 +11,8 @@ all listed notices then.
 
 A prediction counts only if a template of the family confirms it: its core, the words in
 brackets that tell the licence from its kin, stands in the paragraph word for word, and so
-do CONFIRM_PERCENT of its words. Else the paragraph is ``unknown``.
+do CONFIRM_PERCENT of its words, and no word near the core denies it ("not under the ...",
+"moved away from ..."). Else the paragraph is ``unknown``.
 
 A paragraph is a line, or, since notices are wrapped and stand in comments, a line with
 those that follow it: up to a line without words, or until these have as many words as the
@@ -35,7 +36,7 @@ import functools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import materialize
@@ -52,6 +53,7 @@ NOTICES = {
         "Released under the [MIT License].",
         '[Permission is hereby granted, free of charge, to any person obtaining a copy of this software] and associated documentation files (the "Software"), to deal in the Software without restriction.',
         "This code is distributed under the terms of the [MIT License].",
+        "An [MIT licence].",
     ),
     "ISC": (
         "Released under the [ISC License].",
@@ -113,6 +115,50 @@ NOTICES |= {
 #: SPDX identifiers where they aren't the family's name.
 SPDX = {name: (f"{name}-only", f"{name}-or-later") for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")} | {"BSD": ()}
 NOTICES = {family: (*(f"SPDX-License-Identifier: {x}".replace("SPDX", "[SPDX") + "]" for x in SPDX.get(family, (family,))), *notices) for family, notices in NOTICES.items()}
+#: How licences are named in passing, with a word that says licence.
+NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2", "Apache 2 license", "Apache-2.0 license", "Apache Software License 2.0"),
+    "MIT": ("MIT licence", "MIT/Expat license", "Expat license"),
+    "ISC": ("ISC licence",),
+    "BSD-2-Clause": ("2-clause BSD license", "two-clause BSD license", "BSD-2-Clause license", "FreeBSD license"),
+    "BSD-3-Clause": ("3-clause BSD license", "three-clause BSD license", "BSD-3-Clause license", "modified BSD license", "revised BSD license"),
+    "GPL-2.0": ("version 2 of the GNU General Public License", "GNU General Public License v2", "GNU General Public License v2.0", "GNU GPL v2 license", "GPL v2 license", "GPL-2.0 license"),
+    "GPL-3.0": ("version 3 of the GNU General Public License", "GNU General Public License v3", "GNU General Public License v3.0", "GNU GPL v3 license", "GPL v3 license", "GPL-3.0 license"),
+    "LGPL-2.1": ("version 2.1 of the GNU Lesser General Public License", "GNU Lesser General Public License v2.1", "LGPLv2.1 license", "LGPL v2.1 license", "LGPL-2.1 license"),
+    "LGPL-3.0": ("version 3 of the GNU Lesser General Public License", "GNU Lesser General Public License v3", "LGPLv3 license", "LGPL v3 license", "LGPL-3.0 license"),
+    "AGPL-3.0": ("version 3 of the GNU Affero General Public License", "GNU Affero General Public License v3", "AGPLv3 license", "AGPL v3 license", "AGPL-3.0 license"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0 license", "MPL-2.0 license"),
+    "EPL-2.0": ("Eclipse Public License v2.0", "EPL 2.0 license", "EPL-2.0 license"),
+    "Unlicense": ("The Unlicense",),
+    "BSL-1.0": ("Boost Software License", "BSL-1.0 license"),
+    "Zlib": ("zlib licence", "zlib/libpng license"),
+    "CC0-1.0": ("CC0 license", "CC0-1.0 license", "CC0 1.0 license"),
+} | {f"CC-{code}-4.0": (f"CC {code} 4.0 license", f"CC-{code}-4.0 license", f"Creative Commons {name} 4.0 International license") for code, name in COMMONS.items()}
+#: Short forms that stand after "license" or "licensed under".
+SHORT = {
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0"), "MIT": ("MIT",), "ISC": ("ISC",), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",),
+    "GPL-2.0": ("GPLv2", "GPL v2", "GNU GPL v2", "GNU GPLv2", "GPL-2.0"), "GPL-3.0": ("GPLv3", "GPL v3", "GNU GPL v3", "GNU GPLv3", "GPL-3.0"), "LGPL-2.1": ("LGPLv2.1", "LGPL v2.1", "GNU LGPL v2.1", "LGPL-2.1"),
+    "LGPL-3.0": ("LGPLv3", "LGPL v3", "GNU LGPL v3", "LGPL-3.0"), "AGPL-3.0": ("AGPLv3", "AGPL v3", "GNU AGPL v3", "AGPL-3.0"), "MPL-2.0": ("MPL-2.0", "MPL 2.0"), "EPL-2.0": ("EPL-2.0", "EPL 2.0"),
+    "BSL-1.0": ("BSL-1.0",), "Zlib": ("zlib",), "CC0-1.0": ("CC0", "CC0-1.0"),
+} | {f"CC-{code}-4.0": (f"CC-{code}-4.0",) for code in COMMONS}
+#: Addresses of the Creative Commons licences.
+ADDRESSES = {"CC0-1.0": "https://[creativecommons.org/publicdomain/zero/1.0]/ has the public domain dedication."} | {f"CC-{code}-4.0": f"License: https://[creativecommons.org/licenses/{code.lower()}/4.0]/" for code in COMMONS}
+NOTICES = {
+    family: (
+        *notices,
+        *(f"Licensed under [{x}]." for x in NAMES.get(family, ())),
+        *(form.format(x) for x in SHORT.get(family, ()) for form in ('"[license": "{}]"', "[License: the {}]", "[Licensed under {}].", "[Licensed under the {}].")),
+        *([ADDRESSES[family]] if family in ADDRESSES else []),
+    )
+    for family, notices in NOTICES.items()
+}
+#: Words that deny a licence which is named up to REACH words after them, and what denies it after its name.
+DENYING = (
+    "not", "no", "never", "nor", "neither", "longer", "cannot", "isn", "aren", "wasn", "weren", "don", "doesn", "didn", "away", "unlike", "instead", "rather", "formerly", "previously", "former", "previous",
+    "incompatible", "except", "dropped", "drops", "abandoned", "replaced", "replaces", "replacing",
+)
+DENIED_AFTER = r"^(?:\S+ ){0,4}(?:no longer|not apply|not cover|not the license|not our|is not|are not|was replaced|was dropped|incompatible|until)(?: |$)"
+REACH = 6
 #: Notices of families that aren't told apart here; only the calibration sees them.
 UNLISTED = (
     "Licensed under the European Union Public Licence, version 1.2.",
@@ -163,7 +209,7 @@ OTHERS = (
 OPENINGS = ("{}", "This project is {}", "Note: {}", "{} See the file for details.", "(c) the authors. {}", "The text of this page: {}")
 #: At least one of them is in a paragraph about a licence, and one in the core of each notice.
 CUES = (
-    "licen[sc]e", "copyright", "redistribut", "permission is hereby", "permission to use", "public domain", "creative commons", "without warrant",
+    "licen[sc]e", "copyright", "redistribut", "permission is hereby", "permission to use", "public domain", "creative commons", "creativecommons", "without warrant",
     "without any express", "spdx", "cc by", "cc0", "all rights reserved",
 )
 
@@ -237,8 +283,9 @@ def _trained(rows: list[tuple[str, str]], classes: list[str]) -> tuple[list[str]
             counts[f] = counts.get(f, 0) + 1
     names = sorted(f for f, n in counts.items() if n >= 3)
     x, y = _matrix(rows, names), np.array([classes.index(f) for f, _ in rows])
-    # Families have different numbers of notices; each weighs the same.
-    share = 1.0 / np.bincount(y, minlength=len(classes))[y]
+    # Families have different numbers of notices; each weighs the same. In a family, a notice weighs as the root of its length.
+    length = np.sqrt([len(words_of(p)) for _, p in rows])
+    share = length / np.bincount(y, length, len(classes))[y]
     share = (share / share.sum())[:, None]
     target = np.eye(len(classes))[y]
     weight, bias = np.zeros((len(names), len(classes))), np.zeros(len(classes))
@@ -300,6 +347,14 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return units.filter(wanted).drop("is_run")
 
 
+def _denied(text: Column, core: Column) -> Column:
+    """Whether words shortly before a core, or after it, deny the licence that it names."""
+    before = F.call_function("substring_index", text, core, F.lit(1))
+    after = F.call_function("substring", text, F.length(before) + F.length(core) + 1)
+    near = F.slice(F.reverse(F.split(F.trim(before), " ")), 1, REACH)
+    return F.arrays_overlap(near, F.array(*map(F.lit, DENYING))) | after.rlike(DENIED_AFTER)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line with a cue word and per wrapped notice: doc_id, line_no (from 0; the first of a wrapped notice), n_lines, family, predicted, probability, confirmed."""
     spark = docs.sparkSession
@@ -326,7 +381,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     scored = scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, classes)), best.cast("int"))).drop("logits", "powers")
 
     joined = scored.join(F.broadcast(compared), "predicted").withColumn("pairs", pairs).withColumn("text", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    fits = F.filter("templates", lambda t: F.col("text").contains(t["core"]) & (100 * F.size(F.array_intersect(t["words"], "words")) >= CONFIRM_PERCENT * F.size(t["words"])))
+    fits = F.filter("templates", lambda t: F.col("text").contains(t["core"]) & (100 * F.size(F.array_intersect(t["words"], "words")) >= CONFIRM_PERCENT * F.size(t["words"])) & ~_denied(F.col("text"), t["core"]))
     share = F.array_max(F.transform(fits, lambda t: F.size(F.array_intersect(t["pairs"], "pairs")) / F.greatest(F.size(t["pairs"]), F.lit(1))))
     joined = joined.withColumn("share", share).drop("templates", "pairs", "text", "words")
     confirmed = F.col("share").isNotNull() & (F.col("probability") >= model["least"]) & ((F.col("n_lines") == 1) | (100 * F.col("share") >= CONFIRM_PERCENT))

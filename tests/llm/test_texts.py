@@ -353,6 +353,11 @@ def brute_licenses(text):
         if len(run) > len(own) and any(f" {core} " in f" {' '.join(run)} " for _, _, core in listed):
             units.append(last)
     bigrams = lambda words: {" ".join(p) for p in zip(words, words[1:])}
+
+    def denied(words, core):
+        before, _, after = f" {' '.join(words)} ".partition(f" {core} ")
+        return bool(set(before.split()[-licenses.REACH :]) & set(licenses.DENYING)) or re.search(licenses.DENIED_AFTER, after) is not None
+
     judged = []
     for i, n, words in units:
         mine = [f for f in {*words} | bigrams(words) if f in model["names"]]
@@ -360,7 +365,7 @@ def brute_licenses(text):
         power = [math.exp((x - max(score)) / model["temperature"]) for x in score]
         k = power.index(max(power))
         probability, predicted = power[k] / sum(power), model["classes"][k]
-        shares = [len(bigrams(t) & bigrams(words)) / len(bigrams(t)) for f, t, core in listed if f == predicted and f" {core} " in f" {' '.join(words)} " and 100 * len({*t} & {*words}) >= 60 * len({*t})]
+        shares = [len(bigrams(t) & bigrams(words)) / len(bigrams(t)) for f, t, core in listed if f == predicted and f" {core} " in f" {' '.join(words)} " and 100 * len({*t} & {*words}) >= 60 * len({*t}) and not denied(words, core)]
         sure = bool(shares) and probability >= model["least"] and (n == 1 or max(shares) >= 0.6)
         if sure or n == 1:
             judged.append((i, n, predicted, probability, sure, max(shares, default=0)))
@@ -425,6 +430,30 @@ def test_license_families_are_told_apart(spark, text, family):
     assert {r.family for r in found} == {family}
 
 
+#: Wordings, most of which aren't among the templates.
+GIVEN = [
+    ("Licensed under MIT.", "MIT"), ('"license": "MIT"', "MIT"), ("The code has an MIT licence.", "MIT"), ("This repository uses the Apache License 2.0.", "Apache-2.0"), ("It comes with a 3-clause BSD license.", "BSD-3-Clause"),
+    ("License: GPLv3+", "GPL-3.0"), ("Licensed under the GNU GPL v3 or later.", "GPL-3.0"), ("You can use it under version 2 of the GNU General Public License.", "GPL-2.0"), ("https://creativecommons.org/licenses/by-sa/4.0/", "CC-BY-SA-4.0"),
+    ("license = 'Apache-2.0'", "Apache-2.0"), ("Dual use is fine: everything here is licensed under Apache 2.0.", "Apache-2.0"), ("The docs are under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("License: MPL-2.0", "MPL-2.0"),
+    ("Distributed under the Mozilla Public License 2.0", "MPL-2.0"), ("licensed under the LGPL v3", "LGPL-3.0"), ("This package has the two-clause BSD license.", "BSD-2-Clause"), ("Covered by the GNU Affero General Public License v3.", "AGPL-3.0"), ("Licensed under the Boost Software License.", "BSL-1.0"),
+]
+DENIED = [
+    "This is not under the MIT License.", "We moved away from the MIT License in 2019 and are now proprietary.", "This project is no longer available under the Apache License 2.0.", "Unlike projects under the GPLv3 license, ours is proprietary.",
+    "The MIT License does not apply to this file.", "Our own terms replaced the Apache 2.0 License.", "It was formerly licensed under the Mozilla Public License 2.0.", "These fonts are not licensed under the ISC License.", "You can't use this: it isn't licensed under MIT.",
+]
+NEAR = ["Licensed under the Apache License, Version 1.1.", "License: MPL-1.1", "Licensed under the Eclipse Public License v1.0.", "Licensed under the GNU General Public License v1.", "https://creativecommons.org/licenses/by/3.0/", "Licensed under MIT-0.", "License: Artistic-2.0", "Licensed under the Microsoft Public License.", "MIT researchers got a license for the trial."]
+
+
+def test_licenses_as_people_name_and_deny_them(spark):
+    """Wordings that aren't among the notices; licences that a text denies; other versions and kin of listed ones."""
+    data = [(t, f) for t, f in GIVEN] + [(t, "unknown") for t in (*DENIED, *NEAR)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(t, t) for t, _ in data], "doc_id string, text string")).collect()}
+    wrong = {t: found[t].family if t in found else None for t, f in data if (found[t].family if t in found else "unknown") != f}
+    assert not wrong
+    known = licenses.templates()
+    assert sum(sorted(set(licenses.words_of(t))) in [w for _, _, w, _ in known] for t, _ in GIVEN) <= len(GIVEN) / 2
+
+
 def test_license_lines_of_many_words_are_scored_once(spark):
     """Time grows with the words of a line, not with their square."""
     import time
@@ -457,7 +486,7 @@ def test_wrapped_licenses(spark, width, mark):
 
 
 def test_spdx_licenses(spark):
-    listed = {n[1:].split("]")[0].split(": ")[1]: f for f, ns in licenses.NOTICES.items() for n in ns if "SPDX" in n}
+    listed = {n[1:].split("]")[0].split(": ")[1]: f for f, ns in licenses.NOTICES.items() for n in ns if n.startswith("[SPDX")}
     data = [(family, f"x\n// SPDX-License-Identifier: {x}\ny") for x, family in listed.items()] + [("unknown", "# SPDX-License-Identifier: Foo-1.0")]
     found = licenses.scan(spark.createDataFrame(data, "doc_id string, text string")).collect()
     assert len(listed) > 20 and len(found) == len(data) and all(r.family == r.doc_id for r in found)
