@@ -168,6 +168,12 @@ def ascii_slug(name: Column) -> Column:
     return F.substring(F.translate(text, "_", "-"), 1, 50)
 
 
+def any_slug(name: Column) -> Column:
+    """slug() of any name; only those that aren't ASCII go to Python."""
+    other = name.rlike(_NOT_ASCII)
+    return F.when(other, slug(F.when(other, name))).otherwise(ascii_slug(name))
+
+
 def company_id(number: Column, slug_: Column) -> Column:
     return F.format_string("co:%04d-%04d:%s", F.floor(number / 10000), number % 10000, slug_)
 

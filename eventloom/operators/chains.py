@@ -43,13 +43,14 @@ def match_investors(events: DataFrame, investors: DataFrame, name_col: str = "in
     """Adds investor_id by the name's slug, else by its normalized name, both against the investors' slugs.
 
     investors: investor_id, slug, row (the later row of a slug wins). A name that is null or
-    empty has none. Slugs are those of ASCII names (names.ascii_slug).
+    empty has none.
     """
     by_slug = investors.groupBy("slug").agg(F.max_by("investor_id", "row").alias("investor_id"))
     one = by_slug.select(F.col("slug").alias("_s1"), F.col("investor_id").alias("_i1"))
     two = by_slug.select(F.col("slug").alias("_s2"), F.col("investor_id").alias("_i2"))
-    joined = events.join(one, names.ascii_slug(F.col(name_col)) == F.col("_s1"), "left").join(two, names.normalize_name(F.col(name_col)) == F.col("_s2"), "left")
-    return joined.withColumn("investor_id", F.coalesce("_i1", "_i2")).drop("_s1", "_s2", "_i1", "_i2")
+    keyed = events.withColumns({"_slug": names.any_slug(F.col(name_col)), "_name": names.normalize_name(F.col(name_col))})
+    joined = keyed.join(one, F.col("_slug") == F.col("_s1"), "left").join(two, F.col("_name") == F.col("_s2"), "left")
+    return joined.withColumn("investor_id", F.coalesce("_i1", "_i2")).drop("_slug", "_name", "_s1", "_s2", "_i1", "_i2")
 
 
 def match_by_name(events: DataFrame, investors: DataFrame, name_col: str = "raw_investor_name") -> DataFrame:

@@ -102,30 +102,40 @@ def family_counts(docs: DataFrame, id_col: str, text_col: str, families: dict[st
     return docs.select(id_col, *counts)
 
 
+#: The expressions that find a card's parts, and the length of a description without an end.
+FOUNDING_YEAR = r"\*\*Founding\s+year\*\*:\s*`?(\d{4})`?"
+FOUNDED_ON = r"Founded\s+(\d{4})-\d{2}-\d{2}"
+PUBLIC_FIELD = r"(?i)\*\*Public/private\*\*:\s*`?\s*(public|private|equivocal|delisted)\s*`?"
+PROPOSAL = r"(?s)\*\*Original proposal description\*\*:(.*)$"
+PROPOSAL_END = r"\n\*\*[^*]+\*\*:|\n---"
+PROPOSAL_LENGTH = 3000
+SECTIONS = r"(?s)(---\s*\n\s*## 1\..*)$"
+YEAR = r"\b(20\d{2})\b"
+
+
 def founding_year(card: Column) -> Column:
-    field = F.regexp_extract(card, r"\*\*Founding\s+year\*\*:\s*`?(\d{4})`?", 1)
-    return F.coalesce(F.nullif(field, F.lit("")), F.nullif(F.regexp_extract(card, r"Founded\s+(\d{4})-\d{2}-\d{2}", 1), F.lit(""))).cast("int")
+    first = lambda pattern: F.nullif(F.regexp_extract(card, pattern, 1), F.lit(""))
+    return F.coalesce(first(FOUNDING_YEAR), first(FOUNDED_ON)).cast("int")
 
 
 def public_field(card: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(card, r"(?i)\*\*Public/private\*\*:\s*`?\s*(public|private|equivocal|delisted)\s*`?", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(card, PUBLIC_FIELD, 1)), F.lit(""))
 
 
 def proposal(card: Column) -> Column:
-    """The original description: up to the next bold field or rule, or 3000 characters where there is none."""
-    after = F.regexp_extract(card, r"(?s)\*\*Original proposal description\*\*:(.*)$", 1)
-    bounded = F.regexp_extract(after, r"(?s)^(.*?)(?:\n\*\*[^*]+\*\*:|\n---)", 1)
-    open_end = ~after.rlike(r"\n\*\*[^*]+\*\*:|\n---")
-    return F.trim(F.when(open_end, F.substring(after, 1, 3000)).otherwise(bounded))
+    """The original description: up to the next bold field or rule, or PROPOSAL_LENGTH characters where there is none."""
+    after = F.regexp_extract(card, PROPOSAL, 1)
+    bounded = F.regexp_extract(after, f"(?s)^(.*?)(?:{PROPOSAL_END})", 1)
+    return F.trim(F.when(after.rlike(PROPOSAL_END), bounded).otherwise(F.substring(after, 1, PROPOSAL_LENGTH)))
 
 
 def sections(card: Column) -> Column:
     """Everything from the first numbered section on."""
-    return F.regexp_extract(card, r"(?s)(---\s*\n\s*## 1\..*)$", 1)
+    return F.regexp_extract(card, SECTIONS, 1)
 
 
 def late_years(text: Column, founded: Column) -> Column:
-    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b(20\d{2})\b"), 1), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all(text, F.lit(YEAR), 1), lambda y: y.cast("int"))
     return F.coalesce(F.filter(years, lambda y: y > founded + GRACE), F.array().cast("array<int>"))
 
 

@@ -244,10 +244,18 @@ OVERLAY_FAULTS = (
 )
 
 
+def _faults(upto: int) -> str:
+    """The messages in SQL; those from ``upto`` on are about names, and empty where there are none."""
+    return ", ".join("'" + ("FAIL: " + m.replace("'", "''") if m and k < upto else "") + "'" for k, m in enumerate(OVERLAY_FAULTS))
+
+
 def overlay_records(spark, sf_dir):
-    """Recovery records of names that stand in a document, broken in known ways; from a title, or from a page where that is as good."""
-    k = F.col("doc_id") % len(OVERLAY_FAULTS)
-    rows = a.table(spark, sf_dir, "documents").filter(F.length("text") >= 80).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("int:"), F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 20)).alias("event_id"), F.sha2("text", 256).alias("row_hash"))
+    """Recovery records of names that stand in a document, broken in known ways; from a title, or from a page where that is as good.
+
+    Texts that are too short for the quote, or null, have a record that names nobody.
+    """
+    k, named = F.col("doc_id") % len(OVERLAY_FAULTS), F.length("title") >= 80
+    rows = a.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.col("text").alias("title"), F.concat(F.lit("int:"), F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 20)).alias("event_id"), F.sha2("text", 256).alias("row_hash"))
     start, name_start, size = 10, 5, 12
     quote = F.substring("title", start + 1, 40)
     name = F.substring(quote, name_start + 1, size)
@@ -260,7 +268,7 @@ def overlay_records(spark, sf_dir):
     one = F.struct(number(8, 1, 2).alias("ordinal"), name.alias("raw_investor_name"), evidence.alias("evidence"), F.when(k == 6, "x").alias("more"))
     record = F.struct(
         F.when(k == 1, "v0").otherwise("v1").alias("schema_version"), names.record_id("v1", F.col("event_id"), F.col("row_hash")).alias("record_id"), F.when(k == 2, F.lit("int:" + "0" * 20)).otherwise(F.col("event_id")).alias("source_event_id"),
-        F.when(k == 3, F.lit("0" * 64)).otherwise(F.col("row_hash")).alias("source_row_sha256"), F.when(k == 4, "LOST").when(k == 5, identity.NOBODY).otherwise(identity.RECOVERED).alias("status"), F.array(one).alias("names"),
+        F.when(k == 3, F.lit("0" * 64)).otherwise(F.col("row_hash")).alias("source_row_sha256"), F.when(k == 4, "LOST").when((k == 5) | ~named, identity.NOBODY).otherwise(identity.RECOVERED).alias("status"), F.filter(F.array(one), lambda _: named).alias("names"),
     )
     found = identity.overlay_messages(F.to_json(record), "v1", F.col("event_id"), F.col("row_hash"), F.col("title"), F.lit(None).cast("string"), F.lit("http://page"))
     return rows.select("doc_id", F.array_join(found, "|").alias("messages"))
@@ -492,7 +500,7 @@ QUERIES = {
       n AS (SELECT 'n' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Q' || (c_custkey * 7 % 1000) END AS q, 'supplier ' || (c_custkey * 3 % 2000) AS nm FROM customer),
       k AS (SELECT id AS investor_id, 'wikidata_qid' AS field, q AS value FROM n WHERE q IS NOT NULL UNION ALL SELECT id, 'name', nm FROM n), kb AS (SELECT 'wikidata_qid' AS field, q AS value FROM b WHERE q IS NOT NULL UNION SELECT 'name', nm FROM b)
       SELECT investor_id, field, value FROM k WHERE (field, value) IN (SELECT (field, value) FROM kb) OR (field, value) IN (SELECT (field, value) FROM k GROUP BY ALL HAVING count(DISTINCT investor_id) > 1)"""),
-    "overlay_records": (overlay_records, "SELECT doc_id, [" + ", ".join("'" + ("FAIL: " + m.replace("'", "''") if m else "") + "'" for m in OVERLAY_FAULTS) + f"][doc_id % {len(OVERLAY_FAULTS)} + 1] AS messages FROM documents WHERE length(text) >= 80"),
+    "overlay_records": (overlay_records, f"SELECT doc_id, CASE WHEN length(text) >= 80 THEN [{_faults(len(OVERLAY_FAULTS))}][doc_id % {len(OVERLAY_FAULTS)} + 1] ELSE [{_faults(5)}][doc_id % {len(OVERLAY_FAULTS)} + 1] END AS messages FROM documents"),
     "identity_statuses": (identity_statuses, f"""WITH {_IFACE}, iv AS (SELECT 'supplier ' || (s_suppkey % 25 + CASE WHEN s_suppkey < 10 THEN 0 ELSE 5 END) AS nm, list(DISTINCT 'inv' || s_suppkey) AS ids FROM supplier GROUP BY 1),
       x AS (SELECT ix.*, n % 11 = 0 AS ae, CASE WHEN trim(raw_investor_name) <> '' THEN 'supplier ' || n % 30 END AS nm FROM ix), j AS (SELECT x.*, ids FROM x LEFT JOIN iv USING (nm)),
       s AS (SELECT event_id, ids, CASE WHEN investor_id IS NOT NULL THEN 'canonical_resolved' WHEN ae THEN 'associated_entity' WHEN len(ids) > 1 THEN 'ambiguous_identity' WHEN nm IS NULL THEN 'missing_identity' WHEN len(ids) = 1 THEN 'analysis_normalized_exact_candidate' ELSE 'unresolved_named' END AS identity_status FROM j)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import names
-from eventloom.operators import behavior, chains
+from eventloom.operators import behavior, chains, quantiles
 from eventloom.plans import analogues as a
 from eventloom.plans import catalog_chains as base
 from eventloom.sources import readers
@@ -131,7 +131,18 @@ _SAME = lambda x: f"og.company_id = {x}.company_id AND og.event_type = {x}.event
 _TABLE = f"""{base._SUPPORT}, cmp AS (SELECT *, {" + ".join(f"n_{t}_episode_count" for t in behavior.GOVERNANCE)} AS n_governance_and_ownership_episode_count FROM sm WHERE passes_primary_episode_gate_3_3)"""
 
 
+def supplier_medians(spark, sf_dir):
+    """Median and quartiles of the prices of each supplier's line items."""
+    return quantiles.medians(a.table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", {"q1": 0.25, "q3": 0.75})
+
+
+def quantity_histogram(spark, sf_dir):
+    return quantiles.histogram(a.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 10)
+
+
 QUERIES = {
+    "supplier_medians": (supplier_medians, "SELECT l_suppkey, count(l_extendedprice) AS n, median(l_extendedprice) AS median, quantile_disc(l_extendedprice, 0.25) AS q1, quantile_disc(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY l_suppkey"),
+    "quantity_histogram": (quantity_histogram, "SELECT l_returnflag, floor(l_quantity / 10)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY ALL"),
     "projected_scan": (projected_scan, "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, 0::BIGINT AS n_notes FROM lineitem GROUP BY l_returnflag"),
     "footer_counts": (footer_counts, " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM duckdb_columns() WHERE table_name = '{t}') AS columns" for t in ("customer", "documents", "lineitem", "orders", "pages"))),
     "tagged_sources": (tagged_sources, "SELECT 'customer' AS source, count(*) AS n, count(c_custkey) AS n_customers, 0::BIGINT AS n_suppliers FROM customer UNION ALL SELECT 'supplier', count(*), 0, count(s_suppkey) FROM supplier"),

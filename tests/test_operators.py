@@ -245,9 +245,9 @@ def test_build_companies(spark):
 
 
 def test_match_investors_by_slug_then_name(spark):
-    events = spark.createDataFrame([("Acme Capital",), ("Beta",), ("None such",)], "investor_name string")
-    investors = spark.createDataFrame([("i1", "acme", 0), ("i2", "beta", 1), ("i3", "beta", 2)], "investor_id string, slug string, row int")
-    assert rows(chains.match_investors(events, investors), "investor_name", "investor_id") == [("Acme Capital", "i1"), ("Beta", "i3"), ("None such", None)]
+    events = spark.createDataFrame([("Acme Capital",), ("Beta",), ("None such",), ("École du Nord",), (None,), ("",)], "investor_name string")
+    investors = spark.createDataFrame([("i1", "acme", 0), ("i2", "beta", 1), ("i3", "beta", 2), ("i4", "ecole-du-nord", 3)], "investor_id string, slug string, row int")
+    assert rows(chains.match_investors(events, investors), "investor_name", "investor_id") == [("", None), ("Acme Capital", "i1"), ("Beta", "i3"), ("None such", None), ("École du Nord", "i4"), (None, None)]
 
 
 @pytest.mark.parametrize(
