@@ -6,6 +6,8 @@ must be, and the message's weight. They are compiled to Columns over a parsed va
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,23 +35,38 @@ MOAT_QUERIES = (
 )
 
 
+#: The first word of a variant's schema, and the kind that it stands for; any other is null.
+KINDS = {"missing": "missing", "OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean"} | dict.fromkeys(("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE"), "number")
+
+
 class Doc:
-    """A parsed document and the messages collected about it."""
+    """The messages about a document, and the facts that they rest on.
 
-    def __init__(self, text: Column):
-        self.root = F.try_parse_json(text)
+    A fact (what a path holds, and of what kind) is read once from the document, however
+    many messages use it. Without facts, a Doc only takes down which ones are asked for.
+    """
+
+    def __init__(self, facts: Column | None = None):
+        self.facts = facts
+        self.asked: dict[str, Callable[[Column], Column]] = {}
         self.found: list[Column] = []
 
+    def fact(self, name: str, of_root: Callable[[Column], Column]) -> Column:
+        self.asked.setdefault(name, of_root)
+        return F.lit(None) if self.facts is None else self.facts[name]
+
     def get(self, path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(self.root, f"$.{path}" if path else "$", kind)
+        return self.fact(f"{kind} {path}", lambda root: F.try_variant_get(root, f"$.{path}" if path else "$", kind))
 
     def kind(self, path: str) -> Column:
         """object, array, number, string, boolean, null, or missing."""
-        schema = F.schema_of_variant(F.try_variant_get(self.root, f"$.{path}" if path else "$", "variant"))
-        return (
-            F.when(schema.isNull(), "missing").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
-            .when(schema.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"), "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").otherwise("null")
-        )
+
+        def of(root: Column) -> Column:
+            schema = F.schema_of_variant(F.try_variant_get(root, f"$.{path}" if path else "$", "variant"))
+            word = F.substring_index(F.substring_index(F.coalesce(schema, F.lit("missing")), "<", 1), "(", 1)
+            return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), word), F.lit("null"))
+
+        return self.fact(f"kind {path}", of)
 
     def fail(self, wrong: Column, message: str, level: str = "FAIL") -> None:
         self.found.append(F.when(F.coalesce(wrong, F.lit(False)), F.lit(f"{level}: {message}")))
@@ -88,7 +105,12 @@ class Doc:
     def prose(self, path: str, least: int = 30, most: int = 250) -> None:
         """Words, with each Chinese character as one more, within bounds."""
         text = self.get(path)
-        n = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), 0)) + F.size(F.regexp_extract_all(text, F.lit(r"[一-鿿]"), 0))
+
+        def words(root: Column) -> Column:
+            prose = F.try_variant_get(root, f"$.{path}", "string")
+            return F.size(F.regexp_extract_all(prose, F.lit(r"(?U)\w+"), 0)) + F.size(F.regexp_extract_all(prose, F.lit(r"[一-鿿]"), 0))
+
+        n = self.fact(f"words {path}", words)
         self.filled(path)
         self.fail((F.trim(text) != "") & ~n.between(least, most), f"{path} is too short or too long", "WARN")
 
@@ -97,8 +119,19 @@ class Doc:
         return F.when(whole, F.array_compact(F.array(*self.found))).otherwise(F.array(F.lit("FAIL: the document must be an object")))
 
 
+def _messages(text: Column, check: Callable[[Doc], Column]) -> Column:
+    """A check's messages on a text: parsed once, then its facts, then what they say; variables of lambdas hold both."""
+    asks = Doc()
+    check(asks)
+    facts = F.transform(F.array(F.try_parse_json(text)), lambda root: F.struct(*[of_root(root).alias(name) for name, of_root in asks.asked.items()]))
+    return F.transform(facts, lambda x: check(Doc(x)))[0]
+
+
 def market_messages(text: Column) -> Column:
-    d = Doc(text)
+    return _messages(text, _market)
+
+
+def _market(d: Doc) -> Column:
     d.head()
     tam = d.is_a("tam", "object")
     for key in ("value_b", "scope", "source"):
@@ -126,7 +159,10 @@ def market_messages(text: Column) -> Column:
 
 
 def moat_messages(text: Column) -> Column:
-    d = Doc(text)
+    return _messages(text, _moat)
+
+
+def _moat(d: Doc) -> Column:
     d.head()
     claimed = d.get("claimed_moats", "array<variant>")
     d.fail(claimed.isNull() | (F.size(claimed) == 0), "claimed_moats must be an array that isn't empty")
@@ -153,7 +189,10 @@ def moat_messages(text: Column) -> Column:
 
 
 def evaluation_messages(text: Column) -> Column:
-    d = Doc(text)
+    return _messages(text, _evaluation)
+
+
+def _evaluation(d: Doc) -> Column:
     d.head()
     d.absent("archetype")
     d.absent("hmu_breakdown")

@@ -151,3 +151,9 @@ def test_bounds_and_aliases(spark):
     companies = spark.createDataFrame([("acme  INC",), ("Other",)], "name string")
     aliases = spark.createDataFrame([("Acme Inc", "Acme")], "alias string, canonical string")
     assert rows(review.apply_aliases(companies, aliases)) == [("Acme",), ("Other",)]
+
+
+@pytest.mark.parametrize("messages", [documents.market_messages, documents.moat_messages, documents.evaluation_messages])
+def test_document_is_parsed_once(spark, messages):
+    checked = spark.createDataFrame([("{}",)], "text string").select(messages(F.col("text")).alias("m"))
+    assert checked._jdf.queryExecution().analyzed().expressions().mkString().count("text#") == 1
