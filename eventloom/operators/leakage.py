@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,17 +91,52 @@ WEIGHTS = {"ipo_public": 3, "acquisition": 3, "shutdown": 3, "funding": 2}
 PUBLIC_WEIGHT, YEARS_WEIGHT, RETROSPECTIVE_WEIGHT, GRACE = 3, 1, 1, 2
 
 
+#: A boundary of ASCII words; Java's own takes letters of any script for parts of a word, or not, by its version.
+BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_SPACES = r" \t\n\f\r"
+#: What folds to an ASCII letter beside the other case: the long s and the Kelvin sign.
+_FOLDED = {"s": "\u017f", "k": "\u212a"}
+
+
+def portable(pattern: str) -> str:
+    """The expression as RE2 and others read it, without regard to case, for Java: words and spaces are ASCII, a line ends with a line feed only."""
+
+    def translated(token: str) -> str:
+        if token.startswith("["):
+            folded = "".join(c for letter, c in _FOLDED.items() if re.fullmatch(token, letter, re.IGNORECASE))
+            return token[:-1].replace(r"\s", _SPACES) + ("" if token.startswith("[^") else folded) + "]"
+        if token.lower() in _FOLDED:
+            return f"[{token}{_FOLDED[token.lower()]}]"
+        return {r"\b": BOUNDARY, r"\s": f"[{_SPACES}]"}.get(token, token)
+
+    return "(?id)" + "".join(map(translated, re.findall(r"\[\^?(?:\\.|[^\]\\])+\]|\\.|.", pattern, re.DOTALL)))
+
+
+def loose(pattern: str) -> str:
+    """An expression that finds something wherever portable() does, in text without folded letters; quick, since it has no boundaries."""
+    return "(?id)" + re.sub(r"\\(.)", lambda m: "" if m[1] == "b" else m[0], pattern, flags=re.DOTALL)
+
+
+def odd_letters(text: Column) -> Column:
+    return text.contains(_FOLDED["s"]) | text.contains(_FOLDED["k"])
+
+
+def _found(text: Column, pattern: str, odd: Column) -> Column:
+    return F.when(odd | text.rlike(loose(pattern)), F.regexp_extract_all(text, F.lit(portable(pattern)), 0)).otherwise(F.array().cast("array<string>"))
+
+
 def hits(docs: DataFrame, id_col: str, text_col: str, families: dict[str, dict[str, str]] = FAMILIES) -> DataFrame:
     """Long form: document, family, pattern, matches (array), for every pattern that matches."""
-    found = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("pattern"), F.regexp_extract_all(F.col(text_col), F.lit(f"(?i){p}"), 0).alias("matches")) for f, ps in families.items() for n, p in ps.items()]
+    found = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("pattern"), _found(F.col(text_col), p, F.col("_odd")).alias("matches")) for f, ps in families.items() for n, p in ps.items()]
+    docs = docs.select(id_col, text_col, odd_letters(F.col(text_col)).alias("_odd"))
     rows = docs.select(id_col, F.explode(F.filter(F.array(*found), lambda h: F.size(h["matches"]) > 0)).alias("h"))
     return rows.select(id_col, "h.family", "h.pattern", "h.matches")
 
 
 def family_counts(docs: DataFrame, id_col: str, text_col: str, families: dict[str, dict[str, str]] = FAMILIES) -> DataFrame:
     """One row per document, with the number of matches of each family."""
-    counts = [sum((F.size(F.regexp_extract_all(F.col(text_col), F.lit(f"(?i){p}"), 0)) for p in ps.values()), F.lit(0)).cast("long").alias(f"n_{f}") for f, ps in families.items()]
-    return docs.select(id_col, *counts)
+    counts = [sum((F.size(_found(F.col(text_col), p, F.col("_odd"))) for p in ps.values()), F.lit(0)).cast("long").alias(f"n_{f}") for f, ps in families.items()]
+    return docs.select("*", odd_letters(F.col(text_col)).alias("_odd")).select(id_col, *counts)
 
 
 #: The expressions that find a card's parts, and the length of a description without an end.
@@ -135,12 +172,14 @@ def sections(card: Column) -> Column:
 
 
 def late_years(text: Column, founded: Column) -> Column:
-    years = F.transform(F.regexp_extract_all(text, F.lit(YEAR), 1), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all(text, F.lit(portable(YEAR)), 1), lambda y: y.cast("int"))
     return F.coalesce(F.filter(years, lambda y: y > founded + GRACE), F.array().cast("array<int>"))
 
 
 def any_of(text: Column, family: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FAMILIES[family].values())), F.lit(False))
+    patterns = FAMILIES[family].values()
+    either = lambda form: "|".join(f"(?:{form(p)})" for p in patterns)
+    return F.coalesce((odd_letters(text) | text.rlike(either(loose))) & text.rlike(either(portable)), F.lit(False))
 
 
 def severity(score: Column) -> Column:

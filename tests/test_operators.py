@@ -381,6 +381,16 @@ def test_cards(spark):
     assert found["gone"] == ["FAIL: section Cost structure is missing"]
 
 
+@pytest.mark.parametrize("text, pattern, found", [
+    ("por sedo\u00f1oes", "domain_broker_name", ["sedo"]), ("\u00e9sedo", "domain_broker_name", ["sedo"]), ("sedoes", "domain_broker_name", None), ("ban\u212arupt", "shutdown_keyword", ["ban\u212arupt"]),
+    ("dead\x0blink", "dead_link", None), ("observed\u2028the shutdown", "observed_outcome", ["observed"]), ("observed\nthe shutdown", "observed_outcome", None),
+])
+def test_leakage_words_are_ascii(spark, text, pattern, found):
+    df = spark.createDataFrame([(1, text)], "card_id int, text string")
+    got = {r.pattern: r.matches for r in leakage.hits(df, "card_id", "text").collect()}
+    assert got.get(pattern) == found
+
+
 def test_leakage(spark):
     df = spark.createDataFrame([("a", CARD), ("b", "nothing"), ("c", None)], "card_id string, text string")
     found = {r.card_id: r for r in leakage.scan(df).collect()}
