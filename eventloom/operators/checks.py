@@ -79,19 +79,27 @@ SECTION_WORDS, FIRST_YEAR, LAST_YEAR = 50, 1900, 2099
 
 def card_messages(card: Column) -> Column:
     """What is wrong with a card, as an array of messages that begin with FAIL or WARN."""
-    heading = lambda s: rf"(?im)^\s*#{{1,3}}\s+(?:\d+\.\s+)?{s}"
     section = lambda s: F.regexp_extract(card, rf"(?ims)(^\s*#{{1,3}}\s+(?:\d+\.\s+)?{s}.*?)(?=^#{{1,3}}\s+(?:\d+\.\s+)?\w|\z)", 1)
-    year = F.regexp_extract(card, r"(?i)\*{0,2}Founding\s*year\*{0,2}\s*[:：]\s*[`'\"]?(\d{4})[`'\"]?", 1)
-    has = lambda f: F.lower(card).contains(f.lower())
-    found = [F.when(card.rlike(r"(?im)^\s*\*{0,2}Archetype\*{0,2}\s*[:：]"), F.lit("FAIL: an archetype is not allowed"))]
-    found += [F.when(~card.rlike(heading(s)), F.lit(f"FAIL: section {s} is missing")) for s in CARD_SECTIONS]
+    year = F.regexp_extract(card, r"(?i)Founding\s*year\*{0,2}\s*[:：]\s*[`'\"]?(\d{4})[`'\"]?", 1)
+    archetype = card.rlike(r"(?im)^\s*\*{0,2}Archetype\*{0,2}\s*[:：]")
+    facts = F.struct(archetype.alias("archetype"), F.lower(card).alias("lower"), year.alias("year"), F.array(*map(section, CARD_SECTIONS)).alias("sections"))
+    # A lambda's variable holds what is read from the card, so that each expression goes over it once.
+    return F.transform(F.array(facts), _card_messages)[0]
+
+
+def _card_messages(facts: Column) -> Column:
+    year, section = facts["year"], {s: facts["sections"][k] for k, s in enumerate(CARD_SECTIONS)}
+    has = lambda f: facts["lower"].contains(f.lower())
+    found = [F.when(facts["archetype"], F.lit("FAIL: an archetype is not allowed"))]
+    # A section begins with its heading: without one, it is empty.
+    found += [F.when(section[s] == "", F.lit(f"FAIL: section {s} is missing")) for s in CARD_SECTIONS]
     found += [F.when(~has(f), F.lit(f"FAIL: field {f} is missing")) for f in CARD_FIELDS]
     found.append(F.when(has("Founding year") & (year == ""), F.lit("FAIL: the founding year is no year")))
     found.append(F.when((year != "") & ~year.cast("int").between(FIRST_YEAR, LAST_YEAR), F.lit("FAIL: the founding year is out of range")))
     for s in CARD_SECTIONS:
-        words = F.size(F.regexp_extract_all(section(s), F.lit(r"\w+"), 0))
-        found.append(F.when((section(s) != "") & (words < SECTION_WORDS), F.lit(f"WARN: section {s} is short")))
-    risks = section("Strategic vulnerabilities")
+        words = F.size(F.regexp_extract_all(section[s], F.lit(r"\w+"), 0))
+        found.append(F.when((section[s] != "") & (words < SECTION_WORDS), F.lit(f"WARN: section {s} is short")))
+    risks = section["Strategic vulnerabilities"]
     found.append(F.when((risks != "") & ~risks.rlike(r"(?m)^\s*(?:[-*]|\d+\.)\s+\S"), F.lit("FAIL: no risk is listed")))
     return F.array_compact(F.array(*found))
 

@@ -157,3 +157,10 @@ def test_bounds_and_aliases(spark):
 def test_document_is_parsed_once(spark, messages):
     checked = spark.createDataFrame([("{}",)], "text string").select(messages(F.col("text")).alias("m"))
     assert checked._jdf.queryExecution().analyzed().expressions().mkString().count("text#") == 1
+
+
+def test_card_is_read_once_by_each_expression(spark):
+    from eventloom.operators import checks
+
+    checked = spark.createDataFrame([("",)], "card string").select(checks.card_messages(F.col("card")).alias("m"))
+    assert checked._jdf.queryExecution().analyzed().expressions().mkString().count("card#") == 8
