@@ -33,7 +33,8 @@ AT_ONCE = 256
 def numbered(contexts: DataFrame) -> DataFrame:
     """The contexts with chain_no and company_no, written once. Identifiers that are null take part like others."""
     key = [F.col(f"chain.{c}") for c in ("company_id", "chain_sequence", "chain_id")]
-    ranked = global_rank(contexts, "chain_no", *key)
+    # Ranges are sampled from the rows before they move: written first, contexts are made once.
+    ranked = global_rank(written(contexts), "chain_no", *key)
     first = ranked.groupBy(F.col("chain.company_id").alias("_company")).agg(F.min("chain_no").alias("_first"))
     companies = global_rank(first, "company_no", F.col("_first")).drop("_first")
     return written(ranked.join(companies, F.col("chain.company_id").eqNullSafe(F.col("_company"))).drop("_company"))
