@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from eventloom.functions import names
 from eventloom.operators import context
 from eventloom.operators.chains import signature
+from eventloom.operators.storage import written
 from eventloom.plans import rules
 
 #: Reasons of removal in the order they are tested, and words that mark a field about data quality.
@@ -62,37 +63,49 @@ def _texts(node: Column, path: str) -> Column:
     return F.transform(F.coalesce(several, F.array(F.try_variant_get(node, path, "string"))), lambda x: F.lower(F.trim(x)))
 
 
-def reviewed(pairs: DataFrame) -> DataFrame:
-    """Adds reason, the first of REASONS to remove a pair (null: kept), and complexity, the objects in its rule; statistics play no part.
-
-    pairs: rule (JSON text), taints (array of texts), event_dimension and structural_dimension with those
-    of its components (anchor_dimension, component_dimension). Rules are flattened in their row, by
-    functions of variants. A rule that is null, no JSON or no object is not readable by people.
-    """
+def _facts(texts: DataFrame) -> DataFrame:
+    """For each rule, what it says whatever its pair: its objects (null: not sound) and the tests of REASONS on them. texts: rule."""
     text = lambda x, path: F.try_variant_get(x, path, "string")
     some = lambda test: F.coalesce(F.exists("_nodes", test), F.lit(False))
     event_type = lambda kind: some(lambda x: (text(x, "$.field") == "event.event_type") & F.array_contains(_texts(x, "$.value"), kind))
     round_test = lambda x: (text(x, "$.op") == "compare") & (text(x, "$.left.field") == "derived.outcome_round_bucket")
     field = lambda test: F.coalesce(F.exists("_fields", test), F.lit(False))
-    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     tests = {
         "exit_event": event_type("exit"),
         "event_type_other": event_type("other"),
         "outcome_type": field(lambda f: f.contains("outcome_type")),
         "round_unknown_or_other": some(lambda x: round_test(x) & F.arrays_overlap(_texts(x, "$.right.literal"), F.array(F.lit("unknown"), F.lit("other")))),
         "end_relative_timing": some(lambda x: text(x, "$.relative_to") == "end"),
-        "duration": F.coalesce(F.col("structural_dimension") == "duration", F.lit(False)) | field(lambda f: f == "derived.chain_duration_days"),
-        "future_only": F.coalesce(F.array_contains("taints", "future"), F.lit(False)) | field(lambda f: f == "derived.company_chain_count"),
+        "duration": field(lambda f: f == "derived.chain_duration_days"),
+        "future_only": field(lambda f: f == "derived.company_chain_count"),
         "nullness_test": some(lambda x: (text(x, "$.op") == "compare") & text(x, "$.cmp").isin("is_null", "not_null")),
         "data_quality_basis_or_known_date": field(lambda f: reduce(lambda a, b: a | b, [F.lower(f).contains(w) for w in QUALITY_WORDS])),
-        "not_human_readable": differ("event_dimension", "anchor_dimension") | differ("structural_dimension", "component_dimension"),
     }
-    reason = reduce(lambda rest, name: F.when(tests[name], name).otherwise(rest), reversed(REASONS), F.lit(None).cast("string"))
     names = F.filter(F.concat(F.transform("_nodes", lambda x: text(x, "$.field")), F.flatten(F.transform("_nodes", lambda x: F.coalesce(F.try_variant_get(x, "$.same_values", "array<string>"), F.array().cast("array<string>"))))), lambda f: f.isNotNull())
-    rows = pairs.withColumn("_nodes", nodes(F.col("rule"))).withColumn("_fields", names)
+    rows = texts.withColumn("_nodes", nodes(F.col("rule"))).withColumn("_fields", names)
     sound = F.coalesce(_is_object(F.try_parse_json("rule")), F.lit(False))
-    objects = F.size("_nodes")
-    return rows.withColumns({"reason": F.when(sound, reason).otherwise("not_human_readable"), "complexity": F.when(sound, objects)}).drop("_nodes", "_fields")
+    return rows.select("rule", F.when(sound, F.size("_nodes")).alias("_objects"), *[test.alias(f"_{name}") for name, test in tests.items()])
+
+
+def reviewed(pairs: DataFrame) -> DataFrame:
+    """Adds reason, the first of REASONS to remove a pair (null: kept), and complexity, the objects in its rule; statistics play no part.
+
+    pairs: rule (JSON text), taints (array of texts), event_dimension and structural_dimension with those
+    of its components (anchor_dimension, component_dimension). Each different rule is flattened once, by
+    functions of variants, and its facts are joined to its pairs: in place if they are small, else by
+    the rule. A rule that is null, no JSON or no object is not readable by people.
+    """
+    facts = written(_facts(pairs.select("rule").filter(F.col("rule").isNotNull()).distinct()))
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    of_pair = {
+        "duration": F.coalesce(F.col("structural_dimension") == "duration", F.lit(False)),
+        "future_only": F.coalesce(F.array_contains("taints", "future"), F.lit(False)),
+        "not_human_readable": differ("event_dimension", "anchor_dimension") | differ("structural_dimension", "component_dimension"),
+    }
+    tests = {name: reduce(lambda a, b: a | b, [*([F.col(f"_{name}")] if f"_{name}" in facts.columns else []), *([of_pair[name]] if name in of_pair else [])]) for name in REASONS}
+    reason = reduce(lambda rest, name: F.when(tests[name], name).otherwise(rest), reversed(REASONS), F.lit(None).cast("string"))
+    rows = pairs.join(facts, "rule", "left").withColumns({"reason": F.when(F.col("_objects").isNotNull(), reason).otherwise("not_human_readable"), "complexity": F.col("_objects")})
+    return rows.select(*pairs.columns, "reason", "complexity")
 
 
 @F.pandas_udf(StringType())

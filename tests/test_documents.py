@@ -122,6 +122,17 @@ def test_removal(spark):
         review.reviewed(spark.createDataFrame([pair(deep)], PAIR)).collect()
 
 
+def test_each_rule_is_read_once(spark):
+    """Thousands of pairs of a few rules: their rows only look facts up, which were found for each different text."""
+    texts = [rules.canonical_json(rules.canonical(cp.PATTERNS["late_click"])), rules.canonical_json(rules.canonical(cp.PATTERNS["many_exposures"])), "[1"]
+    picked = F.get(F.array(*map(F.lit, texts)), (F.col("id") % 4).cast("int"))
+    taints = F.when(F.col("id") % 8 == 1, F.array(F.lit("future")))
+    df = spark.range(4000).select("id", picked.alias("rule"), taints.alias("taints"), *[F.lit("x").alias(c) for c in ("event_dimension", "anchor_dimension", "structural_dimension", "component_dimension")])
+    found = review.reviewed(df)
+    assert "variant_get" not in found._jdf.queryExecution().toString()
+    assert rows(found.groupBy("reason").count()) == [("end_relative_timing", 1000), ("future_only", 500), ("not_human_readable", 2000), (None, 500)]
+
+
 def test_representatives(spark):
     kept = {k: rules.canonical(r) for k, r in cp.PATTERNS.items() if k != "late_click"}
     df = spark.createDataFrame([pair(r, atom=k) for k, r in cp.PATTERNS.items()] + [pair('{"op":"nonsense"}', atom="unsound")], PAIR)
