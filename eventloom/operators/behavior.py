@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from eventloom.operators.storage import global_rank, written
 #: The event types that make a case, and the gates (episodes or rows, companies).
 CORE = ("activist_action", "board_change", "exit", "major_holder_change", "secondary_transaction", "strategic_investment")
 PRIMARY_GATE, LEGACY_GATE = (3, 3), (5, 3)
+#: Types as bits, the one that isn't core first.
+KINDS = ("funding_participation", *CORE)
 CONFIRMED, OVERLAPPING, AFTER, UNKNOWN, NONE = "CONFIRMED_POST_INVESTMENT", "SAME_OR_OVERLAPPING_INVESTMENT_DATE", "INVESTMENT_EVIDENCE_ONLY_AFTER_EVENT", "TIMING_UNKNOWN", "NO_INVESTMENT_EVIDENCE"
 
 
@@ -120,21 +124,37 @@ def support(events: DataFrame, ranked: bool = True) -> DataFrame:
 
     events: investor_id, investor_name, company_id, event_id, event_type, event_date.
     """
-    core = F.col("event_type").isin(*CORE)
-    rows = events.withColumns({"_episode": F.when(core, episode()), "_core_company": F.when(core, F.col("company_id"))})
-    main = rows.groupBy("investor_id").agg(
-        F.min("investor_name").alias("investor_name"),
-        F.count(F.lit(1)).alias("n_interface_event_rows"),
-        F.count_distinct("company_id").alias("n_all_interface_companies"),
-        F.count_if(core).alias("n_core_event_rows"),
-        F.count_distinct("_episode").alias("n_core_episode_count"),
-        F.count_distinct("_core_company").alias("n_core_companies"),
-        F.count_if(F.col("event_type") == "funding_participation").alias("n_funding_participation_rows"),
-        F.count_if(F.col("event_type") == "exit").alias("n_exit_event_rows"),
-        *[F.count_distinct(F.when(F.col("event_type") == t, F.col("_episode"))).alias(f"n_{t}_episode_count") for t in CORE],
-    )
-    by_company = rows.groupBy("investor_id", "company_id").agg((F.bool_or(F.col("event_type") == "funding_participation") & F.bool_or(F.col("event_type") == "exit")).alias("both"))
-    out = main.join(by_company.groupBy("investor_id").agg(F.count_if("both").alias("n_funding_to_exit_companies")), "investor_id")
+    # Two narrow rows an event: one counts it at its company, one is its episode, if it has one. A distinct count for each
+    # type would make ten of each event. Names and kinds are keys, so that all that is summed is numbers.
+    kind = reduce(lambda rest, k: F.when(F.col("event_type") == KINDS[k], 1 << k).otherwise(rest), range(len(KINDS)), F.lit(0))
+    held = events.filter(F.col("investor_id").isNotNull()).select("investor_id", "investor_name", "company_id", kind.alias("_kind"), F.when(F.col("event_type").isin(*CORE), episode()).alias("_episode"))
+    sides = F.when(F.col("_episode").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    of_company = lambda c: F.when(~F.col("_side"), F.col(c)).alias(c)
+    of_episode = lambda c: F.when(F.col("_side"), F.col(c))
+    rows = held.withColumn("_side", F.explode(sides)).select("investor_id", of_company("investor_name"), of_company("company_id"), of_company("_kind"), of_episode("_episode").alias("_episode"), of_episode("_kind").alias("_types"))
+    cells = rows.groupBy("investor_id", "investor_name", "company_id", "_kind", "_episode").agg(F.count(F.lit(1)).alias("n"), F.bit_or("_types").alias("_types"))
+    company = F.col("_kind").isNotNull()
+    has = lambda c, t: F.col(c).bitwiseAND(1 << KINDS.index(t)) > 0
+    counted = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    sums = {
+        "n_interface_event_rows": counted(company),
+        "n_core_event_rows": counted(F.col("_kind") > 1),
+        "n_core_episode_count": F.count("_episode"),
+        "n_funding_participation_rows": counted(has("_kind", "funding_participation")),
+        "n_exit_event_rows": counted(has("_kind", "exit")),
+        **{f"n_{t}_episode_count": F.count_if(has("_types", t)) for t in CORE},
+    }
+    named = cells.groupBy("investor_id", "investor_name", "company_id", company.alias("_company")).agg(F.bit_or("_kind").alias("_kinds"), *[x.alias(k) for k, x in sums.items()])
+    per_company = named.groupBy("investor_id", "company_id", "_company").agg(F.min("investor_name").alias("investor_name"), F.bit_or("_kinds").alias("_kinds"), *[F.sum(k).alias(k) for k in sums])
+    known = F.col("company_id").isNotNull()
+    companies = {
+        "n_all_interface_companies": known,
+        "n_core_companies": known & (F.col("_kinds") > 1),
+        "n_funding_to_exit_companies": has("_kinds", "funding_participation") & has("_kinds", "exit"),
+    }
+    out = per_company.groupBy("investor_id").agg(F.min("investor_name").alias("investor_name"), *[F.sum(k).alias(k) for k in sums], *[F.count_if(test).alias(k) for k, test in companies.items()])
+    order = ["n_interface_event_rows", "n_all_interface_companies", "n_core_event_rows", "n_core_episode_count", "n_core_companies", "n_funding_participation_rows", "n_exit_event_rows", *[f"n_{t}_episode_count" for t in CORE], "n_funding_to_exit_companies"]
+    out = out.select("investor_id", "investor_name", *order)
     episodes, companies, raw = F.col("n_core_episode_count"), F.col("n_all_interface_companies"), F.col("n_core_event_rows")
     out = out.withColumns(
         {

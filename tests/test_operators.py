@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -422,3 +423,28 @@ def test_atoms():
     assert len(lattice.numeric_atoms("derived.n_middle", "count", 1, 5)) == 8
     assert len(lattice.sequence_atoms([(("exposure", "a"), ("interface", "c"))], gaps=True)) == 17
     assert len({json.dumps(x, sort_keys=True) for x in found}) == 8
+
+
+def test_support_without_an_expansion_by_type(spark):
+    """Two narrow rows an event, whatever the number of types; equal keys of episodes count once across companies and types, as text."""
+    rnd = random.Random(3)
+    kinds = [*behavior.CORE, "funding_participation", "other", None]
+    data = [(rnd.choice(["a", "b", "c", None]), rnd.choice(["N1", "N2", None]), rnd.choice(["x", "y", "x|exit|2020", None]), f"e{rnd.randrange(9)}", rnd.choice(kinds), rnd.choice(["2020", "2021-02", "2020|exit|2020", "", None])) for _ in range(400)]
+    df = spark.createDataFrame(data, "investor_id string, investor_name string, company_id string, event_id string, event_type string, event_date string")
+    found = behavior.support(df, ranked=False)
+    assert "Expand" not in found._jdf.queryExecution().toString()
+    text = lambda r: "|".join(x for x in (r[2], r[4], r[5]) if x is not None) if r[5] else f"event|{r[3]}"
+    made = {r.investor_id: r for r in found.collect()}
+    assert sorted(made) == ["a", "b", "c"]
+    for who, r in made.items():
+        mine = [x for x in data if x[0] == who]
+        core = [x for x in mine if x[4] in behavior.CORE]
+        named = {x[2] for x in mine}
+        both = sum({"funding_participation", "exit"} <= {x[4] for x in mine if x[2] == c} for c in named)
+        assert r.investor_name == min(x[1] for x in mine if x[1])
+        assert (r.n_interface_event_rows, r.n_core_event_rows, r.n_exit_event_rows) == (len(mine), len(core), sum(x[4] == "exit" for x in mine))
+        assert (r.n_all_interface_companies, r.n_core_companies, r.n_funding_to_exit_companies) == (len(named - {None}), len({x[2] for x in core} - {None}), both)
+        assert r.n_funding_participation_rows == sum(x[4] == "funding_participation" for x in mine)
+        assert r.n_core_episode_count == len({text(x) for x in core})
+        for t in behavior.CORE:
+            assert r[f"n_{t}_episode_count"] == len({text(x) for x in core if x[4] == t})
