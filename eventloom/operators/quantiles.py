@@ -3,7 +3,8 @@
 A mergeable sketch (``percentile_approx``, whose rank error is n / ACCURACY at most) gives the
 values at each hundredth, so two that enclose each wanted rank. Values under them are only counted, those
 over them left out; of those inside, three hundredths at most besides repeats, which are one row, a
-running count finds the rank. A key of few values needs no bounds. Nothing is approximate.
+running count finds the rank. A key of few values needs no bounds, and one running count for all ranks.
+Nothing is approximate.
 
 Defined cases: null and NaN values don't count; a key without values has no row; null is a key like others;
 repeated values count as often as they occur.
@@ -11,6 +12,8 @@ repeated values count as often as they occur.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +28,27 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Colu
     kept = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
     grid = [k / 100 for k in range(101)]
     sketch = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, ACCURACY).alias("_grid"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
+    rank_of = {name: rank.cast("long") for name, rank in ranks.items()}
     # The grid's value for a share is off by n / ACCURACY ranks at most; one step of the grid is ten times that.
     step = lambda r: F.floor((r - 1) * 100 / F.col("n"))
-    many = F.col("n") > ACCURACY
-    below = lambda r: F.when(many & (step(r) >= 1), F.get("_grid", (step(r) - 1).cast("int")))
-    above = lambda r: F.when(many & (step(r) <= 97), F.get("_grid", (step(r) + 2).cast("int")))
-    bounds = sketch.select(*keys, "n", F.explode(wanted).alias("w")).select(*keys, "n", "w.name", "w.rank")
-    bounds = bounds.join(sketch.select(*keys, "_grid").withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    bounds = bounds.select(*[f"_k{i}" for i in range(len(keys))], "n", "name", "rank", below(F.col("rank")).alias("_low"), above(F.col("rank")).alias("_high"))
+    below = lambda r: F.when(step(r) >= 1, F.get("_grid", (step(r) - 1).cast("int")))
+    above = lambda r: F.when(step(r) <= 97, F.get("_grid", (step(r) + 2).cast("int")))
+    part = lambda name, low, high: F.struct(name.cast("string").alias("name"), low.alias("_low"), high.alias("_high"))
+    nothing = F.get("_grid", F.lit(-1))
+    # A key of few values has one part, all of them, from which every rank is read; else each rank has its own.
+    parts = F.when(F.col("n") > ACCURACY, F.array(*[part(F.lit(name), below(r), above(r)) for name, r in rank_of.items()])).otherwise(F.array(part(F.lit(None), nothing, nothing)))
+    bounds = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", F.explode(parts).alias("w")).select(*[f"_k{i}" for i in range(len(keys))], "n", "w.*")
     counted = kept.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     met = counted.join(bounds, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     under = F.col("_low").isNotNull() & (F.col("_v") < F.col("_low"))
     inside = ~under & (F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
     # What lies under the bounds becomes one row, which the running count starts from.
     place = F.when(under, F.lit(None)).otherwise(F.col("_v"))
-    short = met.filter(under | inside).groupBy(*keys, "n", "name", "rank", place.alias("_v")).agg(F.sum("_c").alias("_c"))
+    short = met.filter(under | inside).groupBy(*keys, "n", "name", place.alias("_v")).agg(F.sum("_c").alias("_c"))
     order = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = short.withColumn("_upto", F.sum("_c").over(order)).filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
-    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    hit = lambda name: (F.col("name").isNull() | (F.col("name") == name)) & (F.col("_upto") >= rank_of[name]) & (F.col("_upto") - F.col("_c") < rank_of[name])
+    found = short.withColumn("_upto", F.sum("_c").over(order)).filter(reduce(lambda x, y: x | y, map(hit, ranks)))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(hit(name), F.col("_v"))).alias(name) for name in ranks])
 
 
 def share(p: float) -> Column:

@@ -34,6 +34,23 @@ def test_only_a_part_of_the_values_meets_in_the_window(spark):
     assert "collect_list" not in plan and "percentile(" not in plan
 
 
+def test_values_of_small_keys_are_not_repeated_for_each_rank(spark):
+    """500 keys of 40 values: no more rows come out of the join with the bounds than there are values."""
+    df = spark.range(20_000).selectExpr("id % 500 AS k", "cast(id AS double) AS v")
+    found = quantiles.medians(df, ["k"], "v", {"q1": 0.25, "q3": 0.75})
+    made = {r.k: tuple(r)[1:] for r in found.collect()}
+    assert made == {k: (40, 9750.0 + k, 4500.0 + k, 14500.0 + k) for k in range(500)}
+
+    def nodes(plan):
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+        yield plan
+        for p in ([inner] if inner is not None else []) + [plan.children().apply(i) for i in range(plan.children().size())]:
+            yield from nodes(p)
+
+    joins = [p for p in nodes(found._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName()]
+    assert joins and max(p.metrics().get("numOutputRows").get().value() for p in joins) <= 20_000
+
+
 def test_histogram_and_nothing(spark):
     df = spark.createDataFrame([("a", -0.5), ("a", 0.0), ("a", 9.99), ("a", 10.0), (None, 3.0), ("b", None)], "k string, v double")
     assert rows(quantiles.histogram(df, ["k"], "v", 10)) == [("a", -1, 1), ("a", 0, 2), ("a", 1, 1), (None, 0, 1)]
