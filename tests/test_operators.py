@@ -86,6 +86,15 @@ def test_history_of_a_hot_company_reads_each_investor_once(spark):
     assert len(counts) == 3000 and all(n == (0 if k == 0 else 2 if k < 1000 else 3) for k, n in counts.items())
 
 
+def test_history_takes_a_chain_back_whole(spark):
+    """Only one row of a chain carries its columns while its investors are looked up; a chain without investors doesn't make an unnamed one known."""
+    keys = [[], None, [None], [None, "a", "a"], ["a", "b"], []]
+    df = spark.createDataFrame([("co", k, f"c{k}", "seed", D(2020, 1, k + 1), v) for k, v in enumerate(keys)], "company_id string, chain_sequence int, chain_id string, round_name string, end date, investor_keys array<string>")
+    found = chains.history(df)
+    assert rows(found, "chain_sequence", "prior_outcome_investor_overlap_count", "prior_outcome_investor_overlap_ratio") == [(0, 0, None), (1, None, None), (2, 0, 0.0), (3, 1, 0.5), (4, 1, 0.5), (5, 0, None)]
+    assert dict(rows(found, "chain_sequence", "investor_keys")) == dict(enumerate(keys))
+
+
 def test_signatures_agree(spark):
     data = [("k", 1, "exposure", "view", "a"), ("k", 1, "interface", "exit", "b"), ("k", 2, "exposure", "view", "c"), ("k", 1, "exposure", "click", "d"), ("l", 1, "exposure", "x", "e")]
     df = spark.createDataFrame(data, "k string, batch long, family string, event_type string, event_id string")
