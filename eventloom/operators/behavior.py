@@ -73,6 +73,13 @@ def counts_json(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return n.groupBy(key).agg(F.to_json(F.map_from_entries(entries)).alias(name))
 
 
+def _date_text(number: Column) -> Column:
+    """The partial date (year, month or day) of eight digits whose missing parts are zeros."""
+    digits = F.lpad(number.cast("string"), 8, "0")
+    year, month, day = F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)
+    return F.when(number.isNotNull(), F.concat_ws("-", year, F.nullif(month, F.lit("00")), F.nullif(day, F.lit("00"))))
+
+
 def profiles(related: DataFrame) -> DataFrame:
     """One row per investor: rows, companies, types, dates, repeated companies, relations, episodes and labels.
 
@@ -82,7 +89,8 @@ def profiles(related: DataFrame) -> DataFrame:
     related = written(related.select("investor_id", "company_id", "company_label", "event_id", "event_type", "event_date", "temporal_relation_status"))
     status = F.col("temporal_relation_status")
     confirmed = status == CONFIRMED
-    dated = F.when(strict_partial_date(F.col("event_date")).isNotNull(), F.col("event_date"))
+    # A date as a number that keeps the order of its text: least and greatest texts would sort all rows, numbers are hashed.
+    dated = F.when(strict_partial_date(F.col("event_date")).isNotNull(), F.rpad(F.replace(F.col("event_date"), F.lit("-"), F.lit("")), 8, "0").cast("int"))
     per_company = related.groupBy("investor_id", "company_id").agg(
         F.count(F.lit(1)).alias("n"), F.max_by("company_label", "event_id").alias("label"), F.bool_or(confirmed).alias("confirmed")
     )
@@ -97,10 +105,9 @@ def profiles(related: DataFrame) -> DataFrame:
     )
     rows = related.withColumns({"_episode": F.when(confirmed, episode()), "_dated": dated}).groupBy("investor_id").agg(
         F.count(F.lit(1)).alias("n_interface_event_rows"),
-        F.count_distinct("event_type").alias("n_distinct_event_types"),
         F.count("_dated").alias("n_dated_event_rows"),
-        F.min("_dated").alias("first_interface_event_date"),
-        F.max("_dated").alias("last_interface_event_date"),
+        _date_text(F.min("_dated")).alias("first_interface_event_date"),
+        _date_text(F.max("_dated")).alias("last_interface_event_date"),
         F.count_if(confirmed).alias("n_confirmed_post_investment_rows"),
         F.count_distinct("_episode").alias("n_confirmed_post_investment_episode_keys"),
         F.count_if(status == OVERLAPPING).alias("n_same_or_overlapping_investment_date_rows"),
@@ -108,6 +115,9 @@ def profiles(related: DataFrame) -> DataFrame:
         F.count_if(status == UNKNOWN).alias("n_timing_unknown_rows"),
         F.count_if(status == NONE).alias("n_no_investment_evidence_rows"),
     )
+    # Types are few: counted from the groups that the JSON text of their counts reads, too.
+    types = related.groupBy("investor_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("investor_id").agg(F.count("event_type").alias("n_distinct_event_types"))
+    rows = rows.join(types, "investor_id").select(*rows.columns[:2], "n_distinct_event_types", *rows.columns[2:])
     duplicate = F.col("n_confirmed_post_investment_rows") - F.col("n_confirmed_post_investment_episode_keys")
     out = rows.join(companies, "investor_id").withColumn("n_confirmed_post_investment_duplicate_source_rows", duplicate)
     for value, name, only in (

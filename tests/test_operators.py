@@ -457,3 +457,13 @@ def test_support_without_an_expansion_by_type(spark):
         assert r.n_core_episode_count == len({text(x) for x in core})
         for t in behavior.CORE:
             assert r[f"n_{t}_episode_count"] == len({text(x) for x in core if x[4] == t})
+
+
+def test_profiles_hash_their_rows(spark):
+    """Least and greatest partial dates keep the order of texts, without sorting an investor's rows."""
+    dates = ["2021", "2021-01", "2020-12-31", "0001-02", "bad", "2021-13", None, "2021-12", "2021-12-31"]
+    data = [(w, c, "SUCCESS", f"e{k}", t, d, behavior.CONFIRMED) for w, c in (("a", "x"), ("b", "y")) for k, (d, t) in enumerate(zip(dates[:: 1 if w == "a" else 4], ["exit", None, "board_change"] * 3))] + [("c", "x", "FAILURE", "e", None, "bad", behavior.NONE)]
+    df = spark.createDataFrame(data, "investor_id string, company_id string, company_label string, event_id string, event_type string, event_date string, temporal_relation_status string")
+    found = behavior.profiles(df)
+    assert rows(found, "investor_id", "n_distinct_event_types", "n_dated_event_rows", "first_interface_event_date", "last_interface_event_date") == [("a", 2, 6, "0001-02", "2021-12-31"), ("b", 2, 2, "2021", "2021-12-31"), ("c", 0, 0, None, None)]
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
